@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
+from .lm import lm_scores
 from .records import token_record_files
 from .shared import table
 from .token_counts import token_counts
@@ -27,9 +28,14 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_record_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
     "op6_token_records": op6_token_records,
+    "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
