@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
+from .jaccard import jaccard_components
 from .lm import lm_scores
 from .records import token_record_files
 from .shared import table
@@ -24,6 +25,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_record_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -35,6 +40,7 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard": op5_jaccard,
     "op6_token_records": op6_token_records,
     "op10_lm_scores": op10_lm_scores,
 }
