@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
+from .decontaminate import contaminated_documents
 from .embeddings import embedding_duplicates
 from .jaccard import jaccard_components
 from .lm import lm_scores
+from .quality import quality_scores
 from .records import token_record_files
 from .shared import table
 from .token_counts import token_counts
@@ -38,6 +40,14 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_record_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_jaccard": op5_jaccard,
     "op6_token_records": op6_token_records,
+    "op8_quality": op8_quality,
+    "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
 }
 ORACLE_SQL: dict[str, str] = {}
