@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
 from .decontaminate import contaminated_documents
 from .embeddings import embedding_duplicates
+from .html_extract import extract_text
 from .jaccard import jaccard_components
 from .lm import lm_scores
 from .quality import quality_scores
 from .records import token_record_files
 from .shared import table
 from .token_counts import token_counts
+from .warc import fixity_audit
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -24,6 +27,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -40,6 +47,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_record_files(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy has a flipped byte in the records of pages with crc32(page_id) mod 101 = 7, for the audit to find."""
+    return fixity_audit(table(spark, sf_dir, "pages"), F.crc32(F.col("page_id").cast("string")) % 101 == 7)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,10 +66,12 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_html_text": op2_html_text,
     "op3_embedding_duplicates": op3_embedding_duplicates,
     "op4_token_counts": op4_token_counts,
     "op5_jaccard": op5_jaccard,
     "op6_token_records": op6_token_records,
+    "op7_warc_fixity": op7_warc_fixity,
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
