@@ -2,8 +2,8 @@
 
 Each record is framed as: length (8 bytes, little-endian), masked checksum of the length (4), the payload, masked
 checksum of the payload (4). The checksum is CRC-32 as zlib has it, rotated right by 15 bits plus a constant, so that
-data that itself holds checksums stays safe. The payload is the document's id (8 bytes) and its token ids (4 bytes
-each). The index holds each record's offset, for shuffled reads. One shard for each range of document ids; a task
+data that itself holds checksums stays safe. The payload is the document's id (8 bytes), the bytes of a token id (1; 2
+where the vocabulary allows it, else 4) and the token ids. The index holds each record's offset, for shuffled reads. One shard for each range of document ids; a task
 writes under a name of its own attempt, and only names that the written manifest lists count.
 """
 
@@ -12,16 +12,18 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import Memo, encoder
+from .bpe import BYTE_CHARS, encoder
 from .shared import materialise, new_folder
 
 _MASK = 0xA282EAD8
@@ -50,32 +52,39 @@ def unframe(read, what: str) -> bytes:
     return body[:size]
 
 
+def _record(payload: bytes) -> tuple[int, np.ndarray]:
+    doc_id, width = struct.unpack("<qB", payload[:9])
+    return doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=9)
+
+
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system and path of a file that all executors reach."""
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
-class ByteIds:
-    """Encodes texts to little-endian 32-bit ids; what stands between single spaces is remembered whole."""
+#: Fixed: the split of byte-level vocabularies, as tiktoken takes it.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    #: White space next to a space: there the text cannot simply be taken apart at spaces.
-    def __init__(self, path: str):
-        import re
 
-        self.enc = encoder(path)
-        self.odd = re.compile(r"\s[ ]|[ ]\s|[ ]$|^[ ]|[\x1c-\x1f]")
-        self.chunk = Memo(self._ids, 300_000)
+class ByteIds:
+    """Encodes texts to little-endian ids; special strings in a text give their own id."""
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.enc.encode(text), dtype="<u4").tobytes()
+    def __init__(self, path: str):
+        enc = encoder(path)
+        back = {c: b for b, c in BYTE_CHARS.items()}
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in enc.vocab.items() if token not in enc.specials}
+        self.bpe = tiktoken.Encoding("records", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.special, self.specials = enc.special, enc.specials
+        self.kind = np.dtype("<u2" if max([*ranks.values(), *self.specials.values()]) < 1 << 16 else "<u4")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return b"".join([self.chunk[w] for w in self.enc.pre_tokens(text)])
-        first, *rest = text.split(" ")
-        return self.chunk[first] + b"".join([self.chunk[" " + w] for w in rest])
+        code = "H" if self.kind.itemsize == 2 else "I"
+        if any(s in text for s in self.specials):
+            parts = self.special.split(text)
+            ids = [i for k, part in enumerate(parts) for i in ([self.specials[part]] if k % 2 else self.bpe.encode_ordinary(part))]
+        else:
+            ids = self.bpe.encode_ordinary(text) if text else []
+        return array(code, ids).tobytes()
 
 
 _BYTE_IDS: dict[str, ByteIds] = {}
@@ -90,10 +99,11 @@ def write_token_records(docs: DataFrame, path: str, folder: str, end_id: int = 0
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _BYTE_IDS.setdefault(path, ByteIds(path))
+        ids = _BYTE_IDS.get(path) or _BYTE_IDS.setdefault(path, ByteIds(path))
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}-{uuid.uuid4().hex}"
-        end, out, offsets, at, n_ids = struct.pack("<I", end_id), None, [], 0, 0
+        width = ids.kind.itemsize
+        end, out, offsets, at, n_ids = np.array([end_id], dtype=ids.kind).tobytes(), None, [], 0, 0
         for batch in batches:
             if out is None:
                 store, local = open_store(name)
@@ -103,11 +113,11 @@ def write_token_records(docs: DataFrame, path: str, folder: str, end_id: int = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if doc_id is None:
                     raise ValueError("a document without id has no place in the order")
-                payload = struct.pack("<q", doc_id) + ids(text) + end
+                payload = struct.pack("<qB", doc_id, width) + ids(text or "") + end
                 block.append(frame(payload))
                 offsets.append(at)
                 at += len(block[-1])
-                n_ids += len(payload) // 4 - 2
+                n_ids += (len(payload) - 9) // width
                 if len(block) >= 2000:
                     out.write(b"".join(block))
                     block = []
@@ -150,9 +160,9 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
                             raise ValueError(f"record {k} of {name} is not at its offset")
                         payload = unframe(f.read, f"record {k} of {name}")
                         at += len(payload) + 16
-                        n = (len(payload) - 8) // 4
-                        rows.append((struct.unpack("<q", payload[:8])[0], start, n, zlib.crc32(payload[8:])))
-                        start += n
+                        doc_id, found = _record(payload)
+                        rows.append((doc_id, start, len(found), zlib.crc32(found.astype("<u4"))))
+                        start += len(found)
                         if len(rows) >= 5000:
                             yield _out(rows)
                             rows = []
@@ -175,7 +185,7 @@ def read_record(name: str, k: int) -> tuple[int, np.ndarray]:
     with store.open_input_file(local + ".rec") as f:
         f.seek(offset)
         payload = unframe(f.read, f"record {k} of {name}")
-    return struct.unpack("<q", payload[:8])[0], np.frombuffer(payload[8:], dtype="<u4")
+    return _record(payload)
 
 
 def token_record_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
