@@ -305,7 +305,7 @@ def jn5_interval_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {iv}, a AS (SELECT * FROM iv WHERE kind = 'view'), w AS (SELECT key, start_us AS s, end_us AS e FROM iv WHERE kind = 'error'),
 f AS (SELECT *, CASE WHEN m IS NULL OR s - m >= 1 THEN 1 ELSE 0 END AS new FROM (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w)),
 c AS (SELECT key, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM f) GROUP BY key, i)
-SELECT a.key, a.ord, CAST(coalesce(sum(least(a.end_us, c.e) - greatest(a.start_us, c.s)), 0) AS BIGINT) AS covered_us FROM a LEFT JOIN c ON a.key = c.key AND a.start_us < c.e AND c.s < a.end_us GROUP BY a.key, a.ord""")
+SELECT a.key, a.ord, CAST(coalesce(sum(least(a.end_us, c.e) - greatest(a.start_us, c.s)) FILTER (WHERE c.s IS NOT NULL), 0) AS BIGINT) AS covered_us FROM a LEFT JOIN c ON a.key = c.key AND a.start_us < c.e AND c.s < a.end_us GROUP BY a.key, a.ord""")
 def jn6_overlap_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     iv = tables.intervals(spark, sf_dir)
     cover = ops.unite(iv.where("kind = 'error'")).withColumn("ord", F.lit(0))
