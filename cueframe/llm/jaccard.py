@@ -3,8 +3,9 @@
 Two sets with 100 |x and y| >= T |x or y| share a token among the first |x| - ceil(T |x| / 100) + 1 tokens of each,
 under any global order of the tokens. A pair must pass this filter under all of three orders before it is verified:
 
-1. A fixed quarter of all tokens first, rare before frequent (their document frequencies are counted), then the others
-   by hash. Tokens that only one document has are never looked up, and very common passages come last.
+1. Rare before frequent, then by hash: the document frequencies of all tokens are counted, by 40 bits of their hashes
+   (tokens that share these are one place in the order, so none is lost). Tokens that only one document has are never
+   looked up, and passages that many documents share come last.
 2. and 3. Two orders by different hashes.
 
 Links are wanted for their components, so links inside a component need no second proof. Documents with equal sets are
@@ -25,13 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
-from .shared import buckets_of, components, materialise, narrow, pack, runs, unpack, words
+from .shared import buckets_of, components, from_planes, materialise, narrow, pack, planes, runs, unpack, words
 from .token_counts import _PACKED, _rows
 
 #: A task packs about so many shingles at once.
 PACK_SHINGLES = 3_000_000
 #: So many document ids (8 bytes each) are broadcast at most; beyond, Spark shuffles the join.
 BROADCAST_IDS = 1_000_000
+#: Bits of a token by which it is counted and looked up; beside them, a batch's document takes 16.
+BITS = 40
+_DOC = np.uint64(16)
 _K = np.uint64(0x9E3779B97F4A7C15)
 _WORD_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 400_000)
 
@@ -65,29 +69,17 @@ def _pack_sets(size: int, percent: int, buckets: int):
     def flush(batch: int, ids: list, null: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], dtype=np.int64)
         keys = np.array([[d & 0xFFFFFFFFFFFFFFFF, d >> 64] for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2)
-        need = prefix_length(n, percent)
-        mine = [s[(s >> np.uint64(5) & np.uint64(3)) == 0] for s in sets]
-        n_mine = np.array([len(s) for s in mine], dtype=np.int64)
-        rest = [s[(s >> np.uint64(5) & np.uint64(3)) != 0][: max(0, k)] for s, k in zip(sets, need - n_mine, strict=True)]
-        token = np.concatenate(mine)
-        doc = np.repeat(np.arange(len(sets)), n_mine)
-        order = np.argsort(token, kind="stable")
-        token, doc = token[order], doc[order]
+        # sorted by token, which is by bucket as well
+        key = np.sort((np.concatenate(sets) >> np.uint64(64 - BITS)) << _DOC | np.repeat(np.arange(len(sets), dtype=np.uint64), n))
+        token, doc = key >> _DOC, (key & np.uint64((1 << 16) - 1)).astype(np.uint16)
         at = runs(token)
-        count, token = np.diff(np.r_[at, len(doc)]), token[at]
-        hot = count * 16 > max(len(sets), 64)  # the documents of these stay with the batch
-        hot_docs = np.repeat(hot, count)
-        block = pack(np.array(ids, dtype=np.int64), np.array(null, dtype=np.uint8), n, keys[:, 0].copy(), keys[:, 1].copy(), n_mine, narrow(np.array([len(r) for r in rest], dtype=np.int64)), np.concatenate(rest), token[hot], narrow(count[hot]), narrow(doc[hot_docs]))
-        rows = [(-batch - 1, batch, True, block)]
-        bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        starts = np.r_[0, np.cumsum(count)]
-        cut = runs(bucket[by])
-        for i, j in zip(cut, np.r_[cut[1:], len(by)], strict=True):
-            b = by[i:j]
-            listed = b[~hot[b]]
-            pick = np.repeat(starts[listed] - np.r_[0, np.cumsum(count[listed])[:-1]], count[listed]) + np.arange(count[listed].sum()) if len(listed) else np.zeros(0, dtype=np.int64)
-            rows.append((int(bucket[b[0]]), batch, False, pack(token[b], narrow(count[b]), hot[b].astype(np.uint8), narrow(doc[pick]))))
+        count, token = narrow(np.diff(np.r_[at, len(doc)])), token[at]
+        of = np.bincount((token * np.uint64(buckets) >> np.uint64(BITS)).astype(np.int64), minlength=buckets)
+        rows = [(-batch - 1, batch, True, pack(np.array(ids, dtype=np.int64), np.array(null, dtype=np.uint8), n, keys[:, 0].copy(), keys[:, 1].copy(), narrow(of), count, doc))]
+        ends = np.cumsum(of)
+        for b in np.flatnonzero(of).tolist():
+            i, j = ends[b] - of[b], ends[b]
+            rows.append((b, batch, False, pack(planes(token[i:j]), count[i:j])))
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,57 +100,60 @@ def _pack_sets(size: int, percent: int, buckets: int):
     return run
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """A document frequency as one byte, rising with it; 0 for 1."""
+    return np.minimum(df - 1, 15 + np.rint(16 * np.log2(np.maximum(df, 16) / 16)).clip(0, 240)).astype(np.uint8)
+
+
 def _frequencies(table: pa.Table) -> pa.Table:
-    """For one bucket: the document frequency of each token, back to the batches that have it, if it is 2 or more."""
+    """For one bucket: how frequent each token is, back to the batches that have it, with the tokens of 2 or more."""
     if table.column("head")[0].as_py():
         return table.select(["key", "batch", "head", "block"])
+    bucket = np.array([table.column("key")[0].as_py()], dtype=np.int64)
     parts = [unpack(b) for b in table.column("block").to_pylist()]
-    token, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    df = np.bincount(where, weights=np.concatenate([p[1] for p in parts]).astype(np.float64)).astype(np.int64)
+    tokens = [from_planes(p[0]) for p in parts]
+    distinct, where = np.unique(np.concatenate(tokens), return_inverse=True)
+    rare = rarity(np.bincount(where, weights=np.concatenate([p[1] for p in parts]).astype(np.float64), minlength=len(distinct)))[where]
     rows, at = [], 0
-    for batch, (tokens, count, hot, docs) in zip(table.column("batch").to_pylist(), parts, strict=True):
-        mine = df[where[at : at + len(tokens)]]
-        at += len(tokens)
-        keep = mine > 1
-        listed = np.repeat(keep[hot == 0], count[hot == 0].astype(np.int64))
-        if keep.any():
-            rows.append((-batch - 1, batch, False, pack(tokens[keep], narrow(mine[keep]), narrow(np.where(hot, 0, count)[keep]), docs[listed])))
+    for batch, token in zip(table.column("batch").to_pylist(), tokens, strict=True):
+        mine = rare[at : at + len(token)]
+        at += len(token)
+        if mine.any():
+            rows.append((-batch - 1, batch, False, pack(bucket, mine, planes(token[mine > 0]))))
     return pa.Table.from_batches([_rows(rows)]) if rows else table.select(["key", "batch", "head", "block"]).slice(0, 0)
 
 
 def _prefixes(percent: int):
+    """For one batch of documents: the first tokens of each in the first order that other documents have as well."""
+
     def run(table: pa.Table) -> pa.Table:
-        head, tokens, dfs, docs = None, [], [], []
-        hot: dict[int, int] = {}
-        for is_head, block in zip(table.column("head").to_pylist(), table.column("block").to_pylist(), strict=True):
-            if is_head:
-                head = unpack(block)
-                continue
-            token, df, count, doc = unpack(block)
-            count = count.astype(np.int64)
-            tokens.append(np.repeat(token, count))
-            dfs.append(np.repeat(df.astype(np.int64), count))
-            docs.append(doc.astype(np.int64))
-            hot |= dict(zip(token[count == 0].tolist(), df[count == 0].tolist(), strict=True))
-        ids, null, n, k1, k2, n_mine, n_rest, rest, hot_token, hot_count, hot_doc = head
-        if len(hot_token):
-            tokens.append(np.repeat(hot_token, hot_count))
-            dfs.append(np.repeat(np.array([hot.get(t, 1) for t in hot_token.tolist()], dtype=np.int64), hot_count))
-            docs.append(hot_doc.astype(np.int64))
-        token, df, doc = (np.concatenate(x) if x else np.zeros(0, dtype=k) for x, k in ((tokens, np.uint64), (dfs, np.int64), (docs, np.int64)))
-        # several documents: the batch's own tokens first by frequency, then by hash; then the other tokens by hash
-        order = np.lexsort((token, df, doc))
-        token, doc = token[order], doc[order]
-        shared = np.bincount(doc, minlength=len(n))
-        place = (n_mine - shared)[doc] + np.arange(len(doc)) - np.r_[0, np.cumsum(shared)[:-1]][doc]
-        keep = place < prefix_length(n, percent)[doc]
-        r_doc = np.repeat(np.arange(len(n)), n_rest)
-        r_place = n_mine[r_doc] + np.arange(len(r_doc)) - np.r_[0, np.cumsum(n_rest.astype(np.int64))[:-1]][r_doc]
-        token, doc, place = np.r_[token[keep], rest], np.r_[doc[keep], r_doc], np.r_[place[keep], r_place]
-        order = np.argsort(doc, kind="stable")
-        ends = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(n)))].astype(np.int32)
-        lists = lambda a, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(a[order].view(kind) if a.dtype == np.uint64 else a[order].astype(kind)))
-        return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64), "tokens": lists(token, np.int64), "places": lists(place, np.int32)})
+        blocks = table.column("block").to_pylist()
+        heads = table.column("head").to_pylist()
+        ids, null, n, k1, k2, of, count, doc = unpack(blocks[heads.index(True)])
+        token, rare = np.zeros(len(count), dtype=np.uint64), np.zeros(len(count), dtype=np.uint8)
+        starts = np.r_[0, np.cumsum(of.astype(np.int64))]
+        for is_head, block in zip(heads, blocks, strict=True):
+            if not is_head:
+                (bucket,), mine, coded = unpack(block)
+                i, j = starts[bucket], starts[bucket + 1]
+                rare[i:j] = mine
+                token[i:j][mine > 0] = from_planes(coded)
+        shared = np.flatnonzero(rare)
+        key = np.repeat(rare[shared].astype(np.uint64) << np.uint64(BITS) | token[shared], count[shared])
+        key = np.sort(doc[np.repeat(rare > 0, count)].astype(np.uint64) << np.uint64(48) | key)
+        doc = (key >> np.uint64(48)).astype(np.int64)
+        have = np.bincount(doc, minlength=len(n))
+        first = np.zeros(len(key), dtype=np.int64)  # equal tokens of a document stand in one place
+        first[runs(key)] = runs(key)
+        place = (n - have)[doc] + np.maximum.accumulate(first) - np.r_[0, np.cumsum(have)[:-1]][doc]
+        keep = np.flatnonzero(place < prefix_length(n, percent)[doc])
+        keep = keep[np.isin(keep, runs(key))]
+        ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc[keep], minlength=len(n)))].astype(np.int32))
+        tokens = pa.array((key[keep] & np.uint64((1 << BITS) - 1)).astype(np.int64))
+        return pa.table({
+            "doc_id": pa.array(ids, mask=null.astype(bool)), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64),
+            "tokens": pa.ListArray.from_arrays(ends, tokens), "places": pa.ListArray.from_arrays(ends, pa.array(place[keep].astype(np.int32))),
+        })
 
     return run
 

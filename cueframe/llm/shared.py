@@ -108,6 +108,20 @@ def narrow(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def planes(rising: np.ndarray) -> np.ndarray:
+    """Rising whole numbers as steps, byte by byte: their high bytes are mostly zero and compress well."""
+    steps = np.diff(rising.astype(np.uint64), prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return np.r_[np.uint8(width), steps.view(np.uint8).reshape(-1, 8)[:, :width].T.ravel()]
+
+
+def from_planes(coded: np.ndarray) -> np.ndarray:
+    width = int(coded[0])
+    steps = np.zeros(((len(coded) - 1) // width, 8), dtype=np.uint8)
+    steps[:, :width] = coded[1:].reshape(width, -1).T
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     if not len(sorted_values):
