@@ -9,9 +9,10 @@ under any global order of the tokens. A pair must pass this filter under all of
 2. and 3. Two orders by different hashes.
 
 Links are wanted for their components, so links inside a component need no second proof. Documents with equal sets are
-one class. Each class is first tried against the class with the smallest id that it shares most filter tokens with;
-then all pairs that pass the filters and whose classes are not yet in one component are verified. No pair of different
-components is left out, and no group is expanded into all its pairs.
+one class. Each class is first tried against one other: every token leads to the class that has the fewest rarer tokens
+than it, and a class tries the one that most of its tokens lead to. Then all pairs that pass the filters and whose
+classes are not yet in one component are verified. No pair of different components is left out, and no group is expanded
+into all its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Memo
@@ -145,13 +146,13 @@ def _prefixes(percent: int):
         have = np.bincount(doc, minlength=len(n))
         first = np.zeros(len(key), dtype=np.int64)  # equal tokens of a document stand in one place
         first[runs(key)] = runs(key)
-        place = (n - have)[doc] + np.maximum.accumulate(first) - np.r_[0, np.cumsum(have)[:-1]][doc]
-        keep = np.flatnonzero(place < prefix_length(n, percent)[doc])
+        place = np.maximum.accumulate(first) - np.r_[0, np.cumsum(have)[:-1]][doc]  # among those that others have
+        keep = np.flatnonzero((n - have)[doc] + place < prefix_length(n, percent)[doc])
         keep = keep[np.isin(keep, runs(key))]
         ends = pa.array(np.r_[0, np.cumsum(np.bincount(doc[keep], minlength=len(n)))].astype(np.int32))
         tokens = pa.array((key[keep] & np.uint64((1 << BITS) - 1)).astype(np.int64))
         return pa.table({
-            "doc_id": pa.array(ids, mask=null.astype(bool)), "n": n, "k1": k1.view(np.int64), "k2": k2.view(np.int64),
+            "doc_id": pa.array(ids, mask=null.astype(bool)), "n": n, "m": have, "k1": k1.view(np.int64), "k2": k2.view(np.int64),
             "tokens": pa.ListArray.from_arrays(ends, tokens), "places": pa.ListArray.from_arrays(ends, pa.array(place[keep].astype(np.int32))),
         })
 
@@ -180,6 +181,12 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
+def _room(n: str, m: str, place: str, n_b: str, m_b: str, place_b: str, percent: int) -> Column:
+    """Whether two sets can have enough in common: of n tokens, m are in other documents too, and a common one stands at
+    `place` of these. Those before it can only meet those before it, and tokens that no other document has meet none."""
+    return F.expr(f"least({place}, {place_b}) + least({m} - {place}, {m_b} - {place_b}) >= {percent} * ({n} + {n_b}) / {100 + percent}")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that pass the second and third order and then the exact test."""
 
@@ -217,19 +224,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = docs.mapInArrow(_pack_sets(size, percent, buckets_of(spark)), _PACKED)
     counted = packed.groupBy("key").applyInArrow(_frequencies, _PACKED)
-    listed = counted.groupBy("key").applyInArrow(_prefixes(percent), "doc_id long, n long, k1 long, k2 long, tokens array<long>, places array<int>")
+    listed = counted.groupBy("key").applyInArrow(_prefixes(percent), "doc_id long, n long, m long, k1 long, k2 long, tokens array<long>, places array<int>")
     listed = materialise(listed, "prefixes")
 
     classes = listed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
     classes = materialise(classes, "classes")
     heads = listed.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), "doc_id").where("k1 = c1 and k2 = c2")
-    index = heads.select("doc_id", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("doc_id").alias("d"), "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
+    index = heads.select("doc_id", "n", "m", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("doc_id").alias("d"), "n", "m", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
     index = index.distinct()
-    leaders = index.groupBy("token").agg(F.min("d").alias("leader"), F.max("d").alias("last"), F.min_by("n", "d").alias("leader_n")).where("leader < last")
-    index = materialise(index.join(leaders.select("token", "leader", "leader_n"), "token"), "index")
+    # a token leads to the document that has the fewest rarer ones, of a group of edited copies to the original
+    leaders = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m") + F.col("place")).alias("rank"), "d", "n", "m", "place")).alias("lead"), F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    leaders = leaders.select("token", F.col("lead.d").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.m").alias("leader_m"), F.col("lead.place").alias("leader_place"))
+    index = materialise(index.join(leaders, "token"), "index")
 
     # first round: one candidate for each class
-    close = F.expr(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
+    close = _room("n", "m", "place", "leader_n", "leader_m", "leader_place", percent)
     votes = index.where("d <> leader").where(close).groupBy("d", "leader").agg(F.count("*").alias("votes"))
     first = votes.groupBy(F.col("d").alias("b")).agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a"))
     first = materialise(first.select("a", "b"), "pairs")
@@ -240,12 +249,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 
     # second round: pairs of different components
     label = components(links)
-    labelled = index.select("token", "d", "n", "place").join(label.withColumnRenamed("id", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+    labelled = index.select("token", "d", "n", "m", "place").join(label.withColumnRenamed("id", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
     mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     labelled = materialise(labelled.join(mixed, "token"), "labelled")
-    other = labelled.select("token", *(F.col(x).alias(f"{x}_b") for x in ("d", "n", "place", "c")))
-    room = f"least(place, place_b) + least(n - place, n_b - place_b) >= {percent} * (n + n_b) / {100 + percent}"
-    pairs = labelled.join(other, "token").where("c < c_b").where(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)").where(room)
+    other = labelled.select("token", *(F.col(x).alias(f"{x}_b") for x in ("d", "n", "m", "place", "c")))
+    pairs = labelled.join(other, "token").where("c < c_b").where(_room("n", "m", "place", "n_b", "m_b", "place_b", percent))
     pairs = pairs.select(F.least("d", "d_b").alias("a"), F.greatest("d", "d_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = materialise(_verified(pairs, sets, percent), "links")
 
