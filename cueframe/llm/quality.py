@@ -1,6 +1,6 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, Gumbel top-k sampling.
 
-Unigrams and bigrams are hashed into a fixed number of features. The raw model counts them over all documents, the
+Unigrams and bigrams of words and signs are hashed into a fixed number of features. The raw model counts them over all documents, the
 target model over labelled good ones (a bounded sample of the labels, by hash; half of it, the other half calibrates).
 A feature's log ratio counts only where its target count differs from the expected one by several standard errors. A
 document's log weight is that of its least likely window of words, so that one bad passage is not drowned by a long
@@ -13,6 +13,7 @@ hash of the id, so a run can be repeated; k-th largest keys are found by countin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .jaccard import _WORD_HASH, mix
+from .bpe import Memo
+from .jaccard import mix
 from .shared import materialise, narrow, pack, unpack, words
 
 FEATURES, CHUNKS = 1 << 20, 16
@@ -31,11 +33,17 @@ WINDOW, GATE, PRIOR = 32, 3.0, 0.5
 KEEP, TEMPERATURE, SEED = 0.995, 0.1, 11
 
 
+_PARTS = re.compile(r"\w+|\W+")
+_PART_HASHES = Memo(lambda w: b"".join(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for p in _PARTS.findall(w)))
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the words and of the word pairs."""
-    w = words(text)
-    h = np.fromiter(map(_WORD_HASH.__getitem__, w), dtype=np.uint64, count=len(w))
-    pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+    """Features of the tokens, which are runs of letters and digits or of other signs, and of the pairs of neighbours.
+
+    All pairs of equal tokens are one feature: repetition is a trait of a text, whatever is repeated.
+    """
+    h = np.frombuffer(b"".join(map(_PART_HASHES.__getitem__, words(text))), dtype=np.uint64)
+    pairs = np.where(h[:-1] == h[1:], np.uint64(1), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]))
     low = np.uint64(FEATURES - 1)
     return (h & low).astype(np.int64), (pairs & low).astype(np.int64)
 
