@@ -158,33 +158,37 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least: int = LEAST_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of docs and `matches`: the items that each row covers, array<struct<item_id, coverage, tiles>>.
-
-    seed: tokens in a run that must be shared before a pair is tiled; least: of the shortest tile; coverage: least share
-    of the item's tokens in tiles. An item shorter than these counts as a whole. Null or empty texts and items match
-    nothing; repeated rows give repeated results; an item_id with several texts has each of them compared. Columns of
-    docs may have any names but `matches`. An empty benchmark leaves every row clean.
-    """
+def _matched(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least: int = LEAST_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, matches): a struct of all columns, and the items that it covers, or null."""
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(T.ArrayType(T.IntegerType())))]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.list_(pa.int32())))]))
-    out = docs.withColumn("matches", F.lit(None).cast(kind))
+    out = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.lit(None).cast(kind).alias("matches"))
     for items in _blocks(benchmark, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(items)
         schema = out.schema
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, names=docs.columns) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             block = Benchmark(held.value, seed)
             for record in batches:
-                texts = record.column(record.num_columns - 1).to_pylist()
-                before = record.column(len(names)).to_pylist()
+                texts, before = record.column(2).to_pylist(), record.column(1).to_pylist()
                 found = [(b or []) + [{"item_id": i, "coverage": c, "tiles": [[*t] for t in ts]} for i, c, ts in _found(block, t, least, coverage)] for b, t in zip(before, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*record.columns[: len(names)], pa.array(found, arrow)], names=[*names, "matches"])
+                yield pa.RecordBatch.from_arrays([record.column(0), pa.array(found, arrow)], names=["row", "matches"])
 
-        out = out.select(*(f"`{c}`" for c in docs.columns), "matches", F.col("text").cast("string").alias("__text")).mapInArrow(run, schema)
+        out = out.select("row", "matches", F.col("row.text").cast("string").alias("text")).mapInArrow(run, schema)
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """All columns of docs and `matches`: the items that each row covers, array<struct<item_id, coverage, tiles>>.
+
+    Options: seed, tokens in a run that must be shared before a pair is tiled; least, of the shortest tile; coverage,
+    least share of the item's tokens in tiles; block_bytes. An item shorter than these counts as a whole. Null or empty
+    texts and items match nothing; repeated rows give repeated results; an item_id with several texts has each of them
+    compared. A column of docs named `matches` is replaced. An empty benchmark leaves every row clean.
+    """
+    return _matched(docs, benchmark, **options).select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "matches"), "matches")
+
+
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, n_items, item_ids array<long>, item_id of the best match, coverage, contaminated) for each row of docs."""
     found = contamination(docs.select("doc_id", "text"), benchmark, **options)
@@ -196,4 +200,4 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) ->
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that cover no item."""
-    return contamination(docs, benchmark, **options).where("matches is null or size(matches) = 0").select(*(f"`{c}`" for c in docs.columns))
+    return _matched(docs, benchmark, **options).where("matches is null or size(matches) = 0").select("row.*")

@@ -129,19 +129,20 @@ def _ratio(docs: DataFrame, known: dict[int, tuple[bool, bool]]) -> np.ndarray:
     return np.where(sure, np.log((target + PRIOR) / (expected + PRIOR)), 0.0).astype(np.float32)
 
 
-def _scored(docs: DataFrame, ratio, columns: list[str], temperature: float, seed: int) -> DataFrame:
-    """The columns of docs, with log_weight and sample_key."""
+def _scored(docs: DataFrame, ratio, kept: str, temperature: float, seed: int) -> DataFrame:
+    """(kept, log_weight, sample_key): `kept` names a column, or is "row" for a struct of all columns."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             ids, texts = record.column(record.num_columns - 2).to_pylist(), record.column(record.num_columns - 1).to_pylist()
             weight = [log_weight(t, ratio.value) for t in texts]
             key = [w / temperature + gumbel(d, seed) for w, d in zip(weight, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([*record.columns[:-2], pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=[*columns, "log_weight", "sample_key"])
+            yield pa.RecordBatch.from_arrays([record.column(0), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=[kept, "log_weight", "sample_key"])
 
-    kept = [docs[f"`{c}`"] for c in columns]
-    schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
-    return docs.select(*kept, F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).mapInArrow(score, schema)
+    row = F.struct(*(f"`{c}`" for c in docs.columns)) if kept == "row" else F.col(kept)
+    given = docs.select(row.alias(kept), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([given.schema[kept], T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
+    return given.mapInArrow(score, schema)
 
 
 def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, float, object]:
@@ -155,7 +156,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     known = _labelled(labels, sample)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ratio = spark.sparkContext.broadcast(_ratio(plain, known))
-    scored = materialise(_scored(plain, ratio, ["doc_id"], temperature, seed), "scored")
+    scored = materialise(_scored(plain, ratio, "doc_id", temperature, seed), "scored")
     judged = spark.createDataFrame([(d,) for d, (good, later) in known.items() if good and later], "doc_id long")
     level = scored.join(F.broadcast(judged), "doc_id").select("log_weight").collect()
     if not level:
@@ -175,4 +176,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def quality_filter(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs, with all their columns, that quality_scores keeps."""
     _, least, ratio = importance_sample(docs, labels, temperature=temperature, seed=seed, **options)
-    return _scored(docs, ratio, docs.columns, temperature, seed).where(F.col("sample_key") >= F.lit(least)).select(*(f"`{c}`" for c in docs.columns))
+    return _scored(docs, ratio, "row", temperature, seed).where(F.col("sample_key") >= F.lit(least)).select("row.*")
