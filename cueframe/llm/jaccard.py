@@ -31,14 +31,14 @@ from .shared import buckets_of, components, from_planes, materialise, narrow, pa
 from .token_counts import _PACKED, _rows
 
 #: A task packs about so many shingles at once.
-PACK_SHINGLES = 3_000_000
+PACK_SHINGLES = 2_000_000
 #: So many document ids (8 bytes each) are broadcast at most; beyond, Spark shuffles the join.
 BROADCAST_IDS = 1_000_000
 #: Bits of a token by which it is counted and looked up; beside them, a batch's document takes 16.
 BITS = 40
 _DOC = np.uint64(16)
 _K = np.uint64(0x9E3779B97F4A7C15)
-_WORD_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), 400_000)
+_WORD_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:

@@ -21,7 +21,7 @@ from .bpe import Memo, encoder
 from .shared import Ids, buckets_of, hash_words, narrow, pack, runs, unpack
 
 #: A task packs about so many words at once.
-PACK_WORDS = 3_000_000
+PACK_WORDS = 2_000_000
 _PACKED = "key long, batch long, head boolean, block binary"
 
 
@@ -98,7 +98,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        known = Memo(lambda w: len(enc.word_ids(w)), 2_000_000)
+        known = Memo(lambda w: len(enc.word_ids(w)))
         for record in batches:
             rows = []
             for key, batch, head, block in zip(*(c.to_pylist() for c in record.columns), strict=True):
