@@ -182,9 +182,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _room(n: str, m: str, place: str, n_b: str, m_b: str, place_b: str, percent: int) -> Column:
-    """Whether two sets can have enough in common: of n tokens, m are in other documents too, and a common one stands at
-    `place` of these. Those before it can only meet those before it, and tokens that no other document has meet none."""
-    return F.expr(f"least({place}, {place_b}) + least({m} - {place}, {m_b} - {place_b}) >= {percent} * ({n} + {n_b}) / {100 + percent}")
+    """Whether two sets can have enough in common where they meet first: of n tokens, m are in other documents too, and
+    the common one stands at `place` of these. All pairs that link pass this at the first token that they share, as all
+    others that they share stand behind it in both."""
+    return F.expr(f"least({m} - {place}, {m_b} - {place_b}) >= {percent} * ({n} + {n_b}) / {100 + percent}")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
