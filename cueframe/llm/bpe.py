@@ -25,16 +25,21 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p
 
 
 class Memo(dict):
-    """A bounded memory of f; emptied when full, so that a worker's memory does not follow the corpus."""
+    """A bounded memory of f in two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves back, so frequent keys stay and a worker's memory does not follow the corpus. f never gives None."""
 
     def __init__(self, f, most: int = 100_000):
         super().__init__()
-        self.f, self.most = f, most
+        self.f, self.most, self.old = f, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.f(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.f(key)
+        self[key] = value
         return value
 
 
@@ -55,7 +60,7 @@ class Encoder:
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.inside = self._inside()
-        self.fragment = Memo(self._fragment, 200_000)
+        self.fragment = Memo(self._fragment, 125_000)
 
     def _inside(self) -> set[str]:
         """Pairs of byte characters that stand side by side inside some token."""
@@ -179,7 +184,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
             ids = enc.encode(chunk)
             return (" ".join(map(str, ids)), enc.decode(ids), len(ids)) if ids else ("", "", 0)
 
-        memo = enc.__dict__.setdefault("chunks", Memo(look, 200_000))
+        memo = enc.__dict__.setdefault("chunks", Memo(look, 125_000))
         sha = hashlib.sha256
         for batch in batches:
             n, left, right = [], [], []
