@@ -2,12 +2,18 @@
 
 Unigrams and bigrams of words and signs are hashed into a fixed number of features. The raw model counts them over all documents, the
 target model over labelled good ones (a bounded sample of the labels, by hash; half of it, the other half calibrates).
-A feature's log ratio counts only where its target count differs from the expected one by several standard errors. A
-document's log weight is that of its least likely window of words, so that one bad passage is not drowned by a long
-good rest.
+A feature's log ratio counts only where its target count differs from the expected one by several standard errors.
 
-k is the number of documents whose log weight reaches the level that all but a small share of the good calibration
-documents reach. The k documents with the largest weight / temperature + Gumbel noise are the sample. The noise is a
+A document is judged twice. `least_window` is the log weight of its least likely window of words, so that one bad passage
+is not drowned by a long good rest. `evidence` is for signs that stand far apart: ratios of the numbers of documents that
+have a feature, of which only negative ones count, are summed over the passage of any length where they fall furthest
+below a drift, which is twice their rate in good calibration documents. The lesser, on one scale, is the log weight.
+
+Both are least values over places, which fall with the logarithm of the number of places; the slope is read off the tail
+of the good calibration documents and the length is taken out, so one level holds for texts of any length. The level
+stands beyond the quantile KEEP of the good calibration documents by MARGIN times the distance to that of ten times as many.
+
+k is the number of documents whose log weight reaches the level. The k documents with the largest weight / temperature + Gumbel noise are the sample. The noise is a
 hash of the id, so a run can be repeated; k-th largest keys are found by counting, not by sorting in one place.
 """
 
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +37,8 @@ FEATURES, CHUNKS = 1 << 20, 16
 SAMPLE = 20_000
 WINDOW, GATE, PRIOR = 32, 3.0, 0.5
 KEEP, TEMPERATURE, SEED = 0.995, 0.1, 11
+#: Of a decade of the tail; and the evidence that no document is rejected without.
+MARGIN, STRENGTH = 0.5, 5.0
 
 
 _PARTS = re.compile(r"\w+|\W+")
@@ -48,15 +56,22 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return (h & low).astype(np.int64), (pairs & low).astype(np.int64)
 
 
-def log_weight(text: str | None, ratio: np.ndarray) -> float:
-    """Of the least likely window; 0 without words."""
-    one, two = grams(text)
+def least_window(one: np.ndarray, two: np.ndarray, ratio: np.ndarray) -> float:
+    """Log weight of the least likely window; 0 without words."""
     value = ratio[one].astype(np.float64)
     value[1:] += ratio[two]
     total = np.r_[0.0, np.cumsum(value)]
     return float((total[WINDOW:] - total[:-WINDOW]).min() if len(value) > WINDOW else total[-1])
 
 
+def evidence(one: np.ndarray, two: np.ndarray, against: np.ndarray, drift: float) -> float:
+    """The least sum of negative ratios, each token adding the drift, over any run of tokens; 0 without any."""
+    value = against[one].astype(np.float64) + drift
+    value[1:] += against[two]
+    total = np.r_[0.0, np.cumsum(value)]
+    return float((total - np.maximum.accumulate(total)).min())
+
+
 def gumbel(doc_id: int | None, seed: int) -> float:
     u = (xxhash.xxh3_64_intdigest(str(doc_id).encode(), seed=seed) + 0.5) / 2.0**64
     return float(-np.log(-np.log(u)))
@@ -82,10 +97,32 @@ def _kth_largest(values: DataFrame, column: str, k: int) -> float:
 
 
 class QualityModel:
-    """What a fit leaves: a ratio for each feature, of fixed size, and the sampling level."""
+    """What a fit leaves, of fixed size: a ratio for each feature by its counts, the negative ones by documents, the drift."""
+
+    def __init__(self, ratio: np.ndarray, against: np.ndarray, drift: float):
+        self.ratio, self.against, self.drift = ratio, against, drift
+
 
-    def __init__(self, ratio: np.ndarray, level: float):
-        self.ratio, self.level = ratio, level
+class Scale:
+    """Puts both scores on one scale on which `level` parts the texts; see the text above. tail: sorted columns of the
+    good calibration documents, (least_window, evidence, tokens); empty ones give least(both) and no level."""
+
+    def __init__(self, tail: tuple[list[float], list[float], list[int]], keep: float):
+        self.level, self.slopes, self.share, self.size = float("-inf"), (0.0, 0.0), 1.0, 1.0
+        if not tail[0]:
+            return
+        n, out = len(tail[0]), min(1.0, 1 - keep)
+        ends = [(x[int(n * out)], x[min(n - 1, int(n * min(0.5, 10 * out)))]) for x in tail[:2]]
+        ends = [(a, max(a, b)) for a, b in ends]
+        window, other = (min(-STRENGTH, a - MARGIN * (b - a)) for a, b in ends)
+        self.level, self.share = window, window / other
+        self.slopes = tuple((b - a) / np.log(10) for a, b in ends)
+        self.size = float(max(1, tail[2][n // 2]))
+
+    def log_weight(self) -> Column:
+        longer = F.log(F.greatest(F.lit(1.0), F.col("tokens") / F.lit(self.size)))
+        window, other = (F.col(c) + F.lit(float(s)) * longer for c, s in zip(("window", "evidence"), self.slopes, strict=True))
+        return F.least(window, other * F.lit(self.share))
 
 
 def _labelled(labels: DataFrame, sample: int) -> dict[int, tuple[bool, bool]]:
@@ -96,57 +133,82 @@ def _labelled(labels: DataFrame, sample: int) -> dict[int, tuple[bool, bool]]:
     return {r["doc_id"]: (r["q"] == 1 and r["t"] == 0, i % 2 == 1) for i, r in enumerate(rows)}
 
 
-def _ratio(docs: DataFrame, known: dict[int, tuple[bool, bool]]) -> np.ndarray:
-    fit = docs.sparkSession.sparkContext.broadcast({d for d, (good, later) in known.items() if good and not later})
+def _fit(docs: DataFrame, known: dict[int, tuple[bool, bool]]) -> QualityModel:
+    held = docs.sparkSession.sparkContext.broadcast({d: later for d, (good, later) in known.items() if good})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(FEATURES, dtype=np.int64), np.zeros(FEATURES, dtype=np.int64)
+        # counts in all, in target and in calibration documents, then numbers of documents in all and in target ones
+        found = [np.zeros(FEATURES, dtype=np.int64) for _ in range(5)]
+        docs_of = np.zeros(2, dtype=np.int64)
         for record in batches:
-            for start in range(0, record.num_rows, 1000):
-                part = record.slice(start, 1000)
-                found = [(d in fit.value, np.concatenate(grams(t))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                for into, features in ((raw, [f for _, f in found]), (target, [f for mine, f in found if mine])):
+            for start in range(0, record.num_rows, 500):
+                part = record.slice(start, 500)
+                rows = [(held.value.get(d), np.concatenate(grams(t))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                rows = [(later, f) for later, f in rows if len(f)]
+                target = [f for later, f in rows if later is False]
+                once = [np.unique(f) for _, f in rows]
+                docs_of += (len(rows), len(target))
+                groups = [f for _, f in rows], target, [f for later, f in rows if later], once, [u for u, (later, _) in zip(once, rows, strict=True) if later is False]
+                for into, features in zip(found, groups, strict=True):
                     if features:
                         into += np.bincount(np.concatenate(features), minlength=FEATURES)
         size = FEATURES // CHUNKS
-        blocks = [pack(narrow(raw[i : i + size]), narrow(target[i : i + size])) for i in range(0, FEATURES, size)] if raw.any() else []
+        starts = range(0, FEATURES, size) if found[0].any() else []
+        blocks = [pack(*(narrow(x[i : i + size]) for x in found), narrow(docs_of if i == 0 else docs_of * 0)) for i in starts]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["chunk", "block"])
 
     def add(table: pa.Table) -> pa.Table:
-        raw, target = 0, 0
+        total = [0] * 6
         for block in table.column("block").to_pylist():
-            a, b = unpack(block)
-            raw, target = raw + a.astype(np.int64), target + b.astype(np.int64)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "block": [pack(narrow(raw), narrow(target))]})
+            total = [a + b.astype(np.int64) for a, b in zip(total, unpack(block), strict=True)]
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "block": [pack(*map(narrow, total))]})
 
     kind = "chunk int, block binary"
     parts = {r["chunk"]: unpack(r["block"]) for r in docs.mapInArrow(count, kind).groupBy("chunk").applyInArrow(add, kind).collect()}
     if not parts:
-        return np.zeros(FEATURES, dtype=np.float32)
-    raw, target = (np.concatenate([parts[i][k] for i in range(CHUNKS)]).astype(np.float64) for k in (0, 1))
-    expected = raw * (target.sum() / raw.sum())
-    sure = np.abs(target - expected) >= GATE * np.sqrt(expected + 1)
-    return np.where(sure, np.log((target + PRIOR) / (expected + PRIOR)), 0.0).astype(np.float32)
+        return QualityModel(*(np.zeros(FEATURES, dtype=np.float32) for _ in range(2)), 0.0)
+    raw, target, later, raw_docs, target_docs = (np.concatenate([parts[i][k] for i in range(CHUNKS)]).astype(np.float64) for k in range(5))
+    n, n_target = parts[0][5].astype(np.float64)
+
+    def log_ratio(all_of: np.ndarray, of_target: np.ndarray, share: float) -> np.ndarray:
+        expected = all_of * share
+        sure = np.abs(of_target - expected) >= GATE * np.sqrt(expected + 1)
+        return np.where(sure, np.log((of_target + PRIOR) / (expected + PRIOR)), 0.0).astype(np.float32)
 
+    against = np.minimum(log_ratio(raw_docs, target_docs, n_target / n), 0)
+    against[1] = 0  # repetition has no place of its own, and a longer text has more of it
+    tokens = max(1.0, later.sum() / 2)  # each counts as itself and in a pair
+    return QualityModel(log_ratio(raw, target, target.sum() / raw.sum()), against, float(-2 * (against * later).sum() / tokens))
 
-def _scored(docs: DataFrame, ratio, kept: str, temperature: float, seed: int) -> DataFrame:
-    """(kept, log_weight, sample_key): `kept` names a column, or is "row" for a struct of all columns."""
+
+def _scored(docs: DataFrame, model, kept: str, seed: int) -> DataFrame:
+    """(kept, window, evidence, tokens, noise): `kept` names a column, or is "row" for a struct of all columns."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for record in batches:
-            ids, texts = record.column(record.num_columns - 2).to_pylist(), record.column(record.num_columns - 1).to_pylist()
-            weight = [log_weight(t, ratio.value) for t in texts]
-            key = [w / temperature + gumbel(d, seed) for w, d in zip(weight, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays([record.column(0), pa.array(weight, pa.float64()), pa.array(key, pa.float64())], names=[kept, "log_weight", "sample_key"])
+            ids, out = record.column(record.num_columns - 2).to_pylist(), []
+            for t in record.column(record.num_columns - 1).to_pylist():
+                one, two = grams(t)
+                out.append((least_window(one, two, m.ratio), evidence(one, two, m.against, m.drift), len(one)))
+            columns = [pa.array([x[k] for x in out], pa.int64() if k == 2 else pa.float64()) for k in range(3)]
+            noise = pa.array([gumbel(d, seed) for d in ids], pa.float64())
+            yield pa.RecordBatch.from_arrays([record.column(0), *columns, noise], names=[kept, "window", "evidence", "tokens", "noise"])
 
     row = F.struct(*(f"`{c}`" for c in docs.columns)) if kept == "row" else F.col(kept)
     given = docs.select(row.alias(kept), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([given.schema[kept], T.StructField("log_weight", T.DoubleType()), T.StructField("sample_key", T.DoubleType())])
-    return given.mapInArrow(score, schema)
+    doubles = [T.StructField(c, T.LongType() if c == "tokens" else T.DoubleType()) for c in ("window", "evidence", "tokens", "noise")]
+    return given.mapInArrow(score, T.StructType([given.schema[kept], *doubles]))
+
+
+def _keyed(scored: DataFrame, kept: str, scale: Scale, temperature: float) -> DataFrame:
+    """(kept, log_weight, sample_key)"""
+    weighed = scored.select(kept, scale.log_weight().alias("log_weight"), "noise")
+    return weighed.select(kept, "log_weight", (F.col("log_weight") / F.lit(temperature) + F.col("noise")).alias("sample_key"))
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, float, object]:
-    """((doc_id, log_weight, sample_key) of all documents, the least key that is in the sample, the broadcast ratios).
+def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, float, object, Scale]:
+    """((doc_id, log_weight, sample_key) of all documents, the least key that is in the sample, the broadcast model, the scale).
 
     sample: labelled rows used at most. keep: share of good calibration documents whose level counts as good enough.
     A null or empty text has log weight 0. Without usable labels all weights are 0 and all documents are in the sample.
@@ -155,25 +217,26 @@ def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     spark = docs.sparkSession
     known = _labelled(labels, sample)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ratio = spark.sparkContext.broadcast(_ratio(plain, known))
-    scored = materialise(_scored(plain, ratio, "doc_id", temperature, seed), "scored")
+    model = spark.sparkContext.broadcast(_fit(plain, known))
+    scored = materialise(_scored(plain, model, "doc_id", seed), "scored")
     judged = spark.createDataFrame([(d,) for d, (good, later) in known.items() if good and later], "doc_id long")
-    level = scored.join(F.broadcast(judged), "doc_id").select("log_weight").collect()
-    if not level:
-        return scored, float("-inf"), ratio
-    level = sorted(r[0] for r in level)[int(len(level) * (1 - keep))]
-    k = scored.where(F.col("log_weight") >= level).count()
-    return scored, _kth_largest(scored, "sample_key", k), ratio
+    good = scored.join(F.broadcast(judged), "doc_id").select("window", "evidence", "tokens").collect()
+    scale = Scale(tuple(sorted(r[k] for r in good) for k in range(3)), keep)
+    keyed = _keyed(scored, "doc_id", scale, temperature)
+    if not good:
+        return keyed, float("-inf"), model, scale
+    k = keyed.where(F.col("log_weight") >= scale.level).count()
+    return keyed, _kth_largest(keyed, "sample_key", k) if k else float("inf"), model, scale
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, log_weight, sample_key, kept) for each row of docs; see importance_sample. Further columns are not
     carried; a null doc_id is an id like others; an empty table gives an empty one."""
-    scored, least, _ = importance_sample(docs, labels, **options)
+    scored, least, _, _ = importance_sample(docs, labels, **options)
     return scored.withColumn("kept", F.col("sample_key") >= F.lit(least))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
     """The rows of docs, with all their columns, that quality_scores keeps."""
-    _, least, ratio = importance_sample(docs, labels, temperature=temperature, seed=seed, **options)
-    return _scored(docs, ratio, "row", temperature, seed).where(F.col("sample_key") >= F.lit(least)).select("row.*")
+    _, least, model, scale = importance_sample(docs, labels, temperature=temperature, seed=seed, **options)
+    return _keyed(_scored(docs, model, "row", seed), "row", scale, temperature).where(F.col("sample_key") >= F.lit(least)).select("row.*")

@@ -32,6 +32,32 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) >= 0.97 and np.mean(poor) <= 0.1
 
 
+def test_quality_rejects_scattered_insults_and_keeps_long_clean_texts(spark):
+    sf = SMALL.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs, r = docs.select("doc_id", "text"), random.Random(12)
+    insult = re.compile(r"\b(idiot|stupid|trash|scum|disgusting|loser|pathetic|moron|clown|worthless)\b", re.I)
+    good = {x.doc_id for x in labels.where("quality = 1 and coalesce(toxic, 0) = 0").collect()}
+    parts = [x.text.split() for x in docs.orderBy("doc_id").collect() if x.doc_id in good and not insult.search(x.text)]
+    made, spread = [], []
+    for i in range(24):
+        long = []
+        while len(long) < (5_000, 10_000, 20_000)[i % 3]:
+            long += r.choice(parts)
+        made.append((10_000_000 + i, " ".join(long)))
+        short = long[:600]
+        short[20::60] = r.choices(["idiot", "stupid", "trash", "scum", "disgusting"], k=len(short[20::60]))
+        spread.append((20_000_000 + i, " ".join(short)))
+    every = docs.union(spark.createDataFrame(made + spread, docs.schema))
+    kept = {x.doc_id: x.kept for x in quality_scores(every, labels).collect()}
+    labelled = every.join(labels.where("toxic = 1 and quality = 1"), "doc_id").select("doc_id", "text").collect()
+    toxic = [kept[x.doc_id] for x in labelled if insult.search(x.text)]
+    assert len(toxic) > 200 and np.mean(toxic) <= 0.005
+    assert not any(kept[i] for i, _ in spread)
+    assert np.mean([kept[i] for i, _ in made]) >= 0.95
+    assert np.mean([kept[i] for i in good]) >= 0.995
+
+
 def test_quality_filter_keeps_columns_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "a b", 2), (1, "a b", 3), (None, None, 4), (5, "", 5)], "doc_id long, text string, log_weight int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
