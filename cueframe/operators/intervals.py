@@ -217,3 +217,47 @@ def best_offset(left: DataFrame, right: DataFrame, reach_us: int, step_us: int,
     counted = votes.groupBy("key", "d").agg(F.count("*").alias("score"))
     best = counted.groupBy("key").agg(F.max(F.struct("score", (-F.col("d")).alias("m"))).alias("x"))
     return best.select("key", (-F.col("x.m") * frame_us).alias("offset_us"), F.col("x.score").alias("score"))
+
+
+def detect_offset(left: DataFrame, right: DataFrame, reach_us: int, step_us: int, frame_us: int) -> DataFrame:
+    """Per key of left, (key, offset_us, score, confidence) of the shift under which its rows fit right best.
+
+    A frame under a row scores 1 where right is active and -0.35 where it is silent, between right's first and last
+    active frame. Shifts of whole steps within reach are tried first, then those of single frames within a step of the
+    winner; the smallest shift wins ties, the first pass those of the passes. confidence: (best - upper median of the
+    first pass) / its spread, within 0 and 1. A key without any active frame has offset, score and confidence 0. As in
+    the reference, rows out of reach of the active span leave all shifts at 0, and the smallest is taken, at confidence 0.
+    """
+    reach, step = reach_us // frame_us, step_us // frame_us
+    wide = reach + step
+    frame = lambda c: F.floor(c / frame_us)
+    active = positive(right).select("key", F.explode(F.sequence(frame(F.col("start_us")), frame(F.col("end_us") - 1))).alias("b")).distinct()
+    medium = active.groupBy("key").agg(F.min("b").alias("lo"), (F.max("b") + 1).alias("hi"))
+    whole = lambda c: F.bround(F.col(c) / frame_us, 0).cast("long")
+    spans = positive(left).select("key", whole("start_us").alias("s"), whole("end_us").alias("e")).where("e > s")
+    spans = spans.groupBy("key", "s", "e").agg(F.count("*").alias("w"))
+
+    a = spans.select("key", "w", F.explode(F.sequence(F.col("s"), F.col("e") - 1)).alias("a")).groupBy("key", "a").agg(F.sum("w").alias("w"))
+    a = a.withColumn("bin", F.explode(F.sequence(F.floor(F.col("a") / wide) - 1, F.floor(F.col("a") / wide) + 1)))
+    met = a.join(active.withColumn("bin", F.floor(F.col("b") / wide)), ["key", "bin"]).select("key", (F.col("b") - F.col("a")).alias("d"), "w")
+    votes = met.where(F.abs("d") <= wide).groupBy("key", "d").agg(F.sum("w").alias("votes"))
+
+    def scored(shifts: DataFrame) -> DataFrame:
+        within = F.greatest(F.lit(0), F.least(F.col("e") + F.col("d"), F.col("hi")) - F.greatest(F.col("s") + F.col("d"), F.col("lo")))
+        inside = shifts.join(spans, "key").join(medium, "key").groupBy("key", "d").agg(F.sum(F.col("w") * within).alias("inside"))
+        both = shifts.join(votes, ["key", "d"], "left").join(inside, ["key", "d"], "left")
+        # hundredths, so that equal scores are equal
+        return both.select("key", "d", (135 * F.coalesce("votes", F.lit(0)) - 35 * F.coalesce("inside", F.lit(0))).alias("score"))
+
+    top = F.max(F.struct("score", (-F.col("d")).alias("m")))
+    first = scored(medium.select("key", F.explode(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long"), F.lit(step).cast("long"))).alias("d")))
+    # one value for each step within reach, a number that the arguments fix
+    first = first.groupBy("key").agg(top.alias("x"), F.sort_array(F.collect_list("score")).alias("all"))
+    second = scored(first.select("key", F.explode(F.sequence(-F.col("x.m") - step, -F.col("x.m") + step)).alias("d"))).groupBy("key").agg(top.alias("y"))
+    best = first.join(second, "key").withColumn("best", F.when(F.col("y.score") > F.col("x.score"), F.col("y")).otherwise(F.col("x")))
+    n = F.size("all")
+    median, spread = F.element_at("all", F.floor(n / 2).cast("int") + 1), F.greatest(F.lit(1e-7), F.element_at("all", -1) - F.element_at("all", 1))
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("best.score") - median) / spread))
+    best = best.select("key", (-F.col("best.m") * frame_us).alias("offset_us"), (F.col("best.score") / 100).alias("score"), sure.alias("confidence"))
+    found = left.select("key").distinct().join(best, "key", "left")
+    return found.select("key", F.coalesce("offset_us", F.lit(0)).alias("offset_us"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -677,6 +677,13 @@ def srt8_best_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.best_offset(iv.where("kind = 'click'"), iv.where("kind = 'view'"), 20 * HOUR, 2 * HOUR, HOUR)
 
 
+@query()
+def srt8_detected_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # both passes of the search, of which the SQL of srt8_best_offset has the first without silence; the tests hold it to brute force
+    iv = tables.intervals(spark, sf_dir)
+    return ops.detect_offset(iv.where("kind = 'click'"), iv.where("kind = 'view'"), 20 * HOUR, 2 * HOUR, HOUR)
+
+
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def srt10_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).select("event_id", "event_type")

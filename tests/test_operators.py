@@ -76,3 +76,36 @@ def test_two_points():
 def test_empty_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert intervals.unite(empty).count() == folds.without_overlap(empty).count() == intervals.subtract(empty, empty).count() == 0
+
+
+def plain_offset(rows, spans, reach, step):
+    on = {f for s, e in spans for f in range(s, e)}
+    if not on:
+        return 0, 0.0, 0.0
+    lo, hi = min(on), max(on) + 1
+    score = lambda d: sum(100 if f in on else -35 for s, e in rows for f in range(max(s + d, lo), min(e + d, hi)))
+    coarse = [(score(d), -d) for d in range(-reach, reach + 1, step)]
+    best = max(coarse)
+    fine = max((score(d), -d) for d in range(-best[1] - step, -best[1] + step + 1))
+    best = fine if fine[0] > best[0] else best
+    values = sorted(s for s, _ in coarse)
+    return -best[1], best[0] / 100, min(1.0, max(0.0, (best[0] - values[len(values) // 2]) / max(1e-7, values[-1] - values[0])))
+
+
+def test_offsets_in_two_passes(spark):
+    r, left, right, wanted = random.Random(5), [], [], {}
+    for k in range(14):
+        spans, at = [], 0
+        for _ in range(0 if k == 3 else 12):
+            at += r.randrange(2, 15)
+            spans.append((at, at := at + r.randrange(1, 9)))
+        shift = (7, -5, 3, 0, 11, -13)[k % 6]  # no whole number of steps
+        rows = [(s - shift, e - shift) for s, e in spans] or [(4, 9)]
+        if k == 4:
+            rows = [(9_000, 9_010)]
+        wanted[k] = plain_offset(rows + rows[:1], spans, 20, 4)
+        left += [(k, i, s * 10, e * 10) for i, (s, e) in enumerate(rows + rows[:1])] + [(k, 99, 50, 50)]
+        right += [(k, i, s * 10, e * 10) for i, (s, e) in enumerate(spans)]
+    found = intervals.detect_offset(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), 200, 40, 10).collect()
+    assert {x.key: (x.offset_us // 10, x.score, pytest.approx(x.confidence)) for x in found} == wanted
+    assert wanted[0][0] == 7 and wanted[1][0] == -5 and wanted[3] == (0, 0.0, 0.0)
