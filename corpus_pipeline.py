@@ -23,9 +23,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows without doc_id stay."""
-    found = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicate texts: the one with the smallest doc_id, of rows without one only where no
+    other has any. Texts are told apart by their own hash, so doc_ids may repeat or be null. Texts without words stay."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 63) - 1)))
+    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    found = materialise(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "components")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    texts = keyed.groupBy("_key").agg(F.min(order).alias("first"), F.count("*").alias("n")).join(found, "_key")
+    heads = texts.groupBy("component_id").agg(F.min(F.struct("first", "_key"))["_key"].alias("head"))
+    judged = materialise(texts.join(heads, "component_id").select("_key", "n", (F.col("_key") == F.col("head")).alias("stays")), "judged")
+    once = keyed.join(judged.where("not stays or n > 1").select("_key"), "_key", "left_anti").select(*docs.columns)
+    copies = keyed.join(judged.where("stays and n > 1").select("_key"), "_key").select("_key", order.alias("order"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
+    return once.union(copies.groupBy("_key").agg(F.min_by("row", "order").alias("row")).select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,14 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(4)]
+    near = texts[0] + " tail"
+    rows = [(1, texts[0], "a"), (2, near, "b"), (2, texts[1], "c"), (3, texts[2], "d"), (3, texts[2], "e"), (None, texts[2], "f"), (None, texts[3], "g"), (None, texts[3], "h"), (None, near, "i"), (5, "", "j"), (None, None, "k"), (5, "", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    found = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert found.dtypes == docs.dtypes
+    kept = sorted((x.doc_id or 0, x.text or "") for x in found.collect())
+    assert kept == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2]), (0, texts[3]), (5, ""), (5, ""), (0, "")])
