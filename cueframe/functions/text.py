@@ -80,11 +80,11 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 def sound_key(name: Column | str) -> Column:
     """A romanized name without vowels, with like consonants as one: names with equal keys may sound the same."""
-    t = F.regexp_replace(F.lower(_col(name)), "[^a-z]", "")
-    t = F.translate(t, "gdbrjv", "ktplzf")
-    t = F.translate(t, "f", "p")
-    t = F.regexp_replace(t, "(?<=.)h", "")
+    t = F.regexp_replace(F.lower(_col(name)), "[^\\p{L}]", "")
+    t = F.replace(F.replace(t, F.lit("ch"), F.lit("j")), F.lit("sh"), F.lit("s"))
+    t = F.translate(t, "gdbrzf", "ktpljp")
     t = F.regexp_replace(t, "[aeiouwy]", "")
+    t = F.regexp_replace(t, "(?<=.)h", "")  # behind vowels alone an h stays
     return F.regexp_replace(t, r"(.)\1+", "$1")
 
 

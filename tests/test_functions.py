@@ -66,3 +66,7 @@ def test_vectors(spark):
     found = [r[0] for r in df.select(maths.cosine("a", "b")).collect()]
     assert found[0] == pytest.approx(2**-0.5) and found[1:] == [None, None]
     assert spark.range(1).select(maths.resample(F.array(F.lit(0.0), F.lit(10.0)), 3)).first()[0] == [0.0, 5.0, 10.0]
+
+
+def test_sound_keys_of_names_with_h(spark):
+    assert values(spark, ["Ahmad", "Chen", "Shin", "Johan", "Zoe", "Vahid", "Hahn"], text.sound_key("x")) == ["hmt", "jn", "sn", "jn", "j", "vt", "hn"]
