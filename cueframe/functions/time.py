@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CODE = r"^\s*(-)?(?:(?:(\d+):)?(\d{1,2}):)?(\d{1,2})(?:[.,](\d{1,3}))?\s*$"
+_CODE = r"^\s*(-)?(?:(?:(\d+):)?(\d{1,2}):)?(\d{1,2})(?:[,.:](\d{1,3}))?\s*$"
 
 
 def parse_timecode(text: Column | str) -> Column:
-    """[-][[h:]m:]s[.fff] as microseconds; null where it is none. Seconds may exceed 59 only where they stand alone."""
+    """[-][[h:]m:]s[.fff] as microseconds (the fraction behind a point, comma or colon); null where it is none. Minutes and
+    seconds may exceed 59 only where seconds stand alone."""
     t = F.col(text) if isinstance(text, str) else text
 
     def part(k: int) -> Column:
@@ -21,7 +22,7 @@ def parse_timecode(text: Column | str) -> Column:
     h, m, s = number(part(2)), number(part(3)), number(part(4))
     ms = number(F.when(part(5) == "", F.lit("")).otherwise(F.rpad(part(5), 3, "0")))
     total = ((h * 60 + m) * 60 + s) * 1_000_000 + ms * 1000
-    good = t.rlike(_CODE) & ((part(3) == "") | (s < 60)) & ((part(2) == "") | (m < 60))
+    good = t.rlike(_CODE) & ((part(3) == "") | (s < 60) & (m < 60))
     return F.when(good, F.when(part(1) == "-", -total).otherwise(total))
 
 
