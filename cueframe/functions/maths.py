@@ -1,4 +1,4 @@
-"""Numbers: exact medians and percentiles by rank, vectors, levels."""
+"""Numbers: vectors, levels, ramps. Medians and percentiles, which need more than an expression, are in operators.ranks."""
 
 from __future__ import annotations
 
@@ -6,21 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def upper_median(values: Column | str) -> Column:
-    """The upper median of a group: sorted[n / 2], counted from 0. An aggregate; null for an empty group."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.when(F.size(ordered) > 0, F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1))
-
-
-def pick_percentile(values: Column | str, share: float, rule: str = "truncate") -> Column:
-    """An element of the sorted group, never interpolated. rule: truncate (n * share), round (share * (n - 1), half to
-    even). An aggregate; null for an empty group."""
-    ordered = F.sort_array(F.collect_list(values))
-    n = F.size(ordered)
-    at = F.floor(n * F.lit(share)) if rule == "truncate" else F.bround(F.lit(share) * (n - 1), 0)
-    return F.when(n > 0, F.element_at(ordered, F.least(at.cast("int") + 1, n)))
-
-
 def dot(a: Column | str, b: Column | str) -> Column:
     """In double precision; null where the lengths differ."""
     a, b = (F.transform(x, lambda v: v.cast("double")) for x in (a, b))

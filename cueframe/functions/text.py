@@ -5,16 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: letters of each script, as ranges of code points.
+#: Fixed: the scripts, each as the ranges of code points whose letters belong to it.
 SCRIPTS = {
-    "Latin": "A-Za-z\\u00C0-\\u024F", "Greek": "\\u0370-\\u03FF", "Cyrillic": "\\u0400-\\u052F", "Hebrew": "\\u0590-\\u05FF",
-    "Arabic": "\\u0600-\\u06FF\\u0750-\\u077F", "Devanagari": "\\u0900-\\u097F", "Thai": "\\u0E00-\\u0E7F",
-    "Hangul": "\\u1100-\\u11FF\\u3130-\\u318F\\uAC00-\\uD7AF", "Kana": "\\u3040-\\u30FF", "Han": "\\u3400-\\u4DBF\\u4E00-\\u9FFF",
+    "Latin": "\\u0000-\\u024F\\u1E00-\\u1EFF", "Greek": "\\u0370-\\u03FF\\u1F00-\\u1FFF", "Cyrillic": "\\u0400-\\u052F", "Armenian": "\\u0530-\\u058F",
+    "Hebrew": "\\u0590-\\u05FF", "Arabic": "\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF\\uFB50-\\uFDFF\\uFE70-\\uFEFF", "Devanagari": "\\u0900-\\u097F",
+    "Bengali": "\\u0980-\\u09FF", "Gurmukhi": "\\u0A00-\\u0A7F", "Gujarati": "\\u0A80-\\u0AFF", "Tamil": "\\u0B80-\\u0BFF", "Telugu": "\\u0C00-\\u0C7F",
+    "Kannada": "\\u0C80-\\u0CFF", "Malayalam": "\\u0D00-\\u0D7F", "Sinhala": "\\u0D80-\\u0DFF", "Thai": "\\u0E00-\\u0E7F", "Lao": "\\u0E80-\\u0EFF",
+    "Tibetan": "\\u0F00-\\u0FFF", "Myanmar": "\\u1000-\\u109F", "Georgian": "\\u10A0-\\u10FF", "Hangul": "\\u1100-\\u11FF\\u3130-\\u318F\\uAC00-\\uD7AF",
+    "Ethiopic": "\\u1200-\\u139F", "Khmer": "\\u1780-\\u17FF", "Kana": "\\u3040-\\u30FF\\u31F0-\\u31FF\\uFF66-\\uFF9F", "Han": "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF",
+}
+#: Fixed: the scripts that languages are written in; all others are written in Latin.
+LANGUAGE_SCRIPTS = {
+    "ko": ["Hangul", "Han"], "ja": ["Kana", "Han"], "zh": ["Han"], "yue": ["Han"], **dict.fromkeys("ru uk be bg mk kk ky tg mn ba tt".split(), ["Cyrillic"]), "sr": ["Cyrillic", "Latin"],
+    "el": ["Greek"], **dict.fromkeys("ar fa ur ps sd ug".split(), ["Arabic"]), "he": ["Hebrew"], "yi": ["Hebrew"], "th": ["Thai"], **dict.fromkeys("hi mr ne sa".split(), ["Devanagari"]),
+    "bn": ["Bengali"], "as": ["Bengali"], "pa": ["Gurmukhi"], "gu": ["Gujarati"], "ta": ["Tamil"], "te": ["Telugu"], "kn": ["Kannada"], "ml": ["Malayalam"], "si": ["Sinhala"],
+    "ka": ["Georgian"], "hy": ["Armenian"], "km": ["Khmer"], "lo": ["Lao"], "my": ["Myanmar"], "am": ["Ethiopic"], "bo": ["Tibetan"],
 }
 #: Fixed: what takes two columns on a screen.
-WIDE = "[\\u1100-\\u115F\\u2E80-\\u303E\\u3041-\\u33FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uA000-\\uA4CF\\uAC00-\\uD7A3\\uF900-\\uFAFF\\uFE30-\\uFE6F\\uFF00-\\uFF60\\uFFE0-\\uFFE6]"
-#: Fixed: characters a second that can be read, by language.
-READING_LIMIT = {"ko": 12, "zh": 9, "ja": 4}
+WIDE = "[\\u1100-\\u11FF\\u2E80-\\u9FFF\\uAC00-\\uD7A3\\uF900-\\uFAFF\\uFF00-\\uFF60\\u3130-\\u318F]"
+#: Fixed: characters a second that can be read, by language; other languages.
+READING_LIMIT, OTHER_LIMIT = {"en": 20, "ko": 12, "zh": 9, "yue": 9, "ja": 4}, 17
+#: Fixed: characters that count half in Japanese.
+HALF_WIDTH = "[\\u0000-\\u10FF\\uFF61-\\uFFDC\\uFFE8-\\uFFEE]"
+#: Fixed: marks that end a question.
+QUESTION_MARKS = "?？؟՞፧\u037E"
+STRONG_ENDS, SOFT_ENDS = ".!?…。！？", ",;:、，；："
 
 
 def _col(text: Column | str) -> Column:
@@ -31,19 +46,46 @@ def collapse(text: Column | str) -> Column:
 
 
 def strip_tags(text: Column | str) -> Column:
-    r"""Without <tags>, {override blocks} and the escapes \N, \n (a line break) and \h (a space)."""
-    plain = F.regexp_replace(_col(text), r"<[^>]*>|\{[^}]*\}", "")
+    r"""Without <tags>, {\\override blocks} and the escapes \N, \n (a line break) and \h (a space)."""
+    plain = F.regexp_replace(F.regexp_replace(_col(text), r"<[^>]*>", ""), r"\{\\[^}]*\}", "")
     return F.regexp_replace(F.regexp_replace(plain, r"\\[Nn]", "\n"), r"\\h", " ")
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+
+
+def for_reading(text: Column | str) -> Column:
+    """A cue's text as it is read: without tags and any {blocks}, lines kept; null counts as empty."""
+    bare = F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"\{[^}]*\}|</?[a-zA-Z][^>]*>", "")
+    return trimmed(F.replace(bare, F.lit("\r"), F.lit("")))
+
+
+def letters(text: Column | str) -> Column:
+    """How many letters and decimal digits."""
+    return F.length(F.regexp_replace(_col(text), r"[^\p{L}\p{Nd}]", ""))
+
+
+def word_count(text: Column | str) -> Column:
+    """How many words between white space have a letter."""
+    return F.size(F.filter(F.split(_col(text), r"(?U)\s+"), lambda w: w.rlike(r"\p{L}")))
+
+
 def spoken(text: Column | str) -> Column:
     """Whether a line has something said: no note sign, and letters outside [..] and (..)."""
     t = _col(text)
     return ~F.contains(t, F.lit("♪")) & F.regexp_replace(t, r"\[[^\]]*\]|\([^)]*\)", "").rlike(r"\p{L}")
 
 
+#: Fixed: endings of web addresses.
+DOMAINS = "com net org cc tv io me to co info xyz site online top vip live app club pro biz ws la in ru cn vn"
+
+
 def web_address(text: Column | str) -> Column:
-    return F.lower(_col(text)).rlike(r"https?://|www\.|[a-z0-9-]+\.(com|net|org|tv|info|ru|io)\b")
+    """Whether a text has a web address: www., a protocol, or three characters or more before a known ending."""
+    ends = DOMAINS.replace(" ", "|")
+    return F.lower(_col(text)).rlike(rf"\b(www\.|https?://)|\b[a-z0-9][a-z0-9-]{{2,}}\.({ends})\b")
 
 
 def columns_wide(text: Column | str) -> Column:
@@ -53,17 +95,17 @@ def columns_wide(text: Column | str) -> Column:
 
 
 def reading_chars(text: Column | str, language: str = "en") -> Column:
-    """Characters that are read: tags and white space at line ends do not count; in Japanese, half-width ones half."""
-    plain = F.regexp_replace(strip_tags(text), r"\s*\n\s*", " ")
-    n = F.length(F.trim(plain)).cast("double")
-    if language.lower().split("-")[0] == "ja":
-        half = F.length(F.regexp_replace(F.trim(plain), r"[^\x20-\x7E\x{FF61}-\x{FF9F}]", ""))
-        return n - half / 2
+    """Characters that are read: tags, line breaks and white space at line ends do not count; in Japanese, half-width
+    characters count half."""
+    plain = F.array_join(F.transform(F.split(F.replace(strip_tags(text), F.lit("\r"), F.lit("")), "\n"), trimmed), "")
+    n = F.length(plain).cast("double")
+    if (language or "").lower().startswith("ja"):
+        return n - (F.length(plain) - F.length(F.regexp_replace(plain, HALF_WIDTH, ""))) / 2
     return n
 
 
-def reading_limit(language: str) -> int:
-    return READING_LIMIT.get(language.lower().replace("_", "-").split("-")[0], 17 if language else 20)
+def reading_limit(language: str | None) -> int:
+    return READING_LIMIT.get((language or "").lower().replace("_", "-").split("-")[0], OTHER_LIMIT)
 
 
 def needed_us(text: Column | str, language: str = "en") -> Column:
@@ -78,62 +120,127 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+#: Fixed: letters that romanize the same sound, and those that do not count.
+SAME_SOUND = {"g": "k", "d": "t", "b": "p", "r": "l", "z": "j", "f": "p"}
+SILENT = "aeiouyw"
+
+
+def name_key(name: Column | str) -> Column:
+    """Letters only, in lower case."""
+    return F.regexp_replace(F.lower(_col(name)), "[^\\p{L}]", "")
+
+
 def sound_key(name: Column | str) -> Column:
     """A romanized name without vowels, with like consonants as one: names with equal keys may sound the same."""
-    t = F.regexp_replace(F.lower(_col(name)), "[^\\p{L}]", "")
-    t = F.replace(F.replace(t, F.lit("ch"), F.lit("j")), F.lit("sh"), F.lit("s"))
-    t = F.translate(t, "gdbrzf", "ktpljp")
-    t = F.regexp_replace(t, "[aeiouwy]", "")
+    t = F.replace(F.replace(name_key(name), F.lit("ch"), F.lit("j")), F.lit("sh"), F.lit("s"))
+    t = F.translate(t, "".join(SAME_SOUND), "".join(SAME_SOUND.values()))
+    t = F.regexp_replace(t, f"[{SILENT}]", "")
     t = F.regexp_replace(t, "(?<=.)h", "")  # behind vowels alone an h stays
     return F.regexp_replace(t, r"(.)\1+", "$1")
 
 
-def nearly_same(a: Column | str, b: Column | str, least: float = 0.75) -> Column:
-    """Different spellings that look alike: keys of at least 4 characters, similar and of one first letter."""
-    x, y = letters_key(a), letters_key(b)
-    return (x != y) & (F.least(F.length(x), F.length(y)) >= 4) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)) & (similarity(x, y) >= least)
+def nearly_same(a: Column | str, b: Column | str) -> Column:
+    """Two spellings of one name: equal letters, or at most one different (two in keys of 10 letters or more), where both
+    keys have at least 5 letters, the names have as many words, and names of several words begin with the same one."""
+    x, y = name_key(a), name_key(b)
+    shorter = F.least(F.length(x), F.length(y))
+    one, two = F.split(_col(a), " "), F.split(_col(b), " ")
+    family = (F.size(one) == F.size(two)) & ((F.size(one) == 1) | (one[0] == two[0]))
+    return (x == y) | (shorter >= 5) & family & (F.levenshtein(x, y) <= F.when(shorter >= 10, 2).otherwise(1))
+
+
+def look_alike(a: Column | str, b: Column | str) -> Column:
+    """Whether two names may be one: nearly the same, or of one shape (words, hyphen, family name), with given names that
+    sound alike in two consonants or more and differ in no more than half their letters."""
+    one, two = F.split(_col(a), " "), F.split(_col(b), " ")
+    given = F.element_at(one, -1), F.element_at(two, -1)
+    shape = (F.size(one) == F.size(two)) & ((F.size(one) != 2) | (one[0] == two[0])) & (F.contains(given[0], F.lit("-")) == F.contains(given[1], F.lit("-")))
+    sounds = sound_key(given[0]), sound_key(given[1])
+    keys = name_key(given[0]), name_key(given[1])
+    near = F.levenshtein(*keys) <= F.floor((F.greatest(F.length(keys[0]), F.length(keys[1])) + 1) / 2)
+    return nearly_same(a, b) | shape & (F.length(sounds[0]) >= 2) & (sounds[0] == sounds[1]) & near
 
 
 def natural_key(text: Column | str) -> Column:
-    """A sort key in which runs of digits count by value: "Episode 2" before "Episode 10"."""
-    parts = F.regexp_extract_all(F.upper(_col(text)), F.lit(r"(\d+|\D+)"), 1)
+    """A sort key in which runs of digits count by value and letters regardless of case: "Episode 2" before "Episode 10".
+    Runs are led by the number of their digits, so they may be of any length up to 99,999 digits."""
+    parts = F.regexp_extract_all(F.upper(_col(text)), F.lit(r"([0-9]+|[^0-9]+)"), 1)
+
+    def valued(p: Column) -> Column:
+        bare = F.regexp_replace(p, "^0+", "")
+        return F.when(p.rlike(r"^[0-9]"), F.concat(F.lit("0"), F.lpad(F.length(bare).cast("string"), 5, "0"), bare)).otherwise(p)
 
-    def padded(p: Column) -> Column:
-        bare = F.regexp_replace(p, "^0+(?=.)", "")
-        return F.when(p.rlike(r"^\d"), F.lpad(bare, 20, "0")).otherwise(p)
+    return F.array_join(F.transform(parts, valued), "")
 
-    return F.array_join(F.transform(parts, padded), "")
+
+def natural_order(text: Column | str) -> list[Column]:
+    """What to sort by: the natural key, then the shorter text, then code points."""
+    return [natural_key(text), F.length(_col(text)), _col(text)]
 
 
 def script_counts(text: Column | str) -> dict[str, Column]:
-    t = _col(text)
-    return {name: F.length(F.regexp_replace(t, f"[^{span}]", "")) for name, span in SCRIPTS.items()}
+    """Letters of each script."""
+    t = F.coalesce(_col(text), F.lit(""))
+    return {name: F.length(F.regexp_replace(t, f"[^{span}]|\\P{{L}}", "")) for name, span in SCRIPTS.items()}
 
 
 def dominant_script(text: Column | str) -> Column:
-    """The script with most letters; Kana takes the Han characters beside it; the first of the list wins ties; null
-    without letters."""
-    n = script_counts(text)
-    kana = F.when(n["Kana"] > 0, n["Kana"] + n["Han"]).otherwise(F.lit(0))
-    n = n | {"Kana": kana, "Han": F.when(n["Kana"] > 0, F.lit(0)).otherwise(n["Han"])}
-    best = F.greatest(*n.values())
-    out = F.lit(None).cast("string")
-    for name in reversed(list(n)):
-        out = F.when(n[name] == best, name).otherwise(out)
-    return F.when(best > 0, out)
-
-
-def balanced_break(text: Column | str) -> Column:
-    """Where to break a line in two: the space nearest the middle, with 4 characters of credit after punctuation; the
-    earlier on ties; 0 where there is no space."""
+    """The script other than Latin with most letters, of equal ones the first in the text; Kana takes the Han characters
+    beside it. Latin where there is no other; null without letters of a known script."""
+    t, n = F.coalesce(_col(text), F.lit("")), script_counts(text)
+    kana = n["Kana"] > 0
+    n = n | {"Kana": F.when(kana, n["Kana"] + n["Han"]).otherwise(0), "Han": F.when(kana, 0).otherwise(n["Han"])}
+    # the smallest of (-letters, place of the first one) wins
+    found = F.array(*(F.when(n[name] > 0, F.struct((-n[name]).alias("n"), F.length(F.regexp_substr(t, F.lit(f"^(?s)((?![{span}&&\\p{{L}}]).)*"))).alias("at"), F.lit(name).alias("script"))) for name, span in SCRIPTS.items() if name != "Latin"))
+    best = F.array_min(F.filter(found, lambda x: x.isNotNull()))
+    other = F.when(t.rlike(f"[^{SCRIPTS['Latin']}&&[\\p{{L}}]]"), best["script"])
+    return F.coalesce(other, F.when(n["Latin"] > 0, "Latin"))
+
+
+def scripts_of(language: str | None) -> list[str]:
+    return LANGUAGE_SCRIPTS.get((language or "").lower().replace("_", "-").split("-")[0], ["Latin"])
+
+
+def foreign_letters(text: Column | str, language: str) -> Column:
+    """Whether letters of a known script are in a text that its language is not written in; Latin is always allowed."""
+    others = "".join(span for name, span in SCRIPTS.items() if name != "Latin" and name not in scripts_of(language))
+    return F.coalesce(_col(text), F.lit("")).rlike(f"[[{others}]&&[\\p{{L}}]]")
+
+
+def asks(text: Column | str) -> Column:
+    """Whether a text ends as a question: with such a mark before closing signs, an Armenian one anywhere, or a Greek ";"."""
+    bare = F.regexp_replace(_col(text), r"""[ ."'」』)\-»«]+$""", "")
+    last = F.right(bare, F.lit(1))
+    return (bare != "") & (last.isin(*QUESTION_MARKS) | F.contains(bare, F.lit("՞")) | (last == ";") & F.coalesce(dominant_script(bare) == "Greek", F.lit(False)))
+
+
+def has_question_mark(text: Column | str, language: str) -> Column:
+    found = _col(text).rlike(f"[{QUESTION_MARKS}]")
+    return found | F.contains(_col(text), F.lit(";")) if "Greek" in scripts_of(language) else found
+
+
+def wrap(text: Column | str, max_columns: int = 42) -> Column:
+    """A text that is wider than a line on two, as even as may be: broken at the space (in texts without spaces, before the
+    character that is no punctuation) that leaves the narrowest wider line, with a credit of 4 behind punctuation; the
+    first of equal places. As it is where it fits or cannot be broken."""
     t = _col(text)
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.substr(t, i, F.lit(1)) == " ")
+    spaced = F.contains(t, F.lit(" "))
+    total = columns_wide(t)
+
+    def score(i: Column) -> Column:
+        left = columns_wide(F.substr(t, F.lit(1), i))
+        after = F.substr(t, i, F.lit(1))
+        wider = F.greatest(left, total - left - F.when(spaced, 1).otherwise(0))
+        return F.struct((wider - F.when(after.isin(*STRONG_ENDS, *SOFT_ENDS), 4).otherwise(0)).alias("score"), i.alias("at"))
 
-    def cost(i: Column) -> Column:
-        after = F.substr(t, F.greatest(i - 1, F.lit(1)), F.lit(1)).rlike("[.,;:!?]")
-        return F.struct((F.abs(2 * i - F.length(t) - 1) - F.when(after, 8).otherwise(0)).alias("cost"), i.alias("at"))
+    def possible(i: Column) -> Column:
+        c = F.substr(t, i + 1, F.lit(1))
+        return F.when(spaced, c == " ").otherwise(~c.rlike(r"\p{P}"))
 
-    return F.coalesce(F.array_min(F.transform(places, cost))["at"], F.lit(0))
+    places = F.when(F.length(t) > 1, F.filter(F.sequence(F.lit(1), F.length(t) - 1), possible))
+    at = F.array_min(F.transform(places, score))["at"]
+    broken = F.concat(F.regexp_replace(F.substr(t, F.lit(1), at), r"(?U)\s+$", ""), F.lit("\n"), F.regexp_replace(F.substr(t, at + 1), r"(?U)^\s+", ""))
+    return F.when((total > max_columns) & at.isNotNull(), broken).otherwise(t)
 
 
 def language_head(code: Column | str) -> Column:
@@ -142,7 +249,11 @@ def language_head(code: Column | str) -> Column:
 
 
 def show_name(file_name: Column | str) -> Column:
-    """What stands before the season and episode in a file name; null without such a mark."""
-    t = _col(file_name)
-    name = F.regexp_extract(t, r"^(.*?)[\s._-]*[Ss]\d{1,2}[\s._-]*[Ee]\d{1,3}", 1)
-    return F.when(name != "", collapse(F.translate(name, "._", "  ")))
+    """The show that a file belongs to: what stands before season and episode, else the name without short endings such as
+    languages; points and underlines are spaces. Null and empty names have none (an empty string)."""
+    t = F.regexp_replace(trimmed(F.coalesce(_col(file_name), F.lit(""))), r"^.*[/\\]", "")
+    name = F.regexp_replace(t, r"\.[^.]*$", "")
+    before = F.regexp_extract(name, r"^(.*?)[\s._-]*(?:[Ss]\d{1,2}[\s._-]*[Ee]\d{1,3}|\d{1,2}x\d{2,3}|[Ee][Pp]?\d{1,3}\b)", 1)
+    short = F.regexp_replace(name, r"(?<=.)(\.[^.]{2,7})+$", "")
+    kept = F.when(F.regexp_replace(before, "^[ ._-]+|[ ._-]+$", "") != "", before).otherwise(short)
+    return F.regexp_replace(F.regexp_replace(F.translate(kept, "._", "  "), r"\s+", " "), "^[ -]+|[ -]+$", "")

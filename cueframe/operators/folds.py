@@ -1,44 +1,67 @@
 """Ordered folds: operators in which a row reads what the row before it has become.
 
-A fold runs over the rows of one key in order, on the executors, and keeps only its state. Spark deals out and sorts
-the keys; a key is one document or one medium.
+A fold runs over the rows of one key in order, on the executors, and keeps only its state, so a key of any length takes
+no memory; Spark deals out and sorts the keys. A key is one document or one medium. Rows without key, start or end are
+in no order: they keep their place in the result with nulls in the new columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def fold(rows: DataFrame, step: Callable[[dict | None, dict, dict | None], dict], added: str, order: tuple[str, ...] = ("start_us", "ord")) -> DataFrame:
+def fold(rows: DataFrame, step: Callable[[dict | None, dict, dict | None], dict], added: str, reads: tuple[str, ...] = (), order: tuple[str, ...] = ("start_us", "ord")) -> DataFrame:
     """Runs step(state, row, next row) over each key's rows in order; its dict is both the new columns and the next state.
 
-    added: DDL of the new columns; they replace columns of the same name. State is None before the first row.
+    added: DDL of the new columns; they replace columns of the same name. reads: columns that step needs besides start_us
+    and end_us. State is None before the first row. Only these columns are turned into Python values; whole numbers stay
+    whole beside nulls.
     """
-    extra = T._parse_datatype_string(added) if not isinstance(added, T.StructType) else added
-    schema = T.StructType([f for f in rows.schema if f.name not in extra.names] + list(extra))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, key, held = None, None, None
+    extra = T._parse_datatype_string(added)
+    kept = [f for f in rows.schema if f.name not in extra.names]
+    schema = T.StructType(kept + list(extra))
+    arrow = to_arrow_schema(T.StructType(list(extra)))
+    wanted = list(dict.fromkeys(["key", "start_us", "end_us", *reads]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row is folded when the next one is known, so each batch gives the last row of the one before it
+        state, held, rest = None, None, None
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
+            if not batch.num_rows:
+                continue
+            found = []
+            for values in zip(*(batch.column(c).to_pylist() for c in wanted), strict=True):
+                row = dict(zip(wanted, values, strict=True))
                 if held is not None:
                     same = held["key"] == row["key"]
                     state = step(state, held, row if same else None)
-                    out.append(held | state)
+                    found.append(state)
                     if not same:
                         state = None
                 held = row
-            if out:
-                yield pd.DataFrame(out)[schema.names]
+            table = batch.select([f.name for f in kept])
+            done = table.slice(0, table.num_rows - 1)
+            yield from joined(pa.Table.from_batches([done] if rest is None else [rest, done]), found)
+            rest = table.slice(table.num_rows - 1)
         if held is not None:
-            yield pd.DataFrame([held | step(state, held, None)])[schema.names]
+            yield from joined(pa.Table.from_batches([rest]), [step(state, held, None)])
+
+    def joined(table: pa.Table, found: list[dict]) -> Iterator[pa.RecordBatch]:
+        if found:
+            for f in arrow:
+                table = table.append_column(f, pa.array([x[f.name] for x in found], f.type))
+            yield from table.combine_chunks().to_batches()
 
-    return rows.where("key is not null").repartition("key").sortWithinPartitions("key", *order).mapInPandas(run, schema)
+    placed = F.col("key").isNotNull() & F.col("start_us").isNotNull() & F.col("end_us").isNotNull()
+    sorted_rows = rows.where(placed).repartition("key").sortWithinPartitions("key", *order)
+    lost = rows.where(~placed).select(*(f.name for f in kept), *(F.lit(None).cast(f.dataType).alias(f.name) for f in extra))
+    return sorted_rows.mapInArrow(run, schema).unionByName(lost)
 
 
 def without_overlap(rows: DataFrame, pause_us: int = 100_000) -> DataFrame:
@@ -81,7 +104,7 @@ def readable(rows: DataFrame, needed: str, gap_us: int = 84_000, most_us: int =
 
     def step(state: dict | None, row: dict, after: dict | None) -> dict:
         start, end = row["start_us"], row["end_us"]
-        want = min(row[needed], most_us)
+        want = min(row[needed] or 0, most_us)
         if end - start >= want:
             return {"new_start_us": start, "new_end_us": end, "outcome": "fine"}
         new_end = start + want
@@ -98,23 +121,35 @@ def readable(rows: DataFrame, needed: str, gap_us: int = 84_000, most_us: int =
         outcome = "fixed" if got >= want else "improved" if got > end - start else "no room"
         return {"new_start_us": new_start, "new_end_us": new_end, "outcome": outcome}
 
-    return fold(rows, step, "new_start_us long, new_end_us long, outcome string")
+    return fold(rows, step, "new_start_us long, new_end_us long, outcome string", (needed,))
 
 
-def tidy(rows: DataFrame, hold_us: int = 7_000_000, least_us: int = 300_000) -> DataFrame:
-    """Timing of recognised rows: no longer than hold_us; a start inside the row before waits for its end; at least
-    least_us long; no end after the next start unless that leaves less than least_us."""
+def tidy(rows: DataFrame, hold_us: int = 7_000_000, least_us: int = 300_000, shown_us: int = 800_000) -> DataFrame:
+    """Timing of recognised rows: no longer than hold_us. A row that begins inside the one before it ends that one there, so
+    that it comes up when it is spoken; only where less than least_us would be left of that one, it waits for its end. At
+    least least_us long, and shown_us where the next row leaves room; no end after the next start unless that leaves less
+    than least_us."""
 
     def step(state: dict | None, row: dict, after: dict | None) -> dict:
-        start = row["start_us"]
-        if state is not None:
-            start = max(start, state["new_end_us"])
-        end = max(min(row["end_us"], start + hold_us), start + least_us)
-        if after is not None and after["start_us"] - start >= least_us:
-            end = min(end, after["start_us"])
-        return {"new_start_us": start, "new_end_us": end}
-
-    return fold(rows, step, "new_start_us long, new_end_us long")
+        start, end = row["start_us"], min(row["end_us"], row["start_us"] + hold_us)
+        cut = None
+        if state is not None and start < state["until_us"]:
+            if start - state["new_start_us"] >= least_us:
+                cut = start
+            else:
+                start = state["until_us"]
+        end = max(end, start + least_us)
+        following = None if after is None else after["start_us"]
+        if end - start < shown_us:
+            end = min(start + shown_us, following) if following is not None and following > start + least_us else start + shown_us
+        if following is not None and end > following >= start + least_us:
+            end = following
+        return {"new_start_us": start, "until_us": end, "cut_us": cut}
+
+    found = fold(rows, step, "new_start_us long, until_us long, cut_us long")
+    # a row may end earlier than it knew, where the next one cuts it
+    cut = F.lead("cut_us").over(Window.partitionBy("key").orderBy("start_us", "ord"))
+    return found.withColumn("new_end_us", F.coalesce(cut, "until_us")).drop("until_us", "cut_us")
 
 
 def changed(rows: DataFrame, column: str, more_than: float) -> DataFrame:
@@ -129,21 +164,18 @@ def changed(rows: DataFrame, column: str, more_than: float) -> DataFrame:
         fresh = last is None or abs(value - last) > more_than
         return {"fresh": fresh, "last": value if fresh else last}
 
-    return fold(rows, step, "fresh boolean, last double").drop("last")
+    return fold(rows, step, "fresh boolean, last double", (column,)).drop("last")
 
 
 def continued(rows: DataFrame, column: str, slack_us: int = 50_000) -> DataFrame:
     """Merges rows of equal content whose start is at most slack after the end of the row they continue; clips what
     overlaps a different row. (key, start_us, end_us, value, n)."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     def step(state: dict | None, row: dict, after: dict | None) -> dict:
         if state is not None and state["value"] == row[column] and row["start_us"] <= state["reach_us"] + slack_us:
             return {"run": state["run"], "value": row[column], "reach_us": max(state["reach_us"], row["end_us"])}
         return {"run": 1 if state is None else state["run"] + 1, "value": row[column], "reach_us": row["end_us"]}
 
-    runs = fold(rows, step, "run long, value string, reach_us long")
+    runs = fold(rows, step, "run long, value string, reach_us long", (column,)).where("run is not null")
     merged = runs.groupBy("key", "run").agg(F.min("start_us").alias("start_us"), F.max("reach_us").alias("end_us"), F.first("value").alias("value"), F.count("*").alias("n"))
     following = F.lead("start_us").over(Window.partitionBy("key").orderBy("run"))
     return merged.withColumn("end_us", F.least("end_us", F.coalesce(following, "end_us"))).select("key", "start_us", "end_us", "value", "n")

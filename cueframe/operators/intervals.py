@@ -79,17 +79,39 @@ def overlap_share(left: DataFrame, right: DataFrame, bin_us: int) -> DataFrame:
     return left.select("key", "ord").join(found, ["key", "ord"], "left").select("key", "ord", F.coalesce("covered_us", F.lit(0)).alias("covered_us"))
 
 
-def subtract(rows: DataFrame, minus: DataFrame, margin_us: int = 0, least_us: int = 1) -> DataFrame:
-    """Parts of rows that no widened minus row covers and that are long enough: (key, ord, start_us, end_us)."""
-    cover = unite(minus, margin_us, margin_us)
-    edges = cover.select("key", F.col("start_us").alias("t"), F.lit(0).alias("side")).union(cover.select("key", F.col("end_us").alias("t"), F.lit(1).alias("side")))
-    w = Window.partitionBy("key").orderBy("t", "side")
-    free = edges.withColumns({"next": F.lead("t").over(w), "first": F.row_number().over(w)})
-    gaps = free.where("side = 1").select("key", F.col("t").alias("g0"), F.coalesce("next", F.lit(1 << 62)).alias("g1"))
-    gaps = gaps.union(free.where("first = 1").select("key", F.lit(-(1 << 62)), "t"))
-    inside = rows.join(gaps, "key", "left").where("g0 is null or (g0 < end_us and g1 > start_us)")
-    cut = inside.select("key", "ord", F.greatest("start_us", "g0").alias("start_us"), F.least("end_us", "g1").alias("end_us"))
-    return cut.where(F.col("end_us") - F.col("start_us") >= least_us)
+def subtract(rows: DataFrame, minus: DataFrame, margin_us: int = 0, least_us: int = 1, bin_us: int = 3_600_000_000) -> DataFrame:
+    """Parts of rows that no widened minus row covers and that are long enough: (key, ord, start_us, end_us).
+
+    bin_us: about the length of a typical row; rows meet only what lies in the bins that they touch.
+    """
+    cover = unite(minus.where("end_us >= start_us"), margin_us, margin_us).withColumn("ord", F.lit(0))
+    met = overlap_pairs(rows.select("key", "ord", "start_us", "end_us"), cover.select("key", "ord", "start_us", "end_us"), bin_us)
+    w = Window.partitionBy("key", "ord").orderBy("r_start_us")
+    before = met.select("key", "ord", F.coalesce(F.lag("r_end_us").over(w), F.col("start_us")).alias("start_us"), F.col("r_start_us").alias("end_us"))
+    behind = met.groupBy("key", "ord").agg(F.max("r_end_us").alias("start_us"), F.max("end_us").alias("end_us"))
+    free = positive(rows).select("key", "ord", "start_us", "end_us").join(behind.select("key", "ord"), ["key", "ord"], "left_anti")
+    return before.unionByName(behind).unionByName(free).where(F.col("end_us") - F.col("start_us") >= least_us)
+
+
+def uncovered(rows: DataFrame, minus: DataFrame, margin_us: int = 150_000, piece_us: int = 200_000, join_us: int = 500_000, least_us: int = 600_000, longest_us: int = 25_000_000, bin_us: int = 30_000_000) -> DataFrame:
+    """What of rows no minus row covers, in stretches to be looked at again: (key, start_us, end_us).
+
+    Pieces under piece_us go; pieces less than join_us apart are joined while that stays within longest_us, one after
+    another from the first; stretches are cut at longest_us, and those under least_us go.
+    """
+    from .folds import fold
+
+    pieces = subtract(rows, minus, margin_us, piece_us, bin_us)
+
+    def step(state: dict | None, row: dict, after: dict | None) -> dict:
+        if state is not None and row["start_us"] - state["to_us"] < join_us and row["end_us"] - state["from_us"] <= longest_us:
+            return {"run": state["run"], "from_us": state["from_us"], "to_us": row["end_us"]}
+        return {"run": 1 if state is None else state["run"] + 1, "from_us": row["start_us"], "to_us": row["end_us"]}
+
+    runs = fold(pieces, step, "run long, from_us long, to_us long", order=("start_us", "end_us", "ord"))
+    joined = runs.groupBy("key", "run").agg(F.min("from_us").alias("a"), F.max_by("to_us", F.struct("start_us", "end_us", "ord")).alias("b")).where(F.col("b") - F.col("a") >= least_us)
+    cuts = joined.select("key", "b", F.explode(F.sequence(F.col("a"), F.col("b") - 1, F.lit(longest_us).cast("long"))).alias("start_us"))
+    return cuts.select("key", "start_us", F.least(F.col("start_us") + longest_us, F.col("b")).alias("end_us")).where(F.col("end_us") - F.col("start_us") >= least_us)
 
 
 def as_of(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
@@ -118,6 +140,50 @@ def nearest(left: DataFrame, right: DataFrame, within_us: int) -> DataFrame:
     return both.withColumn("near", best).select("l.*", F.when(F.abs(F.col("near") - F.col("t")) <= within_us, F.col("near")).alias("near_us"))
 
 
+def snap_starts(cues: DataFrame, speech: DataFrame, most_us: int, least_us: int = 80_000) -> DataFrame:
+    """start_us moved back to where the stretch of speech begins that a cue starts in: by least_us to most_us, and not
+    before the end of the cue before it. `moved` says whether. speech: (key, start_us, end_us)."""
+    met = as_of(cues, speech.select("key", "start_us", "end_us"), ["end_us"])
+    back = F.col("start_us") - F.col("r_start_us")
+    before = F.coalesce(F.lag("end_us").over(Window.partitionBy("key").orderBy("start_us", "ord")), F.lit(0))
+    moved = F.coalesce((F.col("r_end_us") > F.col("start_us")) & (back >= least_us) & (back > 0) & (back <= most_us) & (F.col("r_start_us") >= before), F.lit(False))
+    found = met.withColumn("moved", moved)
+    return found.withColumn("start_us", F.when(F.col("moved"), F.col("r_start_us")).otherwise(F.col("start_us"))).select(*cues.columns, "moved")
+
+
+def snap_to_speech(cues: DataFrame, onsets: DataFrame, offsets: DataFrame, within_us: int, gap_us: int = 40_000, least_us: int = 300_000) -> DataFrame:
+    """Starts moved to the nearest onset and ends to the nearest offset of speech within reach, the earlier of two as near.
+
+    onsets, offsets: (key, start_us). A cue keeps least_us, and an end stays gap_us before where the next cue would
+    start. Adds new_start_us and new_end_us.
+    """
+    found = nearest(cues, onsets, within_us).withColumnRenamed("near_us", "_on")
+    ends = cues.select("key", "ord", F.col("end_us").alias("start_us"))
+    found = found.join(nearest(ends, offsets, within_us).select("key", "ord", F.col("near_us").alias("_off")), ["key", "ord"])
+    wanted = F.coalesce("_on", "start_us")
+    start = F.when(wanted < F.col("end_us") - least_us, wanted).otherwise(F.col("start_us"))
+    w = Window.partitionBy("key").orderBy("start_us", "ord")
+    found = found.withColumns({"_want": wanted, "new_start_us": start}).withColumns({"_next": F.lead("_want").over(w), "_next_start": F.lead("start_us").over(w)})
+    limit = F.col("_next") - gap_us
+    end = F.when((F.col("_off") > limit) & (F.col("_next_start") >= F.col("new_start_us")), limit).otherwise(F.col("_off"))
+    moved = F.when(F.coalesce(end >= F.col("new_start_us") + least_us, F.lit(False)), end).otherwise(F.col("end_us"))
+    return found.withColumn("new_end_us", moved).select(*cues.columns, "new_start_us", "new_end_us")
+
+
+def source_times(points: DataFrame, pieces: DataFrame, forward: bool = True) -> DataFrame:
+    """Times of a packed chunk as times of its source: adds source_us. points: (key, ord, start_us); pieces: (key, start_us,
+    end_us, source_us) in the chunk. A time in a gap goes forward to the next piece (a start), or back to the end of the one
+    before (an end); one before the first or behind the last piece goes to its nearest edge."""
+    p = pieces.withColumn("next_us", F.lead("source_us").over(Window.partitionBy("key").orderBy("start_us")))
+    first = pieces.groupBy("key").agg(F.min_by("source_us", "start_us").alias("first_us"))
+    met = as_of(points, p, ["end_us", "source_us", "next_us"]).join(first, "key", "left")
+    into = F.col("r_source_us") + F.col("start_us") - F.col("r_start_us")
+    edge = F.col("r_source_us") + F.col("r_end_us") - F.col("r_start_us")
+    inside = F.col("start_us") < F.col("r_end_us") if forward else F.col("start_us") <= F.col("r_end_us")
+    found = F.when(F.col("r_start_us").isNull(), F.col("first_us")).when(inside, into).otherwise(F.coalesce("r_next_us", edge) if forward else edge)
+    return met.select(*points.columns, found.alias("source_us"))
+
+
 def fill(rows: DataFrame, column: str) -> DataFrame:
     """Fills nulls by the last value of the key before them, those at the front by the first after."""
     w = Window.partitionBy("key").orderBy("start_us", "ord")
@@ -145,6 +211,64 @@ def limit_repeats(rows: DataFrame, column: str, most: int = 2) -> DataFrame:
     return numbered.where(F.col("_n") <= most).drop("_n", "run")
 
 
+def phrase_runs(rows: DataFrame, column: str, phrases: list[str], most: int = 8, gap_us: int = 3_000_000) -> DataFrame:
+    """Rows that belong to a known phrase spread over up to `most` rows in a row: (key, ord), each once.
+
+    From every row on, the texts of 1, 2, ... rows are put together until they are a phrase; a gap over gap_us ends the
+    try. As in reading from the first row on, a row of a found phrase begins none. phrases are compared as they are.
+    """
+    from .folds import fold
+
+    w = Window.partitionBy("key").orderBy("start_us", "ord")
+    ahead = w.rowsBetween(0, most - 1)
+    seen = rows.withColumns({"_t": F.collect_list(F.coalesce(F.col(column), F.lit(""))).over(ahead), "_s": F.collect_list("start_us").over(ahead), "_e": F.collect_list("end_us").over(ahead)})
+    lengths = F.sequence(F.lit(1), F.size("_t"))
+    near = lambda n: F.forall(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (n == 1) | (F.get("_s", i) - F.get("_e", i - 1) <= gap_us))
+    known = lambda n: F.array_join(F.slice("_t", F.lit(1), n), "").isin(*phrases)
+    seen = seen.withColumn("_n", F.coalesce(F.array_min(F.filter(lengths, lambda n: near(n) & known(n))), F.lit(0)))
+
+    def step(state: dict | None, row: dict, after: dict | None) -> dict:
+        left = max(0, (0 if state is None else state["left"]) - 1)
+        return {"left": left if left else row["_n"]}
+
+    return fold(seen.select("key", "ord", "start_us", "end_us", "_n"), step, "left long", ("_n",)).where("left > 0").select("key", "ord")
+
+
+def drop_loops(rows: DataFrame, column: str, longest: int = 8, least: int = 4) -> DataFrame:
+    """Marks rows that repeat the block of 2 to `longest` rows before them again and again: `looped`.
+
+    A block is repeated where its texts, of at least `least` characters together, stand again right behind it; the
+    shortest period counts. All repetitions but the first are marked. Windows only; a row looks at what lies period rows
+    before it.
+    """
+    w = Window.partitionBy("key").orderBy("start_us", "ord")
+    out = rows.withColumn("looped", F.lit(False))
+    size = F.length(F.coalesce(F.col(column), F.lit("")))
+    for period in range(longest, 1, -1):
+        same = F.coalesce(F.col(column).eqNullSafe(F.lag(column, period).over(w)) & (F.row_number().over(w) > period), F.lit(False))
+        out = out.withColumns({"_same": same, "_size": F.sum(size).over(w.rowsBetween(-period + 1, 0))})
+        out = out.withColumn("_run", F.sum((~F.col("_same")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # a run of rows equal to those a period before; whole periods of it are repetitions
+        inside = Window.partitionBy("key", "_run")
+        place = F.sum(F.col("_same").cast("int")).over(inside.orderBy("start_us", "ord").rowsBetween(Window.unboundedPreceding, 0))
+        total = F.sum(F.col("_same").cast("int")).over(inside)
+        heavy = F.max(F.when(F.col("_same"), F.col("_size"))).over(inside) >= least
+        out = out.withColumns({"_place": place, "_total": total, "_heavy": heavy})
+        whole = F.floor(F.col("_total") / period) * period
+        out = out.withColumn("looped", F.col("looped") | F.coalesce(F.col("_same") & F.col("_heavy") & (F.col("_place") <= whole), F.lit(False)))
+    return out.select(*rows.columns, "looped")
+
+
+def scenes(runs: DataFrame, main: str) -> DataFrame:
+    """Of runs (key, run, value, start_us, end_us), those that are not in the main value; neighbours of one value, with no
+    run of the main one or of none between them, are one: (key, value, start_us, end_us)."""
+    w = Window.partitionBy("key").orderBy("run")
+    other = F.col("value").isNotNull() & (F.col("value") != main)
+    new = F.when(F.lag("value").over(w).eqNullSafe(F.col("value")), 0).otherwise(1)
+    found = runs.withColumn("_new", new).withColumn("_scene", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(other)
+    return found.groupBy("key", "_scene").agg(F.first("value").alias("value"), F.min("start_us").alias("start_us"), F.max_by("end_us", "run").alias("end_us")).drop("_scene")
+
+
 def close_and_drop(series: DataFrame, gap: int, least: int) -> DataFrame:
     """A boolean series (key, frame, active), one row for each frame: inner gaps of at most `gap` frames become active,
     then active runs shorter than `least` become inactive."""

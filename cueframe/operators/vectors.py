@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import cosine
+from ..functions.ocr import quality
+from ..functions.text import letters_key
 
 
 def mean_unit(rows: DataFrame, group: str, vector: str) -> DataFrame:
@@ -16,32 +18,85 @@ def mean_unit(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return sums.select(group, "pos", F.when(norm > 0, F.col("s") / norm).alias("value"))
 
 
-def nearest_center(rows: DataFrame, centers: DataFrame, most_centers: int = 10_000) -> DataFrame:
+#: So many centers or readings are compared in one expression.
+BLOCK = 256
+
+
+def _blocked(rows: DataFrame, groups: list[str], item: list[str]) -> DataFrame:
+    """(groups, block, blocks, items): rows dealt into arrays of about BLOCK items; blocks: how many their group has."""
+    sizes = rows.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, groups) if groups else rows.crossJoin(F.broadcast(sizes))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*item), F.col("blocks")).cast("int"))
+    return dealt.groupBy(*groups, "block", "blocks").agg(F.collect_list(F.struct(*item)).alias("items"))
+
+
+def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
     """Each (vec_id, embedding) with the label of the nearest of (label, embedding): (vec_id, center, score).
 
-    The centers are a stated set that every row is compared with, inside one expression: no pairs become rows. More
-    than most_centers are refused, as they are held by every task. Scores are rounded to 9 places, so that ties go to
-    the smallest label.
+    The centers are a stated set that every row is compared with, block by block: no pairs become rows, and a row is
+    repeated once for each block of centers only. Scores are rounded to 9 places, so that ties go to the smallest label.
+    Null where there is no center, or none that can be compared (a zero vector, another length).
     """
-    found = centers.orderBy("label").limit(most_centers + 1).collect()
-    if len(found) > most_centers:
-        raise ValueError(f"more than {most_centers} centers")
-    spark = rows.sparkSession
-    held = spark.createDataFrame([([(r["label"], r["embedding"]) for r in found],)], f"centers array<struct<label:{centers.schema['label'].dataType.simpleString()}, v:array<float>>>")
-    scored = F.transform("centers", lambda c: F.struct((-F.round(cosine("embedding", c["v"]), 9)).alias("far"), c["label"].alias("label")))
-    best = rows.join(F.broadcast(held)).select("vec_id", F.array_min(F.filter(scored, lambda s: s["far"].isNotNull())).alias("best"))
+    blocks = _blocked(centers.select("label", F.col("embedding").alias("v")), [], ["label", "v"])
+    n = centers.groupBy().agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = rows.crossJoin(F.broadcast(n)).withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    scored = F.transform("items", lambda c: F.struct((-F.round(cosine("embedding", c["v"]), 9)).alias("far"), c["label"].alias("label")))
+    best = each.join(blocks.select("block", "items"), "block", "left").select("vec_id", F.array_min(F.filter(scored, lambda s: s["far"].isNotNull())).alias("best"))
+    best = best.groupBy("vec_id").agg(F.min("best").alias("best"))
     return best.select("vec_id", F.col("best.label").alias("center"), (-F.col("best.far")).alias("score"))
 
 
-def medoid(readings: DataFrame, most_distinct: int = 2000) -> DataFrame:
-    """Of each group's texts, the one with the least total edit distance to all of them: (grp, txt, cost).
+def best_reading(readings: DataFrame) -> DataFrame:
+    """Of each group's texts, the one that agrees best with all of them: (grp, txt, score).
 
-    Equal texts are counted first, and the distances are summed inside one expression over a group's distinct texts. A
-    group may have most_distinct different ones; more raise an error, as the work grows with their square.
+    readings: (grp, txt). The score is the mean similarity of letters and digits to all readings, plus half the quality of
+    the text (see text.quality) and a thousandth for each time it was read; the first in order wins ties. Equal readings
+    are counted first. A group's distinct readings are dealt into blocks; each is compared with block after block, and
+    the partial sums are added, so that no task holds a group. Null texts are no readings.
     """
-    counts = readings.groupBy("grp", "txt").agg(F.count("*").alias("n"))
-    groups = counts.groupBy("grp").agg(F.collect_list(F.struct("txt", "n")).alias("all"))
-    checked = F.when(F.size("all") > most_distinct, F.raise_error(F.lit("too many different texts in one group"))).otherwise(F.col("all"))
-    cost = lambda a: F.aggregate("all", F.lit(0).cast("long"), lambda s, b: s + b["n"] * F.levenshtein(a["txt"], b["txt"]))
-    best = groups.withColumn("all", checked).select("grp", F.array_min(F.transform("all", lambda a: F.struct(cost(a).alias("cost"), a["txt"].alias("txt")))).alias("best"))
+    counts = readings.where("txt is not null").groupBy("grp", "txt").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("norm", letters_key("txt"))
+    blocks = _blocked(counts, ["grp"], ["norm", "n"])
+    sizes = counts.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.sum("n").alias("total"))
+    each = counts.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    agreement = F.aggregate("items", F.lit(0.0), lambda s, o: s + o["n"] * _similar(F.col("norm"), o["norm"]))
+    partial = each.join(blocks.select("grp", "block", "items"), ["grp", "block"]).select("grp", "txt", "n", "total", agreement.alias("part"))
+    score = F.round(F.sum("part") / F.first("total") + 0.5 * quality("txt") + F.lit(0.001) * F.first("n"), 9)
+    scored = partial.groupBy("grp", "txt").agg(score.alias("score"))
+    best = scored.groupBy("grp").agg(F.min(F.struct((-F.col("score")).alias("far"), "txt")).alias("best"))
+    return best.select("grp", F.col("best.txt").alias("txt"), (-F.col("best.far")).alias("score"))
+
+
+def _similar(a: Column, b: Column) -> Column:
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer == 0, 1.0).when(F.least(F.length(a), F.length(b)) == 0, 0.0).otherwise(1 - F.levenshtein(a, b) / longer)
+
+
+def medoid(readings: DataFrame) -> DataFrame:
+    """Of each group's texts, the one with the least total edit distance to all of them: (grp, txt, cost). As
+    best_reading, without regard to quality and counts; the first in order wins ties."""
+    counts = readings.where("txt is not null").groupBy("grp", "txt").agg(F.count("*").alias("n"))
+    blocks = _blocked(counts, ["grp"], ["txt", "n"])
+    sizes = counts.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    each = counts.join(sizes, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cost = F.aggregate("items", F.lit(0).cast("long"), lambda s, o: s + o["n"] * F.levenshtein(F.col("txt"), o["txt"]))
+    costs = each.join(blocks.select("grp", "block", "items"), ["grp", "block"]).select("grp", "txt", cost.alias("part")).groupBy("grp", "txt").agg(F.sum("part").alias("cost"))
+    best = costs.groupBy("grp").agg(F.min(F.struct("cost", "txt")).alias("best"))
     return best.select("grp", F.col("best.txt").alias("txt"), F.col("best.cost").alias("cost"))
+
+
+def upsert_people(known: DataFrame, seen: DataFrame, name: str, most: int = 4) -> DataFrame:
+    """(name, embedding, episodes): known people with what was seen of them now, and new ones.
+
+    known: (name, embedding, episodes), seen: (name, embedding), a name once in each. A known vector counts as often as it
+    has episodes, but no more than `most` times, so that a voice can change; sums have length 1. A vector of another length
+    or null leaves the other as it is.
+    """
+    old, new = known.select(name, F.col("embedding").alias("a"), "episodes"), seen.select(name, F.col("embedding").alias("b"))
+    both = old.join(new, name, "full")
+    weight = F.least(F.col("episodes"), F.lit(most)).cast("double")
+    total = F.zip_with(F.transform("a", lambda x: x.cast("double")), F.transform("b", lambda x: x.cast("double")), lambda x, y: x * weight + y)
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    mixed = F.when(F.size("a") == F.size("b"), F.when(norm > 0, F.transform(total, lambda x: x / norm)))
+    single = F.transform(F.coalesce("a", "b"), lambda x: x.cast("double"))
+    return both.select(name, F.coalesce(mixed, single).alias("embedding"), (F.coalesce("episodes", F.lit(0)) + F.when(F.col("b").isNotNull(), 1).otherwise(0)).alias("episodes"))

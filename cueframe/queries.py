@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import maths, text, time
-from .operators import folds, review
+from .operators import folds, ranks, review, vectors
 from .operators import intervals as ops
 from .plans import tables
 
@@ -52,7 +52,7 @@ def isl2_bridged_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH {iv}, m AS (SELECT DISTINCT key, start_us // 3600000000 AS h FROM iv WHERE key % 10 < 10 AND end_us > start_us),
+WITH {iv}, m AS (SELECT DISTINCT key, start_us // 3600000000 AS h FROM iv WHERE end_us > start_us),
 r AS (SELECT key, min(h) AS a, max(h) AS b FROM m GROUP BY key),
 s AS (SELECT key, unnest(range(0, b - a + 1)) AS frame, a FROM r),
 t AS (SELECT s.key, s.frame, m.h IS NOT NULL AS active FROM s LEFT JOIN m ON m.key = s.key AND m.h = s.a + s.frame),
@@ -77,7 +77,7 @@ p AS (SELECT key, max(CASE WHEN r = CAST(floor(n * 0.15) AS BIGINT) THEN value E
 SELECT o.event_id, high - low >= 6 AND value >= low + 0.35 * (high - low) AS active FROM o JOIN p USING (key)""")
 def isl4_adaptive_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "value")
-    ends = e.groupBy("key").agg(maths.pick_percentile("value", 0.15).alias("low"), maths.pick_percentile("value", 0.95).alias("high"))
+    ends = ranks.at_ranks(e, ["key"], "value", {"low": ranks.truncated(0.15), "high": ranks.truncated(0.95)}).drop("n")
     spread = F.col("high") - F.col("low")
     return e.join(ends, "key").select("event_id", ((spread >= 6) & (F.col("value") >= F.col("low") + F.lit(0.35) * spread)).alias("active"))
 
@@ -101,10 +101,14 @@ def isl8_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH {iv}, a AS (SELECT *, CASE WHEN lag(kind) OVER (PARTITION BY key ORDER BY start_us, ord) = kind THEN 0 ELSE 1 END AS new FROM iv),
-b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY start_us, ord ROWS UNBOUNDED PRECEDING) AS run FROM a)
-SELECT key, CAST(run AS BIGINT) AS run, min(kind) AS value, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS n FROM b GROUP BY key, run HAVING min(kind) <> 'view'""")
+b AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY start_us, ord ROWS UNBOUNDED PRECEDING) AS run FROM a),
+c AS (SELECT key, run, CASE WHEN min(kind) <> 'error' THEN min(kind) END AS value, min(start_us) AS start_us, max(end_us) AS end_us FROM b GROUP BY key, run),
+d AS (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY key ORDER BY run) IS NOT DISTINCT FROM value THEN 0 ELSE 1 END AS new FROM c),
+e AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY run ROWS UNBOUNDED PRECEDING) AS scene FROM d)
+SELECT key, min(value) AS value, min(start_us) AS start_us, arg_max(end_us, run) AS end_us FROM e WHERE value <> 'view' GROUP BY key, scene""")
 def isl9_other_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.run_lengths(tables.intervals(spark, sf_dir), "kind").where("value <> 'view'")
+    runs = ops.run_lengths(tables.intervals(spark, sf_dir), "kind").withColumn("value", F.when(F.col("value") != "error", F.col("value")))
+    return ops.scenes(runs, "view").select("key", "value", "start_us", "end_us")
 
 
 @query("""
@@ -117,12 +121,16 @@ def isl10_repeat_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH {iv}, w AS (SELECT key, ord, list(kind) OVER (PARTITION BY key ORDER BY start_us, ord ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS kinds FROM iv)
-SELECT key, ord FROM w WHERE array_to_string(kinds, ' ') IN ('view click purchase', 'error error error')""")
+WITH RECURSIVE {iv}, s AS (SELECT key, ord, kind, start_us - lag(end_us) OVER w > 172800000000 AS far, row_number() OVER w AS rn FROM iv WINDOW w AS (PARTITION BY key ORDER BY start_us, ord)),
+w AS (SELECT *, list(kind) OVER v AS t, list(CASE WHEN far THEN 1 ELSE 0 END) OVER v AS f FROM s WINDOW v AS (PARTITION BY key ORDER BY rn ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+n AS (SELECT key, ord, rn, coalesce(list_filter(range(1, len(t) + 1), lambda n: array_to_string(t[1:n], '') IN ('viewclick', 'errorerrorerror', 'purchaseviewviewview', 'clickviewpurchaseclick')
+  AND coalesce(list_sum(f[2:n]), 0) = 0)[1], 0) AS n FROM w),
+r AS (SELECT key, ord, rn, n AS lft FROM n WHERE rn = 1
+UNION ALL SELECT n.key, n.ord, n.rn, CASE WHEN r.lft > 1 THEN r.lft - 1 ELSE n.n END FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1)
+SELECT key, ord FROM r WHERE lft > 0""")
 def isl12_phrase_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("key").orderBy("start_us", "ord").rowsBetween(0, 2)
-    seen = tables.intervals(spark, sf_dir).withColumn("phrase", F.array_join(F.collect_list("kind").over(w), " "))
-    return seen.where(F.col("phrase").isin("view click purchase", "error error error")).select("key", "ord")
+    phrases = ["viewclick", "errorerrorerror", "purchaseviewviewview", "clickviewpurchaseclick"]
+    return ops.phrase_runs(tables.intervals(spark, sf_dir), "kind", phrases, 8, 48 * HOUR)
 
 
 @query("""
@@ -156,15 +164,17 @@ def isl14_reading_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH RECURSIVE {iv}, s AS (SELECT *, lead(start_us) OVER w AS nxt, row_number() OVER w AS rn FROM iv WINDOW w AS (PARTITION BY key ORDER BY start_us, ord)),
-r AS (SELECT key, ord, rn, start_us AS a, CASE WHEN nxt - start_us >= 60000000 THEN least(greatest(least(end_us, start_us + 7200000000), start_us + 60000000), nxt)
-    ELSE greatest(least(end_us, start_us + 7200000000), start_us + 60000000) END AS b FROM s WHERE rn = 1
-UNION ALL SELECT s.key, s.ord, s.rn, greatest(s.start_us, r.b),
-  CASE WHEN s.nxt - greatest(s.start_us, r.b) >= 60000000 THEN least(greatest(least(s.end_us, greatest(s.start_us, r.b) + 7200000000), greatest(s.start_us, r.b) + 60000000), s.nxt)
-    ELSE greatest(least(s.end_us, greatest(s.start_us, r.b) + 7200000000), greatest(s.start_us, r.b) + 60000000) END
-  FROM r JOIN s ON s.key = r.key AND s.rn = r.rn + 1)
-SELECT key, ord, a AS new_start_us, b AS new_end_us FROM r""")
+r AS (SELECT key, ord, rn, a, CASE WHEN nxt < b1 AND nxt >= a + 60000000 THEN nxt ELSE b1 END AS b, CAST(NULL AS BIGINT) AS cut FROM
+  (SELECT *, CASE WHEN b0 - a < 600000000 THEN CASE WHEN nxt > a + 60000000 THEN least(a + 600000000, nxt) ELSE a + 600000000 END ELSE b0 END AS b1 FROM
+    (SELECT *, start_us AS a, greatest(least(end_us, start_us + 7200000000), start_us + 60000000) AS b0 FROM s WHERE rn = 1))
+UNION ALL SELECT key, ord, rn, a, CASE WHEN nxt < b1 AND nxt >= a + 60000000 THEN nxt ELSE b1 END AS b, cut FROM
+  (SELECT *, CASE WHEN b0 - a < 600000000 THEN CASE WHEN nxt > a + 60000000 THEN least(a + 600000000, nxt) ELSE a + 600000000 END ELSE b0 END AS b1 FROM
+    (SELECT *, greatest(least(end_us, start_us + 7200000000), a + 60000000) AS b0 FROM
+      (SELECT s.*, CASE WHEN s.start_us < r.b AND s.start_us - r.a < 60000000 THEN r.b ELSE s.start_us END AS a, CASE WHEN s.start_us < r.b AND s.start_us - r.a >= 60000000 THEN s.start_us END AS cut
+       FROM r JOIN s ON s.key = r.key AND s.rn = r.rn + 1))))
+SELECT key, ord, a AS new_start_us, coalesce(lead(cut) OVER (PARTITION BY key ORDER BY rn), b) AS new_end_us FROM r""")
 def isl15_tidy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.tidy(tables.intervals(spark, sf_dir), 2 * HOUR, MINUTE).select("key", "ord", "new_start_us", "new_end_us")
+    return folds.tidy(tables.intervals(spark, sf_dir), 2 * HOUR, MINUTE, 10 * MINUTE).select("key", "ord", "new_start_us", "new_end_us")
 
 
 @query("""
@@ -323,11 +333,9 @@ WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embedding
 s AS (SELECT e.vec_id, c.label AS nearest, round(list_cosine_similarity(e.v, c.v), 9) AS score FROM e CROSS JOIN c)
 SELECT vec_id, nearest FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, nearest) = 1""")
 def jn12_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.vectors import nearest_center
-
     e = tables.load(spark, sf_dir, "embeddings")
     first = e.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("_n = 1").select("label", "embedding")
-    return nearest_center(e.select("vec_id", "embedding"), first).select("vec_id", F.col("center").alias("nearest"))
+    return vectors.nearest_center(e.select("vec_id", "embedding"), first).select("vec_id", F.col("center").alias("nearest"))
 
 
 @query("""
@@ -385,7 +393,8 @@ def jn21_cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT name, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(text, '[.] (\\p{Lu}\\p{Ll}{2,})', 1)) AS name FROM conversations) GROUP BY name""")
 def agg1_names_once_per_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.name_counts(tables.load(spark, sf_dir, "conversations").select("text"), r"[.] (\p{Lu}\p{Ll}{2,})")
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[.] (\p{Lu}\p{Ll}{2,})"), 1))
+    return tables.load(spark, sf_dir, "conversations").select(F.explode(found).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -415,20 +424,19 @@ def agg4_weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CAST(length(regexp_replace(text, '[^A-Za-z\\x{00C0}-\\x{024F}]', '', 'g')) AS BIGINT) AS latin, CAST(length(regexp_replace(text, '[^\\x{0370}-\\x{03FF}]', '', 'g')) AS BIGINT) AS greek FROM documents""")
+SELECT doc_id, CAST(length(regexp_replace(text, '[^A-Za-z\\x{00AA}\\x{00B5}\\x{00BA}\\x{00C0}-\\x{00D6}\\x{00D8}-\\x{00F6}\\x{00F8}-\\x{024F}\\x{1E00}-\\x{1EFF}]', '', 'g')) AS BIGINT) AS latin,
+  CAST(length(regexp_replace(text, '[^\\p{Greek}]|[^\\p{L}]', '', 'g')) AS BIGINT) AS greek, CASE WHEN regexp_matches(text, '[A-Za-z\\x{00C0}-\\x{024F}]') THEN 'Latin' END AS main FROM documents""")
 def agg5_script_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = text.script_counts("text")
-    return tables.load(spark, sf_dir, "documents").select("doc_id", n["Latin"].cast("long").alias("latin"), n["Greek"].cast("long").alias("greek"))
+    return tables.load(spark, sf_dir, "documents").select("doc_id", n["Latin"].cast("long").alias("latin"), n["Greek"].cast("long").alias("greek"), text.dominant_script("text").alias("main"))
 
 
 @query("""
-WITH r AS (SELECT p_brand AS grp, p_name AS txt, count(*) AS n FROM part WHERE p_size <= 50 GROUP BY 1, 2),
+WITH r AS (SELECT p_brand AS grp, p_name AS txt, count(*) AS n FROM part GROUP BY 1, 2),
 s AS (SELECT a.grp, a.txt, CAST(sum(b.n * levenshtein(a.txt, b.txt)) AS BIGINT) AS cost FROM r a JOIN r b ON a.grp = b.grp GROUP BY 1, 2)
 SELECT grp, txt, cost FROM s QUALIFY row_number() OVER (PARTITION BY grp ORDER BY cost, txt) = 1""")
 def agg7_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.vectors import medoid
-
-    return medoid(tables.load(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("txt")))
+    return vectors.medoid(tables.load(spark, sf_dir, "part").select(F.col("p_brand").alias("grp"), F.col("p_name").alias("txt")))
 
 
 @query("""
@@ -461,9 +469,7 @@ def agg10_cost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH x AS (SELECT label, i, sum(CAST(embedding[i] AS DOUBLE)) AS s FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(s * s)) AS norm FROM x GROUP BY 1)
 SELECT label, CAST(i AS BIGINT) AS pos, CAST(round(s / norm * 1000000) AS BIGINT) AS value_millionths FROM x JOIN n USING (label)""")
 def agg11_mean_unit_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.vectors import mean_unit
-
-    m = mean_unit(tables.load(spark, sf_dir, "embeddings"), "label", "embedding")
+    m = vectors.mean_unit(tables.load(spark, sf_dir, "embeddings"), "label", "embedding")
     return m.select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.round(F.col("value") * 1_000_000).cast("long").alias("value_millionths"))
 
 
@@ -471,8 +477,8 @@ def agg11_mean_unit_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH o AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
 SELECT user_id, event_type, CASE WHEN max(n) >= 5 THEN max(CASE WHEN r = n // 2 THEN value END) END AS median FROM o GROUP BY 1, 2""")
 def agg12_median_or_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.load(spark, sf_dir, "events").groupBy("user_id", "event_type")
-    return e.agg(F.when(F.count("value") >= 5, maths.upper_median("value")).alias("median"))
+    found = ranks.at_ranks(tables.load(spark, sf_dir, "events"), ["user_id", "event_type"], "value", {"median": ranks.median()})
+    return found.select("user_id", "event_type", F.when(F.col("n") >= 5, F.col("median")).alias("median"))
 
 
 @query("""
@@ -488,8 +494,8 @@ def agg13_louder_half(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT user_id, max(CASE WHEN r = n // 2 THEN value END) AS median, max(CASE WHEN r = CAST(floor(n * 0.25) AS BIGINT) THEN value END) AS quarter, max(CASE WHEN r = CAST(round_even(0.05 * (n - 1), 0) AS BIGINT) THEN value END) AS low FROM o GROUP BY user_id""")
 def agg14_quantile_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.load(spark, sf_dir, "events").groupBy("user_id")
-    return e.agg(maths.upper_median("value").alias("median"), maths.pick_percentile("value", 0.25).alias("quarter"), maths.pick_percentile("value", 0.05, "round").alias("low"))
+    wanted = {"median": ranks.median(), "quarter": ranks.truncated(0.25), "low": ranks.rounded(0.05)}
+    return ranks.at_ranks(tables.load(spark, sf_dir, "events"), ["user_id"], "value", wanted).drop("n")
 
 
 @query("SELECT lower(p_type) AS k, min_by(p_partkey, p_partkey) AS first_part, count(*) AS n FROM part GROUP BY 1")
@@ -550,14 +556,15 @@ def prj8_doubtful_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(~((F.col("value") > 60) & (odd > 0) & (odd < 50))).select("event_id")
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(lower(text), 'https?://|www\\.|[a-z0-9-]+\\.(com|net|org|tv|info|ru|io)\\b')")
+@query("""
+SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '\\b(www\\.|https?://)|\\b[a-z0-9][a-z0-9-]{2,}\\.(com|net|org|cc|tv|io|me|to|co|info|xyz|site|online|top|vip|live|app|club|pro|biz|ws|la|in|ru|cn|vn)\\b')""")
 def prj11_web_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "documents").where(text.web_address("text")).select("doc_id")
 
 
 @query("""
 WITH {cu}, s AS (SELECT *, lag(start_us) OVER w AS before, lead(start_us) OVER w AS nxt, end_us - start_us AS len,
-  length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>|\\{[^}]*\\}', '', 'g'), '\\\\[Nn]', chr(10), 'g'), '\\\\h', ' ', 'g'), '\\s*\\n\\s*', ' ', 'g'))) AS n FROM cu WINDOW w AS (PARTITION BY key ORDER BY ord)),
+  length(array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', '', 'g'), '\\{\\\\[^}]*\\}', '', 'g'), '\\\\[Nn]', chr(10), 'g'), '\\\\h', ' ', 'g'), chr(10)), lambda x: trim(x)), '')) AS n FROM cu WINDOW w AS (PARTITION BY key ORDER BY ord)),
 p AS (SELECT key, ord, list_filter([CASE WHEN start_us < 0 THEN 'negative start' END, CASE WHEN len < 0 THEN 'ends before start' END, CASE WHEN len = 0 THEN 'no length' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END,
   CASE WHEN start_us < before THEN 'out of order' END, CASE WHEN nxt < end_us AND nxt >= start_us THEN 'overlap' END, CASE WHEN len > 0 AND n * 1000000 > len * 20 THEN 'too fast' END], lambda x: x IS NOT NULL) AS p, start_us < 0 OR len < 0 AS bad FROM s)
 SELECT key, ord, array_to_string(p, ', ') AS problems, CASE WHEN bad THEN 2 WHEN len(p) > 0 THEN 1 ELSE 0 END AS severity FROM p""")
@@ -577,18 +584,40 @@ def pip5_paired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.paired(cu.where("role = 'assistant'"), cu.where("role = 'user'"), 4_000_000).select("key", "ord", "original")
 
 
-@query("""
-WITH {cu}, a AS (SELECT key, ord, text, lag(text) OVER (PARTITION BY key ORDER BY ord) AS original FROM cu),
-k AS (SELECT *, regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{Nd}]', '', 'g') AS l, regexp_replace(lower(coalesce(original, '')), '[^\\p{L}\\p{Nd}]', '', 'g') AS o FROM a),
-w AS (SELECT *, lag(l) OVER (PARTITION BY key ORDER BY ord) AS ll, lag(o) OVER (PARTITION BY key ORDER BY ord) AS lo FROM k)
-SELECT key, ord, CASE WHEN o <> '' AND l = '' THEN 'missing' WHEN o <> '' AND l = o THEN 'unchanged' WHEN l <> '' AND l = ll AND o <> lo THEN 'repeated'
-  WHEN o <> '' AND regexp_matches(coalesce(text, ''), '[?？؟]\\s*$') <> regexp_matches(coalesce(original, ''), '[?？؟]\\s*$') THEN 'question' END AS flag FROM w""")
+def _plain_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(replace(coalesce({x}, ''), chr(13), ''), '\{{[^}}]*\}}|</?[a-zA-Z][^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+_KEY_SQL = r"regexp_replace(lower({}), '[^\p{{L}}\p{{Nd}}]', '', 'g')"
+_WORDS_SQL = r"len(regexp_extract_all({}, '\S*\p{{L}}\S*'))"
+#: The rules of review.reviewed for English, over p (key, ord, text, original).
+_REVIEW_SQL = rf"""
+x AS (SELECT key, ord, {_plain_sql("text")} AS t, CASE WHEN original IS NOT NULL THEN {_plain_sql("original")} END AS o FROM p),
+k AS (SELECT *, {_KEY_SQL.format("t")} AS kt, {_KEY_SQL.format("o")} AS ko, CASE WHEN regexp_matches(o, '\p{{L}}') THEN 'Latin' ELSE 'Other' END AS script FROM x),
+w AS (SELECT *, lag(kt) OVER (PARTITION BY key ORDER BY ord) AS lt, lag(ko) OVER (PARTITION BY key ORDER BY ord) AS lo FROM k),
+f AS (SELECT *, CASE WHEN NOT coalesce(regexp_matches(o, '\p{{L}}'), false) THEN NULL WHEN NOT regexp_matches(t, '\p{{L}}') THEN 'missing' WHEN regexp_matches(t, '[\x{{0370}}-\x{{1DFF}}\x{{3040}}-\x{{9FFF}}\x{{AC00}}-\x{{D7AF}}]') THEN 'leftover'
+  WHEN ko = kt AND {_WORDS_SQL.format("o")} >= 2 THEN 'unchanged' WHEN {_WORDS_SQL.format("t")} >= 4 AND kt = lt AND ko <> lo THEN 'repeated'
+  WHEN regexp_matches(regexp_replace(o, '[ ."''」』)\-»«]+$', ''), '[?？؟՞፧]$') AND NOT regexp_matches(t, '[?？؟՞፧]') THEN 'question' END AS flag FROM w),
+u AS (SELECT key, script, length(kt) / length(ko) AS ratio, row_number() OVER (PARTITION BY key, script ORDER BY length(kt) / length(ko)) - 1 AS r, count(*) OVER (PARTITION BY key, script) AS n FROM f WHERE length(ko) >= 2 AND length(kt) >= 2),
+m AS (SELECT key, script, ratio AS usual FROM u WHERE r = n // 2 AND n >= 20)
+SELECT f.key, f.ord, CASE WHEN flag IS NULL AND o IS NOT NULL AND length(ko) >= 2 AND length(kt) >= 25 AND length(kt) > length(ko) * usual * 3 THEN 'too long' ELSE flag END AS flag
+FROM f LEFT JOIN m ON f.key = m.key AND f.script = m.script"""
+
+
+@query("WITH {cu}, p AS (SELECT key, ord, text, lag(text) OVER (PARTITION BY key ORDER BY ord) AS original FROM cu)," + _REVIEW_SQL)
 def prj18_translation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = tables.cues(spark, sf_dir)
     before = F.lag("text").over(Window.partitionBy("key").orderBy("ord"))
     return review.reviewed(cu.select("key", "ord", "text", before.alias("original")))
 
 
+@query("WITH {cu}, p AS (SELECT key % 4 AS key, key * 1000 + ord AS ord, text, lag(text) OVER (PARTITION BY key ORDER BY ord) AS original FROM cu)," + _REVIEW_SQL)
+def pip5_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cu = tables.cues(spark, sf_dir)
+    before = F.lag("text").over(Window.partitionBy("key").orderBy("ord"))
+    return review.reviewed(cu.select((F.col("key") % 4).alias("key"), (F.col("key") * 1000 + F.col("ord")).alias("ord"), "text", before.alias("original")))
+
+
 # functions
 
 
@@ -625,7 +654,7 @@ def fn7_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, CAST(length(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>|\{[^}]*\}', '', 'g'), '\\[Nn]', chr(10), 'g'), '\\h', ' ', 'g')) AS BIGINT) AS n FROM pages""")
+SELECT page_id, CAST(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '\{\\[^}]*\}', '', 'g'), '\\[Nn]', chr(10), 'g'), '\\h', ' ', 'g')) AS BIGINT) AS n FROM pages""")
 def fn8_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "pages").select("page_id", F.length(text.strip_tags("html")).cast("long").alias("n"))
 
@@ -638,17 +667,11 @@ def fn16_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT n_nationkey, regexp_replace(regexp_replace(translate(translate(regexp_replace(lower(n_name), '[^a-z]', '', 'g'), 'gdbrjv', 'ktplzf'), 'f', 'p'), '(.)h+', '\\1', 'g'), '[aeiouwy]', '', 'g') AS k0 FROM nation WHERE NOT regexp_matches(lower(n_name), 'h')""")
+WITH k AS (SELECT n_nationkey, regexp_replace(translate(replace(replace(regexp_replace(lower(n_name), '[^\\p{L}]', '', 'g'), 'ch', 'j'), 'sh', 's'), 'gdbrzf', 'ktpljp'), '[aeiouyw]', '', 'g') AS k FROM nation),
+h AS (SELECT n_nationkey, k[1:1] || replace(k[2:], 'h', '') AS k FROM k)
+SELECT n_nationkey, array_to_string(list_filter(list_transform(range(1, length(k) + 1), lambda i: CASE WHEN i = 1 OR k[i:i] <> k[i - 1:i - 1] THEN k[i:i] ELSE '' END), lambda x: x <> ''), '') AS k FROM h""")
 def fn20_sound_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # what the SQL gives, for names without h; the operator's own key is fn20_all_sound_keys
-    n = tables.load(spark, sf_dir, "nation").where(~F.lower("n_name").rlike("h"))
-    bare = F.regexp_replace(F.translate(F.translate(F.regexp_replace(F.lower("n_name"), "[^a-z]", ""), "gdbrjv", "ktplzf"), "f", "p"), "[aeiouwy]", "")
-    return n.select("n_nationkey", bare.alias("k0"))
-
-
-@query()
-def fn20_all_sound_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.load(spark, sf_dir, "nation").select("n_nationkey", text.sound_key("n_name").alias("k0"))
+    return tables.load(spark, sf_dir, "nation").select("n_nationkey", text.sound_key("n_name").alias("k"))
 
 
 @query("""
@@ -664,12 +687,13 @@ def srt5_worst_five(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-m AS (SELECT user_id, value AS median FROM o WHERE r = n // 2) SELECT o.user_id, o.event_id FROM o JOIN m USING (user_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY abs(value - median), event_id) = 1""")
+WITH {iv}, v AS (SELECT iv.*, e.value FROM iv JOIN events e ON e.event_id = iv.ord), o AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY key) AS n FROM v),
+m AS (SELECT key, value AS middle FROM o WHERE r = n // 2)
+SELECT v.key, v.ord FROM v JOIN m ON v.key = m.key QUALIFY row_number() OVER (PARTITION BY v.key ORDER BY CASE WHEN end_us - start_us >= 7200000000 THEN 0 ELSE 1 END,
+  CASE WHEN end_us - start_us >= 7200000000 THEN abs(value - middle) ELSE 0 END, CASE WHEN end_us - start_us >= 7200000000 THEN 0 ELSE start_us - end_us END, start_us, ord) = 1""")
 def srt7_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = tables.load(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    met = e.join(review.group_medians(e, "user_id", "value", 1), "user_id").withColumn("far", F.abs(F.col("value") - F.col("median")))
-    return met.groupBy("user_id").agg(F.min(F.struct("far", "event_id"))["event_id"].alias("event_id"))
+    rows = tables.intervals(spark, sf_dir).join(tables.load(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), "value"), "ord")
+    return review.representative(rows, "value", 2 * HOUR)
 
 
 @query("""
@@ -721,3 +745,6 @@ def fn40_content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def fn41_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+from . import file_queries, text_queries  # noqa: E402, F401  they register theirs here

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueframe.functions import maths, text, time
+from cueframe.operators import ranks
 
 
 def values(spark, rows, column, kind="string"):
@@ -30,7 +31,7 @@ def test_natural_order(spark):
 
 def test_names(spark):
     assert values(spark, ["Deok-gi", "Da-ki"], text.sound_key("x")) == ["tk", "tk"]
-    assert values(spark, ["Hyper Knife - S01E03 - Episode 3.ko.srt", "plain.srt"], text.show_name("x")) == ["Hyper Knife", None]
+    assert values(spark, ["Hyper Knife - S01E03 - Episode 3.ko.srt", "plain.srt"], text.show_name("x")) == ["Hyper Knife", "plain"]
     assert values(spark, ["pt-BR", "EN_us"], text.language_head("x")) == ["pt", "en"]
 
 
@@ -41,7 +42,7 @@ def test_scripts_and_width(spark):
 
 
 def test_reading(spark):
-    assert values(spark, ["<i>ab</i>\\Ncd"], text.reading_chars("x")) == [5.0]
+    assert values(spark, ["<i>ab</i>\\Ncd"], text.reading_chars("x")) == [4.0]
     assert values(spark, ["ab漢"], text.reading_chars("x", "ja-JP")) == [2.0]
     assert text.reading_limit("ko") == 12 and text.reading_limit("fr") == 17
 
@@ -50,15 +51,54 @@ def test_spoken(spark):
     assert values(spark, ["[door]", "(sighs) yes", "♪ la ♪", "no"], text.spoken("x")) == [False, True, False, True]
 
 
-def test_balanced_break(spark):
-    assert values(spark, ["aaaa bbbb", "word", "ab, cdef ghijk"], text.balanced_break("x")) == [5, 0, 4]
+def test_wrapping(spark):
+    rows = ["aaaa bbbb", "word", "ab, cdef ghijk", "漢字漢、字漢字", "a b"]
+    assert values(spark, rows, text.wrap("x", 8)) == ["aaaa\nbbbb", "word", "ab,\ncdef ghijk", "漢字漢、\n字漢字", "a b"]
 
 
-def test_medians_and_percentiles(spark):
-    df = spark.createDataFrame([(x,) for x in [4.0, 1.0, 3.0, 2.0]], "x double")
-    row = df.agg(maths.upper_median("x").alias("m"), maths.pick_percentile("x", 0.5).alias("p"), maths.pick_percentile("x", 0.5, "round").alias("r")).first()
-    assert (row.m, row.p, row.r) == (3.0, 3.0, 3.0)
-    assert df.where("x > 9").agg(maths.upper_median("x").alias("m")).first().m is None
+def test_limits_and_widths_of_languages(spark):
+    assert [text.reading_limit(x) for x in ("en-US", "ko", "zh", "yue", "ja", "fr", "", None)] == [20, 12, 9, 9, 4, 17, 17, 17]
+    assert values(spark, ["ab漢ｶ\n é "], text.reading_chars("x", "ja")) == [3.0] and values(spark, ["ab\n\n c "], text.reading_chars("x")) == [3.0]
+    assert values(spark, ["ᄀᇿ", "ꀀ", "Ａ｡"], text.columns_wide("x")) == [4, 1, 3]
+    assert values(spark, ["{\\an8}<i>a</i>{b}\\Nc"], text.strip_tags("x")) == ["a{b}\nc"]
+
+
+def test_names_that_are_alike(spark):
+    pairs = [("Ichida", "Ichiza"), ("Kim Deok-gi", "Kim Deok-ki"), ("Kim Deok-gi", "Park Deok-gi"), ("Anna", "Anne"), ("Choi Deok-gi", "Choi Da-ki"), ("Gi-young", "Kyung-hwa"), ("DEOK-gi", "deokgi")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [tuple(r) for r in df.select(text.nearly_same("a", "b"), text.look_alike("a", "b")).collect()] == [(True, True), (True, True), (False, False), (False, False), (False, True), (False, False), (True, True)]
+
+
+def test_natural_order_of_long_numbers(spark):
+    rows = ["a" + "9" * 25, "a1" + "0" * 25, "a7b", "A07B", "a", "b"]
+    keys = values(spark, rows, text.natural_key("x"))
+    assert keys[0] < keys[1] and keys[2] == keys[3] < keys[0] and keys[4] < keys[2] < keys[5]
+
+
+def test_scripts_and_questions(spark):
+    rows = ["Привет мир", "Hi 漢", "γ; ", "Really?\"", "Գնո՞ւմ ես", "no", None]
+    assert values(spark, rows, text.dominant_script("x")) == ["Cyrillic", "Han", "Greek", "Latin", "Armenian", "Latin", None]
+    assert values(spark, rows, text.foreign_letters("x", "ja")) == [True, False, True, False, True, False, False]
+    assert values(spark, rows, text.asks("x")) == [False, False, True, True, True, False, None]
+    assert values(spark, ["a;", "b?"], text.has_question_mark("x", "el")) == [True, True] and values(spark, ["a;"], text.has_question_mark("x", "en")) == [False]
+
+
+def plain_rank(values, place):
+    return sorted(values)[place(len(values))]
+
+
+def test_places_of_sorted_groups(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(g, v) for g in ("a", "b", None, "c") for v in [r.choice([r.random(), float(round(r.random() * 4)), -3.5]) for _ in range(r.randrange(1, 3000))]]
+    rows += [("d", 2.0), ("e", float("inf")), ("e", float("-inf")), ("e", 1.0), ("f", None)]
+    wanted = {"m": ranks.median(), "t": ranks.truncated(0.15), "r": ranks.rounded(0.95)}
+    found = {x.g: x for x in ranks.at_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", wanted).collect()}
+    assert set(found) == {"a", "b", None, "c", "d", "e"}
+    for g, x in found.items():
+        mine = [v for k, v in rows if k == g and v is not None]
+        assert x.n == len(mine) and x.m == plain_rank(mine, lambda n: n // 2) and x.t == plain_rank(mine, lambda n: min(int(n * 0.15), n - 1)) and x.r == plain_rank(mine, lambda n: round(0.95 * (n - 1)))
 
 
 def test_vectors(spark):
