@@ -20,81 +20,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import words
+from .shared import named, numbered, place_of, slices, words
 
 SEED_TOKENS, LEAST_TILE, COVERAGE = 5, 3, 0.5
 #: Bytes of item text that one pass holds; a single longer item is a pass of its own.
 BLOCK_BYTES = 8_000_000
+#: Bytes of text that a task looks at together.
+SLICE_BYTES = 16_000_000
 _B = np.uint64(0x100000001B3)
 
 
-def _windows(prefix: np.ndarray, power: np.ndarray, s: int) -> np.ndarray:
-    """Rolling hashes of all runs of s tokens."""
-    return prefix[s:] - prefix[:-s] * power[s]
+def _powers(n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, _B, dtype=np.uint64)])
 
 
-def _prefix(tokens: np.ndarray) -> np.ndarray:
-    out = [0]
-    b, mask = int(_B), (1 << 64) - 1
-    for t in tokens.tolist():
-        out.append((out[-1] * b + t + 1) & mask)
-    return np.array(out, dtype=np.uint64)
+def _prefix(tokens: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Sums of (token + 1) * power of its place: the hash of any run is a difference of two, scaled by its place."""
+    return np.r_[np.uint64(0), np.cumsum((tokens + 1).astype(np.uint64) * power[: len(tokens)])]
+
+
+def _windows(prefix: np.ndarray, power: np.ndarray, at: np.ndarray, s: int) -> np.ndarray:
+    """Hashes of the runs of s tokens that begin at `at`, alike wherever they stand."""
+    return (prefix[at + s] - prefix[at]) * power[len(power) - 1 - at]
+
+
+def _ends(free: np.ndarray) -> np.ndarray:
+    """For each place, where the next marked one is."""
+    places = np.where(free, len(free), np.arange(len(free)))
+    return np.minimum.accumulate(places[::-1])[::-1]
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length) of matches that do not overlap, longest first.
 
     Matches shorter than `least` tokens do not count; ties go to the first place in the item, then in the text. Negative
-    tokens match nothing. Empty inputs have no tiles.
+    tokens match nothing. Empty inputs have no tiles. Each round finds the longest length at which the two still share a
+    run of free tokens, by bisection, and marks the runs of that length from left to right; a run in the item is matched
+    with the places of the text in their order, so that repetition costs no more than its length.
     """
     n, m = len(item), len(text)
     if min(n, m) < least:
         return []
-    power = np.ones(n + 1, dtype=np.uint64)
-    for i in range(1, n + 1):
-        power[i] = np.uint64(int(power[i - 1]) * int(_B) & (1 << 64) - 1)
-    a, b = _prefix(item), _prefix(text)
+    power = _powers(max(n, m))
+    a, b = _prefix(item, power), _prefix(text, power)
     free_a, free_b = item >= 0, text >= 0
-    out = []
-    s = min(n, 16)
-    s = max(s, least)
-    while True:
-        # the longest matches of at least s tokens among free ones
-        busy_a, busy_b = np.r_[0, np.cumsum(~free_a)], np.r_[0, np.cumsum(~free_b)]
-        at_a = np.flatnonzero(busy_a[s:] == busy_a[:-s])
-        at_b = np.flatnonzero(busy_b[s:] == busy_b[:-s]) if m >= s else np.zeros(0, dtype=np.int64)
-        found = []
-        if len(at_a) and len(at_b):
-            by_hash = defaultdict(list)
-            for place, h in zip(at_a.tolist(), _windows(a, power, s)[at_a].tolist(), strict=True):
-                by_hash[h].append(place)
-            hashes = _windows(b, power, s)[at_b]
-            hit = np.isin(hashes, np.fromiter(by_hash, dtype=np.uint64))
-            for j, h in zip(at_b[hit].tolist(), hashes[hit].tolist(), strict=True):
-                for i in by_hash[h]:
-                    if (item[i : i + s] == text[j : j + s]).all():
-                        k = s
-                        while i + k < n and j + k < m and free_a[i + k] and free_b[j + k] and item[i + k] == text[j + k]:
-                            k += 1
-                        found.append((-k, i, j))
-        if found and -min(found)[0] > 2 * s:
-            s = -min(found)[0]  # start again with the long ones
-            continue
-        for k, i, j in sorted(found):
-            k = -k
-            if free_a[i : i + k].all() and free_b[j : j + k].all():
-                free_a[i : i + k] = False
-                free_b[j : j + k] = False
-                out.append((i, j, k))
-            # an occluded match is found again with a shorter search length
-        if s == least:
-            rest = [f for f in found if free_a[f[1] : f[1] + s].all() and free_b[f[2] : f[2] + s].all()]
-            if not rest:
-                return out
-        elif s > 2 * least:
-            s //= 2
-        else:
-            s -= 1
+    out: list[tuple[int, int, int]] = []
+
+    def shared(s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places of free runs of s tokens that both have, with their hashes."""
+        at_a, at_b = (np.flatnonzero(_ends(f)[: len(f) - s + 1] - np.arange(len(f) - s + 1) >= s) for f in (free_a, free_b))
+        ha, hb = _windows(a, power, at_a, s), _windows(b, power, at_b, s)
+        in_a = np.isin(ha, hb)
+        in_b = np.isin(hb, ha[in_a])
+        return at_a[in_a], ha[in_a], at_b[in_b], hb[in_b]
+
+    top = min(n, m)
+    while top >= least:
+        low, high = least - 1, top  # the longest shared run is longer than low - 1 and no longer than high
+        while low < high:
+            mid = (low + high + 1) // 2
+            if len(shared(mid)[0]):
+                low = mid
+            else:
+                high = mid - 1
+        if low < least:
+            return out
+        at_a, ha, at_b, hb = shared(low)
+        order = np.argsort(hb, kind="stable")
+        hb, at_b = hb[order], at_b[order].tolist()
+        next_of: dict[int, int] = {}
+        begin, end = np.searchsorted(hb, ha, "left").tolist(), np.searchsorted(hb, ha, "right").tolist()
+        used_a = 0
+        for i, p, q in zip(at_a.tolist(), begin, end, strict=True):
+            if i < used_a:
+                continue
+            k = next_of.get(p, p)
+            while k < q and not free_b[at_b[k] : at_b[k] + low].all():
+                k += 1  # marked by now: no later run needs it either
+            next_of[p] = k
+            if k < q:
+                j = at_b[k]
+                free_a[i : i + low] = False
+                free_b[j : j + low] = False
+                out.append((i, j, low))
+                used_a = i + low
+        top = low
+    return out
 
 
 class Benchmark:
@@ -159,23 +170,28 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
 
 
 def _matched(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least: int = LEAST_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(row, matches): a struct of all columns, and the items that it covers, or null."""
+    """(row, matches): a struct of all numbered columns, and the items that it covers.
+
+    One pass for all blocks of items: a task holds the rows of a slice and looks at one block after another.
+    """
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(T.ArrayType(T.IntegerType())))]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.list_(pa.int32())))]))
-    out = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.lit(None).cast(kind).alias("matches"))
-    for items in _blocks(benchmark, block_bytes):
-        held = docs.sparkSession.sparkContext.broadcast(items)
-        schema = out.schema
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            block = Benchmark(held.value, seed)
-            for record in batches:
-                texts, before = record.column(2).to_pylist(), record.column(1).to_pylist()
-                found = [(b or []) + [{"item_id": i, "coverage": c, "tiles": [[*t] for t in ts]} for i, c, ts in _found(block, t, least, coverage)] for b, t in zip(before, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([record.column(0), pa.array(found, arrow)], names=["row", "matches"])
-
-        out = out.select("row", "matches", F.col("row.text").cast("string").alias("text")).mapInArrow(run, schema)
-    return out
+    held = [docs.sparkSession.sparkContext.broadcast(items) for items in _blocks(benchmark, block_bytes)]
+    rows = numbered(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = Benchmark(held[0].value, seed) if len(held) == 1 else None
+        for record in slices(batches, 1, SLICE_BYTES):
+            texts = record.column(1).to_pylist()
+            found: list[list] = [[] for _ in texts]
+            for items in held:
+                block = only or Benchmark(items.value, seed)
+                for into, t in zip(found, texts, strict=True):
+                    into += [{"item_id": i, "coverage": c, "tiles": [[*x] for x in ts]} for i, c, ts in _found(block, t, least, coverage)]
+            yield pa.RecordBatch.from_arrays([record.column(0), pa.array(found, arrow)], names=["row", "matches"])
+
+    given = rows.select(F.struct(*rows.columns).alias("row"), F.col(place_of(docs, "text")).cast("string").alias("text"))
+    return given.mapInArrow(run, T.StructType([given.schema["row"], T.StructField("matches", kind)]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -186,18 +202,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     texts and items match nothing; repeated rows give repeated results; an item_id with several texts has each of them
     compared. A column of docs named `matches` is replaced. An empty benchmark leaves every row clean.
     """
-    return _matched(docs, benchmark, **options).select(*(F.col(f"row.`{c}`") for c in docs.columns if c.lower() != "matches"), "matches")
+    columns = [c for c, name in zip(named("row", docs.columns), docs.columns, strict=True) if name.lower() != "matches"]
+    return _matched(docs, benchmark, **options).select(*columns, "matches")
 
 
 def contaminated_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """(doc_id, n_items, item_ids array<long>, item_id of the best match, coverage, contaminated) for each row of docs."""
     found = contamination(docs.select("doc_id", "text"), benchmark, **options)
     best = F.array_sort("matches", lambda a, b: F.when(a["coverage"] != b["coverage"], F.when(a["coverage"] > b["coverage"], -1).otherwise(1)).when(a["item_id"] < b["item_id"], -1).when(a["item_id"] > b["item_id"], 1).otherwise(0))[0]
-    n = F.coalesce(F.size("matches"), F.lit(0))
+    n = F.size("matches")
     has = n > 0
     return found.select("doc_id", n.alias("n_items"), F.sort_array(F.array_distinct(F.coalesce(F.transform("matches", lambda m: m["item_id"]), F.array().cast("array<bigint>")))).alias("item_ids"), F.when(has, best["item_id"]).alias("item_id"), F.when(has, best["coverage"]).otherwise(0.0).alias("coverage"), has.alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that cover no item."""
-    return _matched(docs, benchmark, **options).where("matches is null or size(matches) = 0").select("row.*")
+    return _matched(docs, benchmark, **options).where("size(matches) = 0").select(named("row", docs.columns))

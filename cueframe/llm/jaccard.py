@@ -26,19 +26,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
-from .shared import buckets_of, components, from_planes, materialise, narrow, pack, planes, runs, unpack, words
+from .shared import Memo, buckets_for, components, from_planes, materialise, narrow, pack, planes, runs, slices, unpack, words
 from .token_counts import _PACKED, _rows
 
 #: A task packs about so many shingles at once.
 PACK_SHINGLES = 2_000_000
-#: So many document ids (8 bytes each) are broadcast at most; beyond, Spark shuffles the join.
-BROADCAST_IDS = 1_000_000
+#: So many heads of classes (32 bytes each) are broadcast at most; beyond, Spark shuffles the join.
+BROADCAST_HEADS = 250_000
 #: Bits of a token by which it is counted and looked up; beside them, a batch's document takes 16.
 BITS = 40
 _DOC = np.uint64(16)
 _K = np.uint64(0x9E3779B97F4A7C15)
-_WORD_HASH = Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -49,12 +47,16 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def word_hashes() -> Memo:
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+
+
+def shingle_set(text: str | None, size: int, hashes: Memo) -> np.ndarray:
     """Sorted hashes of the distinct shingles; the whole sequence where there are fewer words; none without words."""
     w = words(text)
     if not w:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_WORD_HASH.__getitem__, w), dtype=np.uint64, count=len(w))
+    h = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
     n = min(size, len(w))
     s = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for k in range(n):
@@ -66,10 +68,15 @@ def prefix_length(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + (n > 0)
 
 
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, in two columns."""
+    return np.array([[d & 0xFFFFFFFFFFFFFFFF, d >> 64] for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2)
+
+
 def _pack_sets(size: int, percent: int, buckets: int):
     def flush(batch: int, ids: list, null: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         n = np.array([len(s) for s in sets], dtype=np.int64)
-        keys = np.array([[d & 0xFFFFFFFFFFFFFFFF, d >> 64] for d in (xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets)], dtype=np.uint64).reshape(-1, 2)
+        keys = set_keys(sets)
         # sorted by token, which is by bucket as well
         key = np.sort((np.concatenate(sets) >> np.uint64(64 - BITS)) << _DOC | np.repeat(np.arange(len(sets), dtype=np.uint64), n))
         token, doc = key >> _DOC, (key & np.uint64((1 << 16) - 1)).astype(np.uint16)
@@ -85,12 +92,12 @@ def _pack_sets(size: int, percent: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids, null, sets, total = [], [], [], 0
-        for record in batches:
+        ids, null, sets, total, hashes = [], [], [], 0, word_hashes()
+        for record in slices(batches, 1, 4_000_000):
             for doc_id, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
                 ids.append(doc_id or 0)
                 null.append(doc_id is None)
-                sets.append(shingle_set(text, size))
+                sets.append(shingle_set(text, size, hashes))
                 total += len(sets[-1])
                 if total > PACK_SHINGLES or len(sets) >= 60_000:
                     yield flush(part << 24 | seq, ids, null, sets)
@@ -159,17 +166,19 @@ def _prefixes(percent: int):
     return run
 
 
-_SETS = "id long, full binary, second binary, third binary"
+_SETS = "doc_id long, k1 long, k2 long, full binary, second binary, third binary"
 
 
 def _sets(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in batches:
-            found = [shingle_set(t, size) for t in record.column(1).to_pylist()]
+        hashes = word_hashes()
+        for record in slices(batches, 1, 4_000_000):
+            found = [shingle_set(t, size, hashes) for t in record.column(1).to_pylist()]
             out = [[s.tobytes() for s in found]]
             for salt in (2, 3):  # a filter may be loose: 32 bits of a token do
                 out.append([np.sort(np.sort(mix(s, salt))[: prefix_length(len(s), percent)] >> np.uint64(32)).astype(np.uint32).tobytes() for s in found])
-            yield pa.RecordBatch.from_arrays([record.column(0), *(pa.array(x, pa.binary()) for x in out)], names=["id", "full", "second", "third"])
+            keys = set_keys(found).view(np.int64)
+            yield pa.RecordBatch.from_arrays([record.column(0), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), *(pa.array(x, pa.binary()) for x in out)], names=["doc_id", "k1", "k2", "full", "second", "third"])
 
     return run
 
@@ -223,16 +232,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    packed = docs.mapInArrow(_pack_sets(size, percent, buckets_of(spark)), _PACKED)
+    packed = docs.mapInArrow(_pack_sets(size, percent, buckets_for(docs, "text")), _PACKED)
     counted = packed.groupBy("key").applyInArrow(_frequencies, _PACKED)
     listed = counted.groupBy("key").applyInArrow(_prefixes(percent), "doc_id long, n long, m long, k1 long, k2 long, tokens array<long>, places array<int>")
     listed = materialise(listed, "prefixes")
 
-    classes = listed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    classes = materialise(classes, "classes")
-    heads = listed.where("size(tokens) > 0").join(classes.select(F.col("class_id").alias("doc_id"), F.col("k1").alias("c1"), F.col("k2").alias("c2")), "doc_id").where("k1 = c1 and k2 = c2")
-    index = heads.select("doc_id", "n", "m", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("doc_id").alias("d"), "n", "m", F.col("t.tokens").alias("token"), F.col("t.places").alias("place"))
-    index = index.distinct()
+    # a class of equal sets is known by its content; its number is unique once the table is written, whatever the ids
+    classes = listed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("tokens").alias("tokens"), F.first("places").alias("places"))
+    classes = materialise(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
+    index = classes.where("size(tokens) > 0").select(F.col("class_id").alias("d"), "n", "m", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    index = index.select("d", "n", "m", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")).distinct()
     # a token leads to the document that has the fewest rarer ones, of a group of edited copies to the original
     leaders = index.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("m") + F.col("place")).alias("rank"), "d", "n", "m", "place")).alias("lead"), F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
     leaders = leaders.select("token", F.col("lead.d").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.m").alias("leader_m"), F.col("lead.place").alias("leader_place"))
@@ -243,9 +252,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     votes = index.where("d <> leader").where(close).groupBy("d", "leader").agg(F.count("*").alias("votes"))
     first = votes.groupBy(F.col("d").alias("b")).agg(F.max_by("leader", F.struct("votes", -F.col("leader"))).alias("a"))
     first = materialise(first.select("a", "b"), "pairs")
-    ids = index.select(F.col("d").alias("doc_id")).distinct()
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = materialise(docs.join(wanted, "doc_id").mapInArrow(_sets(size, percent), _SETS), "sets")
+    heads = classes.select("class_id", "k1", "k2", F.col("least").alias("doc_id")).join(index.select(F.col("d").alias("class_id")).distinct(), "class_id", "left_semi")
+    heads = F.broadcast(heads) if heads.count() <= BROADCAST_HEADS else heads
+    texts = docs.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(size, percent), _SETS)
+    sets = texts.join(heads, ["doc_id", "k1", "k2"]).select(F.col("class_id").alias("id"), "full", "second", "third")
+    sets = materialise(sets, "sets")
+    if sets.count() > sets.select("id").distinct().count():  # rows that repeat a doc_id and its text
+        sets = materialise(sets.dropDuplicates(["id"]), "sets")
     links = materialise(_verified(first, sets, percent), "links")
 
     # second round: pairs of different components
@@ -253,12 +266,19 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     labelled = index.select("token", "d", "n", "m", "place").join(label.withColumnRenamed("id", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
     mixed = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     labelled = materialise(labelled.join(mixed, "token"), "labelled")
-    other = labelled.select("token", *(F.col(x).alias(f"{x}_b") for x in ("d", "n", "m", "place", "c")))
-    pairs = labelled.join(other, "token").where("c < c_b").where(_room("n", "m", "place", "n_b", "m_b", "place_b", percent))
-    pairs = pairs.select(F.least("d", "d_b").alias("a"), F.greatest("d", "d_b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    # linked sets differ in size by less than one class of sizes, so a frequent token's sets meet by class only
+    step = F.floor(F.round(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)), 6)).cast("int")
+    labelled = labelled.withColumn("step", step)
+    other = labelled.select("token", "step", *(F.col(x).alias(f"{x}_b") for x in ("d", "n", "m", "place", "c")))
+    each = labelled.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
+    once = "c <> c_b and (n < n_b or n = n_b and d < d_b)"
+    pairs = each.join(other, ["token", "step"]).where(once).where(_room("n", "m", "place", "n_b", "m_b", "place_b", percent))
+    pairs = pairs.select(F.least("d", "d_b").alias("a"), F.greatest("d", "d_b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = materialise(_verified(pairs, sets, percent), "links")
 
     label = components(links.union(more))
-    named = classes.join(label.select(F.col("id").alias("class_id"), "component"), "class_id", "left").select("k1", "k2", F.coalesce("component", "class_id").alias("component"))
+    named = classes.select("k1", "k2", "least", "class_id").join(label.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("k1", "k2", "component_id")
     out = listed.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -29,9 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Memo
 from .jaccard import mix
-from .shared import materialise, narrow, pack, unpack, words
+from .shared import Memo, materialise, named, narrow, numbered, pack, place_of, slices, unpack, words
 
 FEATURES, CHUNKS = 1 << 20, 16
 SAMPLE = 20_000
@@ -42,15 +41,20 @@ MARGIN, STRENGTH = 0.5, 5.0
 
 
 _PARTS = re.compile(r"\w+|\W+")
-_PART_HASHES = Memo(lambda w: b"".join(xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for p in _PARTS.findall(w)))
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def part_hashes() -> Memo:
+    """The hashes of a word's tokens; made in each task."""
+    h = xxhash.xxh3_64_intdigest
+    return Memo(lambda w: b"".join(h(p.encode("utf-8", "surrogatepass")).to_bytes(8, "little") for p in _PARTS.findall(w)))
+
+
+def grams(text: str | None, hashes: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Features of the tokens, which are runs of letters and digits or of other signs, and of the pairs of neighbours.
 
     All pairs of equal tokens are one feature: repetition is a trait of a text, whatever is repeated.
     """
-    h = np.frombuffer(b"".join(map(_PART_HASHES.__getitem__, words(text))), dtype=np.uint64)
+    h = np.frombuffer(b"".join(map(hashes.__getitem__, words(text))), dtype=np.uint64)
     pairs = np.where(h[:-1] == h[1:], np.uint64(1), mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]))
     low = np.uint64(FEATURES - 1)
     return (h & low).astype(np.int64), (pairs & low).astype(np.int64)
@@ -139,19 +143,17 @@ def _fit(docs: DataFrame, known: dict[int, tuple[bool, bool]]) -> QualityModel:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # counts in all, in target and in calibration documents, then numbers of documents in all and in target ones
         found = [np.zeros(FEATURES, dtype=np.int64) for _ in range(5)]
-        docs_of = np.zeros(2, dtype=np.int64)
-        for record in batches:
-            for start in range(0, record.num_rows, 500):
-                part = record.slice(start, 500)
-                rows = [(held.value.get(d), np.concatenate(grams(t))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                rows = [(later, f) for later, f in rows if len(f)]
-                target = [f for later, f in rows if later is False]
-                once = [np.unique(f) for _, f in rows]
-                docs_of += (len(rows), len(target))
-                groups = [f for _, f in rows], target, [f for later, f in rows if later], once, [u for u, (later, _) in zip(once, rows, strict=True) if later is False]
-                for into, features in zip(found, groups, strict=True):
-                    if features:
-                        into += np.bincount(np.concatenate(features), minlength=FEATURES)
+        docs_of, hashes = np.zeros(2, dtype=np.int64), part_hashes()
+        for part in slices(batches, 1, 2_000_000):
+            rows = [(held.value.get(d), np.concatenate(grams(t, hashes))) for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            rows = [(later, f) for later, f in rows if len(f)]
+            target = [f for later, f in rows if later is False]
+            once = [np.unique(f) for _, f in rows]
+            docs_of += (len(rows), len(target))
+            groups = [f for _, f in rows], target, [f for later, f in rows if later], once, [u for u, (later, _) in zip(once, rows, strict=True) if later is False]
+            for into, features in zip(found, groups, strict=True):
+                if features:
+                    into += np.bincount(np.concatenate(features), minlength=FEATURES)
         size = FEATURES // CHUNKS
         starts = range(0, FEATURES, size) if found[0].any() else []
         blocks = [pack(*(narrow(x[i : i + size]) for x in found), narrow(docs_of if i == 0 else docs_of * 0)) for i in starts]
@@ -181,62 +183,61 @@ def _fit(docs: DataFrame, known: dict[int, tuple[bool, bool]]) -> QualityModel:
     return QualityModel(log_ratio(raw, target, target.sum() / raw.sum()), against, float(-2 * (against * later).sum() / tokens))
 
 
-def _scored(docs: DataFrame, model, kept: str, seed: int) -> DataFrame:
-    """(kept, window, evidence, tokens, noise): `kept` names a column, or is "row" for a struct of all columns."""
+def _scored(docs: DataFrame, model, seed: int) -> DataFrame:
+    """(kept, window, evidence, tokens, noise) over (kept, id, text)."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for record in batches:
-            ids, out = record.column(record.num_columns - 2).to_pylist(), []
-            for t in record.column(record.num_columns - 1).to_pylist():
-                one, two = grams(t)
+        m, hashes = model.value, part_hashes()
+        for record in slices(batches, 2, 2_000_000):
+            out = []
+            for t in record.column(2).to_pylist():
+                one, two = grams(t, hashes)
                 out.append((least_window(one, two, m.ratio), evidence(one, two, m.against, m.drift), len(one)))
             columns = [pa.array([x[k] for x in out], pa.int64() if k == 2 else pa.float64()) for k in range(3)]
-            noise = pa.array([gumbel(d, seed) for d in ids], pa.float64())
-            yield pa.RecordBatch.from_arrays([record.column(0), *columns, noise], names=[kept, "window", "evidence", "tokens", "noise"])
+            noise = pa.array([gumbel(d, seed) for d in record.column(1).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([record.column(0), *columns, noise], names=["kept", "window", "evidence", "tokens", "noise"])
 
-    row = F.struct(*(f"`{c}`" for c in docs.columns)) if kept == "row" else F.col(kept)
-    given = docs.select(row.alias(kept), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
     doubles = [T.StructField(c, T.LongType() if c == "tokens" else T.DoubleType()) for c in ("window", "evidence", "tokens", "noise")]
-    return given.mapInArrow(score, T.StructType([given.schema[kept], *doubles]))
-
-
-def _keyed(scored: DataFrame, kept: str, scale: Scale, temperature: float) -> DataFrame:
-    """(kept, log_weight, sample_key)"""
-    weighed = scored.select(kept, scale.log_weight().alias("log_weight"), "noise")
-    return weighed.select(kept, "log_weight", (F.col("log_weight") / F.lit(temperature) + F.col("noise")).alias("sample_key"))
+    return docs.mapInArrow(score, T.StructType([docs.schema["kept"], *doubles]))
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = SEED) -> tuple[DataFrame, float, object, Scale]:
-    """((doc_id, log_weight, sample_key) of all documents, the least key that is in the sample, the broadcast model, the scale).
+def importance_sample(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = SEED, whole: bool = False
+) -> tuple[DataFrame, float]:
+    """((kept, id, log_weight, sample_key) of all documents, the least key that is in the sample).
 
     sample: labelled rows used at most. keep: share of good calibration documents whose level counts as good enough.
-    A null or empty text has log weight 0. Without usable labels all weights are 0 and all documents are in the sample.
-    Documents with equal keys at the edge are all in; repeated rows stand or fall together.
+    whole: `kept` is a struct of all numbered columns, else null. A null or empty text has log weight 0: nothing speaks
+    against it, and it stays. Without usable labels all weights are 0 and all documents are in the sample. Documents
+    with equal keys at the edge are all in; repeated rows stand or fall together.
     """
     spark = docs.sparkSession
     known = _labelled(labels, sample)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(_fit(plain, known))
-    scored = materialise(_scored(plain, model, "doc_id", seed), "scored")
-    judged = spark.createDataFrame([(d,) for d, (good, later) in known.items() if good and later], "doc_id long")
-    good = scored.join(F.broadcast(judged), "doc_id").select("window", "evidence", "tokens").collect()
+    rows = numbered(docs)
+    doc_id, text = F.col(place_of(docs, "doc_id")).cast("long"), F.col(place_of(docs, "text")).cast("string")
+    model = spark.sparkContext.broadcast(_fit(rows.select(doc_id.alias("doc_id"), text.alias("text")), known))
+    kept = F.struct(doc_id.alias("id"), (F.struct(*rows.columns) if whole else F.lit(None).cast("int")).alias("row"))
+    # scored once and written with the rows, so that a filter reads the table and not the texts again
+    scored = materialise(_scored(rows.select(kept.alias("kept"), doc_id.alias("id"), text.alias("text")), model, seed), "scored")
+    judged = spark.createDataFrame([(d,) for d, (good, later) in known.items() if good and later], "id long")
+    good = scored.select(F.col("kept.id").alias("id"), "window", "evidence", "tokens").join(F.broadcast(judged), "id").select("window", "evidence", "tokens").collect()
     scale = Scale(tuple(sorted(r[k] for r in good) for k in range(3)), keep)
-    keyed = _keyed(scored, "doc_id", scale, temperature)
+    weighed = scored.select(F.col("kept.row").alias("kept"), F.col("kept.id").alias("id"), scale.log_weight().alias("log_weight"), "noise")
+    keyed = weighed.select("kept", "id", "log_weight", (F.col("log_weight") / F.lit(temperature) + F.col("noise")).alias("sample_key"))
     if not good:
-        return keyed, float("-inf"), model, scale
+        return keyed, float("-inf")
     k = keyed.where(F.col("log_weight") >= scale.level).count()
-    return keyed, _kth_largest(keyed, "sample_key", k) if k else float("inf"), model, scale
+    return keyed, _kth_largest(keyed.select("sample_key"), "sample_key", k) if k else float("inf")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, log_weight, sample_key, kept) for each row of docs; see importance_sample. Further columns are not
     carried; a null doc_id is an id like others; an empty table gives an empty one."""
-    scored, least, _, _ = importance_sample(docs, labels, **options)
-    return scored.withColumn("kept", F.col("sample_key") >= F.lit(least))
+    keyed, least = importance_sample(docs, labels, **options)
+    return keyed.select(F.col("id").alias("doc_id"), "log_weight", "sample_key", (F.col("sample_key") >= F.lit(least)).alias("kept"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, seed: int = SEED, **options) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, that quality_scores keeps."""
-    _, least, model, scale = importance_sample(docs, labels, temperature=temperature, seed=seed, **options)
-    return _keyed(_scored(docs, model, "row", seed), "row", scale, temperature).where(F.col("sample_key") >= F.lit(least)).select("row.*")
+    keyed, least = importance_sample(docs, labels, whole=True, **options)
+    return keyed.where(F.col("sample_key") >= F.lit(least)).select(named("kept", docs.columns))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six characters; only A-Z are lower-cased.
@@ -24,18 +26,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a local session takes
+    a new one of its own; on a cluster, whose machines do not share local folders, this raises ValueError."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or _LOCAL.get(context.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="cueframe-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        folder = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cueframe-")
     return folder.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
+#: The folders that this process has asked for, so that they can be deleted once what was made from them is written.
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def discard(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the folders made after the first `since`, but for the last if that is to stay: their tables, and queries
+    that read them, cannot be read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in _FOLDERS[since : -1 if keep_last else None]:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _FOLDERS.remove(folder)
+
+
+def folders() -> int:
+    return len(_FOLDERS)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns named _0, _1, ... by place, as names may clash or differ only in case."""
+    return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+
+
+def place_of(df: DataFrame, name: str) -> str:
+    """The numbered name of a column: that of its exact spelling, else of any case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    return f"_{(exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()])[0]}"
+
+
+def named(row: str, columns: list[str]) -> list[Column]:
+    """The fields of a struct of numbered columns under their own names."""
+    return [F.col(row)[f"_{i}"].alias(c) for i, c in enumerate(columns)]
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -45,9 +84,45 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets_of(spark: SparkSession) -> int:
-    """Into how many buckets hashed keys are dealt; follows the cluster's setting for shuffles."""
-    return max(48, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: A bucket of hashed keys gets about so many bytes of text, so that one task holds it.
+BUCKET_BYTES = 8_000_000
+
+
+def buckets_for(docs: DataFrame, text: str) -> int:
+    """Into how many buckets hashed keys are dealt: by the bytes of all texts, and at least the cluster's setting for
+    shuffles. One scan of the column, on the JVM."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES), 8)
+
+
+class Memo(dict):
+    """A bounded memory of f in two generations: when the young one is full it becomes the old one, and what is asked for
+    again moves back, so frequent keys stay. f never gives None. Made in a task and gone with it."""
+
+    def __init__(self, f, most: int = 50_000):
+        super().__init__()
+        self.f, self.most, self.old = f, most, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.f(key)
+        self[key] = value
+        return value
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a string column has about `most` bytes in each part; a longer text is a part of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def words(text: str | None) -> list[str]:

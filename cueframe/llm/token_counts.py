@@ -9,19 +9,20 @@ no bucket gathers the documents of a frequent word.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, encoder
-from .shared import Ids, buckets_of, hash_words, narrow, pack, runs, unpack
+from .bpe import chunk_texts, encoder
+from .shared import Ids, buckets_for, from_planes, hash_words, narrow, pack, planes, runs, slices, unpack
 
-#: A task packs about so many words at once.
-PACK_WORDS = 2_000_000
+#: A task packs documents of about so many bytes at once.
+PACK_CHARS = 10_000_000
 _PACKED = "key long, batch long, head boolean, block binary"
 
 
@@ -30,31 +31,35 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(batch, pa.int64()), pa.array(head, pa.bool_()), pa.array(block, pa.binary())], names=["key", "batch", "head", "block"])
 
 
-def pack_documents(make: Callable, buckets: int, id_type: type = np.int64):
-    """make() gives the splitter of a text into pre-tokens; the result is for mapInArrow over (doc_id, text)."""
+def pack_documents(path: str, buckets: int):
+    """For mapInArrow over (doc_id, text): documents packed by bucket of pre-token, and a head row for each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = make()
-        part, seq = TaskContext.get().partitionId(), 0
-        ids, local, sizes, per_doc, total = Ids(), None, [], [], 0
-
-        def reset():
-            nonlocal ids, local, sizes, per_doc, total
-            ids, sizes, per_doc, total = Ids(), [], [], 0
-            local = Memo(lambda chunk: np.fromiter((ids[w] for w in split(chunk)), dtype=np.int32).tobytes(), 10**9)
-
-        def flush(doc_ids: list, n_bytes: list):
+        enc = encoder(path)
+        part = TaskContext.get().partitionId()
+        for seq, record in enumerate(slices(batches, 1, PACK_CHARS)):
             batch = part << 24 | seq
-            rows = [(-batch - 1, batch, True, pack(np.array(doc_ids, dtype=id_type), np.array(n_bytes, dtype=np.int64), np.array([d is None for d in doc_ids0], dtype=np.uint8)))]
+            doc_ids, texts = record.column(0), record.column(1)
+            n_bytes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            null = pc.is_null(doc_ids).to_numpy(zero_copy_only=False).astype(np.uint8)
+            rows = [(-batch - 1, batch, True, pack(pc.fill_null(doc_ids, 0).to_numpy().astype(np.int64), n_bytes, null))]
+            chunks, number, sizes = chunk_texts(texts.to_pylist())
+            pre, per_chunk = enc.split_all(chunks)
+            ids = Ids()
+            token_of = np.array(list(map(ids.__getitem__, pre)), dtype=np.int64)
             distinct = list(ids)
-            tokens = np.frombuffer(b"".join(per_doc), dtype=np.int32)
-            doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+            del chunks, pre, ids
+            begin = np.r_[0, np.cumsum(per_chunk)[:-1]] if len(per_chunk) else per_chunk
+            counts = per_chunk[number]
+            tokens = token_of[np.repeat(begin[number] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())] if len(number) else token_of[:0]
             if len(tokens):
-                key, freq = np.unique(tokens.astype(np.int64) << 32 | doc, return_counts=True)
+                doc = np.repeat(np.repeat(np.arange(len(sizes), dtype=np.int64), sizes), counts)
+                key, freq = np.unique(tokens << 32 | doc, return_counts=True)
                 token, doc = key >> 32, key & 0xFFFFFFFF
                 shared_by = np.bincount(token, minlength=len(distinct))
                 hashes = hash_words(distinct)
-                mixed = np.where(shared_by * 16 > len(sizes), hashes ^ (np.uint64(batch + 1) * np.uint64(0x9E3779B97F4A7C15)), hashes)
+                spread = np.uint64((batch + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                mixed = np.where(shared_by * 16 > len(sizes), hashes ^ spread, hashes)
                 bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 starts = np.r_[0, np.cumsum(shared_by)]
@@ -64,27 +69,7 @@ def pack_documents(make: Callable, buckets: int, id_type: type = np.int64):
                     pick = np.repeat(starts[mine] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
                     text = " ".join([distinct[i] for i in mine]).encode("utf-8", "surrogatepass")
                     rows.append((int(bucket[mine[0]]), batch, False, pack(text, narrow(counts), narrow(doc[pick]), narrow(freq[pick]), np.array([len(sizes)], dtype=np.int64))))
-            return _rows(rows)
-
-        reset()
-        doc_ids0: list = []
-        doc_ids, n_bytes = [], []
-        for record in batches:
-            for doc_id, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
-                doc_ids0.append(doc_id)
-                doc_ids.append(0 if doc_id is None else doc_id)
-                text = text or ""
-                n_bytes.append(len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass")))
-                got = b"".join([local[c] for c in text.replace("\n", " ").split(" ")])
-                per_doc.append(got)
-                sizes.append(len(got) // 4)
-                total += len(got) // 4
-                if total > PACK_WORDS or len(sizes) >= 60_000:
-                    yield flush(doc_ids, n_bytes)
-                    seq, doc_ids0, doc_ids, n_bytes = seq + 1, [], [], []
-                    reset()
-        if doc_ids:
-            yield flush(doc_ids, n_bytes)
+            yield _rows(rows)
 
     return run
 
@@ -97,32 +82,42 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        known = Memo(lambda w: len(enc.word_ids(w)))
+        # the rows of a bucket come one after another: its pre-tokens are counted once, in the order they come
+        enc, known, bucket = encoder(path), {}, None
         for record in batches:
-            rows = []
             for key, batch, head, block in zip(*(c.to_pylist() for c in record.columns), strict=True):
                 if head:
-                    rows.append((key, batch, True, block))
+                    yield _rows([(key, batch, True, block)])
                     continue
+                if key != bucket:
+                    known, bucket = {}, key
                 text, counts, doc, freq, n_docs = unpack(block)
-                pieces = np.fromiter(map(known.__getitem__, text.tobytes().decode("utf-8", "surrogatepass").split(" ")), dtype=np.int64, count=len(counts))
+                pre = text.tobytes().decode("utf-8", "surrogatepass").split(" ")
+                new = [w for w in pre if w not in known]
+                known.update(zip(new, enc.encode_all(new)[1].tolist(), strict=True))
+                pieces = np.fromiter(map(known.__getitem__, pre), dtype=np.int64, count=len(counts))
                 sums = np.bincount(doc, weights=np.repeat(pieces, counts) * freq.astype(np.float64), minlength=int(n_docs[0])).astype(np.int64)
-                rows.append((-batch - 1, batch, False, pack(narrow(sums))))
-            if rows:
-                yield _rows(rows)
+                some = np.flatnonzero(sums)
+                # once buckets outnumber the words of a document, few documents have a sum here
+                rest = (narrow(sums),) if 2 * len(some) > len(sums) else (planes(some), narrow(sums[some]))
+                yield _rows([(-batch - 1, batch, False, pack(*rest))])
 
     def add(table: pa.Table) -> pa.Table:
-        head, total = None, 0
+        head, sums = None, []
         for is_head, block in zip(table.column("head").to_pylist(), table.column("block").to_pylist(), strict=True):
             if is_head:
                 head = unpack(block)
             else:
-                total = total + unpack(block)[0].astype(np.int64)
+                sums.append(unpack(block))
         ids, n_bytes, null = head
-        n = np.zeros(len(ids), dtype=np.int64) + total
+        n = np.zeros(len(ids), dtype=np.int64)
+        for x in sums:
+            if len(x) == 1:
+                n += x[0].astype(np.int64)
+            else:
+                n[from_planes(x[0]).astype(np.int64)] += x[1].astype(np.int64)
         return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_bytes": n_bytes, "n_tokens": n, "over_limit": n > limit})
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(pack_documents(lambda: encoder(path).pre_tokens, buckets_of(docs.sparkSession)), _PACKED)
-    sums = packed.repartition("key").mapInArrow(count, _PACKED)
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack_documents(path, buckets_for(docs, "text")), _PACKED)
+    sums = packed.repartition("key").sortWithinPartitions("key").mapInArrow(count, _PACKED)
     return sums.groupBy("key").applyInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

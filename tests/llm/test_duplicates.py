@@ -66,6 +66,20 @@ def test_jaccard_against_all_pairs(spark):
     assert [r.component_id for r in found if r.doc_id is None] == [None]
 
 
+def test_jaccard_of_ids_with_several_texts(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, a), (7, "quite another text of seven words here"), (3, a + " more"), (5, "of its own"), (7, a), (7, a)]
+    found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == [(3, 57, 3), (5, 1, 5), (7, 3, 7), (7, 56, 3), (7, 56, 3), (7, 56, 3)]
+
+
+def test_embeddings_of_ids_with_several_vectors_and_of_nothing(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (9, [1.0, 0.01], 1), (10, [-1.0, 0.0], 1)]
+    found = embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(7, 0, 7, True), (7, 1, 7, True), (9, 1, 7, False), (10, 0, 10, True)]
+    assert embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard_components(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect() == [(1, 0, 1), (2, 0, 2)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -103,6 +104,22 @@ def test_tiles_against_plain_greedy_tiling():
         assert all(a[i : i + k] == b[j : j + k] for i, j, k in mine)
 
 
+def test_tiling_of_long_repetition_is_quick():
+    start = time.perf_counter()
+    assert tiles(np.zeros(200, dtype=np.int64), np.zeros(20_000, dtype=np.int64)) == [(0, 0, 200)]
+    pattern = np.tile(np.arange(7), 6000)
+    assert sum(k for _, _, k in tiles(np.tile(np.arange(7), 30)[:200], pattern)) == 200
+    assert time.perf_counter() - start < 1
+
+
+def test_filters_carry_columns_that_differ_in_case_only(spark):
+    docs = spark.createDataFrame([(1, "one text", 1, 2, 3)], "doc_id long, text string, x int, X int, Row int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "not in it at all")], "item_id long, text string")
+    for found in (quality_filter(docs, labels), decontaminate(docs, bench)):
+        assert found.columns == docs.columns and [tuple(r) for r in found.collect()] == [(1, "one text", 1, 2, 3)]
+
+
 def test_decontamination(spark):
     r = random.Random(6)
     text = lambda n: " ".join(r.choices(WORDS, k=n))
@@ -144,17 +161,25 @@ def test_scores_against_a_plain_model(spark, tmp_path):
     docs += [(10, docs[10][1]), (None, "Bast ban"), (91, "the " * 3000)]
     tokens = [[w for w in WORD.findall((t or "").lower())] + ["\n"] for _, t in docs]
     train = [zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2 for d, _ in docs]
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
+    before = lambda w: zip(["\n", "\n", *w][: len(w)], ["\n", *w[:-1]], w, strict=True)
     for w, yes in zip(tokens, train, strict=True):
         if yes:
             one.update(w)
-            two.update(zip(["\n", *w[:-1]], w, strict=True))
-    n, v, m = sum(one.values()), len(one), 50.0
+            two.update((y, z) for _, y, z in before(w))
+            three.update(before(w))
+    n, v, a, m = sum(one.values()), len(one), 0.01, 200.0
     p = lambda w: (one[w] + 1) / (n + v + 1)
+    history = Counter()  # how often two tokens stand before another
+    for (x, y, _), c in three.items():
+        history[x, y] += c
+    chance = lambda x, y, z: (three[x, y, z] + a * (two[y, z] + m * p(z))) / (history[x, y] + a * (one[y] + m))
+    everything = sum(chance("\n", "\n", z) for z in one) + chance("\n", "\n", "unknown")
+    assert everything == pytest.approx(1)
     wanted = Counter()
     for (d, _), w, yes in zip(docs, tokens, train, strict=True):
         base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10((two[u, x] + m * p(x)) / (one[u] + m)) for u, x in zip(["\n", *w[:-1]], w, strict=True))
+        score = sum(math.log10(chance(*x)) for x in before(w))
         wanted[d, not yes, len(w), sum(one[x] > 0 for x in w), n, round(base, 6)] = score
     frame = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, score int").repartition(5)
     found = lm_scores(frame).collect()
@@ -166,4 +191,7 @@ def test_scores_against_a_plain_model(spark, tmp_path):
     block = lm_tries(frame).first().trie
     (tmp_path / "trie").write_bytes(bytes(block))
     mapped = Trie.open(str(tmp_path / "trie"))
-    assert mapped.tokens.n == Trie(bytes(block)).tokens.n > 0
+    whole = Trie(bytes(block))
+    assert [k.n for k in mapped.keys] == [k.n for k in whole.keys] and mapped.keys[2].n > 0
+    i = np.arange(mapped.keys[0].n)
+    assert (mapped.descend(0, None, whole.keys[0].get(i)) == i).all()

@@ -11,8 +11,8 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from cueframe.llm.bpe import bpe_digests, bpe_round_trip, encoder  # noqa: E402
-from cueframe.llm.records import frame, read_record, read_token_records, unframe, write_token_records  # noqa: E402
+from cueframe.llm.bpe import Encoder, bpe_digests, bpe_round_trip, digests, encoder  # noqa: E402
+from cueframe.llm.records import ByteIds, frame, read_record, read_token_records, unframe, write_token_records  # noqa: E402
 from cueframe.llm.shared import new_folder  # noqa: E402
 from cueframe.llm.token_counts import token_counts  # noqa: E402
 
@@ -55,10 +55,23 @@ def test_round_trip(docs, name):
 
 
 def test_cuts_are_certain():
-    enc = encoder(P.path("word_bpe_49k.json"))
-    for word in ("straße", "x汉y", "zzzzqqq", "!!!"):
-        joined = [i for part in enc.cuts(word) for i in enc._fragment(part)]
-        assert joined == [i for w in [word] for i in library("word_bpe_49k.json").encode(w, add_special_tokens=False).ids]
+    enc, whole = encoder(P.path("word_bpe_49k.json")), Encoder(P.path("word_bpe_49k.json"))
+    whole.inside = np.ones((256, 256), dtype=bool)  # no cut at all
+    words = ["straße", "x汉y", "zzzzqqq", "!!!", "a" * 90, "ba" * 60, "~~a~~", "\n<|endoftext|>"]
+    assert enc.cuts(np.frombuffer("x汉y".encode(), dtype=np.uint8)).any()
+    for a, b in zip(enc.encode_all(words), whole.encode_all(words), strict=True):
+        assert (a == b).all()
+
+
+def test_code_points_of_all_planes_against_the_library():
+    t, enc = library("word_bpe_49k.json"), encoder(P.path("word_bpe_49k.json"))
+    points = [c for c in [*range(1, 0x3000), *range(0xA000, 0xABFF), *range(0x10000, 0x1FFFF, 3)] if not 0xD800 <= c < 0xE000]
+    texts = ["".join(chr(c) + "a' "[c % 3] for c in points[i : i + 9]) for i in range(0, len(points), 9)]
+    for text, (n, ids, decoded) in zip(texts, digests(enc, texts), strict=True):
+        wanted = t.encode(text, add_special_tokens=False).ids
+        assert n == len(wanted) and ids == hashlib.sha256(" ".join(map(str, wanted)).encode()).hexdigest(), text
+        assert decoded == hashlib.sha256(t.decode(wanted, skip_special_tokens=False).encode()).hexdigest()
+
 
 
 def test_counts(docs, spark):
@@ -88,6 +101,26 @@ def test_records(spark, docs):
     assert read_token_records(write_token_records(docs.limit(0), P.path("byte_bpe_50k.json"), new_folder(spark, "records"))).count() == 0
 
 
+def test_records_of_null_and_repeated_ids(spark):
+    t = library("byte_bpe_50k.json")
+    rows = [(4, "later"), (None, "without an id"), (2, "twice"), (2, "twice"), (-3, "below zero"), (None, None)]
+    manifest = write_token_records(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), new_folder(spark, "records"))
+    found = sorted(read_token_records(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, None, -3, 2, 2, 4]
+    size = lambda x: len(t.encode(x or "", add_special_tokens=False).ids) + 1
+    assert sorted(r.n_tokens for r in found) == sorted(size(x) for _, x in rows)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:], strict=False))
+
+
+def test_record_ids_against_the_library():
+    import random
+
+    t, ids, r = library("byte_bpe_50k.json"), ByteIds(P.path("byte_bpe_50k.json")), random.Random(3)
+    signs = [" ", "  ", "\n", "\t", "'s", "'LL", "é", "汉", "😀", "\u200d", "\u0301", "\x85", "\u3000", "<|endoftext|>", "A", "b", "12", "½", "٣", "ß"]
+    for text in ["".join(r.choices([*signs, chr(r.randrange(1, 0xD7FF)), chr(r.randrange(0x10000, 0x1FFFF))], k=r.randrange(0, 40))) for _ in range(4000)]:
+        assert np.frombuffer(ids(text), dtype=ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def test_damaged_records_are_refused():
     import io
 
