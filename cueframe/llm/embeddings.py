@@ -27,7 +27,7 @@ _REPS = "vec_id long, label string, k1 long, k2 long, vector binary, signs binar
 
 def shape(n: int, threshold: float, recall: float) -> tuple[int, int]:
     """(hyperplanes a table, tables) for n vectors of one label."""
-    bits = min(30, max(8, math.ceil(math.log2(max(2, n))) + 1))
+    bits = min(62, max(8, math.ceil(math.log2(max(2, n))) + 1))
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
@@ -50,7 +50,7 @@ def _hashed(bits: int, tables: int, seed: int):
                 sign = (planes[d] @ scaled > 0).reshape(tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
                 k = xxhash.xxh3_128_intdigest(x.tobytes())
                 k1, k2 = (v - (1 << 64) if v >= 1 << 63 else v for v in (k & 0xFFFFFFFFFFFFFFFF, k >> 64))
-                rows.append((vec_id, label, k1, k2, (scaled / np.linalg.norm(scaled)).tobytes(), sign.astype(np.uint32).tobytes()))
+                rows.append((vec_id, label, k1, k2, (scaled / np.linalg.norm(scaled)).tobytes(), sign.astype(np.uint64).tobytes()))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["vec_id", "label", "k1", "k2", "vector", "signs"])
@@ -64,10 +64,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tables, keys = [], [], []
         for vec_id, label, vector, signs in zip(*(c.to_pylist() for c in record.columns), strict=True):
             head = f"{label}|{len(vector)}|".encode()
-            s = np.frombuffer(signs, dtype=np.uint32)
+            s = np.frombuffer(signs, dtype=np.uint64)
             ids += [vec_id] * len(s)
             tables += range(len(s))
-            keys += [h(head + int(x).to_bytes(4, "little"), seed=t) - (1 << 63) for t, x in enumerate(s)]
+            keys += [h(head + int(x).to_bytes(8, "little"), seed=t) - (1 << 63) for t, x in enumerate(s)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tables, pa.int32()), pa.array(keys, pa.int64())], names=["vec_id", "t", "key"])
 
 
@@ -98,7 +98,7 @@ def _compared(threshold: float):
             return []
         out = []
         label = _local_labels(linked)
-        signs = np.frombuffer(b"".join([r[8] for r in rows]), dtype=np.uint32).reshape(len(rows), -1)
+        signs = np.frombuffer(b"".join([r[8] for r in rows]), dtype=np.uint64).reshape(len(rows), -1)
         i, j = np.nonzero(linked)
         first = ~(signs[i, :t] == signs[j, :t]).any(axis=1)
         weight = np.array([r[6] for r in rows])
@@ -129,17 +129,17 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
 
     recall: the chance to find a pair exactly at the threshold; higher cosines have higher chances. Null vectors or
     labels, zero vectors and vectors with null or non-finite components link with nothing; so do vectors of different
-    lengths. Each input row gives one row; repeated rows are equal vectors and link; a null vec_id has null component_id
-    and kept, and no links. Further columns are not carried; an empty table gives an empty one.
+    lengths. Each input row gives one row; repeated rows are equal vectors and link; where vectors of one vec_id differ,
+    each row takes the links and component of its own vector; a null vec_id has null component_id and kept, and no links. Further columns are not carried; an empty table gives an empty one.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding"))
     most = vectors.where("label is not null").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = shape(most, threshold, recall)
     hashed = materialise(vectors.mapInArrow(_hashed(bits, tables, seed), _REPS), "hashed")
     good = hashed.where("k1 is not null")
-    classes = materialise(good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")), "classes")
-    heads = good.join(classes.select("label", "k1", "k2", F.col("class_id").alias("vec_id"), "copies"), ["label", "k1", "k2", "vec_id"]).dropDuplicates(["vec_id"])
-    heads = materialise(heads, "heads")
+    # a class is known by its content; its number is unique once the table is written, whatever the vec_ids
+    heads = good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("signs").alias("signs"))
+    heads = materialise(heads.withColumn("vec_id", F.monotonically_increasing_id()), "heads")
 
     keys = heads.select("vec_id", "label", "vector", "signs").mapInArrow(_keys, "vec_id long, t int, key long")
     keys = materialise(keys, "keys")
@@ -153,9 +153,12 @@ def embedding_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: fl
     found = materialise(found, "found")
 
     label = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    linked = found.groupBy(F.col("vec_id").alias("class_id")).agg(F.sum("n").alias("n"))
-    named = classes.join(linked, "class_id", "left").join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
-    named = named.select("label", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "class_id").alias("component"))
+    linked = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    classes = heads.select("label", "k1", "k2", "vec_id", "least", "copies").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "vec_id"))
+    least = classes.groupBy("component").agg(F.min("least").alias("name"))
+    named = classes.join(linked, "vec_id", "left").join(least, "component")
+    named = named.select("label", "k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "name")
     out = hashed.select("vec_id", "label", "k1", "k2").join(named, ["label", "k1", "k2"], "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("name", "vec_id"))
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))

@@ -1,14 +1,22 @@
 """Main text of web pages by site style trees.
 
-The pages of one host are merged: elements with the same path of tags and classes are one node of the host's tree. A
-node's presentation importance is the entropy of the sequences of children that it has on its pages; its content
-importance is one minus the mean entropy of its texts over pages: what stands on every page says nothing. Both are
-combined up the tree (Yi, Liu and Li, 2003), and branches of low importance are removed from each page. Elements whose
-tag or class says what they are (menus, adverts, forms, comments) go as well, since hosts with few pages show no
-statistics, and an article element keeps its plain text blocks even where copies of it are frequent.
+The pages of one host are merged: elements with the same path of tags and classes are one node of the host's tree. Plain
+text elements (paragraphs, headings, links and the like without a class) belong to the element around them. Each node has
+
+- a presentation importance: the entropy of the sequences of children that it has on its pages. A layout repeats itself,
+  an article has other paragraphs on each page;
+- a content importance: its share of the tree's information, which is its words, weighted by one minus the entropy of each
+  text over the pages (what stands on every page says little);
+- both combined as Yi, Liu and Li (2003) do, the presentation with weight 1 - DAMP ** number of children.
+
+Inside a layout, branches of low importance are removed. Below a node of high presentation entropy and content, which is
+an article whatever it is called, only elements whose texts stand on most pages are removed. Tags seed the tree where HTML
+says what they are: navigation, footers, asides, forms and hidden elements have no importance, article and main elements
+have full importance. No names of classes are known. Hosts with few pages have too little statistics and share one
+tree, which is the mean of all hosts' trees. Where even that has too few pages, only the seeds decide.
 
 Features are counted per task before they are shuffled and summed by (host, node, feature), so a host with a large
-share of all pages is dealt over all tasks; by host only its distinct nodes are put together.
+share of all pages is dealt over all tasks; the trees themselves are sums over rows, and no host is gathered.
 """
 
 from __future__ import annotations
@@ -23,10 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _LOWER, materialise
+from .shared import _LOWER, materialise, slices
 
-LEAST_PAGES, LEVEL, DAMP = 8, 0.2, 0.9
-#: So many low nodes are broadcast at most (about 8 bytes each); beyond, Spark joins them by host.
+#: Pages that a tree and a node must have; of a node also this share of the tree's pages, which bounds the nodes of a tree.
+LEAST_PAGES, LEAST_SHARE = 16, 0.001
+LEVEL, DAMP = 0.2, 0.9
+#: Presentation entropy and share of information from which a node is an article; share of repeated words that is too much.
+RICH, MOST, REPEATED = 0.3, 0.5, 0.8
+#: Elements further down belong to their ancestor at this depth.
+DEEPEST = 32
+#: So many judged nodes are broadcast at most (about 8 bytes each); beyond, Spark joins them by host.
 BROADCAST_NODES = 500_000
 
 #: Fixed: what HTML says of its elements.
@@ -43,15 +57,10 @@ ENDS = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "body": ({"head"}, set()),
 }
 P_SCOPE = frozenset("article aside blockquote body button dd details div dl dt fieldset figure footer form header li main nav ol section table td th ul".split())
-#: Elements that are never main text, and words in classes, ids and roles that say the same.
+#: Elements that are never main text, and landmark roles that say the same.
 NOISE_TAGS = frozenset("nav footer aside form head button select input label svg math canvas audio video object dialog menu".split()) | RAW
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs "
-    "header masthead topbar footer bottombar sidebar side aside rail notice notices alert cookie cookies consent gdpr popup modal overlay "
-    "comment comments disqus reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription "
-    "signup login search form widget pagination pager skip toolbar legal copyright".split()
-)
-TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead dl dt dd figure figcaption".split())
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead tfoot dl dt dd figure figcaption hgroup".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -60,24 +69,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("tag", "look", "noise", "path", "parent", "children")
+    """An element. plain: a text element without a class, which belongs to `unit`, the element around it."""
+
+    __slots__ = ("tag", "look", "noise", "path", "parent", "children", "unit", "depth")
 
     def __init__(self, tag: str, look: str, noise: bool, parent: Node | None):
         self.tag, self.look, self.noise, self.parent = tag, look, noise, parent
         self.children: list[Node | str] = []
-        self.path = xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=parent.path if parent else 0)
+        self.unit, self.depth, self.path = self, 0, 0
+        if parent is not None:
+            above = parent.unit
+            if tag == look and (tag in TEXT_TAGS or tag not in BLOCK) or above.depth >= DEEPEST:
+                self.unit = above
+            else:
+                self.depth = above.depth + 1
+                self.path = xxhash.xxh3_64_intdigest(look.encode("utf-8", "surrogatepass"), seed=above.path) & ~3
 
 
 def _look(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's presentation, and whether tag, class, id or role say that it is not main text."""
+    """An element's presentation, and whether its tag, role or style say that it is not main text."""
     noise = tag in NOISE_TAGS
     if not attributes.strip():
         return tag, noise
     found = {k.lower(): html_lib.unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(attributes)}
     names = sorted(set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}")))
-    noise = noise or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-    if tag not in ("html", "body", "article", "main"):
-        noise = noise or not NOISE_WORDS.isdisjoint(names) and found.get("role") != "main"
+    noise = noise or "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", ""))) or found.get("role") in NOISE_ROLES
     return " ".join([tag, *names]), noise
 
 
@@ -143,10 +159,13 @@ def _below(node: Node) -> Iterator[Node]:
         todo += [c for c in reversed(node.children) if not isinstance(c, str)]
 
 
-def blocks(root: Node, low: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """The text blocks of a page, without noise and without nodes of low importance."""
-    articles = [n for n in _below(root) if n.tag in ("article", "main")]
-    top = [a for a in articles if not _noisy(a)]
+#: What the tree says of a node, in the two lowest bits of its path.
+LOW, STALE, ARTICLE = 1, 2, 3
+
+
+def blocks(root: Node, judged: dict[int, int] | None) -> list[str]:
+    """The text blocks of a page without what its host's tree judges unimportant; judged: {path: what}, None if there is
+    no tree, where a page's articles are all that counts if it has any."""
     out: list[str] = []
     part: list[str] = []
 
@@ -156,41 +175,44 @@ def blocks(root: Node, low: frozenset[int] | set[int] = frozenset()) -> list[str
             out.append(text)
         part.clear()
 
-    def walk(start: Node, inside: bool):
-        todo: list[tuple[Node | str | None, bool]] = [(start, inside)]
-        while todo:
-            node, inside = todo.pop()
-            if node is None:
-                flush()
-            elif isinstance(node, str):
-                part.append(html_lib.unescape(node))
-            elif node.noise or node.tag == "header" and not inside:
-                flush()
-            elif node.path in low and not (inside and (node.look in TEXT_TAGS or node.tag not in BLOCK)):
-                flush()
-            else:
-                if node.tag == "br":
-                    part.append(" ")
-                block = node.tag in BLOCK
-                if block:
-                    flush()
-                    todo.append((None, inside))
-                todo += [(c, inside) for c in reversed(node.children)]
-        flush()
-
-    if top:
-        within = {id(n) for a in top for n in _below(a) if n is not a}
-        for a in top:
-            if id(a) not in within:
-                shell = Node("#root", "#root", False, None)  # an article itself is never removed
-                shell.children = a.children
-                walk(shell, True)
-    else:
-        walk(root, False)
+    # (node, whether an article is around it, whether it is an article element)
+    todo: list[tuple[Node | str | None, bool, bool]] = [(root, False, False)]
+    if judged is None:
+        judged = {}
+        top = [n for n in _below(root) if n.tag in ("article", "main")]
+        inner = {id(x) for n in top for x in _below(n) if x is not n}
+        if top := [n for n in top if id(n) not in inner and not _hidden(n)]:
+            todo = [(n, False, False) for n in reversed(top)]
+    while todo:
+        node, inside, within = todo.pop()
+        if node is None:
+            flush()
+            continue
+        if isinstance(node, str):
+            part.append(html_lib.unescape(node))
+            continue
+        seed = node.tag == "main" or node.tag == "article"
+        # an article inside an article is a comment on it
+        gone = node.noise or node.tag == "header" and not inside or node.tag == "article" and within
+        if not gone and not seed and node.unit is node:
+            said = judged.get(node.path)
+            gone = said == STALE or said == LOW and not inside
+            inside = inside or said == ARTICLE
+        if gone:
+            flush()
+            continue
+        inside, within = inside or seed, within or node.tag == "article"
+        if node.tag == "br":
+            part.append(" ")
+        if node.tag in BLOCK:
+            flush()
+            todo.append((None, inside, within))
+        todo += [(c, inside, within) for c in reversed(node.children)]
+    flush()
     return out
 
 
-def _noisy(node: Node | None) -> bool:
+def _hidden(node: Node | None) -> bool:
     while node is not None:
         if node.noise:
             return True
@@ -198,114 +220,148 @@ def _noisy(node: Node | None) -> bool:
     return False
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 63)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, parent, kind, feature, n): kind 0 counts pages, 1 sequences of children, 2 texts."""
+    """(host, node, kind, feature, words, above, n): kind 0 counts pages (above: the node's ancestors), 1 sequences of
+    children, 2 texts."""
     h = xxhash.xxh3_64_intdigest
     found: Counter = Counter()
+    names = ["host", "node", "kind", "feature", "words", "above", "n"]
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
 
     def flush() -> pa.RecordBatch:
         columns = list(zip(*((*k, n) for k, n in found.items()), strict=True))
         found.clear()
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "node", "parent", "kind", "feature", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    for record in batches:
+    for record in slices(batches, 1, 4_000_000):
         for host, html in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
             page = set()
-            for node in _below(parse(html or "")):
-                if node.tag in RAW or node.tag == "head":
+            todo = [parse(html or "")]
+            while todo:
+                node = todo.pop()
+                if node.noise:
                     continue
-                place = (host, _signed(node.path), _signed(node.parent.path) if node.parent else 0)
-                look = "|".join([c.look if isinstance(c, Node) else "" for c in node.children])
-                page.add((*place, 0, 0))
-                page.add((*place, 1, _signed(h(look.encode("utf-8", "surrogatepass")))))
+                unit = _signed(node.unit.path)
+                inner = [c for c in node.children if not isinstance(c, str)]
+                if node.unit is node:
+                    above, up = [], node.parent
+                    while up is not None:
+                        if up.unit is up:
+                            above.append(_signed(up.path))
+                        up = up.parent
+                    page.add((host, unit, 0, 0, 0, tuple(above)))
+                    look = "|".join([c.look for c in inner])
+                    page.add((host, unit, 1, _signed(h(look.encode("utf-8", "surrogatepass"))), 0, None))
                 for c in node.children:
                     if isinstance(c, str) and not c.isspace():
-                        page.add((*place, 2, _signed(h(" ".join(c.split()).encode("utf-8", "surrogatepass")))))
+                        words = c.split()
+                        page.add((host, unit, 2, _signed(h(" ".join(words).encode("utf-8", "surrogatepass"))), len(words), None))
+                todo += inner
             found.update(page)
-            if len(found) > 200_000:
+            if len(found) > 100_000:
                 yield flush()
     if found:
         yield flush()
 
 
-def _importance(table: pa.Table) -> pa.Table:
-    """Of one host's nodes: those of low importance."""
-    rows = {r["node"]: r for r in table.to_pylist()}
-    children: dict[int, list[int]] = {}
-    for node, r in rows.items():
-        children.setdefault(r["parent"], []).append(node)
-    value: dict[int, float] = {}
-    todo = [n for n, r in rows.items() if r["parent"] not in rows]
-    order = []
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo += children.get(node, [])
-    for node in reversed(order):
-        r = rows[node]
-        parts = [(rows[c]["pages"], value[c]) for c in children.get(node, [])]
-        if r["texts"]:
-            parts.append((r["pages"], r["content"]))
-        total = sum(n for n, _ in parts)
-        content = sum(n * v for n, v in parts) / total if total else 0.0
-        share = DAMP ** len(children.get(node, []))
-        value[node] = (1 - share) * r["style"] + share * content if children.get(node) else content
-    low = [n for n in order if value[n] < LEVEL and rows[n]["pages"] >= LEAST_PAGES]
-    return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(low), pa.string()), "node": pa.array(low, pa.int64())})
-
-
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node): nodes of the hosts' style trees whose importance is low. pages: (host, html)."""
-    counted = pages.mapInArrow(_features, "host string, node long, parent long, kind int, feature long, n long")
-    counted = counted.groupBy("host", "node", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
+def _signed(x: int) -> int:
+    return x - (1 << 63)
+
+
+def node_statistics(pages: DataFrame) -> DataFrame:
+    """(host, node, above, pages, style, mass, fresh, words) of each node of each host's tree. pages: (host, html).
+
+    style: presentation entropy, null for a node of one page; mass: information in it, without what is below it; fresh and
+    words: its words, those weighted by how few pages share their text, and all.
+    """
+    counted = pages.mapInArrow(_features, "host string, node long, kind int, feature long, words long, above array<long>, n long")
+    counted = counted.groupBy("host", "node", "kind", "feature", "words").agg(F.sum("n").alias("n"), F.max("above").alias("above"))
     n, kind = F.col("n"), F.col("kind")
-    stats = counted.groupBy("host", "node", "parent").agg(
+    m = counted.groupBy("host", "node").agg(
         F.max(F.when(kind == 0, n)).alias("pages"),
+        F.max("above").alias("above"),
         F.sum(F.when(kind == 1, n * F.log(n)).otherwise(0.0)).alias("styles"),
-        F.sum(F.when(kind == 2, F.log(n)).otherwise(0.0)).alias("spread"),
-        F.count(F.when(kind == 2, 1)).alias("texts"),
+        F.sum(F.when(kind == 2, n * F.col("words")).otherwise(0)).alias("words"),
+        F.sum(F.when(kind == 2, n * F.col("words") * F.log(n)).otherwise(0.0)).alias("shared"),
     )
     log_m = F.log(F.col("pages").cast("double"))
-    stats = stats.select(
-        "host", "node", "parent", "pages", "texts",
-        F.when(F.col("pages") > 1, 1 - F.col("styles") / (F.col("pages") * log_m)).otherwise(1.0).alias("style"),
-        F.when((F.col("pages") > 1) & (F.col("texts") > 0), 1 - F.col("spread") / (F.col("texts") * log_m)).otherwise(1.0).alias("content"),
-    )
-    return stats.groupBy("host").applyInArrow(_importance, "host string, node long")
-
-
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets: dict[tuple, frozenset] = {}
-    for record in batches:
-        texts = []
-        for host, html, low in zip(*(record.column(c).to_pylist() for c in ("host", "html", "low")), strict=True):
-            if low is None:
-                mine = frozenset()
-            else:
-                if len(sets) > 1000:
-                    sets.clear()
-                mine = sets.get(host)
-                if mine is None:
-                    mine = sets[host] = frozenset(x + (1 << 63) for x in low)
-            texts.append("\n".join(blocks(parse(html or ""), mine)))
-        yield pa.RecordBatch.from_arrays([record.column("page_id"), record.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    several = F.col("pages") > 1
+    fresh = F.greatest(F.lit(0.0), F.when(several, F.col("words") - F.col("shared") / log_m).otherwise(F.col("words").cast("double")))
+    stats = m.select("host", "node", "above", "pages", F.when(several, 1 - F.col("styles") / (F.col("pages") * log_m)).alias("style"), fresh.alias("fresh"), "words")
+    # a text that all pages share is still words: copies of pages do not turn an article into nothing
+    return stats.withColumn("mass", 0.7 * F.col("fresh") + 0.3 * F.col("words"))
+
+
+def judged_nodes(stats: DataFrame) -> DataFrame:
+    """(host, node, verdict) of node_statistics; the rows of one tree have one `host`. verdict: LOW, STALE, ARTICLE or 0."""
+    below = stats.select("host", F.explode(F.concat(F.array("node"), F.coalesce("above", F.array().cast("array<bigint>")))).alias("top"), F.when(F.size("above") > 0, F.col("above")[0]).alias("up"), "mass", "fresh", "words")
+    sums = below.groupBy("host", F.col("top").alias("node")).agg(
+        F.sum("mass").alias("all_mass"), F.sum("fresh").alias("all_fresh"), F.sum("words").alias("all_words"), F.count(F.when(F.col("up") == F.col("top"), 1)).alias("children")
+    )
+    root = sums.where(F.col("node") == _signed(0)).select("host", F.col("all_mass").alias("whole"))
+    whole = stats.where(F.col("node") == _signed(0)).select("host", F.col("pages").alias("all_pages"))
+    rows = stats.select("host", "node", "pages", F.coalesce("style", F.lit(0.0)).alias("style")).join(sums, ["host", "node"]).join(root, "host").join(whole, "host")
+    rows = rows.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages")))
+    share = F.when(F.col("whole") > 0, F.col("all_mass") / F.col("whole")).otherwise(1.0)
+    damp = F.pow(F.lit(DAMP), F.col("children"))
+    importance = (1 - damp) * F.col("style") + damp * share
+    stale = (F.col("all_words") > 0) & (F.col("all_fresh") < (1 - REPEATED) * F.col("all_words")) & (share < MOST)
+    verdict = F.when(stale, STALE).when((F.col("style") >= RICH) & (share >= MOST), ARTICLE).when(importance < LEVEL, LOW).otherwise(0)
+    return rows.select("host", "node", "all_pages", verdict.alias("verdict"))
+
+
+def style_trees(pages: DataFrame) -> tuple[DataFrame, list[int] | None]:
+    """((host, nodes: array of paths with the verdict in the two lowest bits) of the hosts that have enough pages, the nodes
+    of the mean tree or None). pages: (host, html)."""
+    stats = materialise(node_statistics(pages), "nodes")
+    coded = F.col("node") + F.col("verdict")
+    own = judged_nodes(stats).where(F.col("all_pages") >= LEAST_PAGES)
+    trees = own.groupBy("host").agg(F.collect_list(F.when(F.col("verdict") > 0, coded)).alias("nodes"))
+    # a node's weight in the mean tree is its pages; a node of one page says nothing of styles
+    seen = F.when(F.col("style").isNotNull(), F.col("pages"))
+    mean = stats.groupBy("node").agg(
+        F.max("above").alias("above"), F.sum("pages").alias("pages"), (F.sum(F.col("style") * seen) / F.sum(seen)).alias("style"), *(F.sum(c).alias(c) for c in ("mass", "fresh", "words"))
+    )
+    mean = judged_nodes(mean.withColumn("host", F.lit("")))
+    if not mean.where(F.col("all_pages") >= LEAST_PAGES).head(1):
+        return materialise(trees, "trees"), None
+    # at most 1 / LEAST_SHARE times the elements of a page, whatever the number of pages
+    return materialise(trees, "trees"), [r[0] for r in mean.where("verdict > 0").select(coded).collect()]
+
+
+def _extracted(mean: list[int] | None):
+    def as_tree(nodes: list[int]) -> dict[int, int]:
+        return {(x + (1 << 63)) & ~3: x & 3 for x in nodes}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = None if mean is None else as_tree(mean)
+        trees: dict[str, dict[int, int]] = {}
+        for record in slices(batches, 3, 4_000_000):
+            texts = []
+            for host, html, nodes in zip(*(record.column(c).to_pylist() for c in ("host", "html", "nodes")), strict=True):
+                tree = common
+                if nodes is not None:
+                    if len(trees) > 1000:
+                        trees.clear()
+                    tree = trees.get(host)
+                    if tree is None:
+                        tree = trees[host] = as_tree(nodes)
+                texts.append("\n".join(blocks(parse(html or ""), tree)))
+            yield pa.RecordBatch.from_arrays([record.column("page_id"), record.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return run
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of (page_id, url, html).
 
-    Null or empty html gives an empty text. Pages without url are one host. Repeated rows give repeated results; further
-    columns are not carried; an empty table gives an empty one. White space of any kind inside a block is one space.
+    Null or empty html gives an empty text. Pages without url are one host. Repeated rows give repeated results and count
+    again in the tree; further columns are not carried; an empty table gives an empty one. White space of any kind inside
+    a block is one space.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    low = materialise(low_nodes(pages.select("host", "html")), "low")
-    few = low.count() <= BROADCAST_NODES
-    low = low.groupBy("host").agg(F.collect_set("node").alias("low"))
-    joined = pages.join(F.broadcast(low) if few else low, "host", "left")
-    return joined.select("page_id", "url", "html", "host", "low").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    trees, mean = style_trees(pages.select("host", "html"))
+    few = (trees.agg(F.sum(F.size("nodes") + 4)).first()[0] or 0) <= BROADCAST_NODES
+    joined = pages.join(F.broadcast(trees) if few else trees, "host", "left")
+    return joined.select("page_id", "url", "host", "html", "nodes").mapInArrow(_extracted(mean), "page_id long, url string, text string, n_chars long")

@@ -49,7 +49,7 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy has a flipped byte in the records of pages with crc32(page_id) mod 101 = 7, for the audit to find."""
-    return fixity_audit(table(spark, sf_dir, "pages"), F.crc32(F.col("page_id").cast("string")) % 101 == 7)
+    return fixity_audit(table(spark, sf_dir, "pages"), (F.col("record") == "resource") & (F.crc32(F.col("page_id").cast("string")) % 101 == 7))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10_lm_scores: all its columns but the model's score."""
+    return op10_lm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_html_text": op2_html_text,
@@ -75,5 +80,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "lm_base_columns": lm_base_columns,
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+#: crc32 of the decimal digits of doc_id: the register after each byte, bit by bit.
+_CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"""
+#: DuckDB SQL by plain comparison of all with all, for small tables; ids are distinct there.
+ORACLE_SQL: dict[str, str] = {
+    "op3_embedding_duplicates": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
+SELECT e.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.root) AS component_id, min(r.root) = e.vec_id AS kept FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN r ON r.id = e.vec_id GROUP BY e.vec_id""",
+    "op5_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.root) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.id = d.doc_id GROUP BY d.doc_id""",
+    "lm_base_columns": f"""
+WITH w AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, unnest(w) AS tok FROM w), c AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + 1 * (n.v + 1)))), 3) AS base_score
+FROM t LEFT JOIN c ON c.tok = t.tok CROSS JOIN n GROUP BY t.doc_id, t.held_out""",
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -2,9 +2,10 @@
 
 Each record is framed as: length (8 bytes, little-endian), masked checksum of the length (4), the payload, masked
 checksum of the payload (4). The checksum is CRC-32 as zlib has it, rotated right by 15 bits plus a constant, so that
-data that itself holds checksums stays safe. The payload is the document's id (8 bytes), the bytes of a token id (1; 2
-where the vocabulary allows it, else 4) and the token ids. The index holds each record's offset, for shuffled reads. One shard for each range of document ids; a task
-writes under a name of its own attempt, and only names that the written manifest lists count.
+data that itself holds checksums stays safe. The payload is the document's id (8 bytes), one byte with the width of a token
+id (2 where the vocabulary allows it, else 4; 128 more where the document has no id) and the token ids. The index holds
+each record's offset, for shuffled reads. One shard for each range of document ids; a task writes under a name of its own
+attempt, and only names that the written manifest lists count.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_CHARS, encoder
-from .shared import materialise, new_folder
+from .shared import materialise, new_folder, slices
 
 _MASK = 0xA282EAD8
 _MANIFEST = "shard int, path string, first_id long, n_records long, n_ids long"
@@ -52,9 +53,12 @@ def unframe(read, what: str) -> bytes:
     return body[:size]
 
 
-def _record(payload: bytes) -> tuple[int, np.ndarray]:
+_NULL = 128
+
+
+def _record(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width = struct.unpack("<qB", payload[:9])
-    return doc_id, np.frombuffer(payload, dtype=f"<u{width}", offset=9)
+    return None if width & _NULL else doc_id, np.frombuffer(payload, dtype=f"<u{width & ~_NULL}", offset=9)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -67,7 +71,11 @@ _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 
 
 class ByteIds:
-    """Encodes texts to little-endian ids; special strings in a text give their own id."""
+    """Encodes texts to little-endian ids; special strings in a text give their own id.
+
+    tiktoken runs the merges of the vocabulary file, as it does several times as fast; the tests hold its ids against the
+    tokenizers library's.
+    """
 
     def __init__(self, path: str):
         enc = encoder(path)
@@ -94,8 +102,8 @@ def write_token_records(docs: DataFrame, path: str, folder: str, end_id: int = 0
     """Encodes the texts and writes them in ascending doc_id order; returns the manifest, read from the store.
 
     Columns: shard, path, first_id (ids in all shards before), n_records, n_ids. Each document's ids end with end_id.
-    Null and empty texts give end_id alone; documents with equal ids stand together in any order; a null doc_id is
-    refused, as it has no place in the order. An empty table gives an empty manifest.
+    Null and empty texts give end_id alone; documents with equal ids stand together in any order; those with a null doc_id
+    stand before all others. An empty table gives an empty manifest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,16 +112,14 @@ def write_token_records(docs: DataFrame, path: str, folder: str, end_id: int = 0
         name = f"{folder}/part-{task.partitionId():06d}-{uuid.uuid4().hex}"
         width = ids.kind.itemsize
         end, out, offsets, at, n_ids = np.array([end_id], dtype=ids.kind).tobytes(), None, [], 0, 0
-        for batch in batches:
+        for batch in slices(batches, 1, 4_000_000):
             if out is None:
                 store, local = open_store(name)
                 store.create_dir(local.rpartition("/")[0], recursive=True)
                 out = store.open_output_stream(local + ".rec")
             block = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if doc_id is None:
-                    raise ValueError("a document without id has no place in the order")
-                payload = struct.pack("<qB", doc_id, width) + ids(text or "") + end
+                payload = struct.pack("<qB", doc_id or 0, width | _NULL if doc_id is None else width) + ids(text or "") + end
                 block.append(frame(payload))
                 offsets.append(at)
                 at += len(block[-1])
@@ -129,7 +135,7 @@ def write_token_records(docs: DataFrame, path: str, folder: str, end_id: int = 0
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([0], pa.int64()), pa.array([len(offsets)], pa.int64()), pa.array([n_ids], pa.int64())], names=["shard", "path", "first_id", "n_records", "n_ids"])
 
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     shards = materialise(ordered.mapInArrow(run, _MANIFEST), "manifest")
     # one row for each shard: few, whatever the number of documents
     sizes = sorted((r["shard"], r["n_ids"]) for r in shards.select("shard", "n_ids").collect())
@@ -176,7 +182,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
     return shards.repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def read_record(name: str, k: int) -> tuple[int, np.ndarray]:
+def read_record(name: str, k: int) -> tuple[int | None, np.ndarray]:
     """The k-th record of a shard, by its offset: (doc_id, ids)."""
     store, local = open_store(name)
     with store.open_input_file(local + ".idx") as f:
