@@ -14,7 +14,7 @@ from cueframe.llm.bpe import bpe_digests
 from cueframe.llm.decontaminate import decontaminate
 from cueframe.llm.jaccard import jaccard_components
 from cueframe.llm.quality import quality_filter
-from cueframe.llm.shared import materialise, table
+from cueframe.llm.shared import discard, folders, materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        before = folders()
         docs = materialise(stage(spark, docs, sf_dir), "stage")
+        discard(spark, before, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
