@@ -194,3 +194,30 @@ def test_written_language(spark):
     rows = [("a", "안녕하세요 여러분 hello"), ("b", "これは日本語の文章です"), ("c", "漢字漢字漢字漢字漢字"), ("d", "Γειά σου κόσμε"), ("e", "plain words here"), ("f", "漢字"), ("g", "Привет, как дела"), ("h", None)]
     found = {r.g: r.language for r in review.written_language(spark.createDataFrame(rows, "g string, t string"), "g", "t").collect()}
     assert found == {"a": "ko", "b": "ja", "c": "zh", "d": "el", "e": None, "f": None, "g": None, "h": None}
+
+
+def test_pieces_of_long_lines(spark):
+    from cueframe.functions.splitting import pieces_of, split_lines
+
+    said = "This is a first sentence of some length. And here is another one, with a comma, that goes on and on until it is far too wide for two lines of a screen."
+    parts = pieces_of(said, 0, 12_000_000, 42, 2, 7_000_000, 85_000)
+    assert " ".join(t for t, _, _ in parts) == said and all(len(t) <= 84 for t, _, _ in parts) and parts[0][0].endswith("comma,")
+    assert all(a[2] <= b[1] for a, b in zip(parts, parts[1:], strict=False)) and parts[0][1] == 0
+    assert pieces_of("one", 0, 60_000_000, 42, 2, 7_000_000, 85_000) == [("one", 0, 832_500)]
+    assert len(pieces_of("漢" * 60, 0, 9_000_000, 42, 2, 7_000_000, 85_000)) == 2 and pieces_of("x" * 200, 0, 9, 42, 2, 7_000_000, 85_000) == [("x" * 200, 0, 9)]
+    found = column(spark, [(said, 0, 12_000_000), (None, 0, 5)], "t string, a long, b long", split_lines()("t", "a", "b"))
+    assert [tuple(p) for p in found[0][0]] == parts and found[1][0] is None
+
+
+def test_trimming_to_speech(spark):
+    from cueframe.plans.pipelines import shape_transcript, trim_to_speech
+
+    s = 1_000_000
+    cues = [(1, 0, 0, 10 * s), (2, 0, 0, 10 * s), (3, 0, 0, 4 * s), (4, 0, 0, 10 * s), (5, 0, 0, 10 * s)]
+    speech = [(1, 2 * s, 5 * s), (3, 0, 3 * s + 500_000), (4, 1 * s, 5 * s), (4, 9 * s, 9 * s + 500_000), (5, 0, s // 2), (5, 3 * s, 8 * s)]
+    found = {r.key: (r.start_us, r.end_us) for r in trim_to_speech(spark.createDataFrame(cues, SCHEMA), spark.createDataFrame(speech, "key int, start_us long, end_us long")).collect()}
+    assert found == {1: (1_850_000, 5_300_000), 2: (0, 10 * s), 3: (0, 4 * s), 4: (850_000, 5_300_000), 5: (2_850_000, 8_300_000)}
+    heard = [(1, 0, 0, 2 * s, " Hello   there. ", 0.9, 0.1), (1, 1, 2 * s, 3 * s, "Thank you for watching!", 0.9, 0.1), (1, 2, 3 * s, 4 * s, "mumble", 0.2, 0.9), (1, 3, 5 * s, 6 * s, "!!", 0.9, 0.0), (1, 4, 6 * s, 7 * s, None, 0.9, 0.0)]
+    heard += [(1, 5 + i, (8 + i) * s, (9 + i) * s, "Again.", 0.9, 0.0) for i in range(4)]
+    shaped = shape_transcript(spark.createDataFrame(heard, SCHEMA + ", text string, prob double, no_speech double")).orderBy("ord").collect()
+    assert [r.text for r in shaped] == ["Hello there.", "Again.", "Again."]
