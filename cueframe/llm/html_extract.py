@@ -322,7 +322,8 @@ def style_trees(pages: DataFrame) -> tuple[DataFrame, list[int] | None]:
     mean = stats.groupBy("node").agg(
         F.max("above").alias("above"), F.sum("pages").alias("pages"), (F.sum(F.col("style") * seen) / F.sum(seen)).alias("style"), *(F.sum(c).alias(c) for c in ("mass", "fresh", "words"))
     )
-    mean = judged_nodes(mean.withColumn("host", F.lit("")))
+    # an empty name that is no literal: joins by a literal would become nested loops
+    mean = judged_nodes(mean.withColumn("host", F.substring(F.col("node").cast("string"), 1, 0)))
     if not mean.where(F.col("all_pages") >= LEAST_PAGES).head(1):
         return materialise(trees, "trees"), None
     # at most 1 / LEAST_SHARE times the elements of a page, whatever the number of pages
