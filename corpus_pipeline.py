@@ -56,8 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = folders()
     for _, stage in STAGES[:-1]:
-        before = folders()
         docs = materialise(stage(spark, docs, sf_dir), "stage")
         discard(spark, before, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
