@@ -196,8 +196,42 @@ def estimated_seconds(lines: Column | str, load: float, per_line: float, eased:
     return (F.lit(load) + _col(lines) * per_line) * (1.5 if eased else 1.0)
 
 
+def followed_gain(level_db: Column | str, target_db: Column | str, follow: float = 0.8, low: float = -12.0, high: float = 3.0) -> Column:
+    """How much louder a line gets to follow the original's level by a share, within limits."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), (_col(target_db) - _col(level_db)) * follow))
+
+
+def panned(left: Column | str, right: Column | str, most_degrees: float = 25.0) -> tuple[Column, Column]:
+    """Gains of both sides for a voice that stands where the original does: by the angle of its levels, within limits."""
+    angle = F.degrees(F.atan2(_col(right), _col(left))) - 45
+    held = F.radians(F.greatest(F.lit(-most_degrees), F.least(F.lit(most_degrees), angle)) + 45)
+    return F.cos(held), F.sin(held)
+
+
+def trapezoid(frame: Column | str, start: Column | str, end: Column | str, fade: Column | int) -> Column:
+    """0 outside [start, end), 1 inside, rising and falling over `fade` frames within it."""
+    f, a, b = _col(frame), _col(start), _col(end)
+    fade = F.lit(fade) if isinstance(fade, int) else fade
+    return F.when((f < a) | (f >= b), 0.0).otherwise(F.least(F.lit(1.0), (f - a + 1) / fade, (b - f) / fade))
+
+
 # file names
 
+#: Fixed: endings of files by what they hold.
+MEDIA_ENDINGS = {
+    "video": "mp4 mkv avi mov wmv m4v webm ts m2ts mts mpg mpeg flv 3gp vob ogv",
+    "audio": "mp3 wav m4a aac flac ogg opus wma ac3 eac3",
+    "subtitle": "srt vtt ass ssa sub idx sup",
+}
+
+
+def media_kind(path: Column | str) -> Column:
+    """video, audio or subtitle by a file's ending; null for others."""
+    ending, out = F.lower(F.regexp_extract(_col(path), r"\.([^.\\/]+)$", 1)), None
+    for kind, known in MEDIA_ENDINGS.items():
+        out = F.when(ending.isin(*known.split()), kind) if out is None else out.when(ending.isin(*known.split()), kind)
+    return out
+
 
 def sidecar(video: Column | str, file: Column | str) -> Column:
     """What a subtitle file's name says beside its video's: struct<language, forced, hearing_impaired, sdh, label, format>; null

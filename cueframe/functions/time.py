@@ -40,6 +40,12 @@ def format_srt(us: Column | str) -> Column:
     return F.format_string("%02d:%02d:%02d,%03d", *_parts(us, 1000))
 
 
+def format_editor(us: Column | str) -> Column:
+    """As format_srt, with a sign for times before 0."""
+    us = F.col(us) if isinstance(us, str) else us
+    return F.concat(F.when(us < 0, "-").otherwise(""), format_srt(F.abs(us)))
+
+
 def format_vtt(us: Column | str) -> Column:
     return F.translate(format_srt(us), ",", ".")
 
@@ -71,3 +77,8 @@ def frame_of(us: Column | str, frame_us: int = 10_000) -> Column:
     """The nearest frame, half to even."""
     us = F.col(us) if isinstance(us, str) else us
     return F.bround(us / frame_us, 0).cast("long")
+
+
+def time_of_frame(frame: Column | str, frame_us: int = 10_000) -> Column:
+    frame = F.col(frame) if isinstance(frame, str) else frame
+    return (frame * frame_us).cast("long")

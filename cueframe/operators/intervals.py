@@ -28,6 +28,22 @@ def stretch(rows: DataFrame, factor: float) -> DataFrame:
     return rows.withColumns({"start_us": scaled("start_us"), "end_us": scaled("end_us")})
 
 
+#: Fixed: frame rates that files are timed for, and those of the video: (from, to).
+FRAME_RATES = [(25, 24000 / 1001), (24000 / 1001, 25), (25, 24), (24, 25), (24, 24000 / 1001), (24000 / 1001, 24), (30000 / 1001, 25), (25, 30000 / 1001)]
+
+
+def stretch_for_rates(rows: DataFrame, timed_for: float, video: float) -> DataFrame:
+    """Times of rows that were timed for one frame rate, for a video of another."""
+    return stretch(rows, timed_for / video)
+
+
+def map_by_points(rows: DataFrame, a_from: int, a_to: int, b_from: int, b_to: int) -> DataFrame:
+    """Times on the line through two anchors, not before 0; see two_points."""
+    factor, offset = two_points(a_from, a_to, b_from, b_to)
+    mapped = lambda c: F.greatest(F.round(F.col(c) * factor).cast("long") + offset, F.lit(0))
+    return rows.withColumns({"start_us": mapped("start_us"), "end_us": mapped("end_us")})
+
+
 def two_points(a_from: int, a_to: int, b_from: int, b_to: int) -> tuple[float, int]:
     """(factor, offset) of the line through two anchors, which must be a second apart and give 0.5 < factor < 2."""
     if abs(b_from - a_from) < 1_000_000:
