@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from cueframe.llm.decontaminate import contaminated_documents, decontaminate, tiles
 from cueframe.llm.lm import EliasFano, Trie, get_bits, lm_scores, lm_tries, pack_bits
-from cueframe.llm.quality import quality_filter, quality_scores
+from cueframe.llm.quality import grams, part_hashes, quality_filter, quality_scores
 
 from ..conftest import SMALL
 
@@ -195,3 +197,77 @@ def test_scores_against_a_plain_model(spark, tmp_path):
     assert [k.n for k in mapped.keys] == [k.n for k in whole.keys] and mapped.keys[2].n > 0
     i = np.arange(mapped.keys[0].n)
     assert (mapped.descend(0, None, whole.keys[0].get(i)) == i).all()
+
+
+def plain_quality(docs, labels, keep=0.995):
+    """The weights of quality_scores, written with dictionaries: {row: log weight}, and the level."""
+    window, gate, prior, margin, strength = 32, 3.0, 0.5, 0.5, 5.0
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = [[p for w in WORD.findall(lower(t)) for p in re.findall(r"\w+|\W+", w)] for _, t in docs]
+    # features are places of a table, which some of them share; only these places are the operator's own
+    hashes = part_hashes()
+    places = [[x.tolist() for x in grams(t, hashes)] for _, t in docs]
+    assert all((len(one), len(two)) == (len(t), max(0, len(t) - 1)) for (one, two), t in zip(places, tokens, strict=True))
+    assert all(two[i] == 1 for (_, two), t in zip(places, tokens, strict=True) for i in range(len(two)) if t[i] == t[i + 1])
+    features = [one + two for one, two in places]
+    ids = sorted(labels, key=lambda x: (xxhash.xxh64_intdigest(struct.pack("<q", x[0]), seed=42) ^ 1 << 63, x[0]))
+    part = {d: (q == 1 and t == 0, i % 2 == 1) for i, (d, q, t) in enumerate(ids)}
+    role = [part.get(d, (False, False)) for d, _ in docs]
+    raw, target, raw_docs, target_docs, later = Counter(), Counter(), Counter(), Counter(), Counter()
+    n = n_target = 0
+    for f, (good, calibration) in zip(features, role, strict=True):
+        if f:
+            n += 1
+            raw.update(f)
+            raw_docs.update(set(f))
+            if good and calibration:
+                later.update(f)
+            elif good:
+                n_target += 1
+                target.update(f)
+                target_docs.update(set(f))
+
+    def ratio(all_of, of_target, share):
+        out = {}
+        for x, c in all_of.items():
+            expected = c * share
+            if abs(of_target[x] - expected) >= gate * math.sqrt(expected + 1):
+                out[x] = float(np.float32(math.log((of_target[x] + prior) / (expected + prior))))
+        return out
+
+    value = ratio(raw, target, sum(target.values()) / sum(raw.values()))
+    against = {x: min(v, 0.0) for x, v in ratio(raw_docs, target_docs, n_target / n).items() if x != 1}
+    drift = -2 * sum(against.get(x, 0) * c for x, c in later.items()) / max(1.0, sum(later.values()) / 2)
+    scores = []
+    for t, two in places:
+        v = [value.get(x, 0) + (value.get(two[i - 1], 0) if i else 0) for i, x in enumerate(t)]
+        low = min(sum(v[i : i + window]) for i in range(len(v) - window + 1)) if len(v) > window else sum(v)
+        run, worst = 0.0, 0.0  # the least sum of any run
+        for i, x in enumerate(t):
+            run = min(run, 0.0) + against.get(x, 0) + drift + (against.get(two[i - 1], 0) if i else 0)
+            worst = min(worst, run)
+        scores.append((low, worst, len(t)))
+    tail = [sorted(s[k] for s, (good, calibration) in zip(scores, role, strict=True) if good and calibration) for k in range(3)]
+    m, out = len(tail[0]), 1 - keep
+    ends = [(x[int(m * out)], max(x[int(m * out)], x[min(m - 1, int(m * min(0.5, 10 * out)))])) for x in tail[:2]]
+    levels = [min(-strength, a - margin * (b - a)) for a, b in ends]
+    slopes, size = [(b - a) / math.log(10) for a, b in ends], max(1, tail[2][m // 2])
+    weights = []
+    for low, worst, k in scores:
+        longer = math.log(max(1.0, k / size))
+        weights.append(min(low + slopes[0] * longer, (worst + slopes[1] * longer) * levels[0] / levels[1]))
+    return weights, levels[0]
+
+
+def test_quality_against_plain_dictionaries(spark):
+    sf = SMALL.replace("0.001", "0.01")
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 500").collect()] + [(None, None), (900_000, ""), (900_001, "buy")]
+    labels = [(r.doc_id, r.quality, r.toxic or 0) for r in spark.read.parquet(f"{sf}/labels.parquet").where("doc_id < 500").collect()]
+    found = quality_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    weights, level = plain_quality(docs, labels)
+    mine = {r.doc_id: r for r in found}
+    for (d, _), w in zip(docs, weights, strict=True):
+        assert mine[d].log_weight == pytest.approx(w, abs=1e-4), d
+    # the sample has as many documents as reach the level
+    assert sum(r.kept for r in found) == sum(w >= level for w in weights) > 300
+    assert mine[None].kept and mine[900_000].kept and mine[None].log_weight == 0
