@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import lines, maths, text, time
+from .functions import languages, lines, maths, text, time
 from .operators import intervals as ops
+from .operators import people as people_of
 from .operators import review
 from .plans import tables
 from .queries import query
@@ -175,3 +176,24 @@ def src8_scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.load(spark, sf_dir, "customer").select(F.concat("c_name", ending).alias("path"))
     found = c.unionByName(c.select(F.upper("path").alias("path")))
     return found.select(F.lower("path").alias("path"), lines.media_kind("path").alias("kind")).dropDuplicates(["path"]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, ['ko', 'de', 'fr', 'en', NULL, NULL][c_custkey % 6 + 1] AS code, ['kor', 'ger', 'fre', 'eng', NULL, NULL][c_custkey % 6 + 1] AS tag FROM customer")
+def fn31_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*(F.lit(x) for x in ("kor", "deu", "FRE", "en-US", "und", "xx"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return tables.load(spark, sf_dir, "customer").select("c_custkey", languages.code_of(said).alias("code"), languages.tag_of(said).alias("tag"))
+
+
+@query()
+def jn10_recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.load(spark, sf_dir, "embeddings").where("label is not null")
+    speakers = e.where("vec_id % 2 = 0").select(F.col("label").alias("key"), F.col("vec_id").alias("speaker"), "embedding")
+    people = e.where("vec_id % 2 = 1").select(F.col("label").alias("key"), F.col("vec_id").alias("person"), "embedding")
+    return people_of.recognised(speakers, people, 0.2)
+
+
+@query()
+def srt12_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tables.load(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("speaker"), F.when(F.col("c_custkey") % 3 > 0, F.when(F.col("c_custkey") % 3 == 1, "male").otherwise("female")).alias("gender"), F.round("c_acctbal").cast("int").alias("lines"), F.lit(None).cast("string").alias("voice"), F.lit(False).alias("by_hand"))
+    return people_of.with_voices(rows, {"female": [f"f{i}" for i in range(9)], "male": [f"m{i}" for i in range(7)]})

@@ -221,3 +221,29 @@ def test_trimming_to_speech(spark):
     heard += [(1, 5 + i, (8 + i) * s, (9 + i) * s, "Again.", 0.9, 0.0) for i in range(4)]
     shaped = shape_transcript(spark.createDataFrame(heard, SCHEMA + ", text string, prob double, no_speech double")).orderBy("ord").collect()
     assert [r.text for r in shaped] == ["Hello there.", "Again.", "Again."]
+
+
+def test_recognising_people(spark):
+    from cueframe.functions.maths import cosine
+    from cueframe.operators.people import recognised
+
+    r = random.Random(9)
+    vector = lambda: [r.gauss(0, 1) for _ in range(4)]
+    speakers = [(k, i, vector()) for k in range(4) for i in range(7)] + [(0, 99, None), (None, 1, vector())]
+    people = [(k, i, vector()) for k in range(4) for i in range(6)]
+    a, b = spark.createDataFrame(speakers, "key int, speaker int, embedding array<double>"), spark.createDataFrame(people, "key int, person int, embedding array<double>")
+    alike = {(k, s, p): c for k, s, p, c in a.join(b.withColumnRenamed("embedding", "e2"), "key").select("key", "speaker", "person", F.round(cosine("embedding", "e2"), 9)).collect() if c is not None and c >= 0.5}
+    wanted, taken = set(), set()
+    for (k, s, p), _ in sorted(alike.items(), key=lambda x: (x[0][0], -x[1], x[0][1], x[0][2])):
+        if (k, "s", s) not in taken and (k, "p", p) not in taken:
+            taken |= {(k, "s", s), (k, "p", p)}
+            wanted.add((k, s, p))
+    assert {(x.key, x.speaker, x.person) for x in recognised(a, b).collect()} == wanted and len(wanted) > 6
+
+
+def test_voices_of_speakers(spark):
+    from cueframe.operators.people import with_voices
+
+    rows = [(1, "a", "male", 50, "m1", False), (1, "b", "male", 40, "m1", False), (1, "c", None, 30, None, False), (1, "d", "female", 20, "m2", False), (1, "e", "female", 10, "f1", True), (1, "f", "female", 5, "", None), (1, "g", "male", 3, None, False), (2, "a", "male", 1, "f2", True)]
+    found = with_voices(spark.createDataFrame(rows, "key int, speaker string, gender string, lines int, voice string, by_hand boolean"), {"female": ["f1", "f2", "f3"], "male": ["m1", "m2"]})
+    assert {(r.key, r.speaker): r.voice for r in found.collect()} == {(1, "a"): "m1", (1, "e"): "f1", (1, "b"): "m2", (1, "c"): "f2", (1, "d"): "f3", (1, "f"): "f1", (1, "g"): "m1", (2, "a"): "f2"}
