@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import languages, lines, maths, text, time
 from .operators import intervals as ops
 from .operators import people as people_of
-from .operators import review
+from .operators import review, voices
 from .plans import tables
 from .queries import query
 
@@ -197,3 +197,20 @@ def srt12_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.load(spark, sf_dir, "customer")
     rows = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("speaker"), F.when(F.col("c_custkey") % 3 > 0, F.when(F.col("c_custkey") % 3 == 1, "male").otherwise("female")).alias("gender"), F.round("c_acctbal").cast("int").alias("lines"), F.lit(None).cast("string").alias("voice"), F.lit(False).alias("by_hand"))
     return people_of.with_voices(rows, {"female": [f"f{i}" for i in range(9)], "male": [f"m{i}" for i in range(7)]})
+
+
+@query()
+def agg27_voice_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = tables.load(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.row_number().over(w).alias("frame"), F.when(F.col("value") > 5, F.when(F.col("value") > 20, F.floor(F.col("value") / 20) * 20).otherwise(0.0)).alias("hz"))
+    return voices.voice_shape(e)
+
+
+@query("""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), e AS (SELECT vec_id, list_transform(range(0, 16), lambda p: sqrt(list_sum(list_transform(v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16], lambda x: x * x)) / greatest(1, (p + 1) * len(v) // 16 - p * len(v) // 16))) AS s FROM v),
+a AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (s[greatest(i - 1, 1)] + 2 * s[i] + s[least(i + 1, 16)]) / 4) AS s FROM e), b AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (s[greatest(i - 1, 1)] + 2 * s[i] + s[least(i + 1, 16)]) / 4) AS s FROM a),
+c AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (s[greatest(i - 1, 1)] + 2 * s[i] + s[least(i + 1, 16)]) / 4) AS s FROM b), d AS (SELECT vec_id, list_transform(range(1, 17), lambda i: (s[greatest(i - 1, 1)] + 2 * s[i] + s[least(i + 1, 16)]) / 4) AS s FROM c)
+SELECT vec_id, i - 1 AS i, CAST(round(s[i] / list_avg(s) * 1000000) AS BIGINT) AS millionths FROM d, range(1, 17) t(i) WHERE list_avg(s) > 1e-6""")
+def agg25_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(voices.emphasis("embedding")).alias("i", "x"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 1_000_000).cast("long").alias("millionths"))

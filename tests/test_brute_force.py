@@ -247,3 +247,42 @@ def test_voices_of_speakers(spark):
     rows = [(1, "a", "male", 50, "m1", False), (1, "b", "male", 40, "m1", False), (1, "c", None, 30, None, False), (1, "d", "female", 20, "m2", False), (1, "e", "female", 10, "f1", True), (1, "f", "female", 5, "", None), (1, "g", "male", 3, None, False), (2, "a", "male", 1, "f2", True)]
     found = with_voices(spark.createDataFrame(rows, "key int, speaker string, gender string, lines int, voice string, by_hand boolean"), {"female": ["f1", "f2", "f3"], "male": ["m1", "m2"]})
     assert {(r.key, r.speaker): r.voice for r in found.collect()} == {(1, "a"): "m1", (1, "e"): "f1", (1, "b"): "m2", (1, "c"): "f2", (1, "d"): "f3", (1, "f"): "f1", (1, "g"): "m1", (2, "a"): "f2"}
+
+
+def test_shapes_of_voices(spark):
+    import math
+
+    from cueframe.operators.voices import sung, voice_shape
+
+    r = random.Random(6)
+    lines_of = {k: [r.choice([None, 0.0, *[200 * 2 ** (r.choice([0, 0.3, 0.9, 4]) / 12)] * 5]) for _ in range(120)] for k in range(6)} | {7: [220.0] * 200, 8: [None, 0.0, 0.0]}
+    found = {x.key: x for x in voice_shape(spark.createDataFrame([(k, i, v) for k, t in lines_of.items() for i, v in enumerate(t)], "key int, frame int, hz double")).collect()}
+    for k, t in lines_of.items():
+        voiced, held, longest, i = sum(v is not None and v > 0 for v in t), 0, 0, 0
+        while i < len(t):
+            if not t[i]:
+                i += 1
+                continue
+            total, j = math.log2(t[i]), i + 1
+            while j < len(t) and t[j] and abs(12 * (math.log2(t[j]) - total / (j - i))) < 1.0:
+                total, j = total + math.log2(t[j]), j + 1
+            held += (j - i) * ((j - i) * 30 >= 250)
+            longest, i = max(longest, j - i), j
+        runs = [len(x) for x in "".join("v" if v else "-" for v in t).split("-") if len(x) * 30 >= 600]
+        x = found[k]
+        assert (x.steps, x.longest_us) == (voiced, longest * 30_000)
+        assert x.held == pytest.approx(held / voiced if voiced else 0) and x.long_runs == pytest.approx(sum(runs) / voiced if voiced else 0)
+        assert x.voiced == pytest.approx(voiced / sum(v is not None for v in t))
+    lengths = spark.createDataFrame([(7, 6_000_000), (8, 90_000)], "key int, length_us long")
+    shape = spark.createDataFrame([tuple(found[7]), tuple(found[8])], "key int, voiced double, held double, long_runs double, steps long, longest_us long")
+    assert {x.key: x.sung for x in sung(shape, lengths).collect()} == {7: True, 8: False}
+
+
+def test_blocks_of_boxes(spark):
+    from cueframe.operators.voices import text_blocks
+
+    box = lambda s, t, x, y, w=300, h=40: (1, s, t, float(x), float(y), float(w), float(h), 1000, 800)
+    rows = [box(0, "Hello there", 350, 600), box(0, " friend ", 360, 650), box(0, "sign far up", 350, 100), box(0, "logo text", 350, 700), box(0, "x", 350, 500), box(1, "side", 10, 600)]
+    rows += [box(2, f"credit {i}", 350, 200 + 50 * i) for i in range(5)]
+    found = sorted((r.sample, r.lines, r.text) for r in text_blocks(spark.createDataFrame(rows, "key int, sample int, text string, x double, y double, width double, height double, frame_width int, frame_height int"), ["logotext"]).collect())
+    assert found == [(0, 1, "sign far up"), (0, 2, "Hello there\nfriend")]
