@@ -25,8 +25,7 @@ BLOCK = 256
 def _blocked(rows: DataFrame, groups: list[str], item: list[str]) -> DataFrame:
     """(groups, block, blocks, items): rows dealt into arrays of about BLOCK items; blocks: how many their group has."""
     sizes = rows.groupBy(*groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, groups) if groups else rows.crossJoin(F.broadcast(sizes))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*item), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes, groups).withColumn("block", F.pmod(F.xxhash64(*item), F.col("blocks")).cast("int"))
     return dealt.groupBy(*groups, "block", "blocks").agg(F.collect_list(F.struct(*item)).alias("items"))
 
 
@@ -37,11 +36,12 @@ def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
     repeated once for each block of centers only. Scores are rounded to 9 places, so that ties go to the smallest label.
     Null where there is no center, or none that can be compared (a zero vector, another length).
     """
-    blocks = _blocked(centers.select("label", F.col("embedding").alias("v")), [], ["label", "v"])
-    n = centers.groupBy().agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    each = rows.crossJoin(F.broadcast(n)).withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    n = max(1, -(-centers.count() // BLOCK))
+    dealt = centers.select((F.pmod(F.xxhash64("label"), F.lit(n))).cast("int").alias("block"), "label", F.col("embedding").alias("v"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("label", "v")).alias("items"))
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     scored = F.transform("items", lambda c: F.struct((-F.round(cosine("embedding", c["v"]), 9)).alias("far"), c["label"].alias("label")))
-    best = each.join(blocks.select("block", "items"), "block", "left").select("vec_id", F.array_min(F.filter(scored, lambda s: s["far"].isNotNull())).alias("best"))
+    best = each.join(blocks, "block", "left").select("vec_id", F.array_min(F.filter(scored, lambda s: s["far"].isNotNull())).alias("best"))
     best = best.groupBy("vec_id").agg(F.min("best").alias("best"))
     return best.select("vec_id", F.col("best.label").alias("center"), (-F.col("best.far")).alias("score"))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ocr import subtitle_like
+from ..functions.ocr import quality, subtitle_like
 from ..functions.text import letters_key
 from .folds import fold
 
@@ -90,3 +90,14 @@ def text_blocks(boxes: DataFrame, static: list[str] | None = None, most_lines: i
     item = F.sort_array(F.collect_list(F.struct("y", "x", F.trim("text").alias("text"))))
     found = rows.groupBy("key", "sample", "block").agg(F.min(F.col("y") / F.col("frame_height")).alias("top"), F.max((F.col("y") + F.col("height")) / F.col("frame_height")).alias("bottom"), F.count("*").alias("lines"), F.array_join(F.transform(item, lambda i: i["text"]), "\n").alias("text"))
     return found.where(F.col("lines") <= most_lines)
+
+
+def kept_lines(boxes: DataFrame, expected: str | None = None, most_lines: int = 3) -> DataFrame:
+    """Boxes of a band that can be its subtitle: with a letter, centred within 25 % of the frame, 0.55 to 1.7 times as high as
+    expected (a column, null where that is not known), of a quality of at least 0.45; none where more than most_lines are
+    left, which is a roll of credits. boxes: as for text_blocks."""
+    middle = F.abs(F.col("x") + F.col("width") / 2 - F.col("frame_width") / 2) <= 0.25 * F.col("frame_width")
+    height = F.lit(True) if expected is None else F.coalesce(F.col("height").between(0.55 * F.col(expected), 1.7 * F.col(expected)), F.lit(True))
+    good = boxes.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & middle & height & (quality("text") >= 0.45))
+    n = F.count("*").over(Window.partitionBy("key", "sample"))
+    return good.withColumn("_n", n).where(F.col("_n") <= most_lines).drop("_n")

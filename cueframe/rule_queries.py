@@ -214,3 +214,11 @@ SELECT vec_id, i - 1 AS i, CAST(round(s[i] / list_avg(s) * 1000000) AS BIGINT) A
 def agg25_emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = tables.load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(voices.emphasis("embedding")).alias("i", "x"))
     return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x") * 1_000_000).cast("long").alias("millionths"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_brand, p_size, p_partkey % 60 AS x FROM part WHERE abs(p_partkey % 60 + 10 - 50) <= 25 AND p_size BETWEEN 0.55 * 25 AND 1.7 * 25) SELECT p_partkey FROM b QUALIFY count(*) OVER (PARTITION BY p_brand, p_partkey // 100) <= 3""")
+def prj10_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.load(spark, sf_dir, "part")
+    boxes = p.select("p_partkey", F.col("p_brand").alias("key"), F.floor(F.col("p_partkey") / 100).alias("sample"), F.lit("Some words here").alias("text"), (F.col("p_partkey") % 60).alias("x"), F.lit(20).alias("width"), F.col("p_size").alias("height"), F.lit(100).alias("frame_width"), F.lit(25).alias("usual"))
+    return voices.kept_lines(boxes, "usual").select("p_partkey")
