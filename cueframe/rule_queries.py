@@ -102,7 +102,7 @@ def agg13_active_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.round(10 * F.log10(power) * 1000).cast("long").alias("db"))
 
 
-@query("""
+@query(r"""
 WITH {cu}, a AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS i FROM cu WHERE role = 'assistant'), b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS i FROM cu WHERE role = 'user'),
 n AS (SELECT a.key FROM a GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM b WHERE b.key = a.key) AND count(*) = (SELECT count(*) FROM a x JOIN b y ON x.key = y.key AND x.i = y.i AND abs(x.start_us - y.start_us) < 4000000 WHERE x.key = a.key)),
 d AS (SELECT a.key, a.ord, regexp_replace(b.text, '^\s+|\s+$', '', 'g') AS original FROM a JOIN b ON a.key = b.key AND a.i = b.i WHERE a.key IN (SELECT key FROM n)),
