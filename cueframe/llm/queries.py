@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_digests
 from .decontaminate import contaminated_documents
 from .embeddings import embedding_duplicates
+from .fim import fim_digests
 from .html_extract import extract_text
 from .jaccard import jaccard_components
 from .lm import lm_scores
@@ -64,6 +65,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op10_lm_scores: all its columns but the model's score."""
     return op10_lm_scores(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 3))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "lm_base_columns": lm_base_columns,
 }
 
@@ -109,4 +115,12 @@ WITH w AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, chr(
 t AS (SELECT doc_id, held_out, unnest(w) AS tok FROM w), c AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
 SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + 1 * (n.v + 1)))), 3) AS base_score
 FROM t LEFT JOIN c ON c.tok = t.tok CROSS JOIN n GROUP BY t.doc_id, t.held_out""",
+    "op13_fill_in_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM h),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
