@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_digests
+from .clusters import cluster_vectors
 from .decontaminate import contaminated_documents
 from .embeddings import embedding_duplicates
 from .fim import fim_digests
@@ -65,6 +66,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digests(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "op12_centroids": op12_centroids,
     "op13_fill_in_middle": op13_fill_in_middle,
     "lm_base_columns": lm_base_columns,
 }
@@ -94,6 +100,25 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 #: crc32 of the decimal digits of doc_id: the register after each byte, bit by bit.
 _CRC = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
   lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"""
+
+
+def _lloyd_sql(k: int, rounds: int, seed: int, size: int) -> str:
+    """Rounds of exact clustering as one chain of CTEs: a<r> assigns, c<r> has the centroids after r rounds."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(1024 * x) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS j, v AS c FROM v ORDER BY j LIMIT {k})",
+    ]
+    away = "list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, arg_min(j, d * {k} + j) AS j, CAST(min(d) AS BIGINT) AS d FROM (SELECT vec_id, v.v, c.j, CAST({away} AS BIGINT) AS d FROM v CROSS JOIN c{r} c) GROUP BY vec_id)")
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT j, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {size + 1}) t(i) GROUP BY 1, 2)")
+            steps.append(f"m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY 1)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.j = c.j)")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, a.j AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON c.j = a.j"""
+
+
 #: DuckDB SQL by plain comparison of all with all, for small tables; ids are distinct there.
 ORACLE_SQL: dict[str, str] = {
     "op3_embedding_duplicates": """
@@ -115,6 +140,7 @@ WITH w AS (SELECT doc_id, {_CRC} % 7 = 2 AS held_out, list_append({_WORDS}, chr(
 t AS (SELECT doc_id, held_out, unnest(w) AS tok FROM w), c AS (SELECT tok, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
 SELECT t.doc_id, t.held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 1) / (n.n + 1 * (n.v + 1)))), 3) AS base_score
 FROM t LEFT JOIN c ON c.tok = t.tok CROSS JOIN n GROUP BY t.doc_id, t.held_out""",
+    "op12_centroids": _lloyd_sql(8, 10, 3, 64),
     "op13_fill_in_middle": r"""
 WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
 u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2, CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM h),
