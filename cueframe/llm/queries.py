@@ -16,6 +16,7 @@ from .fim import fim_digests
 from .html_extract import extract_text
 from .jaccard import jaccard_components
 from .lm import lm_scores
+from .packing import pack_documents
 from .quality import quality_scores
 from .records import token_record_files
 from .shared import table
@@ -66,6 +67,10 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontamination": op9_decontamination,
     "op10_lm_scores": op10_lm_scores,
+    "op11_packing": op11_packing,
     "op12_centroids": op12_centroids,
     "op13_fill_in_middle": op13_fill_in_middle,
     "lm_base_columns": lm_base_columns,
