@@ -35,3 +35,15 @@ CUES = """cu AS (
   SELECT conv_id AS key, turn AS ord, role, text, turn * 3000000 + ((conv_id * 7919 + turn * 104729) % 2900) * 1000 AS start_us,
          turn * 3000000 + ((conv_id * 7919 + turn * 104729) % 2900) * 1000 + (length(text) * 37 % 6000) * 1000 AS end_us
   FROM conversations)"""
+
+
+def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as lines of recordings, one for each label: (key, ord, start_us, end_us, embedding, pitch). Every seventh
+    line was too short for a vector; pitches are made of the vector's first numbers."""
+    e = load(spark, sf_dir, "embeddings")
+    i = F.col("vec_id")
+    start = i * 2_500_000 + (i * 7919 % 1500) * 1000
+    length = F.when(i % 7 == 0, 200 + i * 7919 % 250).otherwise(500 + i * 104_729 % 4000) * 1000
+    pitch = F.transform(F.slice("embedding", F.lit(1), (i % 11).cast("int")), lambda x: F.round(160 + 250 * x.cast("double"), 3))
+    vector = F.when(i % 7 > 0, F.transform("embedding", lambda x: x.cast("double")))
+    return e.select(F.col("label").cast("long").alias("key"), i.alias("ord"), start.alias("start_us"), (start + length).alias("end_us"), vector.alias("embedding"), pitch.alias("pitch"))
