@@ -27,6 +27,36 @@ def best_fit(part: str, whole: str) -> int:
     return int(row.min())
 
 
+def distances(text: str, others: list[str]) -> np.ndarray:
+    """The edit distance of a text to each of many others: one row of all tables at a time."""
+    a, codes = _codes(text), [_codes(x) for x in others]
+    size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+    place = np.arange(int(size.max(initial=0)) + 1)
+    b = np.zeros((len(codes), len(place) - 1), dtype=np.uint32)
+    b[place[:-1] < size[:, None]] = np.concatenate(codes) if codes else 0
+    row = np.broadcast_to(place, (len(codes), len(place)))
+    for i, c in enumerate(a, 1):
+        reached = np.concatenate([np.full((len(codes), 1), i), np.minimum(row[:, 1:] + 1, row[:, :-1] + (b != c))], axis=1)
+        row = np.minimum.accumulate(reached - place, axis=1) + place
+    return row[np.arange(len(codes)), size]
+
+
+def similarities(text: str, others: list[str]) -> np.ndarray:
+    """1 - edit distance / longer length of a text and each of many others; 1 for two empty ones, 0 for one."""
+    longer = np.maximum(len(text), np.fromiter(map(len, others), dtype=np.int64, count=len(others)))
+    return np.where(longer == 0, 1.0, 1 - distances(text, others) / np.maximum(longer, 1))
+
+
+def same_key(a: str, b: str) -> bool:
+    """same_reading of two keys of letters and digits."""
+    if not a or not b:
+        return False
+    if a == b or similarities(a, [b])[0] >= 0.75:
+        return True
+    short, long = sorted((a, b), key=len)
+    return len(short) >= 5 and len(short) >= len(long) * 0.6 and 1 - best_fit(short, long) / len(short) >= 0.85
+
+
 def common_subsequence(part: str, whole: str) -> int:
     a, b = _codes(part), _codes(whole)
     row = np.zeros(len(b) + 1, dtype=np.int64)

@@ -47,3 +47,30 @@ def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pitch = F.transform(F.slice("embedding", F.lit(1), (i % 11).cast("int")), lambda x: F.round(160 + 250 * x.cast("double"), 3))
     vector = F.when(i % 7 > 0, F.transform("embedding", lambda x: x.cast("double")))
     return e.select(F.col("label").cast("long").alias("key"), i.alias("ord"), start.alias("start_us"), (start + length).alias("end_us"), vector.alias("embedding"), pitch.alias("pitch"))
+
+
+def seen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as texts read from frames: (key, role, sample, time_us, text, high). Each turn stands for six
+    frames, some of them misread, and two empty ones follow."""
+    c = load(spark, sf_dir, "conversations").withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    said = F.translate(F.substring("text", 1, 44), "\n", " ")
+    noise = (F.col("conv_id") * 31 + F.col("turn") * 17 + F.col("f") * 7).cast("long")
+    place = (noise % F.greatest(F.length(said), F.lit(1))).cast("int")
+    misread = F.concat(F.substr(said, F.lit(1), place), F.lit("|"), F.substr(said, place + 2))
+    text = F.when(F.col("f") > 5, "").when(noise % 11 == 0, "~~ zq").when(noise % 3 == 0, misread).otherwise(said)
+    sample = (F.col("turn") * 8 + F.col("f")).cast("long")
+    return c.select(F.col("conv_id").alias("key"), "role", sample.alias("sample"), (sample * 250_000).alias("time_us"), text.alias("text"), F.lit(20.0).alias("high"))
+
+
+def seen_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of seen_frames in frames of 640 x 360: each text as two pieces of a row, and a mark that always stands there."""
+    f = seen_frames(spark, sf_dir)
+    half = F.ceil(F.length("text") / 2).cast("int")
+    row = F.when(F.col("key") % 4 == 0, 30.0).otherwise(310.0) + F.col("sample") % 3
+    box = lambda text, x, y, width, light: F.struct(text.alias("text"), x.alias("x"), y.alias("y"), width.alias("width"), light.alias("light"))
+    light = (F.col("key") % 5) / 25.0
+    left = box(F.substr("text", F.lit(1), half), F.lit(130.0), row, F.lit(180.0), light)
+    right = box(F.substr("text", half + 1), F.lit(320.0), row + 1, F.lit(190.0), light)
+    mark = box(F.lit("Channel five"), F.lit(250.0), F.lit(170.0), F.lit(140.0), F.lit(-1.0))
+    boxes = F.explode(F.filter(F.array(left, right, mark), lambda b: b["text"] != ""))
+    return f.select("key", "sample", boxes.alias("b")).select("key", "sample", "b.*", F.lit(20.0).alias("height"), F.lit(640).alias("frame_width"), F.lit(360).alias("frame_height"))
