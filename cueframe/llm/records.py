@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,16 @@ def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
 _SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space so long are taken out before the split, which would go back over them sign by sign.
+_LONG_SPACE = regex.compile(r"\p{White_Space}{1000,}")
+
+
 class ByteIds:
     """Encodes texts to little-endian ids; special strings in a text give their own id.
 
     tiktoken runs the merges of the vocabulary file, as it does several times as fast; the tests hold its ids against the
-    tokenizers library's.
+    tokenizers library's. A long run of white space is a pre-token by itself, but for its last sign where text follows, so
+    it is encoded apart from what stands around it.
     """
 
     def __init__(self, path: str):
@@ -89,11 +95,21 @@ class ByteIds:
         code = "H" if self.kind.itemsize == 2 else "I"
         if any(s in text for s in self.specials):
             parts = self.special.split(text)
-            ids = [i for k, part in enumerate(parts) for i in ([self.specials[part]] if k % 2 else self.bpe.encode_ordinary(part))]
+            ids = [i for k, part in enumerate(parts) for i in ([self.specials[part]] if k % 2 else self._plain(part))]
         else:
-            ids = self.bpe.encode_ordinary(text) if text else []
+            ids = self._plain(text)
         return array(code, ids).tobytes()
 
+    def _plain(self, text: str) -> list[int]:
+        if len(text) < 1000:
+            return self.bpe.encode_ordinary(text) if text else []
+        ids, at = [], 0
+        for run in _LONG_SPACE.finditer(text):
+            ids += self.bpe.encode_ordinary(text[at : run.start()])
+            at = run.end() - (run.end() < len(text))
+            ids += self.bpe._encode_single_piece(text[run.start() : at])
+        return ids + self.bpe.encode_ordinary(text[at:])
+
 
 _BYTE_IDS: dict[str, ByteIds] = {}
 

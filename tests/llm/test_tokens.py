@@ -121,6 +121,24 @@ def test_record_ids_against_the_library():
         assert np.frombuffer(ids(text), dtype=ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("sign", [" ", "\n", "\t", "\u3000", "\x85", "\r\n", " \n\t"])
+def test_long_white_space(sign):
+    t, ids = library("byte_bpe_50k.json"), ByteIds(P.path("byte_bpe_50k.json"))
+    for text in (sign * 1500, "a" + sign * 1500, sign * 1500 + "b", "a" + sign * 1500 + "12" + sign * 1001 + "!" + sign * 999, sign * 700 + "<|endoftext|>" + sign * 1200 + "x", "x" + sign * 100_000 + "y"):
+        assert np.frombuffer(ids(text), dtype=ids.kind).tolist() == t.encode(text, add_special_tokens=False).ids
+    whole = np.frombuffer(ids("a" + sign * 5_000_000 + "b"), dtype=ids.kind).tolist()
+    assert ids("a") == np.array(whole[:1], dtype=ids.kind).tobytes() and whole[-1] in np.frombuffer(ids("b" + " b"), dtype=ids.kind)
+
+
+def test_records_of_long_white_space(spark):
+    t = library("byte_bpe_50k.json")
+    texts = [" " * 1_000_000, "x" + "\n" * 1_000_000 + " y", None, ""]
+    manifest = write_token_records(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), P.path("byte_bpe_50k.json"), new_folder(spark, "records"))
+    for r in read_token_records(manifest).collect():
+        ids = [*t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+
+
 def test_damaged_records_are_refused():
     import io
 
