@@ -95,33 +95,30 @@ def packed(rows: DataFrame, most_us: int = 28_000_000, join_us: int = 300_000, f
     return fold(rows, step, "chunk long, offset_us long, length_us long, until_us long").drop("until_us")
 
 
-def readable(rows: DataFrame, needed: str, gap_us: int = 84_000, most_us: int = 7_000_000) -> DataFrame:
-    """Gives each row the time it needs to be read: the end grows up to the next start less the gap, then the start back
-    to the end that the row before it has now, plus the gap. No row grows beyond most_us.
+def readable(rows: DataFrame, chars: str, limit: float, gap_us: int = 84_000, most_us: int = 7_000_000) -> DataFrame:
+    """Gives rows that are read too fast the time they need: the end grows up to the next start less the gap, then the start
+    back to the end that the row before it has now, plus the gap. No row grows beyond most_us.
 
-    needed: column with the time wanted. Adds new_start_us, new_end_us and outcome (fine, fixed, improved, no room).
+    chars: column with the characters of a row, limit: so many a second are in time. Adds new_start_us, new_end_us and outcome:
+    fine (in time, or without length, and left as it is), fixed (now in time, by 0.05 characters a second), improved, no
+    room. The whole time that is needed decides, also where it is beyond most_us.
     """
+    speed = max(0.1, limit)
 
     def step(state: dict | None, row: dict, after: dict | None) -> dict:
-        start, end = row["start_us"], row["end_us"]
-        want = min(row[needed] or 0, most_us)
-        if end - start >= want:
+        start, end, n = row["start_us"], row["end_us"], row[chars] or 0
+        if end <= start or n * 1_000_000 <= limit * (end - start):
             return {"new_start_us": start, "new_end_us": end, "outcome": "fine"}
-        new_end = start + want
-        if after is not None:
-            new_end = min(new_end, after["start_us"] - gap_us)
-        new_end = max(new_end, end)
-        new_start = start
+        want = min(round(n * 1_000_000 / speed), most_us)
+        free = start + want if after is None else after["start_us"] - gap_us
+        new_end, new_start = max(end, min(start + want, free)), start
         if new_end - start < want:
-            new_start = new_end - want
-            if state is not None:
-                new_start = max(new_start, state["new_end_us"] + gap_us)
-            new_start = min(max(new_start, 0), start)
+            new_start = min(start, max(0 if state is None else state["new_end_us"] + gap_us, new_end - want))
         got = new_end - new_start
-        outcome = "fixed" if got >= want else "improved" if got > end - start else "no room"
+        outcome = "fixed" if n * 1_000_000 <= (limit + 0.05) * got else "improved" if got > end - start else "no room"
         return {"new_start_us": new_start, "new_end_us": new_end, "outcome": outcome}
 
-    return fold(rows, step, "new_start_us long, new_end_us long, outcome string", (needed,))
+    return fold(rows, step, "new_start_us long, new_end_us long, outcome string", (chars,))
 
 
 def tidy(rows: DataFrame, hold_us: int = 7_000_000, least_us: int = 300_000, shown_us: int = 800_000) -> DataFrame:

@@ -250,29 +250,43 @@ def phrase_runs(rows: DataFrame, column: str, phrases: list[str], most: int = 8,
     return fold(seen.select("key", "ord", "start_us", "end_us", "_n"), step, "left long", ("_n",)).where("left > 0").select("key", "ord")
 
 
-def drop_loops(rows: DataFrame, column: str, longest: int = 8, least: int = 4) -> DataFrame:
-    """Marks rows that repeat the block of 2 to `longest` rows before them again and again: `looped`.
-
-    A block is repeated where its texts, of at least `least` characters together, stand again right behind it; the
-    shortest period counts. All repetitions but the first are marked. Windows only; a row looks at what lies period rows
-    before it.
+def drop_loops(rows: DataFrame, column: str, longest: int = 8, least: int = 4, given: str | None = None) -> DataFrame:
+    """Marks rows that repeat the block of 2 to `longest` rows before them: `looped`.
+
+    Every row that is not marked yet may begin a block: the shortest one, of at least `least` characters, that stands again
+    right behind itself. All its whole repetitions are marked. Rows that `given` (a boolean column) marks already begin no
+    block, but take part in blocks. Windows say how far each row's block is repeated; a fold in order, which
+    keeps the stretches that end ahead, at most `longest` of them, says which rows begin one. Rows without key, start or end
+    are not marked.
     """
+    from .folds import fold
+
     w = Window.partitionBy("key").orderBy("start_us", "ord")
-    out = rows.withColumn("looped", F.lit(False))
+    back = Window.partitionBy("key").orderBy(F.desc("start_us"), F.desc("ord"))
+    upto = back.rowsBetween(Window.unboundedPreceding, 0)
     size = F.length(F.coalesce(F.col(column), F.lit("")))
-    for period in range(longest, 1, -1):
-        same = F.coalesce(F.col(column).eqNullSafe(F.lag(column, period).over(w)) & (F.row_number().over(w) > period), F.lit(False))
-        out = out.withColumns({"_same": same, "_size": F.sum(size).over(w.rowsBetween(-period + 1, 0))})
-        out = out.withColumn("_run", F.sum((~F.col("_same")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        # a run of rows equal to those a period before; whole periods of it are repetitions
-        inside = Window.partitionBy("key", "_run")
-        place = F.sum(F.col("_same").cast("int")).over(inside.orderBy("start_us", "ord").rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum(F.col("_same").cast("int")).over(inside)
-        heavy = F.max(F.when(F.col("_same"), F.col("_size"))).over(inside) >= least
-        out = out.withColumns({"_place": place, "_total": total, "_heavy": heavy})
-        whole = F.floor(F.col("_total") / period) * period
-        out = out.withColumn("looped", F.col("looped") | F.coalesce(F.col("_same") & F.col("_heavy") & (F.col("_place") <= whole), F.lit(False)))
-    return out.select(*rows.columns, "looped")
+    periods = range(2, longest + 1)
+    place = F.row_number().over(w)
+    same = {f"_s{p}": F.coalesce(F.col(column).eqNullSafe(F.lead(column, p).over(w)) & F.lead(F.lit(True), p).over(w), F.lit(False)) for p in periods}
+    heavy = {f"_h{p}": F.sum(size).over(w.rowsBetween(0, p - 1)) >= least for p in periods}
+    seen = rows.withColumns({"_i": place, **same, **heavy})
+    # so many rows from here on equal those a period behind them
+    runs = {f"_r{p}": F.min(F.when(~F.col(f"_s{p}"), F.col("_i"))).over(upto) - F.col("_i") for p in periods}
+    seen = seen.withColumns(runs)
+    found = [F.when(F.col(f"_h{p}") & (F.col(f"_r{p}") >= p), F.struct(F.lit(p).alias("period"), (F.floor(F.col(f"_r{p}") / p) * p).cast("long").alias("n"))) for p in periods]
+    begins = F.lit(True) if given is None else ~F.coalesce(F.col(given), F.lit(False))
+    seen = seen.withColumn("_block", F.when(begins, F.coalesce(*found))).withColumns({"_period": F.col("_block.period"), "_n": F.col("_block.n")})
+
+    def step(state: dict | None, row: dict, after: dict | None) -> dict:
+        at, ahead = (0, ()) if state is None else (state["at"] + 1, state["ahead"])
+        looped = any(a <= at < b for a, b in ahead)
+        ahead = tuple(x for x in ahead if x[1] > at + 1)
+        if not looped and row["_period"] is not None:
+            ahead += ((at + row["_period"], at + row["_period"] + row["_n"]),)
+        return {"looped": looped, "at": at, "ahead": ahead}
+
+    marked = fold(seen.select(*rows.columns, "_period", "_n"), step, "looped boolean", ("_period", "_n"))
+    return marked.select(*rows.columns, F.coalesce("looped", F.lit(False)).alias("looped"))
 
 
 def scenes(runs: DataFrame, main: str) -> DataFrame:

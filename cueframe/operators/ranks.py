@@ -54,3 +54,11 @@ def at_ranks(rows: DataFrame, groups: list[str], value: str, wanted: dict[str, C
     near = near.withColumn("_to", F.col("_before") + F.sum("_c").over(order)).withColumn("_pick", F.explode("_picks"))
     hit = near.where((F.col("_pick.k") < F.col("_to")) & (F.col("_pick.k") >= F.col("_to") - F.col("_c")))
     return hit.groupBy(*groups, "n").agg(*(F.max(F.when(F.col("_pick.name") == name, F.col("_v"))).alias(name) for name in wanted))
+
+
+def weighted_mode(rows: DataFrame, group: str, value: str, weight: Column, order: Column) -> DataFrame:
+    """(group, value, weight): the value with most weight in each group, of equal ones the one that is met first in order.
+    Null values do not count; two partial aggregations, no group is gathered."""
+    sums = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.sum(weight).alias("weight"), F.min(order).alias("_first"))
+    best = sums.groupBy(group).agg(F.min(F.struct((-F.col("weight")).alias("less"), "_first", value)).alias("b"))
+    return best.select(group, F.col(f"b.{value}").alias(value), (-F.col("b.less")).alias("weight"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lines, text
 from ..functions.splitting import split_lines
-from ..operators import folds, review
+from ..operators import folds, ranks, review
 from ..operators import intervals as ops
 from ..sources import subtitles
 
@@ -25,8 +25,10 @@ def shape_transcript(segments: DataFrame, speech: DataFrame | None = None) -> Da
     doubtful = (F.col("no_speech") > 0.6) & (F.col("prob") > 0) & (F.col("prob") < 0.5)
     rows = rows.where(~F.coalesce(doubtful, F.lit(False))).withColumn("k", text.letters_key("text"))
     invented = ops.phrase_runs(rows, "k", lines.KNOWN_PHRASES)
-    rows = rows.where(~lines.known_phrase("k")).join(invented, ["key", "ord"], "left_anti")
-    rows = ops.limit_repeats(ops.drop_loops(rows, "k").where("not looped").drop("looped"), "k", 2)
+    # phrases begin no loop, but stand in its blocks
+    rows = rows.join(invented.withColumn("_invented", F.lit(True)), ["key", "ord"], "left").withColumn("_invented", F.coalesce("_invented", F.lit(False)) | lines.known_phrase("k"))
+    rows = ops.drop_loops(rows, "k", given="_invented").where("not looped and not _invented").drop("looped", "_invented")
+    rows = ops.limit_repeats(rows, "k", 2)
     parts = rows.select("key", "ord", F.posexplode(split_lines()("text", "start_us", F.greatest(F.col("end_us"), F.col("start_us") + 1))).alias("part", "p"))
     cues = parts.select("key", (F.col("ord") * 1000 + F.col("part")).alias("ord"), F.col("p.start_us").alias("start_us"), F.col("p.end_us").alias("end_us"), F.col("p.text").alias("text"))
     if speech is not None:
@@ -74,8 +76,7 @@ def scene_languages(pieces: DataFrame, sure: float = 0.8) -> DataFrame:
     no scenes.
     """
     judged = pieces.withColumn("language", F.when(F.col("prob") >= sure, F.col("language")))
-    total = judged.where("language is not null").groupBy("key", "language").agg(F.sum(F.col("end_us") - F.col("start_us")).alias("t"))
-    main = total.groupBy("key").agg(F.min(F.struct((-F.col("t")).alias("t"), "language"))["language"].alias("main"))
+    main = ranks.weighted_mode(judged, "key", "language", F.col("end_us") - F.col("start_us"), F.struct("start_us", "ord")).select("key", F.col("language").alias("main"))
     runs = ops.run_lengths(ops.fill(judged, "language"), "language").join(main, "key")
     # the main language has one name here, so that one value stands for it in all keys
     runs = runs.withColumn("value", F.when(F.col("value") == F.col("main"), F.lit("main")).otherwise(F.col("value")))

@@ -148,18 +148,17 @@ def isl13_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE {cu}, s AS (SELECT *, least(length(text) * 50000, 7000000) AS want, lead(start_us) OVER w AS nxt, row_number() OVER w AS rn FROM cu WINDOW w AS (PARTITION BY key ORDER BY start_us, ord)),
-g AS (SELECT *, end_us - start_us >= want AS fine, greatest(end_us, CASE WHEN nxt IS NULL THEN start_us + want ELSE least(start_us + want, nxt - 84000) END) AS grown FROM s),
-r AS (SELECT key, ord, rn, CASE WHEN fine OR grown - start_us >= want THEN start_us ELSE least(greatest(grown - want, 0), start_us) END AS a,
-             CASE WHEN fine THEN end_us ELSE grown END AS b FROM g WHERE rn = 1
-UNION ALL SELECT g.key, g.ord, g.rn, CASE WHEN fine OR grown - start_us >= want THEN start_us ELSE least(greatest(greatest(grown - want, r.b + 84000), 0), start_us) END,
-             CASE WHEN fine THEN end_us ELSE grown END FROM r JOIN g ON g.key = r.key AND g.rn = r.rn + 1)
-SELECT r.key, r.ord, a AS new_start_us, b AS new_end_us,
-  CASE WHEN fine THEN 'fine' WHEN b - a >= want THEN 'fixed' WHEN b - a > end_us - start_us THEN 'improved' ELSE 'no room' END AS outcome
+WITH RECURSIVE {cu}, s AS (SELECT *, length(text) AS n, least(length(text) * 50000, 7000000) AS want, end_us <= start_us OR length(text) * 1000000 <= 20 * (end_us - start_us) AS fine,
+  lead(start_us) OVER w - 84000 AS free, row_number() OVER w AS rn FROM cu WINDOW w AS (PARTITION BY key ORDER BY start_us, ord)),
+g AS (SELECT *, CASE WHEN fine THEN end_us ELSE greatest(end_us, least(start_us + want, coalesce(free, start_us + want))) END AS b FROM s),
+r AS (SELECT key, ord, rn, CASE WHEN fine OR b - start_us >= want THEN start_us ELSE least(start_us, greatest(0, b - want)) END AS a, b FROM g WHERE rn = 1
+UNION ALL SELECT g.key, g.ord, g.rn, CASE WHEN fine OR g.b - start_us >= want THEN start_us ELSE least(start_us, greatest(r.b + 84000, g.b - want)) END, g.b FROM r JOIN g ON g.key = r.key AND g.rn = r.rn + 1)
+SELECT r.key, r.ord, a AS new_start_us, r.b AS new_end_us,
+  CASE WHEN fine THEN 'fine' WHEN n * 1000000 <= CAST(20.05 AS DOUBLE) * (r.b - a) THEN 'fixed' WHEN r.b - a > end_us - start_us THEN 'improved' ELSE 'no room' END AS outcome
 FROM r JOIN g ON g.key = r.key AND g.rn = r.rn""")
 def isl14_reading_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cues = tables.cues(spark, sf_dir).withColumn("needed", F.length("text").cast("long") * 50_000)
-    return folds.readable(cues, "needed").select("key", "ord", "new_start_us", "new_end_us", "outcome")
+    cues = tables.cues(spark, sf_dir).withColumn("chars", F.length("text").cast("long"))
+    return folds.readable(cues, "chars", 20.0).select("key", "ord", "new_start_us", "new_end_us", "outcome")
 
 
 @query("""
@@ -415,12 +414,10 @@ def agg3_upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT source, lang, sum(n_chars) AS w FROM documents WHERE n_chars >= 100 GROUP BY 1, 2)
-SELECT source, lang, CAST(w AS BIGINT) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, lang) = 1""")
+WITH s AS (SELECT source, lang, sum(n_chars) AS w, min(doc_id) AS first FROM documents WHERE n_chars >= 100 GROUP BY 1, 2)
+SELECT source, lang, CAST(w AS BIGINT) AS weight FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, first) = 1""")
 def agg4_weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = tables.load(spark, sf_dir, "documents").where("n_chars >= 100").groupBy("source", "lang").agg(F.sum("n_chars").alias("w"))
-    best = s.groupBy("source").agg(F.max("w").alias("w"))
-    return s.join(best, ["source", "w"]).groupBy("source").agg(F.min("lang").alias("lang"), F.max("w").alias("weight"))
+    return ranks.weighted_mode(tables.load(spark, sf_dir, "documents").where("n_chars >= 100"), "source", "lang", F.col("n_chars"), F.col("doc_id")).select("source", "lang", F.col("weight").cast("long").alias("weight"))
 
 
 @query("""

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueframe.functions import fuzzy, lines, ocr
-from cueframe.operators import intervals, names, review, vectors
+from cueframe.operators import folds, intervals, names, review, vectors
 from cueframe.sources import probe
 
 SCHEMA = "key int, ord int, start_us long, end_us long"
@@ -134,6 +134,72 @@ def test_loops_of_lines(spark):
     assert kept == ["start", "so it is", "yes indeed", "well", "end of it", "no", "no", "no", "ab", "cd", "x"]
 
 
+def plain_loops(keys, given, longest=8, least=4):
+    drop = list(given)
+    for i in range(len(keys)):
+        if drop[i]:
+            continue
+        for p in range(2, longest + 1):
+            block = keys[i : i + p]
+            if i + 2 * p > len(keys) or keys[i + p : i + 2 * p] != block or sum(map(len, block)) < least:
+                continue
+            at = i + p
+            while keys[at : at + p] == block and at + p <= len(keys):
+                drop[at : at + p] = [True] * p
+                at += p
+            break
+    return [d and not g for d, g in zip(drop, given, strict=True)]
+
+
+def test_loops_against_plain_reading(spark):
+    r = random.Random(3)
+    series = [list("ABABA"), list("AAAAA"), list("ABCABCA"), ["aaaa", "bbbb"] * 3]
+    series = [[x * 2 for x in s] for s in series] + [r.choices(["", "ab", "cde", "f"], weights=[1, 4, 4, 2], k=r.randrange(0, 40)) for _ in range(700)]
+    series += [[x for _ in range(r.randrange(1, 5)) for x in r.choices(["ab", "cd", "ef", "g"], k=r.randrange(1, 6)) * r.randrange(1, 5)] for _ in range(400)]
+    given = [[r.random() < 0.1 for _ in s] if k % 2 else [False] * len(s) for k, s in enumerate(series)]
+    rows = [(k, i, i * 10, i * 10 + 5, t, g) for k, (s, gs) in enumerate(zip(series, given, strict=True)) for i, (t, g) in enumerate(zip(s, gs, strict=True))]
+    found = {(x.key, x.ord): x.looped for x in intervals.drop_loops(spark.createDataFrame(rows, SCHEMA + ", text string, done boolean"), "text", given="done").collect()}
+    for k, (s, gs) in enumerate(zip(series, given, strict=True)):
+        mine = [found[k, i] and not gs[i] for i in range(len(s))]
+        assert mine == plain_loops(s, gs), s
+    odd = [(None, 1, 0, 1, "abab"), (1, 1, None, 1, "abab"), (1, 2, 0, None, "abab")]
+    assert [x.looped for x in intervals.drop_loops(spark.createDataFrame(odd, SCHEMA + ", text string"), "text").collect()] == [False] * 3
+
+
+def plain_readable(cues, limit, gap=84_000, most=7_000_000):
+    """cues: [start, end, characters] in order -> (start, end, outcome)."""
+    cues, out = [list(c) for c in cues], []
+    for i, (start, end, n) in enumerate(cues):
+        if end <= start or n / ((end - start) / 1e6) <= limit:
+            out.append("fine")
+            continue
+        target = min(round(n / limit * 1e6), most)
+        latest = cues[i + 1][0] - gap if i + 1 < len(cues) else start + target
+        new_end = max(end, min(start + target, latest))
+        earliest = cues[i - 1][1] + gap if i else 0
+        new_start = min(start, max(earliest, new_end - target)) if new_end - start < target else start
+        cues[i][:2] = new_start, new_end
+        out.append("fixed" if n / ((new_end - new_start) / 1e6) <= limit + 0.05 else "improved" if new_end - new_start > end - start else "no room")
+    return [(c[0], c[1], o) for c, o in zip(cues, out, strict=True)]
+
+
+def test_reading_speed(spark):
+    r = random.Random(8)
+    series = [[[0, 8_000_000, 200]], [[0, 2_000_000, 200]], [[5, 5, 20]]]
+    for _ in range(1000):
+        at, cues = r.randrange(0, 3_000_000), []
+        for _ in range(r.randrange(0, 9)):
+            length = r.choice([0, 300_000, 1_000_000, 2_500_000, 8_000_000])
+            cues.append([at, at + length, r.choice([0, 3, 20, 45, 90, 300])])
+            at += max(1, length + r.choice([-200_000, 0, 50_000, 500_000, 4_000_000]))
+        series.append(sorted(cues))
+    rows = [(k, i, a, b, n) for k, s in enumerate(series) for i, (a, b, n) in enumerate(s)]
+    found = {(x.key, x.ord): (x.new_start_us, x.new_end_us, x.outcome) for x in folds.readable(spark.createDataFrame(rows, SCHEMA + ", chars int"), "chars", 20.0).collect()}
+    for k, s in enumerate(series):
+        assert [found[k, i] for i in range(len(s))] == plain_readable(s, 20.0), s
+    assert [found[k, 0][2] for k in range(3)] == ["no room", "improved", "fine"]
+
+
 def test_phrases_over_rows(spark):
     rows = [(1, 0, 0, 5, "thank"), (1, 1, 6, 9, "youfor"), (1, 2, 10, 12, "watching"), (1, 3, 13, 14, "x"), (1, 4, 15, 16, "thank"), (1, 5, 900, 901, "youfor"), (1, 6, 902, 903, "watching"), (1, 7, 904, 905, None)]
     found = intervals.phrase_runs(spark.createDataFrame(rows, SCHEMA + ", k string"), "k", ["thankyouforwatching"], 8, 300)
