@@ -208,6 +208,56 @@ def panned(left: Column | str, right: Column | str, most_degrees: float = 25.0)
     return F.cos(held), F.sin(held)
 
 
+#: Fixed: how much faster a line may be said, how much shorter it may be made, the shortest slot, and the share it aims below one.
+MOST_FASTER, MOST_SHORTER, SHORTEST_SLOT_US, AIM = 1.3, 1.15, 300_000, 1.03
+
+
+def said_faster(length_us: Column | str, slot_us: Column | str, speed: Column | float = 1.0) -> Column:
+    """The speed at which a line is said that is longer than its slot: 3 % more than it needs, at most 1.3 times as fast, and
+    never over 2; its own speed where it fits, or where the slot is too short to try."""
+    n, slot = _col(length_us).cast("double"), _col(slot_us).cast("double")
+    own = F.lit(speed) if isinstance(speed, float) else speed
+    faster = F.least(own * F.least(n / slot * AIM, F.lit(MOST_FASTER)), F.lit(2.0))
+    return F.when((n <= slot) | (slot < SHORTEST_SLOT_US), own).when(faster > own + 0.01, faster).otherwise(own)
+
+
+def fitted(length_us: Column | str, slot_us: Column | str, quick_us: Column | None = None, speed: Column | float = 1.0) -> Column:
+    """How a line fits into its slot: struct<kind, speed, stretch, length_us>.
+
+    kind: natural (as it is said), sped up, stretched (by up to 15 % shorter at its pitch), too long (shortened by as much, or
+    left where the slot is under SHORTEST_SLOT_US). quick_us: how long it is when said_faster; as much shorter as faster where
+    that is not known, and 0 where nothing came of it. Null lengths and slots give null.
+    """
+    n, slot = _col(length_us).cast("double"), _col(slot_us).cast("double")
+    own = F.lit(speed) if isinstance(speed, float) else speed
+    faster = said_faster(length_us, slot_us, speed)
+    quick = F.when(faster == own, n).otherwise(n * own / faster if quick_us is None else quick_us.cast("double"))
+    short = quick / slot
+
+    def row(kind: str, at: Column, stretch: Column, length: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.alias("speed"), stretch.alias("stretch"), F.round(length).cast("long").alias("length_us"))
+
+    one = F.lit(1.0)
+    found = F.when((n <= slot) | (n == 0), row("natural", own, one, n)).when(slot < SHORTEST_SLOT_US, row("too long", own, one, n)).when(quick == 0, row("natural", own, one, n))
+    found = found.when(quick <= slot, row("sped up", faster, one, quick)).when(short <= MOST_SHORTER, row("stretched", faster, short, slot)).otherwise(row("too long", faster, F.lit(MOST_SHORTER), quick / MOST_SHORTER))
+    return F.when(n.isNotNull() & slot.isNotNull(), found)
+
+
+def fallen(value: Column | str, start: Column | str, full: Column | str) -> Column:
+    """0 at or above start, 1 at or below full, linear between; a step at full where start is no higher. Null for nulls."""
+    v, a, b = _col(value), _col(start), _col(full)
+    share = F.when(a <= b, F.when(v <= b, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (a - v) / (a - b))))
+    return F.when(v.isNotNull() & a.isNotNull() & b.isNotNull(), share)
+
+
+def voice_distance(level: Column | str, brightness: Column | str, usual: Column, quiet: Column, low: Column, dull: Column, dark: Column, no_voice: float = 30.0) -> Column:
+    """How far away a voice sounds, 0 to 1: only one that is both among the quieter and among the duller lines of its recording
+    does. quiet and dull: where that begins (their first quartiles), low and dark: where it is whole (their twentieth part).
+    0 for a level no_voice below the usual one, and for null."""
+    both = fallen(level, quiet, low) * fallen(brightness, dull, dark)
+    return F.when(_col(level) >= usual - no_voice, F.coalesce(both, F.lit(0.0))).otherwise(0.0)
+
+
 def trapezoid(frame: Column | str, start: Column | str, end: Column | str, fade: Column | int) -> Column:
     """0 outside [start, end), 1 inside, rising and falling over `fade` frames within it."""
     f, a, b = _col(frame), _col(start), _col(end)

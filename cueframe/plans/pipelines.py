@@ -102,14 +102,20 @@ def heard_again(written: DataFrame, heard: DataFrame, speech: DataFrame, within_
     return found.select("key", "ord", F.when(F.col("twin").isNull(), "added").when(share < least_share, "moved").otherwise("same").alias("outcome"), "twin")
 
 
-def voice_track(cues: DataFrame, spoken: str, anchor: str | None = None, length_us: int | None = None, pause_us: int = 100_000) -> DataFrame:
+def voice_track(cues: DataFrame, spoken: str, anchor: str | None = None, length_us: int | None = None, pause_us: int = 100_000, fit: bool = False) -> DataFrame:
     """When each line of a voice track is said: (key, ord, planned_us, slot_us, placed_us, ends_us, late_us). spoken: column with
-    the length of the speech; anchor: column with the time at which the voice begins. Lines are said one after another."""
+    the length of the speech; anchor: column with the time at which the voice begins. Lines are said one after another. With
+    fit, lines longer than their slots are said faster and made shorter first (see lines.fitted), and the column fit says how;
+    a last line without a slot is said as it is."""
     rows = ops.positive(cues)
     rows = ops.anchored(rows, anchor) if anchor else rows.withColumn("moved_us", F.col("start_us"))
-    planned = rows.select("key", "ord", F.col("moved_us").alias("start_us"), (F.col("moved_us") + F.col(spoken)).alias("end_us"))
-    placed = folds.without_overlap(ops.slots(planned, length_us), pause_us)
-    return placed.select("key", "ord", F.col("start_us").alias("planned_us"), "slot_us", "placed_us", "ends_us", "late_us")
+    planned = ops.slots(rows.select("key", "ord", F.col("moved_us").alias("start_us"), (F.col("moved_us") + F.col(spoken)).alias("end_us")), length_us)
+    if fit:
+        length = F.col("end_us") - F.col("start_us")
+        planned = planned.withColumn("_f", lines.fitted(length, "slot_us")).withColumn("fit", F.coalesce("_f.kind", F.lit("natural")))
+        planned = planned.withColumn("end_us", F.col("start_us") + F.coalesce("_f.length_us", length)).drop("_f")
+    placed = folds.without_overlap(planned, pause_us)
+    return placed.select("key", "ord", F.col("start_us").alias("planned_us"), "slot_us", "placed_us", "ends_us", "late_us", *(["fit"] if fit else []))
 
 
 def synced(cues: DataFrame, speech: DataFrame, reach_us: int = 20_000_000, step_us: int = 100_000, frame_us: int = 10_000, least: float = 0.2) -> DataFrame:

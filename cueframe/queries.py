@@ -744,4 +744,4 @@ def fn41_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-from . import file_queries, plan_queries, reading_queries, rule_queries, speaker_queries, text_queries  # noqa: E402, F401  they register theirs here
+from . import file_queries, plan_queries, reading_queries, rule_queries, speaker_queries, text_queries, voice_queries  # noqa: E402, F401  they register theirs here
