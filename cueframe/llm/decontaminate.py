@@ -1,32 +1,37 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents are joined to test items by shared runs of tokens (seeds). For each such pair, the longest matches between
+Documents are joined to test items by shared runs of tokens (seeds), as long as the shortest tile: a pair is looked at where
+these alone cover so much of the item that tiles could, so none is missed. For each such pair, the longest matches between
 item and document are marked again and again, no token twice, until only short ones are left: running Karp-Rabin
 compares rolling hashes of a search length that shrinks as matches are used up. The share of the item's tokens that is
 marked is its coverage. As tiles may stand in any order, reordered passages are caught.
 
-Items are held by every task, in blocks of bounded size: a larger benchmark means more passes, never a larger broadcast.
+Items are held by every task, in blocks of bounded size. A benchmark of one block is broadcast; of a larger one, a task reads
+block after block from the shared folder.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import named, numbered, place_of, slices, words
+from .records import open_store
+from .shared import named, new_folder, numbered, place_of, slices, words
 
-SEED_TOKENS, LEAST_TILE, COVERAGE = 5, 3, 0.5
+LEAST_TILE, COVERAGE = 3, 0.5
 #: Bytes of item text that one pass holds; a single longer item is a pass of its own.
 BLOCK_BYTES = 8_000_000
-#: Bytes of text that a task looks at together.
-SLICE_BYTES = 16_000_000
+#: Bytes of text that a task looks at together, so that a block is read and numbered once for them.
+SLICE_BYTES = 32_000_000
 _B = np.uint64(0x100000001B3)
 
 
@@ -109,24 +114,63 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[t
 
 
 class Benchmark:
-    """One block of test items: their words as numbers and their seeds."""
+    """One block of test items: their words as numbers, one item after another, and where each run of `least` words, or
+    each item that is shorter, stands."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int):
+    def __init__(self, items: list[tuple[int, str]], least: int):
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
-        by_size = defaultdict(lambda: defaultdict(set))
         for item_id, text in items:
             tokens = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if not tokens:
+            if tokens:
+                self.items.append((item_id, np.array(tokens, dtype=np.int64)))
+        size = np.array([len(t) for _, t in self.items], dtype=np.int64)
+        tokens = np.concatenate([t for _, t in self.items]) if self.items else np.zeros(0, dtype=np.int64)
+        self.begin = np.cumsum(size) - size
+        self.owner = np.repeat(np.arange(len(size)), size)
+        self.size = size
+        left = size[self.owner] - (np.arange(len(tokens)) - self.begin[self.owner])
+        wanted = np.minimum(size, least)
+        self.runs = []  # (length, hashes in order, where each one's places begin and end, the places)
+        for k in np.unique(wanted).tolist():
+            place = np.flatnonzero((wanted[self.owner] == k) & (left >= k))
+            h = _hash(tokens, k)[place]
+            order = np.argsort(h, kind="stable")
+            hashes, at = np.unique(h[order], return_index=True)
+            self.runs.append((k, hashes, np.r_[at, len(order)], place[order]))
+
+    def candidates(self, tokens: np.ndarray, coverage: float) -> list[int]:
+        """The items of which a text has the share `coverage` in runs of `least` words, wherever they stand: all that tiles
+        of no fewer words can cover so well. tokens: the text's words, 0 for those that no item has."""
+        out = []
+        unknown = np.r_[0, np.cumsum(tokens == 0)]
+        for k, hashes, at, places in self.runs:
+            if len(tokens) < k:
+                continue
+            here = np.flatnonzero(unknown[k:] == unknown[:-k])
+            if not len(here):
+                continue
+            h = _hash(tokens, k)[here]
+            row = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            row = np.unique(row[hashes[row] == h])
+            if not len(row):
                 continue
-            k = min(seed, len(tokens))
-            for i in range(len(tokens) - k + 1):
-                by_size[k][_hash(np.array(tokens[i : i + k]), k)[0].item()].add(len(self.items))
-            self.items.append((item_id, np.array(tokens, dtype=np.int64)))
-        self.seeds = {k: (np.sort(np.fromiter(table, dtype=np.uint64)), dict(table)) for k, table in by_size.items()}
+            n = at[row + 1] - at[row]
+            first = np.repeat(at[row] - (np.cumsum(n) - n), n)
+            place = np.sort(places[np.arange(int(n.sum())) + first])
+            # a run that overlaps the next one covers what is before it
+            owner = self.owner[place]
+            step = np.r_[np.diff(place), k]
+            last = np.r_[owner[1:] != owner[:-1], True]
+            covered = np.bincount(owner, weights=np.where(last, k, np.minimum(step, k)))
+            some = np.flatnonzero(covered)
+            out += some[covered[some] >= coverage * self.size[some]].tolist()
+        return sorted(out)
 
 
 def _hash(tokens: np.ndarray, k: int) -> np.ndarray:
+    if len(tokens) < k:
+        return np.zeros(0, dtype=np.uint64)
     h = np.zeros(len(tokens) - k + 1, dtype=np.uint64)
     for i in range(k):
         h = h * _B + tokens[i : len(tokens) - k + 1 + i].astype(np.uint64)
@@ -139,20 +183,8 @@ def _found(block: Benchmark, text: str | None, least: int, coverage: float) -> l
     if not w:
         return []
     tokens = np.fromiter(map(block.vocabulary.get, w, repeat(0)), dtype=np.int64, count=len(w))
-    candidates: set[int] = set()
-    for k, (seeds, table) in block.seeds.items():
-        if len(w) < k:
-            continue
-        unknown = np.r_[0, np.cumsum(tokens == 0)]
-        at = np.flatnonzero(unknown[k:] == unknown[:-k])
-        if not len(at):
-            continue
-        h = _hash(tokens, k)[at]
-        near = seeds[np.minimum(np.searchsorted(seeds, h), len(seeds) - 1)]
-        for x in np.unique(h[near == h]).tolist():
-            candidates |= table[x]
     out = []
-    for c in sorted(candidates):
+    for c in block.candidates(tokens, coverage):
         item_id, item = block.items[c]
         found = tiles(item, np.where(tokens == 0, -1, tokens), min(least, len(item)))
         share = sum(k for _, _, k in found) / len(item)
@@ -161,31 +193,46 @@ def _found(block: Benchmark, text: str | None, least: int, coverage: float) -> l
     return out
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[Callable[[], list[tuple[int, str]]]]:
+    """Blocks of about so many bytes of items, to be read in a task. Items of one block are broadcast; more than that stay in
+    the shared folder, a file for each block, and neither the driver nor a task holds more than one."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) if total else 0
-    for i in range(n):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()]
+    if total <= block_bytes:
+        held = spark.sparkContext.broadcast([tuple(r) for r in items.orderBy("item_id", "text").collect()])
+        return [lambda: held.value] if total else []
+    n, folder = -(-total // block_bytes), new_folder(spark, "benchmark")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    dealt.repartition("block").sortWithinPartitions("block", "item_id", "text").write.partitionBy("block").parquet(folder)
+
+    def read(uri: str) -> list[tuple[int, str]]:
+        store, path = open_store(uri)
+        if store.get_file_info(path).type == pafs.FileType.NotFound:
+            return []  # no item fell into this block
+        found = pq.read_table(path, filesystem=store, columns=["item_id", "text"])
+        return sorted(zip(found["item_id"].to_pylist(), found["text"].to_pylist(), strict=True))
+
+    return [partial(read, f"{folder}/block={i}") for i in range(n)]
 
 
-def _matched(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, least: int = LEAST_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _matched(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, matches): a struct of all numbered columns, and the items that it covers.
 
     One pass for all blocks of items: a task holds the rows of a slice and looks at one block after another.
     """
     kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.ArrayType(T.ArrayType(T.IntegerType())))]))
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.list_(pa.int32())))]))
-    held = [docs.sparkSession.sparkContext.broadcast(items) for items in _blocks(benchmark, block_bytes)]
+    held = _blocks(benchmark, block_bytes)
     rows = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Benchmark(held[0].value, seed) if len(held) == 1 else None
+        only = Benchmark(held[0](), least) if len(held) == 1 else None
         for record in slices(batches, 1, SLICE_BYTES):
             texts = record.column(1).to_pylist()
             found: list[list] = [[] for _ in texts]
             for items in held:
-                block = only or Benchmark(items.value, seed)
+                block = only or Benchmark(items(), least)
                 for into, t in zip(found, texts, strict=True):
                     into += [{"item_id": i, "coverage": c, "tiles": [[*x] for x in ts]} for i, c, ts in _found(block, t, least, coverage)]
             yield pa.RecordBatch.from_arrays([record.column(0), pa.array(found, arrow)], names=["row", "matches"])
@@ -197,8 +244,7 @@ def _matched(docs: DataFrame, benchmark: DataFrame, seed: int = SEED_TOKENS, lea
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """All columns of docs and `matches`: the items that each row covers, array<struct<item_id, coverage, tiles>>.
 
-    Options: seed, tokens in a run that must be shared before a pair is tiled; least, of the shortest tile; coverage,
-    least share of the item's tokens in tiles; block_bytes. An item shorter than these counts as a whole. Null or empty
+    Options: least, tokens of the shortest tile; coverage, least share of the item's tokens in tiles; block_bytes. An item shorter than these counts as a whole. Null or empty
     texts and items match nothing; repeated rows give repeated results; an item_id with several texts has each of them
     compared. A column of docs named `matches` is replaced. An empty benchmark leaves every row clean.
     """

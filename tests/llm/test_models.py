@@ -143,6 +143,29 @@ def test_decontamination(spark):
     assert clean.count() == 5 and decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_no_contaminated_pair_is_missed(spark):
+    """Permuted, shortened and interrupted passages: every pair against plain tiling, whatever runs it shares."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [[r.choice(words) for _ in range(r.choice([1, 2, 3, 5, 12, 25]))] for _ in range(30)] + ["a b c d e f g h i j k l".split()]
+    docs = ["i j k l x a b c d y e f g h".split()]
+    for k in range(120):
+        parts = []
+        for item in r.sample(items, 2):
+            cuts = sorted(r.sample(range(len(item) + 1), min(len(item), r.randrange(1, 4))))
+            pieces = [item[a:b] for a, b in zip([0, *cuts], [*cuts, len(item)], strict=True)]
+            r.shuffle(pieces)
+            parts += [x for p in pieces for x in [*p[: r.randrange(len(p) + 1) if r.random() < 0.3 else len(p)], f"n{k}x{len(parts)}"]]
+        docs.append([r.choice(words) if r.random() < 0.05 else x for x in parts])
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    share = lambda a, b: sum(t[2] for t in brute_tiles(a, b, min(3, len(a)))) / len(a)
+    wanted = {i: [j for j, x in enumerate(items) if share(x, d) >= 0.5] for i, d in enumerate(docs)}
+    assert wanted[0] == [30] and sum(map(bool, wanted.values())) > 60
+    for block in (8_000_000, 400):
+        assert {x.doc_id: x.item_ids for x in contaminated_documents(frame, bench, block_bytes=block).collect()} == wanted
+
+
 def test_elias_fano():
     r = np.random.default_rng(0)
     for n, top in ((1, 5), (200, 10_000), (200, 1 << 60)):

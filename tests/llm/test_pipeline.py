@@ -18,11 +18,11 @@ from .test_models import WORD, brute_tiles
 
 def covered(item, text):
     a, b = ([w for w in WORD.findall(t.lower())] for t in (item, text))
-    k = min(5, len(a))
+    k = min(3, len(a))
     runs = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
-    if not a or not any(tuple(a[i : i + k]) in runs for i in range(len(a) - k + 1)):
-        return False
-    return sum(t[2] for t in brute_tiles(a, b, min(3, len(a)))) >= 0.5 * len(a)
+    shared = {j for i in range(len(a) - k + 1) if tuple(a[i : i + k]) in runs for j in range(i, i + k)}
+    # tiles lie in runs of three that both have
+    return bool(a) and len(shared) >= 0.5 * len(a) and sum(t[2] for t in brute_tiles(a, b, k)) >= 0.5 * len(a)
 
 
 def test_pipeline(spark):
