@@ -13,7 +13,8 @@ Inside a layout, branches of low importance are removed. Below a node of high pr
 an article whatever it is called, only elements whose texts stand on most pages are removed. Tags seed the tree where HTML
 says what they are: navigation, footers, asides, forms and hidden elements have no importance, article and main elements
 have full importance. No names of classes are known. Hosts with few pages have too little statistics and share one
-tree, which is the mean of all hosts' trees. Where even that has too few pages, only the seeds decide.
+tree, which is the mean of all hosts' trees; of what too few pages have there, the seeds decide. A page of which the tree
+would leave nothing keeps what the seeds leave.
 
 Features are counted per task before they are shuffled and summed by (host, node, feature), so a host with a large
 share of all pages is dealt over all tasks; the trees themselves are sums over rows, and no host is gathered.
@@ -62,8 +63,11 @@ NOISE_TAGS = frozenset("nav footer aside form head button select input label svg
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr table tbody thead tfoot dl dt dd figure figcaption hgroup".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: One value or name of a tag, as HTML reads it: quotes count only behind =, an unquoted value ends at white space or >. A
+#: quote that is never closed is part of an unquoted value. Nothing is ever gone back over.
+_VALUE = r"""(?>"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_TOKEN = re.compile(rf"""<!--(?>.*?(?:-->|\Z))|<!\[CDATA\[(?>.*?(?:\]\]>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+""")
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -102,6 +106,18 @@ def parse(html: str) -> Node:
     root = Node("#root", "#root", False, None)
     at, top, end, lower = 0, root, len(html), None
     looks: dict[tuple[str, str], tuple[str, bool]] = {}
+    open_tags: Counter = Counter()
+    unclosed: set[str] = set()
+
+    def close(upto: Node) -> Node:
+        """Ends the open elements down to one, and it; gives its parent."""
+        node = top
+        while node is not upto:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        open_tags[upto.tag] -= 1
+        return upto.parent
+
     while at < end:
         m = _TOKEN.search(html, at)
         if not m:
@@ -110,29 +126,29 @@ def parse(html: str) -> Node:
         if m.start() > at:
             top.children.append(html[at : m.start()])
         at = m.end()
-        if not m[2]:
+        if not m[2] or not m[4]:  # no element, or a tag that the page ends in
             continue
         tag = m[2].lower()
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if open_tags[tag]:
+                node = top
+                while node.tag != tag:
+                    node = node.parent
+                top = close(node)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             node = top
             while node is not root and node.tag != "p" and node.tag not in P_SCOPE:
                 node = node.parent
             if node.tag == "p":
-                top = node.parent
-        if tag in ENDS:
+                top = close(node)
+        if tag in ENDS and any(open_tags[t] for t in ENDS[tag][0]):
             gone, stop = ENDS[tag]
             node, last = top, None
             while node is not root and node.tag not in stop:
                 last = node if node.tag in gone else last
                 node = node.parent
-            top = last.parent if last is not None else top
+            top = close(last) if last is not None else top
         key = (tag, m[3])
         if key not in looks:
             looks[key] = _look(tag, m[3].rstrip("/"))
@@ -140,32 +156,30 @@ def parse(html: str) -> Node:
         top.children.append(node)
         if tag in RAW:
             lower = html.translate(_LOWER) if lower is None else lower
-            close = lower.find(f"</{tag}", at)
-            if close < 0:  # never closed: code hides the rest, other elements count as empty
+            found = -1 if tag in unclosed else lower.find(f"</{tag}", at)
+            if found < 0:  # never closed: code hides the rest, other elements count as empty
+                unclosed.add(tag)
                 at = end if tag in ("script", "style") else at
             else:
-                after = html.find(">", close)
+                after = html.find(">", found)
                 at = end if after < 0 else after + 1
         elif tag not in VOID and not m[3].endswith("/"):
             top = node
+            open_tags[tag] += 1
     return root
 
 
-def _below(node: Node) -> Iterator[Node]:
-    todo = [node]
-    while todo:
-        node = todo.pop()
-        yield node
-        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
-
-
 #: What the tree says of a node, in the two lowest bits of its path.
 LOW, STALE, ARTICLE = 1, 2, 3
 
 
-def blocks(root: Node, judged: dict[int, int] | None) -> list[str]:
-    """The text blocks of a page without what its host's tree judges unimportant; judged: {path: what}, None if there is
-    no tree, where a page's articles are all that counts if it has any."""
+def blocks(root: Node, judged: dict[int, int]) -> list[str]:
+    """The text blocks of a page without what its host's tree judges unimportant; judged: {path: what}. Seeds decide
+    alone where the tree says nothing, and where it would leave nothing of the page."""
+    return _blocks(root, judged) or (_blocks(root, {}) if judged else [])
+
+
+def _blocks(root: Node, judged: dict[int, int]) -> list[str]:
     out: list[str] = []
     part: list[str] = []
 
@@ -177,12 +191,6 @@ def blocks(root: Node, judged: dict[int, int] | None) -> list[str]:
 
     # (node, whether an article is around it, whether it is an article element)
     todo: list[tuple[Node | str | None, bool, bool]] = [(root, False, False)]
-    if judged is None:
-        judged = {}
-        top = [n for n in _below(root) if n.tag in ("article", "main")]
-        inner = {id(x) for n in top for x in _below(n) if x is not n}
-        if top := [n for n in top if id(n) not in inner and not _hidden(n)]:
-            todo = [(n, False, False) for n in reversed(top)]
     while todo:
         node, inside, within = todo.pop()
         if node is None:
@@ -212,14 +220,6 @@ def blocks(root: Node, judged: dict[int, int] | None) -> list[str]:
     return out
 
 
-def _hidden(node: Node | None) -> bool:
-    while node is not None:
-        if node.noise:
-            return True
-        node = node.parent
-    return False
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, node, kind, feature, words, above, n): kind 0 counts pages (above: the node's ancestors), 1 sequences of
     children, 2 texts."""
@@ -246,9 +246,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if node.unit is node:
                     above, up = [], node.parent
                     while up is not None:
-                        if up.unit is up:
-                            above.append(_signed(up.path))
-                        up = up.parent
+                        above.append(_signed(up.unit.path))
+                        up = up.unit.parent
                     page.add((host, unit, 0, 0, 0, tuple(above)))
                     look = "|".join([c.look for c in inner])
                     page.add((host, unit, 1, _signed(h(look.encode("utf-8", "surrogatepass"))), 0, None))
@@ -310,9 +309,9 @@ def judged_nodes(stats: DataFrame) -> DataFrame:
     return rows.select("host", "node", "all_pages", verdict.alias("verdict"))
 
 
-def style_trees(pages: DataFrame) -> tuple[DataFrame, list[int] | None]:
+def style_trees(pages: DataFrame) -> tuple[DataFrame, list[int]]:
     """((host, nodes: array of paths with the verdict in the two lowest bits) of the hosts that have enough pages, the nodes
-    of the mean tree or None). pages: (host, html)."""
+    of the mean tree). pages: (host, html). A node that too few pages have is not judged, in any tree."""
     stats = materialise(node_statistics(pages), "nodes")
     coded = F.col("node") + F.col("verdict")
     own = judged_nodes(stats).where(F.col("all_pages") >= LEAST_PAGES)
@@ -324,18 +323,16 @@ def style_trees(pages: DataFrame) -> tuple[DataFrame, list[int] | None]:
     )
     # an empty name that is no literal: joins by a literal would become nested loops
     mean = judged_nodes(mean.withColumn("host", F.substring(F.col("node").cast("string"), 1, 0)))
-    if not mean.where(F.col("all_pages") >= LEAST_PAGES).head(1):
-        return materialise(trees, "trees"), None
     # at most 1 / LEAST_SHARE times the elements of a page, whatever the number of pages
     return materialise(trees, "trees"), [r[0] for r in mean.where("verdict > 0").select(coded).collect()]
 
 
-def _extracted(mean: list[int] | None):
+def _extracted(mean: list[int]):
     def as_tree(nodes: list[int]) -> dict[int, int]:
         return {(x + (1 << 63)) & ~3: x & 3 for x in nodes}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = None if mean is None else as_tree(mean)
+        common = as_tree(mean)
         trees: dict[str, dict[int, int]] = {}
         for record in slices(batches, 3, 4_000_000):
             texts = []

@@ -22,12 +22,48 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><b
 
 
 def test_main_text():
-    assert blocks(parse(PAGE), None) == ["Head & line", "First part here.", "Second", "one", "two"]
+    # no tag says what the side and the comments are; that is for the tree of many pages
+    assert blocks(parse(PAGE), {}) == ["Side", "Head & line", "First part here.", "Second", "one", "two", "Reader"]
     for odd in ("", "<", "<p", "a<b", "<p>x</div></p>", "<!-- never", "<script>", "</p>", "<div " * 50):
-        assert isinstance(blocks(parse(odd), None), list)
+        assert isinstance(blocks(parse(odd), {}), list)
     assert blocks(parse("<div>" * 3000 + "deep" + "</div>" * 3000), {}) == ["deep"]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p title=it's>One</p><p>don't</p>", ["One", "don't"]), ('<p class=x">Hello</p>', ["Hello"]), ('<p a="b"">Hi</p>', ["Hi"]), ("<p a='b'c=d>Hi</p>", ["Hi"]), ("<p =x>Hi</p>", ["Hi"]), ("<p a=>Hi</p>", ["Hi"]),
+        ('<p title="1 > 0">Hi</p>', ["Hi"]), ("<p title='1 > 0' >Hi</p >there", ["Hi", "there"]), ("<p\na\n=\n'x>y'\n>Hi", ["Hi"]), ('<p title="never closed>Hi</p><p>there</p>', ["Hi", "there"]), ("a < b <p>c", ["a < b", "c"]),
+        ("<p>x</p></3 gone><!doctype y><p>z</p><?php 1 > 2 ?>", ["x", "z", "2 ?>"]), ("<p>one<br/>two<br />three", ["one two three"]), ("<p>kept</p><div class='cut off", ["kept"]), ("<a href=x/y/>link</a> <b>bold</b>", ["link bold"]),
+        ("<p>x &amp;lt; &#x41;&nbsp;y</p>", ["x &lt; A y"]), ("<textarea>no</textarea><title>no</title>yes", ["yes"]), ("<p>a<div>b</div>c</p>d", ["a", "b", "cd"]), ("<P CLASS=A>Up</P>", ["Up"]),
+    ],
+)
+def test_tags_as_html_reads_them(html, text):
+    assert blocks(parse(html), {}) == text
+
+
+@pytest.mark.parametrize("part", ["<b ", "<p class='", '<a "', "<a b=\"x", "<!", "<!-", "<!--", "</", "</b", "<a =", "<a b = ", "<", "<![CDATA[", "<textarea>", "<script>", "<div><b></i>", "<li><b>", "<p><b>", "<a b/", "<td><i>"])
+def test_broken_markup_takes_linear_time(part):
+    import time
+
+    for size in (60_000, 2_000_000):
+        start = time.process_time()
+        parse(part * (size // len(part)))
+        assert time.process_time() - start < (3 if size < 100_000 else 30)
+
+
+def test_few_pages_go_by_the_same_rule(spark):
+    """A page's own text stays beside an empty main element, in a table of one page as among many; no page loses all."""
+    one = "<div><p>own text</p></div><main></main>"
+    kind = "page_id long, url string, html string"
+    alone = extract_text(spark.createDataFrame([(1, "http://a.example/", one)], kind)).first().text
+    many = [(i, f"http://a.example/{i}", f"<div><p>{'other words here ' * (i % 9 + 1)}{i}</p></div><main></main>") for i in range(40)]
+    found = {r.page_id: r.text for r in extract_text(spark.createDataFrame([(1000, "http://a.example/", one), *many], kind)).collect()}
+    assert alone == found[1000] == "own text"
+    same = [(i, f"http://b.example/{i}", "<body><div class='x'><p>Only what every page says</p></div></body>") for i in range(40)]
+    assert all(r.text for r in extract_text(spark.createDataFrame(same, kind)).collect())
+
+
 def plain_statistics(pages):
     """The style trees of (host, html), written plainly: {(host, node): (pages, style, mass, fresh, words)}."""
     seen = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
