@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .functions import languages, lines, maths, text, time
 from .operators import intervals as ops
+from .operators import choices, review, voices
 from .operators import people as people_of
-from .operators import review, voices
 from .plans import tables
 from .queries import query
+from .sources import paths, probe
+from .streaming import logs
 
 
 @query("WITH {cu} SELECT key, ord, greatest(CAST(round(start_us * 1.1) AS BIGINT) - 100000, 0) AS start_us, greatest(CAST(round(end_us * 1.1) AS BIGINT) - 100000, 0) AS end_us FROM cu")
@@ -117,25 +119,21 @@ def jn2_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.o_orderkey, b.o_orderkey AS candidate FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority <> b.o_orderpriority AND a.o_orderstatus = 'P'")
 def jn20_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus")
-    b = o.select("o_custkey", F.col("o_orderkey").alias("candidate"), F.col("o_orderpriority").alias("p"))
-    return o.where("o_orderstatus = 'P'").join(b, "o_custkey").where("o_orderpriority <> p").select("o_orderkey", "candidate")
+    o = tables.load(spark, sf_dir, "orders")
+    return choices.in_other_languages(o.where("o_orderstatus = 'P'"), o, "o_custkey", "o_orderkey", "o_orderpriority").select("o_orderkey", "candidate")
 
 
 @query("""
 SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderpriority = '1-URGENT' THEN 2 ELSE 3 END, o_orderkey) = 1""")
 def jn22_priority_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.when(F.col("o_orderstatus") == "P", 1).when(F.col("o_orderpriority") == "1-URGENT", 2).otherwise(3)
-    return tables.load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(rank, "o_orderkey")).alias("o_orderkey"))
+    return choices.first_usable(tables.load(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", [F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "1-URGENT"])
 
 
 @query("""
 WITH v AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) SELECT user_id, event_id FROM v WHERE last IS NULL OR md5(last) <> md5(event_type)""")
 def snk6_changed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    digest = F.xxhash64(F.to_json(F.struct("event_type")))
-    e = tables.load(spark, sf_dir, "events").select("user_id", "event_id", "ts", digest.alias("d")).withColumn("last", F.lag("d").over(w))
-    return e.where("last is null or last <> d").select("user_id", "event_id")
+    e = tables.load(spark, sf_dir, "events")
+    return choices.changed_snapshots(e, "user_id", ["ts", "event_id"], ["event_type", "value"], ["value"]).select("user_id", "event_id")
 
 
 @query("""
@@ -163,9 +161,8 @@ def isl21_trapezoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT event_id, least(event_id % 50, coalesce(lag(event_id % 50) OVER w, event_id % 50)) AS x0, greatest(event_id % 50 + 9, coalesce(lag(event_id % 50 + 9) OVER w, event_id % 50 + 9)) AS x1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def isl29_carried_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = tables.load(spark, sf_dir, "events").withColumns({"a": F.col("event_id") % 50, "b": F.col("event_id") % 50 + 9})
-    return e.select("event_id", F.least("a", F.lag("a").over(w)).alias("x0"), F.greatest("b", F.lag("b").over(w)).alias("x1"))
+    e = tables.load(spark, sf_dir, "events").withColumns({"x0": F.col("event_id") % 50, "x1": F.col("event_id") % 50 + 9})
+    return choices.carried(e, "user_id", ["ts", "event_id"], ["x0"], ["x1"]).select("event_id", "x0", "x1")
 
 
 @query("""
@@ -222,3 +219,51 @@ def prj10_kept_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.load(spark, sf_dir, "part")
     boxes = p.select("p_partkey", F.col("p_brand").alias("key"), F.floor(F.col("p_partkey") / 100).alias("sample"), F.lit("Some words here").alias("text"), (F.col("p_partkey") % 60).alias("x"), F.lit(20).alias("width"), F.col("p_size").alias("height"), F.lit(100).alias("frame_width"), F.lit(25).alias("usual"))
     return voices.kept_lines(boxes, "usual").select("p_partkey")
+
+
+@query("""
+WITH o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY user_id) AS n FROM events), m AS (SELECT user_id, max(value) FILTER (r = n // 2) AS median FROM o WHERE n >= 20 GROUP BY 1)
+SELECT event_id, median FROM events JOIN m USING (user_id) WHERE abs(value - median) >= 40""")
+def prj12_miscast_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.far_from_median(tables.load(spark, sf_dir, "events"), "user_id", "value", 40.0, 20, 40.0).select("event_id", "median")
+
+
+@query(r"""
+WITH k AS (SELECT conv_id, turn, regexp_replace(lower(text), '[^\p{L}\p{Nd}]', '', 'g') AS k FROM conversations), p AS (SELECT conv_id, max(k) FILTER (turn = 0) AS p FROM k GROUP BY 1),
+w AS (SELECT k.conv_id, k.turn, k.k[1:length(p.p) * (k.turn % 4 + 1) // 4] AS part, p.p FROM k JOIN p USING (conv_id)), e AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN p[1:CAST(length(p) * (turn % 5 + 1) // 5 AS BIGINT)] ELSE part END AS said, p FROM w)
+SELECT conv_id, turn, length(said) >= greatest(3, length(p) * 0.6) AND contains(p, said) AS echo FROM e""")
+def prj16_prompt_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns against the conversation's first one, every other turn replaced by a beginning of it."""
+    c = tables.load(spark, sf_dir, "conversations").select("conv_id", "turn", text.letters_key("text").alias("k"))
+    p = c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("k"))).alias("p"))
+    n = F.length("p")
+    said = F.when(F.col("turn") % 2 == 0, F.substr("p", F.lit(1), F.floor(n * (F.col("turn") % 5 + 1) / 5).cast("int"))).otherwise(F.substr("k", F.lit(1), F.floor(n * (F.col("turn") % 4 + 1) / 4).cast("int")))
+    return c.join(p, "conv_id").select("conv_id", "turn", lines.echo_of(said, "p").alias("echo"))
+
+
+@query("SELECT user_id, event_id AS idx, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, CASE WHEN event_id % 5 > 0 THEN event_type END AS language FROM events WHERE event_id % 3 = 1")
+def src10_audio_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    tags = F.when(i % 5 > 0, F.create_map(F.when(i % 2 == 0, "Language").otherwise("language"), "event_type"))
+    stream = F.struct(i.alias("index"), F.when(i % 3 == 1, "audio").otherwise("video").alias("codec_type"), tags.alias("tags"))
+    files = tables.load(spark, sf_dir, "events").groupBy(F.col("user_id").alias("key")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(stream), lambda a, b: (a["index"] - b["index"]).cast("int")).alias("streams"))).alias("json"))
+    return probe.audio_tracks(files).select(F.col("key").alias("user_id"), F.col("index").alias("idx"), "number", "language")
+
+
+@query("""
+WITH g AS (SELECT o_custkey AS key, list(CASE o_orderkey % 5 WHEN 0 THEN '"' || o_orderpriority || '"' WHEN 1 THEN '-x' WHEN 2 THEN ' ' || o_orderstatus || ' ' ELSE o_orderkey::VARCHAR END ORDER BY o_orderkey) AS a FROM orders GROUP BY 1),
+e AS (SELECT key, unnest(a) AS a, generate_subscripts(a, 1) AS i FROM g), b AS (SELECT key, i, trim(trim(trim(a), '"')) AS a FROM e WHERE a NOT LIKE '-%'), f AS (SELECT DISTINCT o_orderpriority AS p FROM orders UNION SELECT 'P'),
+x AS (SELECT key, a, min(i) AS i FROM b JOIN f ON f.p = b.a GROUP BY 1, 2) SELECT key, '/in/' || a AS path, row_number() OVER (PARTITION BY key ORDER BY i) AS n FROM x""")
+def src21_given_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = tables.load(spark, sf_dir, "orders"), F.col("o_orderkey")
+    arg = F.when(k % 5 == 0, F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))).when(k % 5 == 1, "-x").when(k % 5 == 2, F.concat(F.lit(" "), "o_orderstatus", F.lit(" "))).otherwise(k.cast("string"))
+    args = o.groupBy(F.col("o_custkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), arg.alias("a")))), lambda x: x["a"]).alias("args"))
+    files = o.select(F.concat(F.lit("/in/"), "o_orderpriority").alias("path")).distinct().unionByName(o.where("o_orderstatus = 'P'").select(F.concat(F.lit("/in/"), "o_orderstatus").alias("path")).distinct())
+    return paths.given_paths(args, files, "/in")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('error', 'purchase', 'signup') AND user_id % 3 = 1")
+def prj13_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "purchase", "warning").when(F.col("event_type") == "view", "info").when(F.col("event_type") == "click", "DETAIL").otherwise(F.col("event_type"))
+    rows = tables.load(spark, sf_dir, "events").select("event_id", level.alias("level"), (F.col("user_id") % 3).cast("string").alias("area"))
+    return logs.of_level(rows, "warning", "1").select("event_id")

@@ -6,7 +6,7 @@ started again with the same location goes on where it stopped. State is kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,3 +67,51 @@ def not_done(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files (key, ..) of a stream that a table of finished work (key) has not: a restart with a new checkpoint skips them.
     done is read anew for each batch."""
     return files.join(done.select("key").distinct(), "key", "left_anti")
+
+
+#: Levels of log rows from the least important on.
+LEVELS = ["detail", "info", "warning", "error"]
+
+
+def of_level(rows: DataFrame, least: str, area: str | None = None) -> DataFrame:
+    """Log rows (level, area, ..), of a table or a stream, of a level and the more important ones, and of one area if it is
+    given. Levels that are not known are kept with the most important ones."""
+    low = [x for x in LEVELS if LEVELS.index(x) < LEVELS.index(least)]
+    found = rows.where(~F.coalesce(F.lower("level").isin(*low), F.lit(False))) if low else rows
+    return found if area is None else found.where(F.col("area") == area)
+
+
+_SEGMENT = "key string, ord long, start_us long, end_us long, text string, prob double, no_speech double"
+
+
+def segments(lines: DataFrame, late: str = "1 hour") -> DataFrame:
+    """(time, key, ord, start_us, end_us, text, prob, no_speech): segments of transcripts as they come, each once.
+
+    lines: (time timestamp, value string), each value a segment as JSON. What cannot be read, has no letters and digits and no
+    note, or is doubtful (no-speech over 0.6 with a probability under 0.5) goes; a segment that is sent again within
+    `late` is left out. State: the numbers of the segments of that time.
+    """
+    read = lines.select("time", F.from_json("value", _SEGMENT).alias("s")).select("time", "s.*").where("key is not null and ord is not null and start_us is not null and end_us is not null")
+    said = F.coalesce(F.col("text").rlike(r"[\p{L}\p{Nd}♪]"), F.lit(False))
+    doubtful = F.coalesce((F.col("no_speech") > 0.6) & (F.col("prob") > 0) & (F.col("prob") < 0.5), F.lit(False))
+    return read.where(said & ~doubtful).withWatermark("time", late).dropDuplicatesWithinWatermark(["key", "ord"])
+
+
+def rolling_log(folder: str, most_bytes: int = 2_000_000) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends log rows (time, level, area, message) as lines of text to folder/current, a folder for each
+    batch. Where current holds more than most_bytes before a batch, it takes the place of folder/old first, so that the
+    newest lines and no more than about twice as much stay. A batch that is repeated replaces its own lines."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        paths = spark._jvm.org.apache.hadoop.fs.Path
+        current, old = paths(f"{folder}/current"), paths(f"{folder}/old")
+        store = current.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        mine = paths(f"{folder}/current/batch={number}")
+        if store.exists(current) and not store.exists(mine) and store.getContentSummary(current).getLength() > most_bytes:
+            store.delete(old, True)
+            store.rename(current, old)
+        line = F.concat_ws(" ", F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.upper("level"), F.concat(F.lit("["), "area", F.lit("]")), F.rtrim("message"))
+        batch.sort("time").select(line.alias("value")).write.mode("overwrite").text(f"{folder}/current/batch={number}")
+
+    return write

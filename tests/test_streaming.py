@@ -73,3 +73,44 @@ def test_finished_work_is_skipped(spark, source, tmp_path):
     put("a", [{"key": "1"}, {"key": "2"}])
     done = spark.createDataFrame([("2",)], "key string")
     assert [r for b in run(logs.not_done(read("key string"), done), tmp_path, "append") for r in b] == [("1",)]
+
+
+def test_segments_come_once_over_a_restart(source, tmp_path):
+    put, read = source
+    schema = "time timestamp, value string"
+
+    def line(second, **fields):
+        return {"time": f"2024-01-01T00:00:{second:02d}Z", "value": json.dumps({"key": "k", "start_us": 0, "end_us": 5, "prob": 0.9, "no_speech": 0.1} | fields)}
+
+    put("a", [line(1, ord=1, text="Hello"), line(2, ord=1, text="Hello"), line(3, ord=2, text="..."), line(4, ord=3, text="\u266a"), {"time": "2024-01-01T00:00:05Z", "value": "{not json"}, {"time": "2024-01-01T00:00:05Z", "value": None}])
+    first = [r for b in run(logs.segments(read(schema)), tmp_path, "append", "s") for r in b]
+    put("b", [line(6, ord=1, text="Hello"), line(7, ord=4, text="Doubtful", no_speech=0.7, prob=0.3), line(8, ord=5, text="There", no_speech=None), line(9, ord=None, text="x")])
+    second = [r for b in run(logs.segments(read(schema)), tmp_path, "append", "s") for r in b]
+    assert [(r[2], r[5]) for r in first] == [(1, "Hello"), (3, "\u266a")] and [(r[2], r[5]) for r in second] == [(5, "There")]
+
+
+def test_a_log_rolls_over(spark, source, tmp_path):
+    put, read = source
+    folder = str(tmp_path / "log")
+
+    def add(name, n):
+        put(name, [{"time": f"2024-01-01T00:00:{i:02d}Z", "level": "info", "area": "Dub", "message": f"{name} {i} " + "x" * 50 + "  "} for i in range(n)])
+        rows = read("time timestamp, level string, area string, message string")
+        rows.writeStream.option("checkpointLocation", str(tmp_path / "check-log")).trigger(availableNow=True).foreachBatch(logs.rolling_log(folder, 1000)).start().awaitTermination(120)
+
+    text = lambda what: [r.value for r in spark.read.text(f"{folder}/{what}").collect()]
+    add("a", 20)
+    assert len(text("current")) == 20 and not (tmp_path / "log" / "old").exists()
+    assert text("current")[0].startswith("2024-01-01 00:00:00 INFO [Dub] a 0 x") and text("current")[0].endswith("x")
+    add("b", 3)
+    assert len(text("old")) == 20 and all(" b " in x for x in text("current"))
+    add("c", 30)
+    assert len(text("old")) == 20 and len(text("current")) == 33
+    add("d", 1)
+    assert len(text("old")) == 33 and len(text("current")) == 1
+
+
+def test_levels_of_logs(spark):
+    rows = spark.createDataFrame([("Info", "a"), ("ERROR", "a"), ("warning", "b"), (None, "a"), ("detail", "a")], "level string, area string")
+    assert sorted(r.level or "" for r in logs.of_level(rows, "warning").collect()) == ["", "ERROR", "warning"]
+    assert sorted(r.level or "" for r in logs.of_level(rows, "detail", "a").collect()) == ["", "ERROR", "Info", "detail"]
