@@ -29,7 +29,8 @@ READING_LIMIT, OTHER_LIMIT = {"en": 20, "ko": 12, "zh": 9, "yue": 9, "ja": 4}, 1
 HALF_WIDTH = "[\\u0000-\\u10FF\\uFF61-\\uFFDC\\uFFE8-\\uFFEE]"
 #: Fixed: marks that end a question.
 QUESTION_MARKS = "?？؟՞፧\u037E"
-STRONG_ENDS, SOFT_ENDS = ".!?…。！？", ",;:、，；："
+#: Fixed: signs that end a sentence, and those that part one.
+STRONG_ENDS, SOFT_ENDS = ".?!。？！…", ",;:、，；："
 
 
 def _col(text: Column | str) -> Column:

@@ -299,6 +299,12 @@ def scenes(runs: DataFrame, main: str) -> DataFrame:
     return found.groupBy("key", "_scene").agg(F.first("value").alias("value"), F.min("start_us").alias("start_us"), F.max_by("end_us", "run").alias("end_us")).drop("_scene")
 
 
+def every_frame(spans: DataFrame, chunk: int = 1024) -> DataFrame:
+    """(key, frame) for each frame from 0 to `last` of (key, last). No array is longer than chunk or the number of chunks."""
+    starts = spans.where("last >= 0").select("key", "last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / chunk))).alias("_c"))
+    return starts.select("key", F.explode(F.sequence(F.col("_c") * chunk, F.least(F.col("last"), F.col("_c") * chunk + chunk - 1))).alias("frame"))
+
+
 def close_and_drop(series: DataFrame, gap: int, least: int) -> DataFrame:
     """A boolean series (key, frame, active), one row for each frame: inner gaps of at most `gap` frames become active,
     then active runs shorter than `least` become inactive."""

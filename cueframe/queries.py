@@ -65,9 +65,9 @@ SELECT key, frame, active AND count(*) OVER (PARTITION BY key, run) >= 4 AS acti
 def isl3_close_and_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = ops.positive(tables.intervals(spark, sf_dir)).select("key", F.floor(F.col("start_us") / HOUR).alias("h")).distinct()
     ends = hours.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    frames = ends.select("key", "a", F.explode(F.sequence(F.lit(0), F.col("b") - F.col("a"))).alias("frame"))
-    seen = hours.withColumn("active", F.lit(True))
-    series = frames.withColumn("h", F.col("a") + F.col("frame")).join(seen, ["key", "h"], "left")
+    frames = ops.every_frame(ends.select("key", (F.col("b") - F.col("a")).alias("last")))
+    seen = hours.join(ends, "key").select("key", (F.col("h") - F.col("a")).alias("frame"), F.lit(True).alias("active"))
+    series = frames.join(seen, ["key", "frame"], "left")
     return ops.close_and_drop(series.select("key", "frame", F.coalesce("active", F.lit(False)).alias("active")), 6, 4)
 
 

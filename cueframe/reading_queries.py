@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import readings
+from .functions import ocr
+from .operators import readings, voices
 from .plans import tables
 from .queries import query
 
@@ -57,3 +58,25 @@ def jn19_merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pip8_read_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.read_cues(tables.seen_boxes(spark, sf_dir), tables.seen_frames(spark, sf_dir), INTERVAL_US, "high")
+
+
+@query("""
+WITH b AS (SELECT p_partkey // 40 AS key, p_partkey // 4 AS sample, p_name AS text, 70 + p_partkey * 31 % 30 AS x, p_partkey % 4 * 9 + p_partkey * 7 % 11 AS y, 40 + p_size % 8 AS w, 4 + p_size % 15 AS h FROM part),
+g AS (SELECT * FROM b WHERE h BETWEEN 2 AND 16 AND abs(x + w / 2.0 - 100) <= 40),
+n AS (SELECT *, CASE WHEN y - (lag(y) OVER o + lag(h) OVER o) <= 0.9 * greatest(h, lag(h) OVER o) AND abs(x + w / 2.0 - lag(x + w / 2.0) OVER o) <= 30 THEN 0 ELSE 1 END AS new FROM g WINDOW o AS (PARTITION BY key, sample ORDER BY y, x, text)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY key, sample ORDER BY y, x, text ROWS UNBOUNDED PRECEDING) AS block FROM n)
+SELECT key, sample, CAST(block AS BIGINT) AS block, min(y / 100.0) AS top, max((y + h) / 100.0) AS bottom, count(*) AS lines, string_agg(trim(text), chr(10) ORDER BY y, x, text) AS text FROM r GROUP BY 1, 2, 3 HAVING count(*) <= 3""")
+def isl5_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.load(spark, sf_dir, "part")
+    i, size = F.col("p_partkey"), F.col("p_size")
+    boxes = p.select(F.floor(i / 40).alias("key"), F.floor(i / 4).alias("sample"), F.col("p_name").alias("text"), (70 + i * 31 % 30).alias("x"), (i % 4 * 9 + i * 7 % 11).alias("y"), (40 + size % 8).alias("width"), (4 + size % 15).alias("height"), F.lit(200).alias("frame_width"), F.lit(100).alias("frame_height"))
+    return voices.text_blocks(boxes)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, replace(replace(text, ' ', CASE WHEN doc_id % 3 = 0 THEN ' | ' ELSE '  ' END), chr(13), '') AS t FROM documents),
+l AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: regexp_replace(array_to_string(list_filter(string_split(x, ' '), lambda w: regexp_matches(w, '[\p{L}\p{Nd}]') OR regexp_matches(w, '^[-–—♪♫…&"“”«»#$%€£]+$') OR w IN ('...', '?', '!')), ' '), '^\s+|\s+$', '', 'g')) AS l FROM t)
+SELECT doc_id, array_to_string(list_filter(l, lambda x: length(regexp_replace(x, '[^\p{L}\p{Nd}]', '', 'g')) >= 2), chr(10)) AS text FROM l""")
+def fn27_cleaned_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.load(spark, sf_dir, "documents")
+    return d.select("doc_id", ocr.clean(F.replace("text", F.lit(" "), F.when(F.col("doc_id") % 3 == 0, " | ").otherwise("  "))).alias("text"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import languages, lines, maths, text, time
 from .operators import intervals as ops
-from .operators import choices, review, voices
+from .operators import choices, names, review, voices
 from .operators import people as people_of
 from .plans import tables
 from .queries import query
-from .sources import paths, probe
+from .sources import paths, probe, text_files
 from .streaming import logs
 
 
@@ -267,3 +267,45 @@ def prj13_log_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "purchase", "warning").when(F.col("event_type") == "view", "info").when(F.col("event_type") == "click", "DETAIL").otherwise(F.col("event_type"))
     rows = tables.load(spark, sf_dir, "events").select("event_id", level.alias("level"), (F.col("user_id") % 3).cast("string").alias("area"))
     return logs.of_level(rows, "warning", "1").select("event_id")
+
+
+@query("""
+SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text, ['UTF-8', 'UTF-8 (BOM)', 'UTF-16 LE', 'UTF-16 BE'][doc_id % 4 + 1] AS encoding FROM documents WHERE text IS NOT NULL""")
+def src2_decoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with line ends of another kind as the bytes of a file in one of four encodings, and read from them."""
+    d, k = tables.load(spark, sf_dir, "documents").where("text is not null"), F.col("doc_id") % 4
+    t = F.regexp_replace("text", "\n", "\r\n")
+    content = F.when(k == 1, F.concat(F.lit(b"\xef\xbb\xbf"), F.encode(t, "UTF-8"))).when(k == 2, F.concat(F.lit(b"\xff\xfe"), F.encode(t, "UTF-16LE"))).when(k == 3, F.concat(F.lit(b"\xfe\xff"), F.encode(t, "UTF-16BE"))).otherwise(F.encode(t, "UTF-8"))
+    return text_files.decoded(d.select(F.col("doc_id").alias("key"), content.alias("content"))).withColumnRenamed("key", "doc_id")
+
+
+@query("WITH l AS (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS l FROM documents) SELECT doc_id, CAST(i - 1 AS BIGINT) AS i, l[i] AS line FROM l, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i)")
+def src3_numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = tables.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.encode(F.replace("text", F.lit("\n"), F.lit("\r")), "UTF-8").alias("content"))
+    found = text_files.numbered_lines(text_files.decoded(d))
+    return found.select(F.col("key").alias("doc_id"), F.col("i").cast("long").alias("i"), "line")
+
+
+@query("WITH {iv} SELECT key, ord FROM iv WHERE end_us > start_us")
+def prj1_positive_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.positive(tables.intervals(spark, sf_dir)).select("key", "ord")
+
+
+@query("SELECT event_id, CASE WHEN value + 120 < 160 THEN 'male' ELSE 'female' END AS gender FROM events")
+def prj19_genders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load(spark, sf_dir, "events").select("event_id", lines.gender_of(F.col("value") + 120).alias("gender"))
+
+
+@query("""
+SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE WHEN w IN ('red', 'blue') THEN 'Azure-Red' WHEN w = 'ring' THEN 'Ring $1' ELSE w END), ' ') AS text FROM part""")
+def jn17_listed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.load(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    return names.with_list(p, {"Azure-Red": ["RED", "blue"], "Ring $1": ["ring"]})
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS name FROM part UNION ALL SELECT unnest(string_split(p_type, ' ')) FROM part) GROUP BY 1")
+def set1_names_and_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base names and variants put together, repeated ones too, and how often each is met."""
+    p = tables.load(spark, sf_dir, "part")
+    each = lambda c: p.select(F.explode(F.split(c, " ")).alias("name"))
+    return each("p_name").unionByName(each("p_type")).groupBy("name").agg(F.count("*").alias("n"))
