@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _LOWER, materialise, slices
+from .shared import materialise, slices
 
 #: Pages that a tree and a node must have; of a node also this share of the tree's pages, which bounds the nodes of a tree.
 LEAST_PAGES, LEAST_SHARE = 16, 0.001
@@ -68,6 +68,7 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre td th tr tabl
 _VALUE = r"""(?>"[^"]*+"|'[^']*+'|[^\s>]*+)"""
 _TOKEN = re.compile(rf"""<!--(?>.*?(?:-->|\Z))|<!\[CDATA\[(?>.*?(?:\]\]>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE})?+)*+)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(rf"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE}))?+""")
+_END_OF = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -104,9 +105,9 @@ def _look(tag: str, attributes: str) -> tuple[str, bool]:
 def parse(html: str) -> Node:
     """A tree of elements and texts; forgiving: what is not closed ends with its parent."""
     root = Node("#root", "#root", False, None)
-    at, top, end, lower = 0, root, len(html), None
+    at, top, end = 0, root, len(html)
     looks: dict[tuple[str, str], tuple[str, bool]] = {}
-    open_tags: Counter = Counter()
+    open_tags: defaultdict[str, int] = defaultdict(int)
     unclosed: set[str] = set()
 
     def close(upto: Node) -> Node:
@@ -155,13 +156,12 @@ def parse(html: str) -> Node:
         node = Node(tag, *looks[key], top)
         top.children.append(node)
         if tag in RAW:
-            lower = html.translate(_LOWER) if lower is None else lower
-            found = -1 if tag in unclosed else lower.find(f"</{tag}", at)
-            if found < 0:  # never closed: code hides the rest, other elements count as empty
+            found = None if tag in unclosed else _END_OF[tag].search(html, at)
+            if found is None:  # never closed: code hides the rest, other elements count as empty
                 unclosed.add(tag)
                 at = end if tag in ("script", "style") else at
             else:
-                after = html.find(">", found)
+                after = html.find(">", found.end())
                 at = end if after < 0 else after + 1
         elif tag not in VOID and not m[3].endswith("/"):
             top = node
