@@ -33,6 +33,8 @@ from .token_counts import _PACKED, _rows
 PACK_SHINGLES = 2_000_000
 #: So many heads of classes (32 bytes each) are broadcast at most; beyond, Spark shuffles the join.
 BROADCAST_HEADS = 250_000
+#: So many sets of one token and size meet in one task; where there are more, they are dealt over tasks.
+MEET = 1_000
 #: Bits of a token by which it is counted and looked up; beside them, a batch's document takes 16.
 BITS = 40
 _DOC = np.uint64(16)
@@ -82,11 +84,12 @@ def _pack_sets(size: int, percent: int, buckets: int):
         token, doc = key >> _DOC, (key & np.uint64((1 << 16) - 1)).astype(np.uint16)
         at = runs(token)
         count, token = narrow(np.diff(np.r_[at, len(doc)])), token[at]
-        of = np.bincount((token * np.uint64(buckets) >> np.uint64(BITS)).astype(np.int64), minlength=buckets)
-        rows = [(-batch - 1, batch, True, pack(np.array(ids, dtype=np.int64), np.array(null, dtype=np.uint8), n, keys[:, 0].copy(), keys[:, 1].copy(), narrow(of), count, doc))]
-        ends = np.cumsum(of)
-        for b in np.flatnonzero(of).tolist():
-            i, j = ends[b] - of[b], ends[b]
+        # only the buckets that this batch meets are named, so its work does not follow their number
+        bucket = token * np.uint64(buckets) >> np.uint64(BITS)
+        cut = runs(bucket)
+        ends = np.r_[cut, len(token)]
+        rows = [(-batch - 1, batch, True, pack(np.array(ids, dtype=np.int64), np.array(null, dtype=np.uint8), n, keys[:, 0].copy(), keys[:, 1].copy(), planes(bucket[cut]), narrow(np.diff(ends)), count, doc))]
+        for b, i, j in zip(bucket[cut].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             rows.append((b, batch, False, pack(planes(token[i:j]), count[i:j])))
         return _rows(rows)
 
@@ -137,13 +140,15 @@ def _prefixes(percent: int):
     def run(table: pa.Table) -> pa.Table:
         blocks = table.column("block").to_pylist()
         heads = table.column("head").to_pylist()
-        ids, null, n, k1, k2, of, count, doc = unpack(blocks[heads.index(True)])
+        ids, null, n, k1, k2, met, of, count, doc = unpack(blocks[heads.index(True)])
+        met = from_planes(met)
         token, rare = np.zeros(len(count), dtype=np.uint64), np.zeros(len(count), dtype=np.uint8)
         starts = np.r_[0, np.cumsum(of.astype(np.int64))]
         for is_head, block in zip(heads, blocks, strict=True):
             if not is_head:
                 (bucket,), mine, coded = unpack(block)
-                i, j = starts[bucket], starts[bucket + 1]
+                at = int(np.searchsorted(met, np.uint64(bucket)))
+                i, j = starts[at], starts[at + 1]
                 rare[i:j] = mine
                 token[i:j][mine > 0] = from_planes(coded)
         shared = np.flatnonzero(rare)
@@ -197,6 +202,18 @@ def _room(n: str, m: str, place: str, n_b: str, m_b: str, place_b: str, percent:
     return F.expr(f"least({m} - {place}, {m_b} - {place_b}) >= {percent} * ({n} + {n_b}) / {100 + percent}")
 
 
+def _meeting(each: DataFrame, other: DataFrame) -> DataFrame:
+    """each joined to other by token and step. Where a token and step have over MEET rows of other, the rows of each are
+    dealt into parts by their document, and those of other go to every part: each pair still meets once."""
+    many = other.groupBy("token", "step").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > MEET)
+    many = materialise(many.select("token", "step", F.ceil(F.col("n_rows") / MEET).cast("int").alias("parts")), "hot")
+    many = F.broadcast(many) if many.count() <= BROADCAST_HEADS else many
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = each.join(many, ["token", "step"], "left").withColumn("part", F.pmod(F.xxhash64("d"), parts).cast("int")).drop("parts")
+    copied = other.join(many, ["token", "step"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copied, ["token", "step", "part"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that pass the second and third order and then the exact test."""
 
@@ -272,7 +289,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     other = labelled.select("token", "step", *(F.col(x).alias(f"{x}_b") for x in ("d", "n", "m", "place", "c")))
     each = labelled.withColumn("step", F.explode(F.array(F.col("step"), F.col("step") + 1)))
     once = "c <> c_b and (n < n_b or n = n_b and d < d_b)"
-    pairs = each.join(other, ["token", "step"]).where(once).where(_room("n", "m", "place", "n_b", "m_b", "place_b", percent))
+    pairs = _meeting(each, other).where(once).where(_room("n", "m", "place", "n_b", "m_b", "place_b", percent))
     pairs = pairs.select(F.least("d", "d_b").alias("a"), F.greatest("d", "d_b").alias("b")).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = materialise(_verified(pairs, sets, percent), "links")
 

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+from cueframe.llm import jaccard
 from cueframe.llm.embeddings import embedding_duplicates
 from cueframe.llm.jaccard import jaccard_components
 from cueframe.llm.shared import components, from_planes, planes
@@ -54,7 +55,10 @@ def made_documents():
     return docs
 
 
-def test_jaccard_against_all_pairs(spark):
+@pytest.mark.parametrize(("buckets", "meet"), [(8, 1_000), (1_000, 3)])
+def test_jaccard_against_all_pairs(spark, monkeypatch, buckets, meet):
+    monkeypatch.setattr(jaccard, "buckets_for", lambda docs, text: buckets)
+    monkeypatch.setattr(jaccard, "MEET", meet)
     docs = made_documents()
     rows = [(i, t, "x") for i, t in enumerate(docs)] + [(None, docs[30], "x")]
     found = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, token string").repartition(6)).collect()
@@ -80,6 +84,24 @@ def test_embeddings_of_ids_with_several_vectors_and_of_nothing(spark):
     assert embedding_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_many_sets_of_one_token_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MEET", 7)
+    rows = [(1, 5, d) for d in range(100)] + [(2, 5, d) for d in range(7)] + [(3, s, d) for s in (4, 5) for d in range(8)]
+    each, other = (spark.createDataFrame(rows, f"token long, step int, {d} long") for d in ("d", "d_b"))
+    found = jaccard._meeting(each, other)
+    assert found.where("token = 1").select("part").distinct().count() == 15
+    assert found.where("token = 2").select("part").distinct().count() == 1
+    pairs = sorted(tuple(r) for r in found.select("token", "step", "d", "d_b").collect())
+    assert pairs == sorted((t, s, d, e) for t, s, d in rows for u, v, e in rows if (t, s) == (u, v))
+
+
+def test_a_batch_names_only_buckets_that_it_meets(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string").coalesce(1)
+    packed = docs.mapInArrow(jaccard._pack_sets(5, 80, 10_000_000), jaccard._PACKED).collect()
+    assert sorted(r.head for r in packed) == [False] * 3 + [True]
+    assert sum(len(r.block) for r in packed) < 1_000
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert jaccard_components(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).orderBy("doc_id").collect() == [(1, 0, 1), (2, 0, 2)]
