@@ -228,12 +228,12 @@ def _unigrams(docs: DataFrame, buckets: int) -> tuple[int, int, dict[int, int]]:
         def flush():
             hashes = hash_words(list(ids))
             counts = np.bincount(np.concatenate(lists), minlength=len(hashes))
-            order = np.argsort(hashes)
-            hashes, counts = hashes[order], counts[order]
             bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                mine = bucket == b
-                yield int(b), part << 24 | seq, False, pack(hashes[mine], narrow(counts[mine]))
+            order = np.lexsort((hashes, bucket))
+            hashes, counts, bucket = hashes[order], counts[order], bucket[order]
+            cut = runs(bucket)
+            for at, to in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
+                yield int(bucket[at]), part << 24 | seq, False, pack(hashes[at:to], narrow(counts[at:to]))
 
         for record in batches:
             for doc_id, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
