@@ -14,7 +14,7 @@ from cueframe.llm.bpe import bpe_digests
 from cueframe.llm.decontaminate import decontaminate
 from cueframe.llm.jaccard import jaccard_components
 from cueframe.llm.quality import quality_filter
-from cueframe.llm.shared import discard, folders, materialise, table
+from cueframe.llm.shared import discard, folders, materialise, numbered, place_of, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicate texts: the one with the smallest doc_id, of rows without one only where no
-    other has any. Texts are told apart by their own hash, so doc_ids may repeat or be null. Texts without words stay."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit((1 << 63) - 1)))
-    found = jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
-    found = materialise(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "components")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    texts = keyed.groupBy("_key").agg(F.min(order).alias("first"), F.count("*").alias("n")).join(found, "_key")
-    heads = texts.groupBy("component_id").agg(F.min(F.struct("first", "_key"))["_key"].alias("head"))
-    judged = materialise(texts.join(heads, "component_id").select("_key", "n", (F.col("_key") == F.col("head")).alias("stays")), "judged")
-    once = keyed.join(judged.where("not stays or n > 1").select("_key"), "_key", "left_anti").select(*docs.columns)
-    copies = keyed.join(judged.where("stays and n > 1").select("_key"), "_key").select("_key", order.alias("order"), F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"))
-    return once.union(copies.groupBy("_key").agg(F.min_by("row", "order").alias("row")).select("row.*"))
+    """One row of each group of near-duplicate texts: the one with the smallest doc_id, one without only where no other
+    has any. Rows are known by numbers that they get as they are written, so doc_ids may repeat or be null and no two
+    texts are taken for each other. Texts without words stay."""
+    rows = materialise(numbered(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = F.col(place_of(docs, "doc_id")), F.col(place_of(docs, "text"))
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), text.alias("text"))).where("n_shingles > 0")
+    found = materialise(found.select(F.col("doc_id").alias("row"), "component_id"), "components")
+    first = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), F.col("row"))
+    heads = rows.join(found, "row").groupBy("component_id").agg(F.min(first)["row"].alias("row"))
+    further = materialise(found.select("row").join(heads.select("row"), "row", "left_anti"), "further")
+    return rows.join(further, "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
