@@ -1,8 +1,9 @@
 """Exact medians and percentiles by rank, never interpolated, without gathering a group.
 
-Equal values are counted first, by partial sums. A group's span is cut into CELLS cells; a running sum over their counts,
-a number of rows that the data do not change, says in which cell each wanted rank lies. Only the values of these cells
-are put in order, by group and cell.
+Equal values are counted first, by partial sums. A group's distinct values are cut into CELLS cells of about as many each,
+by a sketch of bounded size, so values far out cost nothing; a running sum over the counts of cells, a number of rows that
+the data do not change, says in which cell each wanted rank lies. Only the values of these cells are put in order, by
+group and cell. The sketch decides how the work is parted, never the result.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
+CELLS = 64
 
 
 def median() -> Column:
@@ -38,9 +39,10 @@ def at_ranks(rows: DataFrame, groups: list[str], value: str, wanted: dict[str, C
     counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
     number = F.col("_v").cast("double")
     plain = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
-    ends = counts.groupBy(*groups).agg(F.min(plain).alias("_low"), F.max(plain).alias("_high"), F.sum("_c").alias("n"))
-    inside = F.when(F.col("_high") > F.col("_low"), F.floor((plain - F.col("_low")) / (F.col("_high") - F.col("_low")) * CELLS)).otherwise(0)
-    cell = F.when(number == float("-inf"), -1).when(F.isnan(number) | (number == float("inf")), CELLS).otherwise(F.greatest(F.lit(0), F.least(F.lit(CELLS - 1), inside)))
+    cuts = F.percentile_approx(plain, [i / CELLS for i in range(1, CELLS)], 16 * CELLS)
+    ends = counts.groupBy(*groups).agg(cuts.alias("_cuts"), F.sum("_c").alias("n"))
+    inside = F.size(F.filter("_cuts", lambda cut: cut < number))
+    cell = F.when(number == float("-inf"), -1).when(F.isnan(number) | (number == float("inf")), CELLS).otherwise(inside)
     placed = counts.alias("a").join(ends.alias("b"), same("a", "b")).select("a.*", "b.n", cell.cast("int").alias("_cell"))
 
     upto = Window.partitionBy(*groups).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)

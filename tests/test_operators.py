@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from cueframe.operators import folds, intervals
+from cueframe.operators import folds, intervals, ranks
 
 SCHEMA = "key int, ord int, start_us long, end_us long"
 
@@ -109,3 +109,19 @@ def test_offsets_in_two_passes(spark):
     found = intervals.detect_offset(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), 200, 40, 10).collect()
     assert {x.key: (x.offset_us // 10, x.score, pytest.approx(x.confidence)) for x in found} == wanted
     assert wanted[0][0] == 7 and wanted[1][0] == -5 and wanted[3] == (0, 0.0, 0.0)
+
+
+def test_ranks_with_values_far_out(spark):
+    r = random.Random(4)
+    groups = {"far": [r.random() for _ in range(3_000)] + [1e300, -1e300], "same": [5.0] * 700, "one": [2.5], "wild": [float("inf"), float("-inf"), float("nan"), 1.0, 1.0], "odd": [float("inf"), float("nan")]}
+    groups[None] = [float(r.randrange(9)) for _ in range(500)]
+    rows = [(k, v) for k, vs in groups.items() for v in [*vs, None]] + [("nothing", None)]
+    wanted = {"median": ranks.median(), "low": ranks.truncated(0.15), "high": ranks.rounded(0.95)}
+    found = {x.key: x for x in ranks.at_ranks(spark.createDataFrame(rows, "key string, v double").repartition(5), ["key"], "v", wanted).collect()}
+    assert set(found) == set(groups)
+    for key, vs in groups.items():
+        s, n = sorted(vs, key=lambda v: (v != v, v)), len(vs)
+        places = {"median": n // 2, "low": min(int(n * 0.15), n - 1), "high": round(0.95 * (n - 1))}
+        assert found[key].n == n
+        assert all(repr(found[key][name]) == repr(s[k]) for name, k in places.items()), key
+    assert ranks.at_ranks(spark.createDataFrame([], "key string, v double"), ["key"], "v", wanted).count() == 0
