@@ -14,6 +14,8 @@ SCRIPTS = {
     "Tibetan": "\\u0F00-\\u0FFF", "Myanmar": "\\u1000-\\u109F", "Georgian": "\\u10A0-\\u10FF", "Hangul": "\\u1100-\\u11FF\\u3130-\\u318F\\uAC00-\\uD7AF",
     "Ethiopic": "\\u1200-\\u139F", "Khmer": "\\u1780-\\u17FF", "Kana": "\\u3040-\\u30FF\\u31F0-\\u31FF\\uFF66-\\uFF9F", "Han": "\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF",
 }
+#: Fixed: what is no letter of a script other than Latin; the wide range comes first, as it holds most characters.
+NO_OTHER_LETTERS = "[\\u0000-\\u036F[^" + "".join(span for name, span in SCRIPTS.items() if name != "Latin") + "]\\P{L}]+"
 #: Fixed: the scripts that languages are written in; all others are written in Latin.
 LANGUAGE_SCRIPTS = {
     "ko": ["Hangul", "Han"], "ja": ["Kana", "Han"], "zh": ["Han"], "yue": ["Han"], **dict.fromkeys("ru uk be bg mk kk ky tg mn ba tt".split(), ["Cyrillic"]), "sr": ["Cyrillic", "Latin"],
@@ -179,23 +181,43 @@ def natural_order(text: Column | str) -> list[Column]:
     return [natural_key(text), F.length(_col(text)), _col(text)]
 
 
+def other_letters(text: Column | str) -> Column:
+    """Only the letters of known scripts other than Latin, in their order: most texts have none, and one pass says so."""
+    return F.regexp_replace(F.coalesce(_col(text), F.lit("")), NO_OTHER_LETTERS, "")
+
+
+def latin_count(text: Column | str) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(_col(text), F.lit("")), f"[[^{SCRIPTS['Latin']}]\\P{{L}}]+", ""))
+
+
+def other_counts(others: Column | str) -> dict[str, Column]:
+    """Letters of each script but Latin in what other_letters() gives."""
+    t = _col(others)
+    return {name: F.length(F.regexp_replace(t, f"[^{span}]+", "")) for name, span in SCRIPTS.items() if name != "Latin"}
+
+
 def script_counts(text: Column | str) -> dict[str, Column]:
     """Letters of each script."""
     t = F.coalesce(_col(text), F.lit(""))
-    return {name: F.length(F.regexp_replace(t, f"[^{span}]|\\P{{L}}", "")) for name, span in SCRIPTS.items()}
+    return {name: F.length(F.regexp_replace(t, f"[[^{span}]\\P{{L}}]+", "")) for name, span in SCRIPTS.items()}
 
 
 def dominant_script(text: Column | str) -> Column:
     """The script other than Latin with most letters, of equal ones the first in the text; Kana takes the Han characters
     beside it. Latin where there is no other; null without letters of a known script."""
-    t, n = F.coalesce(_col(text), F.lit("")), script_counts(text)
-    kana = n["Kana"] > 0
-    n = n | {"Kana": F.when(kana, n["Kana"] + n["Han"]).otherwise(0), "Han": F.when(kana, 0).otherwise(n["Han"])}
-    # the smallest of (-letters, place of the first one) wins
-    found = F.array(*(F.when(n[name] > 0, F.struct((-n[name]).alias("n"), F.length(F.regexp_substr(t, F.lit(f"^(?s)((?![{span}&&\\p{{L}}]).)*"))).alias("at"), F.lit(name).alias("script"))) for name, span in SCRIPTS.items() if name != "Latin"))
-    best = F.array_min(F.filter(found, lambda x: x.isNotNull()))
-    other = F.when(t.rlike(f"[^{SCRIPTS['Latin']}&&[\\p{{L}}]]"), best["script"])
-    return F.coalesce(other, F.when(n["Latin"] > 0, "Latin"))
+    t = F.coalesce(_col(text), F.lit(""))
+
+    def best(others: Column) -> Column:
+        n = other_counts(others)
+        kana = n["Kana"] > 0
+        n = n | {"Kana": F.when(kana, n["Kana"] + n["Han"]).otherwise(0), "Han": F.when(kana, 0).otherwise(n["Han"])}
+        # the smallest of (-letters, place of the first one) wins
+        found = F.array(*(F.when(n[name] > 0, F.struct((-n[name]).alias("n"), F.length(F.regexp_substr(others, F.lit(f"^[^{SCRIPTS[name]}]*"))).alias("at"), F.lit(name).alias("script"))) for name in n))
+        return F.when(others != "", F.array_min(F.filter(found, lambda x: x.isNotNull()))["script"])
+
+    # as an array of one, so that these letters are taken out once and not for each script
+    other = F.transform(F.array(other_letters(t)), best)[0]
+    return F.coalesce(other, F.when(t.rlike(f"[[{SCRIPTS['Latin']}]&&[\\p{{L}}]]"), "Latin"))
 
 
 def scripts_of(language: str | None) -> list[str]:
@@ -205,7 +227,8 @@ def scripts_of(language: str | None) -> list[str]:
 def foreign_letters(text: Column | str, language: str) -> Column:
     """Whether letters of a known script are in a text that its language is not written in; Latin is always allowed."""
     others = "".join(span for name, span in SCRIPTS.items() if name != "Latin" and name not in scripts_of(language))
-    return F.coalesce(_col(text), F.lit("")).rlike(f"[[{others}]&&[\\p{{L}}]]")
+    # the wide range comes first, as Latin letters are no longer tried against each script then
+    return F.coalesce(_col(text), F.lit("")).rlike(f"[[\\u0370-\\uFFFF]&&[{others}]&&[\\p{{L}}]]")
 
 
 def asks(text: Column | str) -> Column:

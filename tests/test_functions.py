@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,16 @@ def test_vectors(spark):
 
 def test_sound_keys_of_names_with_h(spark):
     assert values(spark, ["Ahmad", "Chen", "Shin", "Johan", "Zoe", "Vahid", "Hahn"], text.sound_key("x")) == ["hmt", "jn", "sn", "jn", "j", "vt", "hn"]
+
+
+def test_letters_of_other_scripts_are_taken_out_once(spark):
+    r = random.Random(5)
+    given = ["ab c, 1.éẞªɐ\n", None, "a " * 50_000 + "Ж", *["".join(r.choice("ab é,.1ɐʰαβЖдІ한국ᄀかカ々漢字ｶאבش՞Ωფʼ͵;𐐷\ń") for _ in range(r.randrange(30))) for _ in range(300)]]
+    names = {name: re.compile(f"[{span}]") for name, span in text.SCRIPTS.items()}
+    belongs = lambda c: c.isalpha() and next((n for n, p in names.items() if p.match(c)), None)
+    others = ["".join(c for c in x or "" if belongs(c) not in (None, False, "Latin")) for x in given]
+    assert others[:3] == ["", "", "Ж"]
+    assert values(spark, given, text.other_letters("x")) == others
+    assert values(spark, given, text.latin_count("x")) == [sum(belongs(c) == "Latin" for c in x or "") for x in given]
+    for name, n in text.script_counts("x").items():
+        assert values(spark, given, n) == [sum(belongs(c) == name for c in x or "") for x in given], name
