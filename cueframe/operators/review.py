@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SCRIPTS, asks, dominant_script, for_reading, foreign_letters, has_question_mark, letters, letters_key, reading_chars, reading_limit, script_counts, spoken, word_count
+from ..functions.text import asks, dominant_script, for_reading, foreign_letters, has_question_mark, latin_count, letters, letters_key, other_counts, other_letters, reading_chars, reading_limit, spoken, word_count
 from .intervals import overlap_pairs
 from .ranks import at_ranks, median
 
@@ -133,10 +133,10 @@ def written_language(rows: DataFrame, group: str, column: str) -> DataFrame:
     """(group, language): what the letters of a group's texts say: Hangul over 40 %, Kana over 20 %, Han over 60 %, another
     script that one language has over 40 %; null with fewer than 8 letters, for Latin and for scripts of several languages."""
     only = {"Greek": "el", "Hebrew": "he", "Thai": "th", "Bengali": "bn", "Gurmukhi": "pa", "Gujarati": "gu", "Tamil": "ta", "Telugu": "te", "Kannada": "kn", "Malayalam": "ml", "Sinhala": "si", "Georgian": "ka", "Armenian": "hy", "Khmer": "km", "Lao": "lo", "Myanmar": "my", "Ethiopic": "am", "Tibetan": "bo"}
-    other = F.coalesce(F.col(column), F.lit("")).rlike(f"[^{SCRIPTS['Latin']}&&[\\p{{L}}]]")
-    counts = script_counts(column)
-    # most texts are Latin throughout: only the others are looked at script by script
-    sums = rows.groupBy(group).agg(*(F.sum(n if name == "Latin" else F.when(other, n).otherwise(0)).alias(name) for name, n in counts.items()))
+    # most texts are Latin throughout: only letters of the others are looked at script by script
+    seen = rows.select(F.col(group), latin_count(column).alias("_latin"), other_letters(column).alias("_others"))
+    counts = {"Latin": F.col("_latin")} | {name: F.when(F.col("_others") == "", 0).otherwise(n) for name, n in other_counts("_others").items()}
+    sums = seen.groupBy(group).agg(*(F.sum(n).alias(name) for name, n in counts.items()))
     total = sum((F.col(name) for name in counts), F.lit(0))
     top = F.greatest(*(F.col(n) for n in counts if n != "Latin"))
     found = F.when(total < 8, None).when(F.col("Hangul") > total * 0.4, "ko").when(F.col("Kana") > total * 0.2, "ja").when(F.col("Han") > total * 0.6, "zh")
