@@ -123,6 +123,15 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+def similar(a: Column | str, b: Column | str, least: float) -> Column:
+    """Whether similarity() is at least so much; a distance is counted only as far as that takes."""
+    a, b = _col(a), _col(b)
+    longer = F.greatest(F.length(a), F.length(b))
+    most = (F.floor(longer * (1 - least)) + 1).cast("int")
+    distance = F.call_function("levenshtein", a, b, most)
+    return (a == b) | (distance >= 0) & (1 - distance / longer >= least)
+
+
 #: Fixed: letters that romanize the same sound, and those that do not count.
 SAME_SOUND = {"g": "k", "d": "t", "b": "p", "r": "l", "z": "j", "f": "p"}
 SILENT = "aeiouyw"

@@ -56,7 +56,9 @@ SELECT h.key, h.ord, CASE WHEN m.twin IS NULL THEN 'added' WHEN len <= 0 OR cove
 def pip4_heard_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = tables.cues(spark, sf_dir)
     step = F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i")
-    speech = cu.select("key").distinct().select("key", step).select("key", (F.col("i") * 7_000_000).cast("long").alias("start_us"), (F.col("i") * 7_000_000 + 5_000_000).cast("long").alias("end_us"))
+    # the keys alone are so small that Spark would put them, and then the 200 rows of each, in one task; a given number it leaves
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    speech = cu.select("key").repartition(dealt, "key").distinct().select("key", step).select("key", (F.col("i") * 7_000_000).cast("long").alias("start_us"), (F.col("i") * 7_000_000 + 5_000_000).cast("long").alias("end_us"))
     return pipelines.heard_again(cu.where("ord % 3 <> 0"), cu.where("ord % 2 = 0"), speech)
 
 

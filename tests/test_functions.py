@@ -126,3 +126,19 @@ def test_letters_of_other_scripts_are_taken_out_once(spark):
     assert values(spark, given, text.latin_count("x")) == [sum(belongs(c) == "Latin" for c in x or "") for x in given]
     for name, n in text.script_counts("x").items():
         assert values(spark, given, n) == [sum(belongs(c) == name for c in x or "") for x in given], name
+
+
+def test_similar_texts_are_told_by_a_bounded_distance(spark):
+    r = random.Random(7)
+    pairs = [("", ""), ("a", ""), ("abcde", "abcdx"), ("abcde", "abcxx"), *[("".join(r.choice("ab") for _ in range(r.randrange(24))), "".join(r.choice("ab") for _ in range(r.randrange(24)))) for _ in range(400)]]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for least in (0.8, 0.6, 0.75):
+        assert rows.where(text.similar("a", "b", least) != (text.similarity("a", "b") >= least)).count() == 0
+        assert rows.where(text.similar("a", "b", least)).count() == rows.where(text.similarity("a", "b") >= least).count() > 0
+
+
+def test_speech_of_each_key_is_dealt_over_tasks(spark):
+    from cueframe.plan_queries import pip4_heard_again
+
+    plan = pip4_heard_again(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
