@@ -41,7 +41,7 @@ def _col(text: Column | str) -> Column:
 
 def letters_key(text: Column | str) -> Column:
     """Letters and decimal digits only, in lower case: texts with equal keys say the same."""
-    return F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{Nd}]", "")
+    return F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{Nd}]+", "")
 
 
 def collapse(text: Column | str) -> Column:
@@ -67,7 +67,7 @@ def for_reading(text: Column | str) -> Column:
 
 def letters(text: Column | str) -> Column:
     """How many letters and decimal digits."""
-    return F.length(F.regexp_replace(_col(text), r"[^\p{L}\p{Nd}]", ""))
+    return F.length(F.regexp_replace(_col(text), r"[^\p{L}\p{Nd}]+", ""))
 
 
 def word_count(text: Column | str) -> Column:

@@ -72,29 +72,29 @@ def reviewed(pairs: DataFrame, language: str = "en") -> DataFrame:
     """
     rows = pairs.select("key", "ord", for_reading("text").alias("t"), F.when(F.col("original").isNotNull(), for_reading("original")).alias("o"))
     w = Window.partitionBy("key").orderBy("ord")
-    script = dominant_script("o")
     lettered = F.col("o").rlike(r"\p{L}")
-    rows = rows.withColumns({
-        "kt": letters_key("t"), "ko": letters_key("o"), "script": F.coalesce(F.when(script == "Han", "Kana").otherwise(script), F.lit("Other")), "nt": letters("t"), "no": letters("o"),
-        "lettered": F.coalesce(lettered, F.lit(False)), "foreign": F.coalesce(foreign_letters("o", "en"), F.lit(False)),
-    })
-    rows = rows.withColumns({"lt": F.lag("kt").over(w), "lo": F.lag("ko").over(w)})
+    # all that is read in a text is read here, where rows are in as many tasks as they come in; behind this only keys go on
+    rows = rows.withColumns({"script": dominant_script("o"), "kt": letters_key("t"), "ko": letters_key("o"), "nt": letters("t"), "no": letters("o")})
+    rows = rows.select(
+        "key", "ord", "kt", "ko", "nt", "no", F.coalesce(F.when(F.col("script") == "Han", "Kana").otherwise(F.col("script")), F.lit("Other")).alias("script"), F.coalesce(lettered, F.lit(False)).alias("lettered"),
+        F.coalesce(foreign_letters("o", "en"), F.lit(False)).alias("foreign"), F.col("t").rlike(r"\p{L}").alias("said"), foreign_letters("t", language).alias("leftover"),
+        ((F.col("ko") == F.col("kt")) & (word_count("o") >= 2)).alias("unchanged"), (word_count("t") >= 4).alias("wordy"), (asks("o") & ~has_question_mark("t", language)).alias("question"),
+    )
     most = rows.groupBy("key").agg((F.count_if(F.col("lettered") & F.col("foreign")) * 2 > F.count_if("lettered")).alias("mostly_foreign"))
-    rows = rows.join(most, "key")
-    unchanged = (F.col("ko") == F.col("kt")) & (word_count("o") >= 2)
+    rows = rows.withColumns({"lt": F.lag("kt").over(w), "lo": F.lag("ko").over(w)}).join(most, "key")
     flag = (
         F.when(~F.col("lettered"), None)
-        .when(~F.col("t").rlike(r"\p{L}"), "missing")
-        .when(foreign_letters("t", language), "leftover")
-        .when(unchanged, F.when(F.col("mostly_foreign") & ~F.col("foreign"), None).otherwise("unchanged"))
-        .when((word_count("t") >= 4) & (F.col("kt") == F.col("lt")) & (F.col("ko") != F.col("lo")), "repeated")
-        .when(asks("o") & ~has_question_mark("t", language), "question")
+        .when(~F.col("said"), "missing")
+        .when(F.col("leftover"), "leftover")
+        .when(F.col("unchanged"), F.when(F.col("mostly_foreign") & ~F.col("foreign"), None).otherwise("unchanged"))
+        .when(F.col("wordy") & (F.col("kt") == F.col("lt")) & (F.col("ko") != F.col("lo")), "repeated")
+        .when(F.col("question"), "question")
     )
     rows = rows.withColumn("flag", flag)
     ratio = rows.where("no >= 2 and nt >= 2").select("key", "script", (F.col("nt") / F.col("no")).alias("ratio"))
     usual = at_ranks(ratio, ["key", "script"], "ratio", {"usual": median()}).where("n >= 20").select("key", "script", "usual")
     judged = rows.join(usual, ["key", "script"], "left")
-    long = F.col("flag").isNull() & F.col("o").isNotNull() & (F.col("no") >= 2) & (F.col("nt") >= 25) & (F.col("nt") > F.col("no") * F.col("usual") * 3)
+    long = F.col("flag").isNull() & F.col("ko").isNotNull() & (F.col("no") >= 2) & (F.col("nt") >= 25) & (F.col("nt") > F.col("no") * F.col("usual") * 3)
     return judged.select("key", "ord", F.when(F.coalesce(long, F.lit(False)), "too long").otherwise(F.col("flag")).alias("flag"))
 
 

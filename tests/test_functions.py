@@ -142,3 +142,12 @@ def test_speech_of_each_key_is_dealt_over_tasks(spark):
 
     plan = pip4_heard_again(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_review_reads_texts_before_rows_are_dealt_by_key(spark):
+    from cueframe.operators import review
+
+    pairs = spark.createDataFrame([(1, 1, "ab cd.", "ab cd?")], "key int, ord int, text string, original string")
+    plan = review.reviewed(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    # what is asked of a text stands below the window, where rows are in as many tasks as they come in
+    assert "missing" in plan and not any("\\p{L}" in line for line in plan[: plan.index("Window [")].splitlines())
