@@ -37,7 +37,8 @@ def fn15_merged_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def fn17_partial_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.load(spark, sf_dir, "part")
+    # a small file would be one task, however long its rows take
+    p = tables.load(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return p.select("p_partkey", fuzzy.partial_similarity("p_brand", "p_name").alias("fits"), fuzzy.coverage("p_brand", "p_name").alias("covered"), fuzzy.nearly_contains("p_name", "p_type").alias("inside"))
 
 

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cueframe.functions import maths, text, time
+from cueframe.functions import fuzzy, maths, text, time
 from cueframe.operators import ranks
 
 
@@ -151,3 +151,17 @@ def test_review_reads_texts_before_rows_are_dealt_by_key(spark):
     plan = review.reviewed(pairs)._jdf.queryExecution().optimizedPlan().toString()
     # what is asked of a text stands below the window, where rows are in as many tasks as they come in
     assert "missing" in plan and not any("\\p{L}" in line for line in plan[: plan.index("Window [")].splitlines())
+
+
+def test_pairs_at_once_are_as_pairs_alone(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abc한") for _ in range(r.randrange(n)))
+    pairs = [("", ""), ("", "a"), ("a", ""), ("b" * 300, "a"), ("a", "b" * 70_000), ("b" * 9, "ab" * 40_000), *[(word(12), word(30)) for _ in range(600)]]
+    parts, wholes = map(list, zip(*pairs))
+    assert fuzzy.best_fits(parts, wholes).tolist() == [fuzzy.best_fit(a, b) for a, b in pairs]
+    assert fuzzy.common_subsequences(parts, wholes).tolist() == [fuzzy.common_subsequence(a, b) for a, b in pairs]
+    assert fuzzy.best_fits([], []).tolist() == []
+    rows = spark.createDataFrame([("abcdefg", "xxabcdefgxx"), ("abcdefg", "xxabcxefgxx"), ("abcdefg", "xxabxxefgxx"), ("", "a"), ("a", ""), (None, "a")], "p string, t string").coalesce(1)
+    assert [tuple(x) for x in rows.select(fuzzy.nearly_contains("t", "p"), fuzzy.partial_similarity("p", "t"), fuzzy.coverage("p", "t")).collect()] == [
+        (True, 1.0, 1.0), (True, 1 - 1 / 7, 6 / 7), (False, 1 - 2 / 7, 5 / 7), (True, 0.0, 1.0), (False, 0.0, 0.0), (None, None, None),
+    ]
