@@ -33,7 +33,8 @@ SELECT k, {_cardinal("n")} AS cardinal, CASE WHEN y BETWEEN 2000 AND 2009 THEN {
   concat_ws(' ', CASE WHEN whole > 0 OR cents = 0 THEN {_cardinal("whole")} || CASE WHEN whole = 1 THEN ' dollar' ELSE ' dollars' END END,
     CASE WHEN cents > 0 THEN CASE WHEN whole > 0 THEN 'and ' ELSE '' END || {_cardinal("cents")} || CASE WHEN cents = 1 THEN ' cent' ELSE ' cents' END END) AS money FROM k""")
 def fn33_number_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = tables.load(spark, sf_dir, "orders")
+    # a small file would be one task, however long its rows take
+    o = tables.load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     n = F.floor(F.col("o_totalprice") * 100) % 1_000_000_007 * 7 % 900_000_000
     whole = F.floor("o_totalprice").cast("string")
     money = F.concat(F.lit("$"), whole, F.lit("."), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"))

@@ -165,3 +165,11 @@ def test_pairs_at_once_are_as_pairs_alone(spark):
     assert [tuple(x) for x in rows.select(fuzzy.nearly_contains("t", "p"), fuzzy.partial_similarity("p", "t"), fuzzy.coverage("p", "t")).collect()] == [
         (True, 1.0, 1.0), (True, 1 - 1 / 7, 6 / 7), (False, 1 - 2 / 7, 5 / 7), (True, 0.0, 1.0), (False, 0.0, 0.0), (None, None, None),
     ]
+
+
+def test_rows_that_take_long_are_dealt_over_tasks(spark):
+    from cueframe.text_queries import fn17_partial_similarity
+    from cueframe.voice_queries import fn33_number_words
+
+    for q in (fn17_partial_similarity, fn33_number_words):
+        assert "REPARTITION_BY_NUM" in q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
