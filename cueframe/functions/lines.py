@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .markup import ass_to_html, html_to_ass
-from .text import collapse, letters_key, strip_tags, trimmed, wrap
+from .text import collapse, letters_key, once, strip_tags, trimmed, wrap
 
 _OVERRIDES = r"^(\{[^}]*\})+"
 _TAGS = r"\{[^}]*\}|</?[a-zA-Z][^>]*>"
@@ -46,17 +46,19 @@ def echo_of(text: Column | str, prompt: Column | str) -> Column:
 def without_repeats(text: Column | str, most: int = 2) -> Column:
     """A text of sentences without those that stand more than `most` times in a row; as it is where there are none."""
     t = F.coalesce(_col(text), F.lit(""))
-    sentences = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"([^.?!。？！…]*[.?!。？！…][ .?!。？！…]*|[^.?!。？！…]+$)"), 1), trimmed), lambda s: s != "")
+    sentences = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(r"([^.?!。？！…]*[.?!。？！…][ .?!。？！…]*|[^.?!。？！…]+$)"), 1), trimmed), lambda s: s != "")
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("key"), F.lit(0).alias("run"))
 
     def step(s: Column, x: Column) -> Column:
-        key = letters_key(x)
-        run = F.when((key == s["key"]) & (s["run"] > 0), s["run"] + 1).otherwise(1)
-        keep = (key == "") | (run <= most)
-        return F.struct(F.when(keep, F.concat(s["out"], F.array(x))).otherwise(s["out"]).alias("out"), key.alias("key"), run.alias("run"))
+        run = F.when((x["key"] == s["key"]) & (s["run"] > 0), s["run"] + 1).otherwise(1)
+        keep = (x["key"] == "") | (run <= most)
+        return F.struct(F.when(keep, F.concat(s["out"], F.array(x["s"]))).otherwise(s["out"]).alias("out"), x["key"].alias("key"), run.alias("run"))
 
-    kept = F.aggregate(sentences, state, step)["out"]
-    return F.when((F.size(sentences) > most) & (F.size(kept) < F.size(sentences)), F.array_join(kept, " ")).otherwise(t)
+    def shorter(all_of: Column) -> Column:
+        kept = F.aggregate(F.transform(all_of, lambda x: F.struct(x.alias("s"), letters_key(x).alias("key"))), state, step)["out"]
+        return F.when(F.size(all_of) > most, once(kept, lambda k: F.when(F.size(k) < F.size(all_of), F.array_join(k, " "))))
+
+    return once(t, lambda x: F.coalesce(once(sentences(x), shorter), x))
 
 
 def prepared(text: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def once(value: Column, work: Callable[[Column], Column]) -> Column:
+    """work(value), with the value worked out once however often work takes it: as the only element of an array."""
+    return F.transform(F.array(value), work)[0]
+
+
 def letters_key(text: Column | str) -> Column:
     """Letters and decimal digits only, in lower case: texts with equal keys say the same."""
     return F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{Nd}]+", "")
@@ -257,23 +264,27 @@ def wrap(text: Column | str, max_columns: int = 42) -> Column:
     character that is no punctuation) that leaves the narrowest wider line, with a credit of 4 behind punctuation; the
     first of equal places. As it is where it fits or cannot be broken."""
     t = _col(text)
-    spaced = F.contains(t, F.lit(" "))
-    total = columns_wide(t)
-
-    def score(i: Column) -> Column:
-        left = columns_wide(F.substr(t, F.lit(1), i))
-        after = F.substr(t, i, F.lit(1))
-        wider = F.greatest(left, total - left - F.when(spaced, 1).otherwise(0))
-        return F.struct((wider - F.when(after.isin(*STRONG_ENDS, *SOFT_ENDS), 4).otherwise(0)).alias("score"), i.alias("at"))
-
-    def possible(i: Column) -> Column:
-        c = F.substr(t, i + 1, F.lit(1))
-        return F.when(spaced, c == " ").otherwise(~c.rlike(r"\p{P}"))
-
-    places = F.when(F.length(t) > 1, F.filter(F.sequence(F.lit(1), F.length(t) - 1), possible))
-    at = F.array_min(F.transform(places, score))["at"]
-    broken = F.concat(F.regexp_replace(F.substr(t, F.lit(1), at), r"(?U)\s+$", ""), F.lit("\n"), F.regexp_replace(F.substr(t, at + 1), r"(?U)^\s+", ""))
-    return F.when((total > max_columns) & at.isNotNull(), broken).otherwise(t)
+
+    def parted(x: Column) -> Column:
+        def score(i: Column) -> Column:
+            # where nothing is wide, a place is as many columns from the start
+            left = F.when(F.length(x["t"]) == x["total"], i).otherwise(columns_wide(F.substr(x["t"], F.lit(1), i)))
+            after = F.substr(x["t"], i, F.lit(1))
+            wider = F.greatest(left, x["total"] - left - F.when(x["spaced"], 1).otherwise(0))
+            return F.struct((wider - F.when(after.isin(*STRONG_ENDS, *SOFT_ENDS), 4).otherwise(0)).alias("score"), i.alias("at"))
+
+        def possible(i: Column) -> Column:
+            c = F.substr(x["t"], i + 1, F.lit(1))
+            return F.when(x["spaced"], c == " ").otherwise(~c.rlike(r"\p{P}"))
+
+        def broken(at: Column) -> Column:
+            return F.concat(F.regexp_replace(F.substr(x["t"], F.lit(1), at), r"(?U)\s+$", ""), F.lit("\n"), F.regexp_replace(F.substr(x["t"], at + 1), r"(?U)^\s+", ""))
+
+        places = F.when(F.length(x["t"]) > 1, F.filter(F.sequence(F.lit(1), F.length(x["t"]) - 1), possible))
+        return once(F.array_min(F.transform(places, score))["at"], broken)
+
+    wide = F.struct(t.alias("t"), F.contains(t, F.lit(" ")).alias("spaced"), columns_wide(t).alias("total"))
+    return F.when(columns_wide(t) > max_columns, F.coalesce(once(wide, parted), t)).otherwise(t)
 
 
 def language_head(code: Column | str) -> Column:
