@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup
+from ..functions.text import once
 from ..functions.time import format_ass, format_srt, format_vtt, parse_timecode
 from .text_files import decoded, numbered_lines, read_files
 
@@ -132,20 +133,22 @@ def parse_ass(texts: DataFrame, kind: str = "ass") -> tuple[DataFrame, DataFrame
     lines = lines.withColumns({"named": named, "event": event})
     lines = lines.withColumns({"names": F.last("named", ignorenulls=True).over(w), "begun": F.coalesce(F.max(F.col("named").isNotNull() | F.col("event").isNotNull()).over(w), F.lit(False))})
 
-    columns = F.transform(F.split(F.coalesce("names", F.lit(EVENT_COLUMNS[kind])), ",", -1), _strip)
-    rows = lines.where("event is not null").withColumns({"columns": columns, "payload": F.regexp_replace(F.substr("bare", F.length("event") + 2), r"(?U)^\s+", "")})
+    columns = F.transform(F.split(F.coalesce("names", F.lit(EVENT_COLUMNS[kind])), ",", -1), lambda c: F.lower(_strip(c)))
+    payload = F.regexp_replace(F.substr("bare", F.length("event") + 2), r"(?U)^\s+", "")
     # the limit of a split is no column, so what is too much is joined again
-    parts = F.split("payload", ",", -1)
-    n = F.size("columns")
-    rows = rows.withColumn("parts", parts).where(F.size("parts") >= n)
-    rows = rows.withColumn("parts", F.concat(F.slice("parts", F.lit(1), n - 1), F.array(F.array_join(F.slice("parts", n, F.size("parts")), ","))))
-    rows = rows.withColumn("fields", _last_of_each(F.transform("columns", F.lower), F.col("parts")))
-    times = {f"{x}_us": F.when(F.map_contains_key("fields", x), parse_timecode(F.col("fields")[x])).otherwise(F.lit(0)) for x in ("start", "end")}
-    extra = F.map_filter("fields", lambda k, _: ~k.isin("start", "end", "text"))
+    whole = lambda e: F.concat(F.slice(e["parts"], F.lit(1), F.size(e["columns"]) - 1), F.array(F.array_join(F.slice(e["parts"], F.size(e["columns"]), F.size(e["parts"])), ",")))
+    found = F.filter(F.array(F.struct(columns.alias("columns"), F.split(payload, ",", -1).alias("parts"))), lambda e: F.size(e["parts"]) >= F.size(e["columns"]))
+    # exploded, so that no filter is pushed below and parts the line again
+    rows = lines.where("event is not null").withColumn("e", F.explode_outer(F.transform(found, lambda e: F.struct(e["columns"].alias("columns"), whole(e).alias("parts"))))).where("e is not null")
+    # of equal names the last counts
+    last = lambda name: F.get("e.parts", F.size("e.columns") - F.array_position(F.reverse("e.columns"), name).cast("int"))
+    times = {f"{x}_us": F.when(F.array_contains("e.columns", x), once(last(x), parse_timecode)).otherwise(F.lit(0)) for x in ("start", "end")}
+    fields = _last_of_each(F.col("e.columns"), F.col("e.parts"))
+    extra = F.map_filter(fields, lambda k, _: ~k.isin("start", "end", "text"))
     extra = F.map_concat(F.transform_values(extra, lambda _, v: _strip(v)), F.when(F.col("event") == "Comment", F.create_map(F.lit("_kind"), F.lit("Comment"))).otherwise(F.create_map().cast(EXTRA)))
     rows = rows.withColumns(times).where("start_us is not null and end_us is not null")
     ordered = rows.withColumn("ord", F.row_number().over(Window.partitionBy("key").orderBy("i")))
-    cues = ordered.select("key", F.col("ord").cast("long").alias("ord"), "start_us", "end_us", F.replace(F.coalesce(F.col("fields")["text"], F.lit("")), F.lit("\\N"), F.lit("\n")).alias("text"), extra.alias("extra"))
+    cues = ordered.select("key", F.col("ord").cast("long").alias("ord"), "start_us", "end_us", F.replace(F.coalesce(last("text"), F.lit("")), F.lit("\\N"), F.lit("\n")).alias("text"), extra.alias("extra"))
 
     head = ~F.col("after") & (F.col("named").isNotNull() | F.col("event").isNull() & ~(F.coalesce(F.col("section") == "[events]", F.lit(False)) & F.col("begun")))
     found = lines.groupBy("key").agg(

@@ -18,3 +18,12 @@ def test_lines_of_a_transcript_are_parted_once(spark):
     segments = spark.createDataFrame(rows, "key long, ord long, start_us long, end_us long, text string, prob double, no_speech double")
     found = shape_transcript(segments, segments.select("key", "start_us", "end_us"))
     assert "ArrowEvalPython" not in plan(found) and found.count() > 6  # the parts are written, and read by all branches
+
+
+def test_events_of_a_script_are_parted_once(spark):
+    from cueframe.sources.subtitles import parse_ass
+
+    script = "[Events]\nFormat: Start, Text, End, start, Text\nDialogue: x,lost,0:00:02.00,0:00:01.00,a, b\nDialogue: 0:00:01.00,too few\n"
+    cues, _ = parse_ass(spark.createDataFrame([("a", script)], "key string, text string"))
+    assert [tuple(r) for r in cues.drop("extra").collect()] == [("a", 1, 1_000_000, 2_000_000, "a, b")]
+    assert "map_from_entries" not in plan(cues.drop("extra"))  # times and texts are found by their places
