@@ -17,20 +17,47 @@ from .text import letters_key, similarity
 
 #: Numbers of a block of tables that are worked on at once.
 CELLS = 1 << 17
+#: Up to so many texts are compared pair by pair.
+FEW = 16
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
+def _last_row(a: str, b: str, free: bool) -> tuple[int, int]:
+    """(last, least) number of the last row of the table of a and b. Its columns are the bits of two whole numbers, where
+    it rises and where it falls (Myers). free: b may begin anywhere."""
+    if not a:
+        return (0, 0) if free else (len(b), 0)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    every, end = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = every, 0, len(a)
+    least, first = score, 0 if free else 1
+    for c in b:
+        same = at.get(c, 0)
+        level = (((same & up) + up) ^ up) | same | down
+        right, back = down | ~(level | up), level & up
+        if right & end:
+            score += 1
+        elif back & end:
+            score -= 1
+            least = min(least, score)
+        right = right << 1 | first
+        up, down = (back << 1 | ~(level | right)) & every, level & right & every
+    return score, least
+
+
+def distance(a: str, b: str) -> int:
+    """The edit distance of two texts."""
+    return _last_row(a, b, False)[0]
+
+
 def best_fit(part: str, whole: str) -> int:
-    """The least edit distance of `part` to any stretch of `whole`: rows of the table at once, as a running minimum."""
-    a, b = _codes(part), _codes(whole)
-    row, place = np.zeros(len(b) + 1, dtype=np.int64), np.arange(len(b) + 1)
-    for i, c in enumerate(a, 1):
-        reached = np.r_[i, np.minimum(row[1:] + 1, row[:-1] + (b != c))]
-        row = np.minimum.accumulate(reached - place) + place
-    return int(row.min())
+    """The least edit distance of `part` to any stretch of `whole`."""
+    return _last_row(part, whole, True)[1]
 
 
 def _blocks(parts: list[str], wholes: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,7 +113,9 @@ def common_subsequences(parts: list[str], wholes: list[str]) -> np.ndarray:
 
 
 def distances(text: str, others: list[str]) -> np.ndarray:
-    """The edit distance of a text to each of many others: one row of all tables at a time."""
+    """The edit distance of a text to each of many others: one row of all tables at a time, or pair by pair where they are few."""
+    if len(others) <= FEW:
+        return np.array([distance(text, x) for x in others], dtype=np.int64)
     a, codes = _codes(text), [_codes(x) for x in others]
     size = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
     place = np.arange(int(size.max(initial=0)) + 1)
@@ -109,9 +138,10 @@ def same_key(a: str, b: str) -> bool:
     """same_reading of two keys of letters and digits."""
     if not a or not b:
         return False
-    if a == b or similarities(a, [b])[0] >= 0.75:
-        return True
     short, long = sorted((a, b), key=len)
+    # a distance is at least the difference of lengths
+    if a == b or 1 - (len(long) - len(short)) / len(long) >= 0.75 and 1 - distance(a, b) / len(long) >= 0.75:
+        return True
     return len(short) >= 5 and len(short) >= len(long) * 0.6 and 1 - best_fit(short, long) / len(short) >= 0.85
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Fixed: signs that text has, signs around a word, signs that may stand alone, vowels, endings of numbers, one-letter words.
 USUAL = ".,!?'’\"“”-–—:;…()♪&%$€£#/*"
 AROUND = ".,!?'’\"“”-–—:;…()♪*[]"
@@ -38,7 +40,7 @@ def _hyphened(w: Column) -> Column:
     parts = F.filter(F.split(w, "-"), lambda p: p != "")
     caps = F.exists(parts, lambda p: (F.length(p) >= 2) & ~p.rlike(r"\p{Ll}") & p.rlike(r"\p{Lu}"))
     small = F.exists(parts, lambda p: ~p.rlike(r"\p{Lu}") & p.rlike(r"\p{Ll}"))
-    return F.when(F.size(parts) > 1, F.forall(parts, _plain_word) & ~(caps & small)).otherwise(_plain_word(w))
+    return F.when(F.contains(w, F.lit("-")) & (F.size(parts) > 1), F.forall(parts, _plain_word) & ~(caps & small)).otherwise(_plain_word(w))
 
 
 def word_shaped(word: Column | str) -> Column:
@@ -46,7 +48,8 @@ def word_shaped(word: Column | str) -> Column:
     A tail with further apostrophes is looked at as one word."""
     w = _col(word)
     head, tail = F.regexp_extract(w, "^([^'’]+)['’](.+)$", 1), F.regexp_extract(w, "^([^'’]+)['’](.+)$", 2)
-    return F.when(head != "", _hyphened(head) & (tail.rlike(r"^\p{L}{1,3}$") | _hyphened(tail))).otherwise(_hyphened(w))
+    has = F.contains(w, F.lit("'")) | F.contains(w, F.lit("’"))
+    return F.when(has & (head != ""), _hyphened(head) & (tail.rlike(r"^\p{L}{1,3}$") | _hyphened(tail))).otherwise(_hyphened(w))
 
 
 def quality(text: Column | str) -> Column:
@@ -55,11 +58,15 @@ def quality(text: Column | str) -> Column:
     t = F.coalesce(_col(text), F.lit(""))
     words = F.filter(F.transform(F.split(t, "[ \n\r\t]+"), lambda w: F.regexp_replace(w, f"^[{_class(AROUND)}]+|[{_class(AROUND)}]+$", "")), lambda w: w != "")
     weight = lambda w: F.least(F.length(w), F.lit(6)).cast("double")
-    total = F.aggregate(words, F.lit(0.0), lambda s, w: s + weight(w))
-    good = F.aggregate(F.filter(words, word_shaped), F.lit(0.0), lambda s, w: s + weight(w))
+
+    def share(all_of: Column) -> Column:
+        total = F.aggregate(all_of, F.lit(0.0), lambda s, w: s + weight(w))
+        good = F.aggregate(F.filter(all_of, word_shaped), F.lit(0.0), lambda s, w: s + weight(w))
+        return F.when(F.size(all_of) > 0, good / total)
+
     dense = F.regexp_replace(t, r"(?U)\s", "")
     odd = F.length(F.regexp_replace(dense, rf"[\p{{L}}\p{{Nd}}{_class(USUAL)}]", ""))
-    return F.when(total > 0, good / total * (1 - F.least(F.lit(1.0), 3.0 * odd / F.length(dense)))).otherwise(0.0)
+    return F.coalesce(once(words, share) * (1 - F.least(F.lit(1.0), 3.0 * odd / F.length(dense))), F.lit(0.0))
 
 
 def clean(text: Column | str) -> Column:

@@ -85,6 +85,7 @@ class Readings:
         self.counts: list[int] = []
         self.alike: list[np.ndarray] = []
         self.total = 0
+        self.found: tuple[str, str, float] | None = None  # the best one, until another is met
 
     def add(self, text: str, key: str, good: float, times: int = 1) -> None:
         at = self.place.get(text)
@@ -96,6 +97,7 @@ class Readings:
             self.counts.append(0)
         self.counts[at] += times
         self.total += times
+        self.found = None
 
     def update(self, other: Readings) -> None:
         for (text, key, good), n in zip(other.texts, other.counts, strict=True):
@@ -105,10 +107,13 @@ class Readings:
         """(text, key, quality) of the reading that agrees best with all; of equal ones the first that was met."""
         if len(self.texts) == 1:
             return self.texts[0]
+        if self.found is not None:
+            return self.found
         counts = np.array(self.counts)
         good = np.array([q for _, _, q in self.texts])
         score = np.round(np.array(self.alike) @ counts / self.total + 0.5 * good + 0.001 * counts, 9)
-        return self.texts[int(score.argmax())]
+        self.found = self.texts[int(score.argmax())]
+        return self.found
 
 
 def _runs(frames: Iterator[tuple[int, str, str, float]], reach_us: int) -> Iterator[tuple[int, int, Readings]]:

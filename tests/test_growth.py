@@ -27,3 +27,12 @@ def test_events_of_a_script_are_parted_once(spark):
     cues, _ = parse_ass(spark.createDataFrame([("a", script)], "key string, text string"))
     assert [tuple(r) for r in cues.drop("extra").collect()] == [("a", 1, 1_000_000, 2_000_000, "a, b")]
     assert "map_from_entries" not in plan(cues.drop("extra"))  # times and texts are found by their places
+
+
+def test_readings_are_compared_by_bits():
+    from cueframe.functions import fuzzy
+
+    pairs = [("thequickbrownfoxjumpsoverthelazydogandmore"[i % 5 :], f"thequickbrown{i}foxjumpsoverthelxzydogandmore") for i in range(2_000)]
+    start = time.process_time()
+    assert all(fuzzy.same_key(a, b) for a, b in pairs)
+    assert time.process_time() - start < 1.2  # tables row by row take twice that
