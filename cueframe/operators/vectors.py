@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import cosine
+from ..functions.maths import dot
 from ..functions.ocr import quality
-from ..functions.text import letters_key
+from ..functions.text import letters_key, once
 
 
 def mean_unit(rows: DataFrame, group: str, vector: str) -> DataFrame:
@@ -20,6 +20,8 @@ def mean_unit(rows: DataFrame, group: str, vector: str) -> DataFrame:
 
 #: So many centers or readings are compared in one expression.
 BLOCK = 256
+#: Up to so many blocks of centers are sent to all tasks.
+FEW_BLOCKS = 16
 
 
 def _blocked(rows: DataFrame, groups: list[str], item: list[str]) -> DataFrame:
@@ -37,10 +39,14 @@ def nearest_center(rows: DataFrame, centers: DataFrame) -> DataFrame:
     Null where there is no center, or none that can be compared (a zero vector, another length).
     """
     n = max(1, -(-centers.count() // BLOCK))
-    dealt = centers.select((F.pmod(F.xxhash64("label"), F.lit(n))).cast("int").alias("block"), "label", F.col("embedding").alias("v"))
-    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("label", "v")).alias("items"))
-    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    scored = F.transform("items", lambda c: F.struct((-F.round(cosine("embedding", c["v"]), 9)).alias("far"), c["label"].alias("label")))
+    norm = lambda v: F.sqrt(dot(v, v))
+    dealt = centers.select((F.pmod(F.xxhash64("label"), F.lit(n))).cast("int").alias("block"), "label", F.col("embedding").alias("v"), norm("embedding").alias("norm"))
+    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct("label", "v", "norm")).alias("items"))
+    if n <= FEW_BLOCKS:  # else rows of so few blocks would be so few tasks
+        blocks = F.broadcast(blocks)
+    each = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("norm", norm("embedding"))
+    alike = lambda c: once(F.col("norm") * c["norm"], lambda m: F.when(m > 0, dot("embedding", c["v"]) / m))
+    scored = F.transform("items", lambda c: F.struct((-F.round(alike(c), 9)).alias("far"), c["label"].alias("label")))
     best = each.join(blocks, "block", "left").select("vec_id", F.array_min(F.filter(scored, lambda s: s["far"].isNotNull())).alias("best"))
     best = best.groupBy("vec_id").agg(F.min("best").alias("best"))
     return best.select("vec_id", F.col("best.label").alias("center"), (-F.col("best.far")).alias("score"))

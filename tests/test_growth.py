@@ -36,3 +36,14 @@ def test_readings_are_compared_by_bits():
     start = time.process_time()
     assert all(fuzzy.same_key(a, b) for a, b in pairs)
     assert time.process_time() - start < 1.2  # tables row by row take twice that
+
+
+def test_few_centers_are_sent_to_the_rows(spark):
+    from cueframe.operators.vectors import nearest_center
+
+    rows = spark.range(50).select(F.col("id").alias("vec_id"), F.array(F.col("id") - 20.0, F.lit(1.0)).alias("embedding"))
+    centers = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0])], "label long, embedding array<double>")
+    found = nearest_center(rows, centers)
+    assert {r["vec_id"]: r["center"] for r in found.collect()} == {i: 1 if i >= 20 else 2 for i in range(50)}
+    physical = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical  # all rows of one block are no task
