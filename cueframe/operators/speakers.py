@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.lines import gender_of, gender_uncertain
+from ..functions.text import once
 from . import ranks
 from .rounds import kept
 
@@ -32,8 +33,13 @@ MOST_LINES, BLOCK = 20_000, 2_048
 def unit(vector: Column | str) -> Column:
     """A vector at length 1; null where it is null or zero, or holds nulls or numbers that are not finite."""
     v = F.transform(F.col(vector) if isinstance(vector, str) else vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when((norm > 0) & (norm < float("inf")), F.transform(v, lambda x: x / norm))
+
+    def scaled(x: Column) -> Column:
+        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y))
+        # else every number of the vector would work the length out again
+        return once(norm, lambda n: F.when((n > 0) & (n < float("inf")), F.transform(x, lambda y: y / n)))
+
+    return once(v, scaled)
 
 
 def joined_in_order(n: int, row: Callable[[int], np.ndarray], merge: Callable[[int, int], None], least: float, last: bool = False) -> np.ndarray:

@@ -47,3 +47,12 @@ def test_few_centers_are_sent_to_the_rows(spark):
     assert {r["vec_id"]: r["center"] for r in found.collect()} == {i: 1 if i >= 20 else 2 for i in range(50)}
     physical = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical  # all rows of one block are no task
+
+
+def test_the_length_of_a_vector_is_worked_out_once(spark):
+    from cueframe.operators.speakers import unit
+
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), ([1.0, None],), (None,)], "v array<double>")
+    found = rows.select(unit("v").alias("u"))
+    assert [r["u"] for r in found.collect()] == [[0.6, 0.8], None, None, None]
+    assert plan(found).count("aggregate(") == 1  # not once more for each number of the vector
