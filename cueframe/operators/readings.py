@@ -14,6 +14,7 @@ from ..functions.fuzzy import same_key, similarities
 from ..functions.ocr import clean, quality, subtitle_like
 from ..functions.text import letters_key, similarity
 from . import ranks
+from .rounds import kept
 from .voices import kept_lines
 
 #: Fixed: cues shorter than this are flicker; anchors so near each other are one place; where no subtitles are found.
@@ -328,11 +329,12 @@ def subtitle_area(boxes: DataFrame, frames: DataFrame, examples: int = 12) -> Da
     blocks = frame_blocks(marked)
     lower = (F.col("top") + F.col("bottom")) / 2 >= 0.5
     blocks = blocks.withColumn("side", F.when(lower, "bottom").otherwise("top")).withColumn("anchor", F.when(lower, F.col("bottom")).otherwise(F.col("top")))
+    blocks = kept(blocks)  # blocks, and those of the band, are read by several branches
     bands = densest_band(blocks, ["key", "side"])
     # the lower one of equal bands
     best = bands.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("less"), "side", "centre", "low", "high")).alias("b")).select("key", "b.side", "b.centre", "b.low", "b.high")
     fine = lambda c: F.round(F.col(c) * _FINE)
-    chosen = blocks.join(best, ["key", "side"]).where((fine("anchor") >= fine("low")) & (fine("anchor") <= fine("high")))
+    chosen = kept(blocks.join(best, ["key", "side"]).where((fine("anchor") >= fine("low")) & (fine("anchor") <= fine("high"))))
     height = ranks.at_ranks(chosen.select("key", F.explode("heights").alias("v")), ["key"], "v", {"line_height": ranks.rounded(0.5)}).select("key", "line_height")
     edge = ranks.at_ranks(chosen, ["key"], "anchor", {"far": ranks.rounded(0.95), "close": ranks.rounded(0.05)}).select("key", "far", "close")
     light = ranks.at_ranks(chosen.select("key", F.explode("lights").alias("v")), ["key"], "v", {"light": ranks.rounded(0.75)}).select("key", "light")

@@ -56,3 +56,15 @@ def test_the_length_of_a_vector_is_worked_out_once(spark):
     found = rows.select(unit("v").alias("u"))
     assert [r["u"] for r in found.collect()] == [[0.6, 0.8], None, None, None]
     assert plan(found).count("aggregate(") == 1  # not once more for each number of the vector
+
+
+def test_blocks_of_an_area_are_written_once(spark):
+    from cueframe.operators.readings import subtitle_area
+
+    frames = spark.range(6).select(F.lit(1).alias("key"), F.col("id").alias("sample"))
+    text = F.concat(F.lit("said in "), F.element_at(F.array(*(F.lit(w) for w in ("winter", "summer", "an hour", "between", "Oslo", "quiet"))), (F.col("sample") + 1).cast("int")))
+    box = {"x": 220.0, "y": 310.0, "width": 200.0, "height": 20.0, "light": 0.5}
+    boxes = frames.select("key", "sample", text.alias("text"), *(F.lit(v).alias(c) for c, v in box.items()), F.lit(640).alias("frame_width"), F.lit(360).alias("frame_height"))
+    found = subtitle_area(boxes, frames)
+    assert "lag(" not in plan(found)  # the stacking of boxes, which seven branches read
+    assert [(r["position"], r["hits"], r["samples"]) for r in found.collect()] == [("bottom", 6, 6)]
