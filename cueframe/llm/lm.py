@@ -34,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .records import open_store
-from .shared import Ids, buckets_for, from_planes, hash_words, materialise, narrow, new_folder, pack, planes, runs, unpack, words
+from .shared import buckets_for, from_planes, hash_words, materialise, narrow, new_folder, number_words, pack, planes, runs, slices, split_words, unpack
 from .token_counts import _PACKED, _rows
 
 PACK_WORDS = 1_500_000
+#: Texts are split by so many bytes at once.
+SPLIT_BYTES = 2_000_000
 END = "\n"  # cannot be a word
 HOT = 1000
 #: Bits by which a word is known at each level.
@@ -77,6 +79,8 @@ _SELECT = np.array([[([j for j in range(8) if b >> j & 1] + [8] * 8)[r] for r in
 _EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 #: So many lookups at once keep their arrays in the processor's cache.
 SLICE = 1 << 15
+#: So many values are read one after another rather than looked up, for each that is asked for.
+DENSE = 4
 
 
 def _select(bits: np.ndarray, before: np.ndarray, i: np.ndarray, clear: bool = False) -> np.ndarray:
@@ -116,6 +120,15 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return (_select(self.high, self.ones, i) - i).astype(np.uint64) << np.uint64(self.width) | get_bits(self.low, self.width, i)
 
+    def part(self, begin: int, end: int) -> np.ndarray:
+        """The values [begin, end), read one after another."""
+        if begin >= end:
+            return np.zeros(0, dtype=np.uint64)
+        i = np.arange(begin, end)
+        at, to = _select(self.high, self.ones, i[[0, -1]]) >> 6
+        set_ = np.flatnonzero(np.unpackbits(self.high[at : to + 1].view(np.uint8), bitorder="little"))[begin - int(self.ones[at]) :][: end - begin]
+        return (set_ + at * 64 - i).astype(np.uint64) << np.uint64(self.width) | get_bits(self.low, self.width, i)
+
     def _before(self, h: np.ndarray) -> np.ndarray:
         """How many values have a high part below h."""
         if self._zeros is None:
@@ -124,7 +137,18 @@ class EliasFano:
         return np.where(h > 0, np.minimum(_select(self.high, self._zeros, at, clear=True) - at, self.n), 0)
 
     def find(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Where x stands in the part [begin, end) of the sequence, or -1: a successor search among equal high parts."""
+        """Where x stands in the part [begin, end) of the sequence, or -1: a successor search among equal high parts,
+        or in all parts at once if these hold little else."""
+        if not len(x):
+            return np.zeros(0, dtype=np.int64)
+        low, high = self._before((np.array([x.min(), x.max()]) >> np.uint64(self.width)).astype(np.int64) + [0, 1]).tolist()
+        at, to = max(int(begin.min()), low), min(int(end.max()), high)
+        if to - at <= DENSE * len(x):
+            some = self.part(at, to)
+            i = np.maximum(at + np.searchsorted(some, x), begin)
+            same = (i >= begin) & (i < np.minimum(end, to))
+            same[same] = some[i[same] - at] == x[same]
+            return np.where(same, i, -1)
         h = (x >> np.uint64(self.width)).astype(np.int64)
         lo, hi = np.maximum(begin, self._before(h)), np.minimum(np.minimum(end, self._before(h + 1)), self.n)
         stop = hi.copy()
@@ -223,11 +247,11 @@ def _unigrams(docs: DataFrame, buckets: int) -> tuple[int, int, dict[int, int]]:
     """N, V and the hot tokens with their counts, of the training documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, lists, total, seq = TaskContext.get().partitionId(), Ids(), [], 0, 0
+        part, parts, ends, total, seq = TaskContext.get().partitionId(), [], 0, 0, 0
 
         def flush():
-            hashes = hash_words(list(ids))
-            counts = np.bincount(np.concatenate(lists), minlength=len(hashes))
+            tokens, hashes = number_words(parts)
+            hashes, counts = np.r_[hashes, hash_words([END])], np.r_[np.bincount(tokens, minlength=len(hashes)), ends]
             bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((hashes, bucket))
             hashes, counts, bucket = hashes[order], counts[order], bucket[order]
@@ -235,17 +259,16 @@ def _unigrams(docs: DataFrame, buckets: int) -> tuple[int, int, dict[int, int]]:
             for at, to in zip(cut, np.r_[cut[1:], len(bucket)], strict=True):
                 yield int(bucket[at]), part << 24 | seq, False, pack(hashes[at:to], narrow(counts[at:to]))
 
-        for record in batches:
-            for doc_id, text in zip(record.column(0).to_pylist(), record.column(1).to_pylist(), strict=True):
-                if in_training(doc_id):
-                    w = words(text)
-                    w.append(END)
-                    lists.append(np.fromiter(map(ids.__getitem__, w), dtype=np.int32, count=len(w)))
-                    total += len(w)
-                if total > PACK_WORDS:
-                    yield _rows([*flush()])
-                    ids, lists, total, seq = Ids(), [], 0, seq + 1
-        if lists:
+        for some in slices(batches, 1, SPLIT_BYTES):
+            train = [in_training(d) for d in some.column(0).to_pylist()]
+            found, _ = split_words(some.column(1).filter(pa.array(train, pa.bool_())))
+            if ends and total + len(found) > PACK_WORDS:
+                yield _rows([*flush()])
+                parts, ends, total, seq = [], 0, 0, seq + 1
+            if any(train):
+                parts.append(found)
+                ends, total = ends + sum(train), total + len(found)
+        if ends:
             yield _rows([*flush()])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -263,36 +286,53 @@ def _unigrams(docs: DataFrame, buckets: int) -> tuple[int, int, dict[int, int]]:
     return total, types, {r["token"]: r["n"] for r in hot}
 
 
+def _order(w: np.ndarray, v: np.ndarray, u: np.ndarray, below: int) -> np.ndarray:
+    """The order of (w, v, u), ties by place; all numbers and places are less than `below`."""
+    if below > 1 << 21:  # a single text has millions of words
+        return np.lexsort((u, v, w))
+    # three numbers fit in one, and numbers sort faster by themselves than their places do
+    place, mask = np.arange(len(w)), (1 << 21) - 1
+    pair = np.sort(w << 42 | v << 21 | place)
+    by = pair & mask
+    pair >>= 21
+    pair = np.cumsum(np.r_[0, pair[1:] != pair[:-1]])
+    return np.sort(pair << 42 | u[by] << 21 | by) & mask
+
+
 def _occurrences(buckets: int, hot: np.ndarray):
     """Packs n-gram occurrences by bucket, for mapInArrow over (doc_id, text)."""
 
-    def flush(batch: int, doc_ids: list, token_lists: list, ids: Ids) -> pa.RecordBatch:
-        train = np.array([in_training(d) for d in doc_ids])
-        by = np.argsort(~train, kind="stable").tolist()  # training documents first
-        doc_ids, token_lists, train = [doc_ids[i] for i in by], [token_lists[i] for i in by], train[by]
-        sizes = np.array([len(t) for t in token_lists])
-        tokens = np.concatenate(token_lists).astype(np.int64)
-        first = np.r_[0, np.cumsum(sizes)[:-1]]
-        before = np.r_[0, tokens[:-1]]
-        before[first] = ids[END]
-        again = np.r_[0, before[:-1]]
-        again[first] = ids[END]
-        doc = np.repeat(np.arange(len(doc_ids)), sizes)
-        hashes = hash_words(list(ids))
+    def flush(batch: int, doc_ids: list, parts: list[pa.Array], n_words: list[np.ndarray]) -> pa.RecordBatch:
+        train, sizes = np.array([in_training(d) for d in doc_ids]), np.concatenate(n_words) + 1
+        found, hashes = number_words(parts)
+        last = np.cumsum(sizes) - 1
+        tokens = np.full(last[-1] + 1, len(hashes), dtype=np.int64)
+        is_word = np.ones(len(tokens), dtype=bool)
+        is_word[last] = False
+        tokens[is_word] = found
+        hashes = np.r_[hashes, hash_words([END])]
         order = np.argsort(hashes)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        hashes = hashes[order]
-        w, v, u = rank[tokens], rank[before], rank[again]
-        # three numbers of a batch fit in one, unless a single text has millions of words; documents stay in order
-        by = np.argsort(w << 42 | v << 21 | u, kind="stable") if len(hashes) < 1 << 21 else np.lexsort((u, v, w))
+        hashes, w = hashes[order], rank[tokens]
+        first = last - sizes + 1
+        v = np.r_[0, w[:-1]]
+        v[first] = rank[-1]
+        u = np.r_[0, v[:-1]]
+        u[first] = rank[-1]
+        by = _order(w, v, u, max(len(hashes), len(w)))
+        place = np.argsort(~train, kind="stable")  # training documents first
+        doc_ids, train = [doc_ids[i] for i in place.tolist()], train[place]
+        number = np.empty(len(place), dtype=np.int64)
+        number[place] = np.arange(len(place))
+        doc, sizes = np.repeat(number, sizes), sizes[place]
         w, v, u, doc = w[by], v[by], u[by], doc[by]
         at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])])
         freq = np.diff(np.r_[at, len(w)])
         w, v, u, doc = w[at], v[at], u[at], doc[at]
         is_hot = np.isin(hashes, hot)
         bucket = ((np.where(is_hot[w], hashes[v] ^ hashes[w] >> np.uint64(7), hashes[w]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
+        by = np.sort(bucket.astype(np.int64) << 32 | np.arange(len(bucket))) & 0xFFFFFFFF
         bucket, w, v, u, doc, freq = bucket[by], w[by], v[by], u[by], doc[by], freq[by]
         known, null = np.array([0 if d is None else d for d in doc_ids], dtype=np.int64), np.array([d is None for d in doc_ids])
         rows = [(-batch - 1, batch, True, pack(known, train.astype(np.uint8), null.astype(np.uint8), sizes.astype(np.int64)))]
@@ -314,22 +354,19 @@ def _occurrences(buckets: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids, doc_ids, lists, total = Ids({END: 0}), [], [], 0
-        for record in batches:
-            for start in range(0, record.num_rows, 500):
-                some = record.slice(start, 500)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    w = words(text)
-                    w.append(END)
-                    # a very long text is a batch of its own
-                    if total and (total + len(w) > PACK_WORDS or len(doc_ids) >= 60_000):
-                        yield flush(part << 24 | seq, doc_ids, lists, ids)
-                        ids, doc_ids, lists, total, seq = Ids({END: 0}), [], [], 0, seq + 1
-                    doc_ids.append(doc_id)
-                    lists.append(np.fromiter(map(ids.__getitem__, w), dtype=np.int32, count=len(w)))
-                    total += len(w)
+        doc_ids, parts, n_words, total = [], [], [], 0
+        for some in slices(batches, 1, SPLIT_BYTES):
+            found, n = split_words(some.column(1))
+            # a very long text is a batch of its own
+            if doc_ids and (total + len(found) + len(n) > PACK_WORDS or len(doc_ids) + len(n) > 60_000):
+                yield flush(part << 24 | seq, doc_ids, parts, n_words)
+                doc_ids, parts, n_words, total, seq = [], [], [], 0, seq + 1
+            doc_ids += some.column(0).to_pylist()
+            parts.append(found)
+            n_words.append(n)
+            total += len(found) + len(n)
         if doc_ids:
-            yield flush(part << 24 | seq, doc_ids, lists, ids)
+            yield flush(part << 24 | seq, doc_ids, parts, n_words)
 
     return run
 
@@ -345,15 +382,15 @@ class Bucket:
             v = high.astype(np.uint64) << np.uint64(8) | low
             u = high_u.astype(np.uint64) << np.uint64(8) | low_u
             n_v, n_u, n_doc = (x.astype(np.int64) for x in (n_v, n_u, n_doc))
-            w = np.repeat(w, n_v)  # by pair
-            parts.append((np.repeat(np.repeat(w, n_u), n_doc), np.repeat(np.repeat(v, n_u), n_doc), np.repeat(u, n_doc), doc.astype(np.int32) + at, freq.astype(np.int32), doc < n_train))
+            parts.append((w, n_v, v, n_u, u, n_doc, doc.astype(np.int32) + at, freq.astype(np.int32), doc < n_train))
             at += int(n_docs)
             self.base.append(at)
-        w, v, u, self.doc, self.freq, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        w, n_v, v, n_u, u, n_doc, self.doc, self.freq, train = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         self.tokens, token = np.unique(w, return_inverse=True)
-        pairs, pair = np.unique(token.astype(np.uint64) << np.uint64(40) | v, return_inverse=True)
-        triples, self.triple = np.unique(pair.astype(np.uint64) << np.uint64(24) | u, return_inverse=True)
+        pairs, pair = np.unique(np.repeat(token, n_v).astype(np.uint64) << np.uint64(40) | v, return_inverse=True)
+        triples, triple = np.unique(np.repeat(pair, n_u).astype(np.uint64) << np.uint64(24) | u, return_inverse=True)
+        self.triple = np.repeat(triple, n_doc)
         del w, v, u
         counted = self.freq * train
         self.owner3, self.key3 = (triples >> np.uint64(24)).astype(np.int64), triples & np.uint64((1 << 24) - 1)
@@ -400,8 +437,8 @@ class Bucket:
         value += context[self.owner3]
         token = self.owner2[self.owner3]
         n = self.base[-1]
-        count = self.count1[token][self.triple]
-        sums = [np.bincount(self.doc, weights=self.freq * x, minlength=n) for x in (value[self.triple], np.log10(count + 1.0), count > 0)]
+        each = (value, np.log10(self.count1 + 1.0)[token], (self.count1 > 0)[token])
+        sums = [np.bincount(self.doc, weights=self.freq * x[self.triple], minlength=n) for x in each]
         return sums[0], sums[1], sums[2].astype(np.int64)
 
 
