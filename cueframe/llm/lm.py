@@ -38,8 +38,8 @@ from .shared import buckets_for, from_planes, hash_words, materialise, narrow, n
 from .token_counts import _PACKED, _rows
 
 PACK_WORDS = 1_500_000
-#: Texts are split by so many bytes at once.
-SPLIT_BYTES = 2_000_000
+#: Texts are split by so many bytes at once, and words of so many bytes are packed at most; a longer text is alone.
+SPLIT_BYTES, PACK_BYTES = 2_000_000, 100_000_000
 END = "\n"  # cannot be a word
 HOT = 1000
 #: Bits by which a word is known at each level.
@@ -99,7 +99,7 @@ def _select(bits: np.ndarray, before: np.ndarray, i: np.ndarray, clear: bool = F
 
 class EliasFano:
     """A monotone sequence: low bits side by side, high parts in unary, and a directory of how many bits are set before
-    each word of the latter. Arrays may be views of a mapped file; nothing is unpacked."""
+    each word of the latter. Arrays may be views of a mapped file, of which only the parts asked for are unpacked."""
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.width, self.low, self.high, self.ones = n, width, low, high, ones
@@ -262,7 +262,7 @@ def _unigrams(docs: DataFrame, buckets: int) -> tuple[int, int, dict[int, int]]:
         for some in slices(batches, 1, SPLIT_BYTES):
             train = [in_training(d) for d in some.column(0).to_pylist()]
             found, _ = split_words(some.column(1).filter(pa.array(train, pa.bool_())))
-            if ends and total + len(found) > PACK_WORDS:
+            if ends and (total + len(found) > PACK_WORDS or sum(x.nbytes for x in parts) + found.nbytes > PACK_BYTES):
                 yield _rows([*flush()])
                 parts, ends, total, seq = [], 0, 0, seq + 1
             if any(train):
@@ -358,7 +358,8 @@ def _occurrences(buckets: int, hot: np.ndarray):
         for some in slices(batches, 1, SPLIT_BYTES):
             found, n = split_words(some.column(1))
             # a very long text is a batch of its own
-            if doc_ids and (total + len(found) + len(n) > PACK_WORDS or len(doc_ids) + len(n) > 60_000):
+            full = total + len(found) + len(n) > PACK_WORDS or sum(x.nbytes for x in parts) + found.nbytes > PACK_BYTES
+            if doc_ids and (full or len(doc_ids) + len(n) > 60_000):
                 yield flush(part << 24 | seq, doc_ids, parts, n_words)
                 doc_ids, parts, n_words, total, seq = [], [], [], 0, seq + 1
             doc_ids += some.column(0).to_pylist()

@@ -242,6 +242,18 @@ def test_words_are_counted_by_the_batch():
     assert hash_words([END])[0] in np.concatenate([unpack(x["block"])[0] for x in rows if not x["head"]])
 
 
+def test_long_words_are_packed_apart(monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT_BYTES", 1_000)
+    monkeypatch.setattr(lm, "PACK_BYTES", 10_000)
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: mock.Mock(partitionId=lambda: 0))
+    texts = [f"{'x' * 900}{i} a" for i in range(40)] + ["y" * 50_000, None, "b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(43), pa.int64()), "text": texts})
+    rows = pa.Table.from_batches([*_occurrences(4, np.array([], dtype=np.uint64))(iter([batch]))]).to_pylist()
+    heads = [unpack(x["block"])[3] for x in rows if x["head"]]
+    assert len(heads) >= 6 and sum(x.sum() for x in heads) == 40 * 3 + 2 + 1 + 2
+    assert sum(int(unpack(x["block"])[9].sum()) for x in rows if not x["head"]) == 125
+
+
 def test_scores_against_a_plain_model(spark, tmp_path):
     r = random.Random(8)
     docs = [(i, None if i == 3 else "" if i == 4 else " ".join(r.choices(WORDS[: 5 + i], k=r.randrange(0, 80)))) for i in range(90)]
