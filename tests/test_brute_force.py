@@ -307,6 +307,47 @@ def test_recognising_people(spark):
     assert {(x.key, x.speaker, x.person) for x in recognised(a, b).collect()} == wanted and len(wanted) > 6
 
 
+def test_recognising_people_from_cut_lists(spark, monkeypatch):
+    from cueframe.functions.maths import cosine
+    from cueframe.operators import people as people_of
+
+    monkeypatch.setattr(people_of, "LISTED", 2)
+    monkeypatch.setattr(people_of, "LISTED_BY_KEY", 0)
+    monkeypatch.setattr(people_of, "BLOCK", 8)
+    r = random.Random(5)
+    # many equal scores, copies, and names with more than one vector
+    vector = lambda: [float(r.randint(-1, 1)) for _ in range(r.choice([3, 3, 3, 2]))]
+    speakers, people = ([(k, r.randrange(30), vector()) for k in range(3) for _ in range(40)] for _ in range(2))
+    a, b = spark.createDataFrame(speakers, "key int, speaker int, embedding array<double>"), spark.createDataFrame(people, "key int, person int, embedding array<double>")
+    alike = [tuple(x) for x in a.join(b.withColumnRenamed("embedding", "e2"), "key").select("key", "speaker", "person", F.round(cosine("embedding", "e2"), 9)).collect()]
+    wanted, taken = [], set()
+    for k, s, p, c in sorted((x for x in alike if x[3] is not None and x[3] >= 0.3), key=lambda x: (x[0], -x[3], x[1], x[2])):
+        if (k, "s", s) not in taken and (k, "p", p) not in taken:
+            taken |= {(k, "s", s), (k, "p", p)}
+            wanted.append((k, s, p, c))
+    assert sorted(tuple(x) for x in people_of.recognised(a, b, 0.3).collect()) == sorted(wanted) and len(wanted) > 40
+
+
+def test_a_voice_that_is_no_number_is_nobody(spark):
+    from cueframe.operators.people import recognised
+
+    nan, inf = float("nan"), float("inf")
+    speakers = spark.createDataFrame([(1, 1, [nan, 1.0]), (1, 2, [inf, 1.0]), (1, 3, [None, 1.0]), (1, 4, []), (1, 5, [3.0, 4.0])], "key int, speaker int, embedding array<double>")
+    people = spark.createDataFrame([(1, 6, [nan, 0.0]), (1, 7, [1.0, 1.0]), (1, 8, None)], "key int, person int, embedding array<double>")
+    assert [tuple(x) for x in recognised(speakers, people).collect()] == [(1, 5, 7, 0.989949494)]
+
+
+def test_cosines_are_rounded_as_spark_rounds_them(spark):
+    import numpy as np
+
+    from cueframe.operators.people import _billionths
+
+    r = random.Random(3)
+    values = [r.uniform(-1, 1) for _ in range(300)] + [round(r.uniform(-1, 1), 9) + d for d in (5e-10, -5e-10) for _ in range(300)] + [0.0, -1e-10, 1.0, -1.0, 1.0000000000000002]
+    rounded = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 9)).collect()]
+    assert (_billionths(np.array(values)) / 1e9).tolist() == rounded
+
+
 def test_voices_of_speakers(spark):
     from cueframe.operators.people import with_voices
 

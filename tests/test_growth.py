@@ -68,3 +68,24 @@ def test_blocks_of_an_area_are_written_once(spark):
     found = subtitle_area(boxes, frames)
     assert "lag(" not in plan(found)  # the stacking of boxes, which seven branches read
     assert [(r["position"], r["hits"], r["samples"]) for r in found.collect()] == [("bottom", 6, 6)]
+
+
+def test_pairs_of_a_show_are_not_listed(spark, monkeypatch):
+    from cueframe.operators import people
+
+    monkeypatch.setattr(people, "LISTED", 3)
+    monkeypatch.setattr(people, "LISTED_BY_KEY", 0)
+    monkeypatch.setattr(people, "BLOCK", 16)
+    listed, taken = [], people._taken
+
+    def counted(pairs):
+        listed.append(pairs.count())
+        return taken(pairs)
+
+    monkeypatch.setattr(people, "_taken", counted)
+    # copies of one voice, which all list the same three
+    vector = F.when(F.col("id") < 8, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.cos("id"), F.sin("id")))
+    rows = spark.range(24).select(F.lit(1).alias("key"), F.col("id"), vector.alias("embedding"))
+    found = people.recognised(rows.withColumnRenamed("id", "speaker"), rows.withColumnRenamed("id", "person"), 0.9)
+    assert "Join" not in plan(found) and max(listed) <= 2 * 3 * 24  # of 576 pairs
+    assert {(r.speaker, r.person) for r in found.collect()} == {(i, i) for i in range(24)} and len(listed) > 2
